@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold ``QUERIES`` and ``SQL``.
-MODULES = ("q_mixing", "q_tokens", "q_quality", "q_toxicity")
+MODULES = ("q_mixing", "q_tokens", "q_quality", "q_toxicity", "q_near_dups")
 
 
 def queries() -> dict:
