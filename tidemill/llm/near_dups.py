@@ -335,3 +335,26 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, shingle: int = 5, perc
     own = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     return out.withColumn("component_id", own).select("doc_id", "set_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
+    """docs with one row of each group of near duplicates: its smallest id, and of several rows with that
+    id the one with the smallest text hash (of rows equal in id and text, any one).
+
+    Rows without words have no duplicates and stay; so do rows without an id, which nothing can name.
+    All columns come back as they were.
+    """
+    found = near_duplicates(docs, scratch, **how)
+    named = found.where("kept and doc_id is not null and set_id is not null")
+    kept = scratch.save(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_near_rows")), "kept")
+    worded = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = docs.where(worded).join(kept.where("_near_rows = 1").select("doc_id"), "doc_id", "left_semi")
+    out = docs.where(~worded).select(*columns).union(once.select(*columns))
+    several = kept.where("_near_rows > 1").select("doc_id")
+    if several.isEmpty():
+        return out
+    more = docs.where(worded).join(several, "doc_id", "left_semi").withColumn("_near_text", F.xxhash64("text"))
+    first = more.groupBy("doc_id").agg(F.min("_near_text").alias("_near_text"))
+    one = more.join(first, ["doc_id", "_near_text"], "left_semi").select(*columns).dropDuplicates(["doc_id"])
+    return out.union(one)

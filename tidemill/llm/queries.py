@@ -9,7 +9,8 @@ MODULES = ("q_mixing", "q_tokens", "q_quality", "q_toxicity", "q_near_dups", "q_
 
 
 def queries() -> dict:
-    return {name: f for module in MODULES for name, f in import_module(f"tidemill.llm.{module}").QUERIES.items()}
+    found = {name: f for module in MODULES for name, f in import_module(f"tidemill.llm.{module}").QUERIES.items()}
+    return found | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict:
