@@ -40,7 +40,7 @@ PATTERNS = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])")),
-    ("card", re.compile(r"(?<![\d.])[2-6]\d{3}(?:[ -]?\d{4}){3}(?!\d)|(?<![\d.])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)")),
+    ("card", re.compile(r"(?<![\d.])(?:2[2-7]|[3-6]\d)\d{2}(?:[ -]?\d{4}){3}(?!\d)|(?<![\d.])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?!\d)")),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("name", re.compile(rf"\b(?i:({_TITLE}))\b\.? +([A-ZÀ-ÞА-Я][\w'-]+)(?: +([A-ZÀ-ÞА-Я][\w'-]+))?")),
 ]
