@@ -15,6 +15,8 @@ reads one slice of one block: constant time, whatever the size of the corpus.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -34,6 +36,17 @@ CACHE_CHUNKS = 500_000
 WHITE = r"\x1c-\x1f\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 BESIDE_SPACE = f" [{WHITE}]|[{WHITE}] "
 
+LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level letters: printable Latin-1 stands for itself, the other bytes for letters from U+0100 on."""
+    plain = {b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)}
+    return {b: chr(b) if b in plain else chr(256 + k - len([x for x in plain if x < b])) for k, b in enumerate(range(256))}
+
+
+BYTE_LETTERS = _byte_letters()
+
 _tokenizers: dict = {}
 
 
@@ -54,7 +67,19 @@ class Encoder:
         return _tokenizers[path, end_id]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each text. One run of Latin letters is one piece of the pre-tokeniser: the library's
+        model takes it as it is, in byte-level letters."""
+        model, out = self.tokenizer.model, [b""] * len(texts)
+        rest = []
+        for i, t in enumerate(texts):
+            if LETTERS.fullmatch(t):
+                ids = [x.id for x in model.tokenize(t.encode().decode("latin-1").translate(BYTE_LETTERS))]
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return out
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         cache = self.cache
