@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of ``tidemill.plans`` that hold ``QUERIES`` and ``SQL``.
-MODULES = ("p_tape", "p_prep", "p_ladder")
+MODULES = ("p_tape", "p_prep", "p_ladder", "p_decisions")
 
 
 def queries() -> dict:
