@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof, next_bar
-from .indicators import BY_TIME
+from .indicators import by_time
 
 #: Thresholds (basis points) of the yield spread's change by regime; 15 for one that isn't known.
 YIELD_THRESHOLDS = {0: 8.0, 1: 15.0, 2: 20.0}
@@ -73,10 +73,10 @@ def backtest(decisions: DataFrame, bars: DataFrame, *, equity: float = 100_000.0
     move = F.col("close_next") - F.col("open_next")
     sign = F.when(F.col("direction") == "long", 1).when(F.col("direction") == "short", -1)
     net = F.coalesce(sign * move - 2 * ticks_per_side * tick, F.lit(0.0))
-    so_far = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("net_points", net).withColumn("pnl", F.col("size") * multiplier * F.col("net_points"))
     rows = rows.withColumn("equity", F.lit(equity) + F.sum("pnl").over(so_far))
-    return rows.withColumn("peak", F.max("equity").over(so_far)).withColumn("turn", F.abs(F.col("size") - F.lag("size", 1, 0.0).over(BY_TIME)))
+    return rows.withColumn("peak", F.max("equity").over(so_far)).withColumn("turn", F.abs(F.col("size") - F.lag("size", 1, 0.0).over(by_time())))
 
 
 def performance(curve: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def session_drawdown_halt(curve: DataFrame, limit: float = 0.02) -> DataFrame:
 def feedback(trades: DataFrame, lookback: int = 20) -> DataFrame:
     """Per instrument and row: drift of confidence over win rate in the last rows before it, and the Kelly
     fraction and gates moved by it. trades: (instrument, ts, confidence, won)."""
-    w = BY_TIME.rowsBetween(-lookback, -1)
+    w = by_time().rowsBetween(-lookback, -1)
     drift = F.round(F.avg("confidence").over(w) - F.avg("won").over(w), 4)
     over = F.col("drift") - 0.05
     rows = trades.withColumn("drift", drift).where("drift is not null")

@@ -11,19 +11,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("instrument").orderBy("ts")
+
+def by_time():
+    return Window.partitionBy("instrument").orderBy("ts")
 
 
 def before(column: str, k: int = 1) -> Column:
-    return F.lag(column, k).over(BY_TIME)
+    return F.lag(column, k).over(by_time())
 
 
 def ewm(column: str, alpha: float, adjust: bool, least: int = 1) -> Column:
     """Exponentially weighted mean up to the current row, as the recurrence (adjust: normalised weights)."""
     width = math.ceil(math.log(1e-17) / math.log(1 - alpha))
-    frame = BY_TIME.rowsBetween(-width + 1, 0)
+    frame = by_time().rowsBetween(-width + 1, 0)
     values = F.collect_list(column).over(frame)  # at most width values
-    n = F.row_number().over(BY_TIME)
+    n = F.row_number().over(by_time())
     size = F.size("_v")
     decay = F.lit(1 - alpha)
     weights = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.pow(decay, (size - 1 - k).cast("double")))
@@ -57,7 +59,7 @@ def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
 
 
 def sma(column: str, n: int) -> Column:
-    frame = BY_TIME.rowsBetween(-n + 1, 0)
+    frame = by_time().rowsBetween(-n + 1, 0)
     return F.when(F.count(column).over(frame) >= n, F.avg(column).over(frame))
 
 
@@ -81,7 +83,7 @@ def patterns(bars: DataFrame) -> DataFrame:
     """Candle patterns of bars with body(): a larger body against the last one, a wick of more than 0.6 with
     a body under 0.25, a range inside the last one, a body under a tenth."""
     size, turn = F.abs(F.col("close") - F.col("open")), F.col("body_dir")
-    w = BY_TIME
+    w = by_time()
     was, larger = F.lag(turn).over(w), size > F.lag(size).over(w)
     ranged, small = F.col("high") > F.col("low"), F.col("body_pct") < 0.25
     found = {
@@ -99,7 +101,7 @@ def technical(bars: DataFrame) -> DataFrame:
     """The technical row of every bar: return, place against means, volatility, atr, rsi and body."""
     full = body(rsi(atr(bars)))
     full = full.withColumn("_r", F.col("close") / before("close") - 1)
-    spread = lambda n: F.when(F.count("_r").over(BY_TIME.rowsBetween(-n + 1, 0)) >= n, F.stddev_samp("_r").over(BY_TIME.rowsBetween(-n + 1, 0)))
+    spread = lambda n: F.when(F.count("_r").over(by_time().rowsBetween(-n + 1, 0)) >= n, F.stddev_samp("_r").over(by_time().rowsBetween(-n + 1, 0)))
     return full.withColumns({
         "ret_pct": 100 * F.col("_r"),
         "vs_ma50": F.col("close") / sma("close", 50) - 1,

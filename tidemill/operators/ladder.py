@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 LEVELS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 Z = tuple(NormalDist().inv_cdf(x) for x in LEVELS)
-BY_N = Window.partitionBy("instrument").orderBy("n")
+
+def by_n():
+    return Window.partitionBy("instrument").orderBy("n")
 
 
 def numbered(returns: DataFrame) -> DataFrame:
@@ -46,30 +48,30 @@ def monotone(q: Column) -> Column:
 
 
 def _archive(rows: DataFrame, model: str, mean: Column, q: Column, min_train: int) -> DataFrame:
-    found = rows.select("instrument", F.lit(model).alias("model"), F.col("n").alias("origin"), F.lit(1).alias("step"), (F.col("n") + 1).alias("target"), F.lead("ret").over(BY_N).alias("y"), mean.alias("mean"), q.alias("q"))
+    found = rows.select("instrument", F.lit(model).alias("model"), F.col("n").alias("origin"), F.lit(1).alias("step"), (F.col("n") + 1).alias("target"), F.lead("ret").over(by_n()).alias("y"), mean.alias("mean"), q.alias("q"))
     return found.where((F.col("origin") >= min_train - 1) & F.col("y").isNotNull()).withColumn("q", monotone(F.col("q")))
 
 
 def naive_rung(series: DataFrame, min_train: int = 252, tail: int = 250) -> DataFrame:
     """Mean 0; the last returns' quantiles around their median."""
     levels = F.array(*[F.lit(x) for x in LEVELS])
-    rows = series.withColumn("_q", F.percentile("ret", levels).over(BY_N.rowsBetween(-tail + 1, 0)))
+    rows = series.withColumn("_q", F.percentile("ret", levels).over(by_n().rowsBetween(-tail + 1, 0)))
     return _archive(rows, "naive-rw", F.lit(0.0), F.transform("_q", lambda x: x - F.element_at("_q", 5)), min_train)
 
 
 def ewma_rung(series: DataFrame, min_train: int = 252, lam: float = 0.94) -> DataFrame:
     """The volatility rung: the mean of all returns so far; variance from the unconditional one, moved by
     each squared deviation of the last 300 (earlier ones weigh under 1e-8)."""
-    so_far = BY_N.rowsBetween(Window.unboundedPreceding, 0)
-    rows = series.withColumn("_mu", F.avg("ret").over(so_far)).withColumn("_v", F.var_samp("ret").over(so_far)).withColumn("_last", F.collect_list("ret").over(BY_N.rowsBetween(-299, 0)))
+    so_far = by_n().rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.withColumn("_mu", F.avg("ret").over(so_far)).withColumn("_v", F.var_samp("ret").over(so_far)).withColumn("_last", F.collect_list("ret").over(by_n().rowsBetween(-299, 0)))
     var = F.aggregate("_last", F.col("_v"), lambda v, x: lam * v + (1 - lam) * (x - F.col("_mu")) * (x - F.col("_mu")))
     return _archive(rows.withColumn("_s", F.sqrt(F.greatest(var, F.lit(1e-24)))), "garch", F.col("_mu"), gaussian(F.col("_mu"), F.col("_s")), min_train)
 
 
 def ar_rung(series: DataFrame, min_train: int = 252) -> DataFrame:
     """First-order autoregression from running sums of lag products, with Gaussian quantiles."""
-    so_far = BY_N.rowsBetween(Window.unboundedPreceding, 0)
-    rows = series.withColumn("_x", F.lag("ret").over(BY_N))
+    so_far = by_n().rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.withColumn("_x", F.lag("ret").over(by_n()))
     run = lambda c: F.sum(c).over(so_far)
     pair = F.col("_x").isNotNull()
     rows = rows.withColumns({"_n": run(pair.cast("int")), "_sx": run("_x"), "_sy": run(F.when(pair, F.col("ret"))), "_sxx": run(F.col("_x") * F.col("_x")), "_sxy": run(F.col("_x") * F.col("ret")), "_syy": run(F.when(pair, F.col("ret") * F.col("ret")))})
@@ -89,7 +91,7 @@ KEY = ["instrument", "model", "step"]
 
 def mase(arc: DataFrame, series: DataFrame, min_train: int = 252) -> DataFrame:
     """Mean absolute error over the naive scale: the mean step of the first train window."""
-    step = F.abs(F.col("ret") - F.lag("ret").over(BY_N))
+    step = F.abs(F.col("ret") - F.lag("ret").over(by_n()))
     scale = series.withColumn("_d", step).where(F.col("n") < min_train).groupBy("instrument").agg(F.greatest(F.avg("_d"), F.lit(1e-12)).alias("scale"))
     errors = arc.groupBy(*KEY).agg(F.avg(F.abs(F.col("y") - F.col("mean"))).alias("mae"))
     return errors.join(scale, "instrument").select(*KEY, (F.col("mae") / F.col("scale")).alias("mase"))
