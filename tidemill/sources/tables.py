@@ -59,3 +59,23 @@ def resolve_time(df: DataFrame) -> str:
         if name in df.columns:
             return name
     raise ValueError(f"no time column among {df.columns}")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names; a local one only where it is unset."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def tape_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+    """The tape as a stream over the files of events."""
+    schema = read(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    side = F.when(F.col("event_type") == "click", "B").when(F.col("event_type") == "view", "A").otherwise("N")
+    return rows.select(
+        F.col("event_type").alias("instrument"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"),
+        (F.get_json_object("props", "$.k").cast("long") + 1).alias("size"), side.alias("side"),
+    ).where("price > 0 and size > 0")
