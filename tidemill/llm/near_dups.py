@@ -8,7 +8,8 @@ components.
 
 Nodes are counted before rows meet: a small node is compared exhaustively in one task; a large one
 (copies of one text with edits) first meets a few pivots, and what pivots have joined needs no more
-comparing. Only large nodes whose members are still in different components are compared block by block.
+comparing. Only in large nodes whose members are still in different components, the members outside
+the node's main component are compared with all others, in chunks, on their full sets.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .components import components
 TOKENS = 64
 TREES = 10
 SMALL = 64  # classes of a node that one task compares among themselves
-BLOCK = 1024  # classes of one side of a block, in a node that isn't small
+CHUNK = 1024  # classes of a chunk of a node that isn't small
+NEEDED = 1_000_000  # ids up to which the documents to compare are picked by a broadcast
 PIVOTS = 8
 #: Sketches: the low 4 bits of 64 minwise tokens. At similarity 0.8 a pair differs in 26 bits on average
 #: (deviation 7); pairs up to FAR bits are confirmed on the texts.
@@ -116,7 +118,7 @@ def branch(tokens: np.ndarray, node: np.ndarray, row: np.ndarray, levels: int) -
     return node, row
 
 
-def _paths(levels: int, trees: int):
+def _paths(levels: float, trees: int):
     def run(batches):
         for batch in batches:
             n = batch.num_rows
@@ -127,8 +129,10 @@ def _paths(levels: int, trees: int):
             if "node" in batch.schema.names:
                 node, row = branch(tokens, batch.column("node").to_numpy().view(np.uint64), np.arange(n), levels)
             else:
-                roots = mix64(np.arange(1, trees + 1, dtype=np.uint64))
-                node, row = branch(tokens, np.repeat(roots, n), np.tile(np.arange(n), trees), levels)
+                # The part of a level goes to so many of the trees.
+                roots, deep = mix64(np.arange(1, trees + 1, dtype=np.uint64)), round(trees * (levels % 1))
+                cut = [branch(tokens, np.repeat(r, n), np.tile(np.arange(n), len(r)), int(levels) + more) for r, more in ((roots[:deep], 1), (roots[deep:], 0)) if len(r)]
+                node, row = (np.concatenate(x) for x in zip(*cut))
             for at in range(0, len(node), 1 << 17):
                 r = row[at : at + (1 << 17)]
                 yield pa.RecordBatch.from_arrays([pa.array(node[at : at + (1 << 17)].view(np.int64)), pa.array(ids[r]), *[pa.array(s[r]) for s in sketch]], ["node", "id", *SKETCH])
@@ -184,40 +188,81 @@ def _compare(batches):
         yield found
 
 
-def _blocks(batches):
-    """Pairs over component borders of rows of one block, from rows sorted by (node, i, j)."""
-    held = None
+def _sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    """Each text's sorted shingle hashes."""
+    out = []
+    for p in _parts([part], "text"):
+        keys = shingle_keys(p.column("text"), size)
+        cuts = np.searchsorted(keys, np.arange(p.num_rows + 1, dtype=np.uint64) << np.uint64(52))
+        plain = keys & np.uint64((1 << 52) - 1)
+        out += [plain[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    return out
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets."""
+    both = np.zeros((len(left), len(right)), np.float32)
+    words_, n = np.unique(np.concatenate([*left, *right]), return_counts=True)
+    words_ = words_[n > 1]
+
+    def grid(sets, lo, hi):
+        out = np.zeros((len(sets), hi - lo), np.float32)
+        for k, s in enumerate(sets):
+            at = np.searchsorted(words_, s)
+            at = at[words_[at.clip(max=len(words_) - 1)] == s] if len(words_) else at[:0]
+            out[k, at[(at >= lo) & (at < hi)] - lo] = 1
+        return out
 
-    def pairs(t: pa.RecordBatch):
-        keys = [t.column(c).to_numpy() for c in ("node", "i", "j")]
-        new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-        edge = np.append(np.flatnonzero(new), len(new))
-        ids, label, mine = t.column("id").to_numpy(), t.column("label").to_numpy(), t.column("c").to_numpy()
-        s = [t.column(c).to_numpy().view(np.uint64) for c in SKETCH]
+    for lo in range(0, len(words_), 1 << 13):
+        hi = min(lo + (1 << 13), len(words_))
+        both += grid(left, lo, hi) @ grid(right, lo, hi).T
+    return both
+
+
+def _chunks(size: int, percent: int):
+    """Links over component borders, one for each two components, between the rows outside the node's main
+    component (role 1) and the rows of a chunk (role 0), from rows sorted by (node, chunk)."""
+
+    def links(t: pa.RecordBatch):
+        role, ids, label = (t.column(c).to_numpy() for c in ("role", "id", "label"))
+        sets = _sets(t, size)
+        count = np.array([len(x) for x in sets])
+        ask, data = np.flatnonzero((role == 1) & (count > 0)), np.flatnonzero((role == 0) & (count > 0))
         out = []
-        for lo, hi in zip(edge[:-1], edge[1:]):
-            i, j = keys[1][lo], keys[2][lo]
-            left, right = lo + np.flatnonzero(mine[lo:hi] == i), lo + np.flatnonzero(mine[lo:hi] == j)
-            if not len(left) or not len(right):
-                continue
-            d = sum(np.bitwise_count(x[left][:, None] ^ x[right][None, :]).astype(np.int16) for x in s)
-            l, r = np.nonzero((d <= FAR) & (label[left][:, None] != label[right][None, :]))
-            x, y = ids[left[l]], ids[right[r]]
-            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+        for lo in range(0, len(ask), 256):
+            l = ask[lo : lo + 256]
+            for at in range(0, len(data), 256):
+                r = data[at : at + 256]
+                both = _shared([sets[k] for k in l], [sets[k] for k in r])
+                near = 100 * both >= percent * (count[l][:, None] + count[r][None, :] - both)
+                x, y = np.nonzero(near & (label[l][:, None] != label[r][None, :]))
+                out.append(np.stack([ids[l[x]], ids[r[y]], label[l[x]], label[r[y]]]))
+        found = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+        _, first = np.unique(np.sort(found[2:], axis=0), axis=1, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[0, first], pa.int64()), pa.array(found[1, first], pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-        keys = [t.column(c).to_numpy() for c in ("node", "i", "j")]
-        cut = int(np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))[-1])
-        if cut:
-            yield pairs(t.slice(0, cut))
-        held = t.slice(cut)
-    if held is not None:
-        yield pairs(held)
+    def run(batches):
+        held = None
+        for batch in slices(batches, "text"):
+            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            node, chunk = t.column("node").to_numpy(), t.column("chunk").to_numpy()
+            edge = np.append(np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (chunk[1:] != chunk[:-1])])), len(node))
+            for lo, hi in zip(edge[:-2], edge[1:-1]):
+                yield links(t.slice(lo, hi - lo))
+            held = t.slice(edge[-2])
+        if held is not None and held.num_rows:
+            yield links(held)
+
+    return run
+
+
+def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with the text of their id. Where the ids are few enough, only those documents are shuffled."""
+    ids = rows.select("id").distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    if ids.count() <= NEEDED:
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")  # at most NEEDED ids
+    return rows.join(texts, "id")
 
 
 def _confirm(size: int, percent: int):
@@ -230,18 +275,23 @@ def _confirm(size: int, percent: int):
             a, b, side = (t.column(c).to_numpy() for c in ("a", "b", "side"))
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             pair = np.cumsum(new) - 1
-            sets = [np.zeros(0, np.uint64)] * t.num_rows
-            at = 0
-            for part in _parts([t], "text"):
-                keys = shingle_keys(part.column("text"), size)
-                cuts = np.searchsorted(keys, np.arange(part.num_rows + 1, dtype=np.uint64) << np.uint64(52))
-                plain = keys & np.uint64((1 << 52) - 1)
-                for k in range(part.num_rows):
-                    sets[at + k] = plain[cuts[k] : cuts[k + 1]]
-                at += part.num_rows
+            # The text of a is worked out once for the pairs in a row that share it.
+            texts = t.column("text")
+            again = np.zeros(len(a), bool)
+            again[1:] = (side[1:] == 0) & (a[1:] == a[:-1])
+            sets = _sets(pa.RecordBatch.from_arrays([pc.if_else(pa.array(again), "", texts)], ["text"]), size)
+            known: dict = {}
+            for k in np.flatnonzero(side == 0):
+                if again[k]:
+                    text = texts[k].as_py()
+                    sets[k] = known[text] if text in known else _sets(t.slice(k, 1), size)[0]
+                else:
+                    known = {} if not k or a[k] != a[k - 1] else known
+                    known[texts[k].as_py()] = sets[k]
+            edges = np.append(np.flatnonzero(new), len(a))
             found = np.zeros(pair[-1] + 1, bool)
             for p in range(len(found)):
-                lo, hi = np.searchsorted(pair, [p, p + 1])
+                lo, hi = edges[p], edges[p + 1]
                 for x in range(lo, hi):
                     for y in range(x + 1, hi):
                         if side[x] != side[y] and len(sets[x]) and len(sets[y]):
@@ -267,13 +317,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size
     """The pairs (a, b) of document ids that are similar enough on the full sets of their texts."""
     pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
     sides = pairs.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("id")).union(pairs.select("a", "b", F.lit(1).alias("side"), F.col("b").alias("id")))
-    texts = sides.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("a", "b", "side", "text")
-    return scratch.save(texts.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_confirm(size, percent), "a long, b long"), f"{name}-links")
+    texts = _with_texts(sides, docs).select("a", "b", "side", "text")
+    return scratch.save(texts.repartition("a", F.pmod(F.xxhash64("b"), F.lit(16))).sortWithinPartitions("a", "b", "side").mapInArrow(_confirm(size, percent), "a long, b long"), f"{name}-links")
 
 
-def depth(n: int) -> int:
-    """Levels after which a node holds a few unrelated classes: each level leaves about one in 13."""
-    return max(2, int(np.ceil(np.log(max(n, 2) / 4) / np.log(13))))
+def depth(n: int) -> float:
+    """Levels after which a node holds a few unrelated classes: each level leaves about one in 40."""
+    return max(2.0, np.log(max(n, 2) / 4) / np.log(40))
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, *, shingle: int = 5, percent: int = 80, trees: int = TREES, wide: int = 1 << 14, deeper: int = 6) -> DataFrame:
@@ -313,20 +363,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, shingle: int = 5, perc
     named_pairs = pairs.where("not best").select("a", "b").distinct().join(la, "a", "left").join(lb, "b", "left")
     open_pairs = named_pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     crowd = scratch.save(crowd.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("count"), "crowd-0")
+    more = confirm(open_pairs, docs, scratch, "second", shingle, percent)
     for i in range(deeper + 1):
-        mixed = crowd.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1")
-        mixed = scratch.save(mixed.select("node", "n"), f"mixed-{i}")
+        parts = crowd.groupBy("node", "label").count()
+        mixed = parts.groupBy("node").agg(F.sum("count").alias("n"), F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        mixed = scratch.save(mixed, f"mixed-{i}")
         here = mixed.where(F.col("n") <= wide) if i < deeper else mixed
-        chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-        cut = crowd.join(here, "node").withColumn("k", chunks).withColumn("c", F.pmod(F.xxhash64("id", F.lit(2)), F.col("k")).cast("int"))
-        spread = cut.withColumn("o", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o"))
-        spread = spread.select("node", "i", "j", "c", "id", "label", *SKETCH)
-        open_pairs = open_pairs.union(spread.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(_blocks, "a long, b long"))
+        k = F.ceil(F.col("n") / CHUNK).cast("int")
+        cut = crowd.join(here, "node").withColumn("k", k).select("node", "id", "label", "main", "k")
+        data = cut.select("node", F.pmod(F.xxhash64("id", F.lit(2)), F.col("k")).cast("int").alias("chunk"), "id", "label", F.lit(0).alias("role"))
+        ask = cut.where("label != main").select("node", F.explode(F.expr("sequence(0, k - 1)")).alias("chunk"), "id", "label", F.lit(1).alias("role"))
+        meet = _with_texts(scratch.save(data.union(ask), f"meet-{i}"), docs).repartition("node", "chunk").sortWithinPartitions("node", "chunk")
+        found = meet.select("node", "chunk", "id", "label", "role", "text").mapInArrow(_chunks(shingle, percent), "a long, b long")
+        more = more.union(scratch.save(found, f"meet-links-{i}"))
         if i == deeper or mixed.where(F.col("n") > wide).isEmpty():
             break
         below = crowd.join(mixed.where(F.col("n") > wide), "node").select("node", "id").join(one, "id").mapInArrow(_paths(2, 1), ROW)
         crowd = scratch.save(below.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), f"crowd-{i + 1}")
-    more = confirm(open_pairs, docs, scratch, "second", shingle, percent)
     every = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
     final = components(every, scratch, "final-cc").withColumnRenamed("label", "component_id")
 
