@@ -24,7 +24,7 @@ def con(sf_dir):
 
 def rows(df: pd.DataFrame) -> list:
     df = df[sorted(df.columns)]
-    cells = [[None if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)) else str(x) if isinstance(x, pd.Timestamp) else round(float(x), 5) if isinstance(x, (int, float, np.number)) and not isinstance(x, bool) else str(x) for x in r] for r in df.astype(object).to_numpy().tolist()]
+    cells = [[None if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and np.isnan(x)) else str(x) if isinstance(x, pd.Timestamp) else round(float(x), 5) + 0.0 if isinstance(x, (int, float, np.number)) and not isinstance(x, bool) else str(x) for x in r] for r in df.astype(object).to_numpy().tolist()]
     return sorted(cells, key=str)
 
 

@@ -54,7 +54,7 @@ def book(spark, sf_dir):
     """Resting orders by hour from the tape: sides B and A, prices in steps of 5."""
     orders = tape(spark, sf_dir).where("side in ('A', 'B')")
     near = (F.floor(F.col("price") / 5) * 5).cast("double")
-    return orders.select("instrument", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("snap"), "side", F.when(F.col("side") == "B", -near).otherwise(near).alias("price"), "size").withColumn("instrument", F.lit("book"))
+    return orders.select("instrument", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("snap"), "side", F.when(F.col("side") == "B", 0 - near).otherwise(near).alias("price"), "size").withColumn("instrument", F.lit("book"))
 
 
 def f2_book_levels(spark, sf_dir):
@@ -172,7 +172,7 @@ QUERIES = {f.__name__: f for f in (c3_asof_macro, c4_point_in_time_forecast, c5_
 YIELDS = """mac AS (SELECT o_orderdate AS date, avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') / 1e5 AS us, avg(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW') / 1e5 AS de0 FROM orders GROUP BY 1)"""
 ALIGNED = YIELDS + ", ali AS (SELECT date, us, last_value(de0 IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS de FROM mac WHERE us IS NOT NULL), al AS (SELECT * FROM ali WHERE de IS NOT NULL)"
 VPIN = ", c AS (SELECT *, sum(size) OVER (PARTITION BY instrument ORDER BY ts, seq)::BIGINT AS cum FROM good), x AS (SELECT *, unnest(generate_series((cum - size) // 500, (cum - 1) // 500)) AS bucket FROM c), p AS (SELECT *, least(cum, (bucket + 1) * 500) - greatest(cum - size, bucket * 500) AS part FROM x), b AS (SELECT instrument, bucket, sum(CASE side WHEN 'B' THEN part WHEN 'A' THEN 0 ELSE part / 2 END)::DOUBLE AS buy, sum(part) AS v, max(ts) AS close_ts FROM p GROUP BY instrument, bucket), vb AS (SELECT instrument, bucket, buy, v - buy AS sell, close_ts FROM b WHERE v = 500)"
-BOOK = W + ", o AS (SELECT 'book' AS instrument, date_trunc('hour', ts) AS snap, side, CASE WHEN side = 'B' THEN -floor(price / 5) * 5 ELSE floor(price / 5) * 5 END AS price, size FROM tape WHERE side <> 'N'), s AS (SELECT instrument, snap, side, price, sum(size)::BIGINT AS size FROM o GROUP BY ALL), lv AS (SELECT *, row_number() OVER (PARTITION BY instrument, snap, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END)::INTEGER AS level FROM s QUALIFY level <= 10)"
+BOOK = W + ", o AS (SELECT 'book' AS instrument, date_trunc('hour', ts) AS snap, side, CASE WHEN side = 'B' THEN 0 - floor(price / 5) * 5 ELSE floor(price / 5) * 5 END AS price, size FROM tape WHERE side <> 'N'), s AS (SELECT instrument, snap, side, price, sum(size)::BIGINT AS size FROM o GROUP BY ALL), lv AS (SELECT *, row_number() OVER (PARTITION BY instrument, snap, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END)::INTEGER AS level FROM s QUALIFY level <= 10)"
 DECIDED = (
     "WITH "
     + RETURNS
