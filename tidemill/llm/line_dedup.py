@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, site: str = "source", min_sit
     hit = lines.join(found, "line").groupBy("row_key").agg(F.collect_set("line").alias("_line_hits"))  # a row's own lines
     hit = scratch.save(hit.withColumnRenamed("row_key", "_line_key"), "hits")
     kept = [c for c in docs.columns if c.lower() not in ("line_text", "line_count", "line_removed")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept], _row_key().alias("_line_key")).join(hit, "_line_key", "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in kept], _row_key().alias("_line_key")).join(hit.hint("merge"), "_line_key", "left")
     none = F.array().cast("array<bigint>")
     removed = F.coalesce("_line_hits", none)
     left = F.filter(_lines(), lambda x: ~(_worded(x) & F.array_contains(removed, line_hash(x))))
