@@ -86,3 +86,45 @@ def test_odd_rows(spark, odd, none, items):
     kept = without_leaks(odd, bench)
     assert kept.columns == odd.columns and kept.count() == 11
     assert find_leaks(none, bench).count() == 0 and find_leaks(odd, bench.limit(0)).count() == 0 and without_leaks(odd, bench.limit(0)).count() == 13
+
+
+@pytest.mark.parametrize("m", [10, 15, 40, 100, 200, 400, 1000])
+def test_every_length_is_found_whole(m):
+    """With as many edits as allowed, every passage is found, whatever the item's length."""
+    rng = random.Random(m)
+    rows = [(i, " ".join(f"q{rng.randrange(3000)}" for _ in range(m))) for i in range(20)]
+    docs = [" ".join([f"f{rng.randrange(999)}" for _ in range(30)] + edited(t.split(), edits_allowed(m), rng) + ["end"] * 20) for _, t in rows]
+    block = Items(rows)
+    found = block.search(pa.array(docs))
+    assert {(row, block.item_ids[i][0]) for row, i, _, _ in found} >= {(k, k) for k in range(20)}
+    for row, i, at, edits in found[:3]:
+        words, item = docs[row].split(), rows[block.item_ids[i][0]][1].split()
+        assert distance(item, words[at : at + m + edits_allowed(m)]) == edits <= edits_allowed(m)
+
+
+def test_nearest_window_of_few_words():
+    """Against every start of short texts over four words, where runs repeat."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 25)))) for i in range(40)]
+    docs = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(0, 60))) for _ in range(40)]
+    block = Items(rows, least_words=1)
+    got = {(row, block.item_ids[i][0]): (edits, at) for row, i, at, edits in block.search(pa.array(docs))}
+    firsts = {ids[0]: i for i, ids in enumerate(block.item_ids)}
+    for d, text in enumerate(docs):
+        for item_id, item in rows:
+            if item_id in firsts:
+                w, x = text.split(), item.split()
+                most = edits_allowed(len(x))
+                best = min(((distance(x, w[s : s + len(x) + most]), s) for s in range(len(w))), default=(99, 0))
+                assert got.get((d, item_id)) == (best if best[0] <= most else None)
+
+
+def test_queries_match_short_items_exactly(spark, tmp_path):
+    import corpus_pipeline
+    from tidemill.llm.q_decontaminate import op8_decontamination
+
+    docs = spark.createDataFrame([(1, "so Alpha beta it is"), (2, "alpha gamma beta")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in op8_decontamination(spark, str(tmp_path)).collect()] == [(1, 4, 1, 0)]
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [2]

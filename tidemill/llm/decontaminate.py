@@ -1,14 +1,10 @@
 """Benchmark decontamination by edit distance over words.
 
 A text is contaminated by a benchmark item if some run of its words is within ``max_edits`` word edits
-(a tenth of the item's words) of the whole item. Candidates are found by embedding: a CGK random walk
-reads the words from a window's start and copies the current word at every step, advancing or staying by
-a random bit of the word and the step, so that few edits become few differing steps. Independent walks,
-each with several samples of steps as keys, are looked up in tables of the items' keys; a window that
-shares a key with an item is verified by exact edit distance.
-
-Only windows that can match are embedded: a match of an item of m words with e edits has at least m - e
-words of the benchmark's vocabulary among its m + e words; the same holds for the words that few items share.
+(a tenth of the item's words) of the whole item. Candidates are found exactly: an item of m words with e
+allowed edits is cut into e + 1 pieces, and e edits leave one piece whole, at most e words from its place.
+The pieces' hashes are looked up at every word of a text; around each hit all starts are compared with the
+whole item by exact edit distance. So every match is found, whatever the item's length.
 """
 
 from __future__ import annotations
@@ -18,16 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, slices, words
+from .common import hash_words, slices, words
 
-WALKS = 8
-SAMPLES = 4  # keys of one walk
-STEPS = 8  # sampled steps of a key
-MAX_STEPS = 512
 EDIT_SHARE = 0.1
+FACTOR = 0x9E3779B97F4A7C15  # of the hashes of pieces
 LEAST_WORDS = 5
-RARE_SHARE = 0.02  # a word of more items than this share is common
-GROWTH = 1.2  # item lengths up to this ratio share a class
 MAX_ITEM_WORDS = 2_000_000  # words of one block of items, which every task holds
 
 
@@ -35,17 +26,6 @@ def edits_allowed(n_words: int, share: float = EDIT_SHARE) -> int:
     return int(n_words * share)
 
 
-def walk(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int) -> np.ndarray:
-    """CGK embeddings (steps, walks, windows) of the tokens from starts; 0 beyond the end."""
-    out, at = np.zeros((steps, WALKS, len(starts)), np.uint64), np.repeat(starts[None, :], WALKS, axis=0)
-    seeds = (np.arange(WALKS, dtype=np.uint64) * np.uint64(7919))[:, None]
-    for s in range(steps):
-        now = np.where(at < ends, tokens[np.minimum(at, len(tokens) - 1)], np.uint64(0))
-        out[s] = now
-        at += ((mix64(now + seeds + np.uint64(s * 104729 + 1)) >> np.uint64(17)) & np.uint64(1)).view(np.int64)
-    return out
-
-
 def edit_distance(item: np.ndarray, window: np.ndarray) -> int:
     """Fewest word edits between the item and a beginning of the window."""
     j = np.arange(len(window) + 1)
@@ -56,53 +36,59 @@ def edit_distance(item: np.ndarray, window: np.ndarray) -> int:
     return int(row.min())
 
 
+def start_distances(item: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """For every start in the region, the fewest word edits between the item and a run of words from there."""
+    backwards, j = region[::-1], np.arange(len(region) + 1)
+    row = np.zeros_like(j)  # read from the end, a run may begin anywhere
+    for i, w in enumerate(item[::-1], 1):
+        new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (backwards != w)]))
+        row = np.minimum.accumulate(new - j) + j
+    return row[::-1]
+
+
+def cut(n_words: int, edits: int) -> list[tuple[int, int]]:
+    """(start, length) of edits + 1 pieces of an item, as equal as can be."""
+    n = min(edits + 1, n_words)
+    edge = [k * n_words // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edge, edge[1:])]
+
+
 class Items:
     """A block of benchmark items, ready to be looked up."""
 
-    def __init__(self, rows: list[tuple[int, str]], share: float = EDIT_SHARE, least_words: int = LEAST_WORDS, seed: int = 11):
+    def __init__(self, rows: list[tuple[int, str]], share: float = EDIT_SHARE, least_words: int = LEAST_WORDS):
         starts, ids, distinct = words(pa.array([t for _, t in rows], pa.string()), lower=True)
         tokens = hash_words(distinct)[ids] | np.uint64(1)
         by_text: dict[bytes, list[int]] = {}
         for (item_id, _), a, b in zip(rows, starts[:-1], starts[1:]):
-            if b - a >= least_words:
+            if b - a >= max(1, least_words):
                 by_text.setdefault(tokens[a:b].tobytes(), []).append(item_id)
         texts = sorted(by_text, key=lambda t: (len(t), t))
         self.item_ids, self.items = [by_text[t] for t in texts], [np.frombuffer(t, np.uint64) for t in texts]
         self.edits = [edits_allowed(len(x), share) for x in self.items]
         self.vocabulary = np.unique(np.concatenate(self.items)) if texts else np.zeros(0, np.uint64)
-        per_item = np.concatenate([np.unique(x) for x in self.items]) if texts else self.vocabulary
-        word, n = np.unique(per_item, return_counts=True)
-        self.rare = word[n <= max(1, RARE_SHARE * len(self.items))]
-        self.classes, rng, at = [], np.random.default_rng(seed), 0
-        while at < len(self.items):
-            end = at
-            while end < len(self.items) and len(self.items[end]) <= max(GROWTH * len(self.items[at]), len(self.items[at]) + 2):
-                end += 1
-            lo, hi = len(self.items[at]), len(self.items[end - 1])
-            steps = min(MAX_STEPS, max(4, int(1.6 * lo)))
-            flat = np.concatenate(self.items[at:end])
-            edge = np.cumsum([0, *map(len, self.items[at:end])])
-            tables = []
-            bits = walk(flat, edge[:-1], edge[1:], steps)
-            for w in range(WALKS):
-                for _ in range(SAMPLES):
-                    picked = np.sort(rng.choice(steps, min(STEPS, steps), replace=False))
-                    key = self._key(bits[:, w], picked)
-                    order = np.argsort(key, kind="stable")
-                    tables.append((w, picked, key[order], order + at))
-            self.classes.append({"lo": lo, "hi": hi, "need": lo - self.edits[at], "rare": min(int(np.isin(x, self.rare).sum()) - e for x, e in zip(self.items[at:end], self.edits[at:end])), "span": hi + self.edits[end - 1], "steps": steps, "tables": tables})
-            at = end
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for i, (x, e) in enumerate(zip(self.items, self.edits)):
+            for at, n in cut(len(x), e):
+                pieces.setdefault(n, []).append((self._gram(x[at : at + n]), i, at))
+        self.tables = {}
+        for n in sorted(pieces):
+            key, item, at = (np.array(x, t) for x, t in zip(zip(*pieces[n]), (np.uint64, np.int64, np.int64)))
+            order, bits = np.argsort(key, kind="stable"), int(np.ceil(np.log2(len(key)))) + 6
+            seen = np.zeros(1 << bits, bool)
+            seen[key >> np.uint64(64 - bits)] = True
+            self.tables[n] = (key[order], item[order], at[order], seen, np.uint64(64 - bits))
 
     @staticmethod
-    def _key(bits: np.ndarray, picked: np.ndarray) -> np.ndarray:
-        key = np.zeros(bits.shape[1], np.uint64)
-        with np.errstate(over="ignore"):
-            for p in picked:
-                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + bits[p])
-        return key
+    def _gram(piece: np.ndarray) -> int:
+        h = 0
+        for w in piece:
+            h = (h * FACTOR + int(w)) & 0xFFFFFFFFFFFFFFFF
+        return h
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
-        """(row, item, start word, edits) of every text and item that match; the nearest window counts."""
+        """(row, item, start word, edits) of every text and item that match; the nearest window counts, the
+        first of several as near."""
         if not self.items:
             return []
         starts, ids, distinct = words(texts, lower=True)
@@ -110,34 +96,51 @@ class Items:
             return []
         coded = hash_words(distinct) | np.uint64(1)
         tokens = coded[ids]
-        known, rare = (np.concatenate([[0], np.cumsum(np.isin(coded, v)[ids], dtype=np.int32)]).astype(np.int32) for v in (self.vocabulary, self.rare))
-        count = np.diff(starts)
-        ends = np.repeat(starts[1:], count)
-        position = np.arange(len(tokens))
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        for c in self.classes:
-            stop = np.minimum(position + c["span"], ends)
-            here = np.flatnonzero(rare[stop] - rare[:-1] >= c["rare"])
-            here = here[known[stop[here]] - known[here] >= c["need"]]
-            for lo in range(0, len(here), 1 << 14):
-                self._probe(c, here[lo : lo + (1 << 14)], tokens, starts, ends, found)
-        return [(row, item, at, edits) for (row, item), (edits, at) in sorted(found.items())]
-
-    def _probe(self, c, here, tokens, starts, ends, found) -> None:
-        hits, bits = set(), walk(tokens, here, ends[here], c["steps"])
-        for w, picked, keys, items in c["tables"]:
-            key = self._key(bits[:, w], picked)
-            left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            for k in np.flatnonzero(right > left):
-                hits.update((int(here[k]), int(i)) for i in items[left[k] : right[k]])
-        for p, i in hits:
-            item, most = self.items[i], self.edits[i]
+        known = np.concatenate([[0], np.cumsum(np.isin(coded, self.vocabulary)[ids], dtype=np.int64)])
+        ends = np.repeat(starts[1:], np.diff(starts))
+        near: dict[tuple[int, int], list[int]] = {}
+        gram, done = np.zeros(len(tokens), np.uint64), 0
+        for n, table in self.tables.items():
+            for k in range(done, min(n, len(tokens))):  # one more word for each gram
+                gram = gram[: len(tokens) - k] * np.uint64(FACTOR) + tokens[k:]
+            done = n
+            if n > len(tokens):
+                break
+            here = np.flatnonzero((known[n:] - known[:-n] == n) & (np.arange(n, len(tokens) + 1) <= ends[: len(gram)]))
+            self._meet(table, here, gram, starts, near)
+        out = []
+        for (row, i), places in sorted(near.items()):
+            best = self._nearest(i, np.unique(places), tokens, int(starts[row]), int(starts[row + 1]))
+            if best is not None:
+                out.append((row, i, best[1], best[0]))
+        return out
+
+    @staticmethod
+    def _meet(table, here, gram, starts, near) -> None:
+        """Adds the words at which an item stands if its piece stands where a text has the same words."""
+        keys, items, offsets, seen, shift = table
+        here = here[seen[gram[here] >> shift]]
+        left, right = np.searchsorted(keys, gram[here], "left"), np.searchsorted(keys, gram[here], "right")
+        for k in np.flatnonzero(right > left):
+            p = int(here[k])
             row = int(np.searchsorted(starts, p, "right")) - 1
-            if found.get((row, i), (most + 1, 0))[0] == 0:
+            for x in range(left[k], right[k]):
+                near.setdefault((row, int(items[x])), []).append(p - int(offsets[x]))
+
+    def _nearest(self, i, places, tokens, first, last) -> tuple[int, int] | None:
+        """(edits, start word in the text) of the nearest window of item i with a start near the places."""
+        item, most, best = self.items[i], self.edits[i], None
+        cuts = np.flatnonzero(np.diff(places) > 2 * most) + 1
+        for part in np.split(places, cuts):
+            lo, end = max(first, int(part[0]) - most), min(last, int(part[-1]) + most + len(item) + most)
+            region = tokens[lo:end]
+            if int(np.isin(region, item).sum()) < len(item) - most:
                 continue
-            edits = edit_distance(item, tokens[p : min(p + len(item) + most, ends[p])])
-            if edits <= most:
-                found[row, i] = min(found.get((row, i), (most + 1, 0)), (edits, p - int(starts[row])))
+            edits = start_distances(item, region)[:-1]
+            at = int(np.argmin(edits))
+            if edits[at] <= most and (best is None or edits[at] < best[0]):
+                best = int(edits[at]), lo + at - first
+        return best
 
 
 _ready: dict = {}
@@ -175,7 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """(doc_id, item_id, start_word, edits): every document and item that match, at the nearest window.
 
     Words are runs without ASCII white space, A-Z in lower case. Null and empty texts match nothing, and
-    neither do items of fewer than five words. Rows of one doc_id give rows each; items of equal words
+    neither do items of fewer than least_words words (five); shorter ones that are let in match exactly. Rows of one doc_id give rows each; items of equal words
     give a row for each item_id. Extra columns are not read; empty tables give an empty table.
     """
     out = None
