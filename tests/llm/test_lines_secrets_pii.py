@@ -82,3 +82,11 @@ def test_pii_on_tables(spark, sf_dir, odd, none, scratch):
     got = pii.anonymise(odd, "k", scratch).collect()
     assert len(got) == 13 and all(r.pii_text == r.text and r.pii_count == 0 for r in got)
     assert pii.anonymise(none, "k", scratch).count() == 0
+
+
+def test_prefilter_keeps_all_that_detect_finds(spark, scratch):
+    """Texts whose only entity follows a capitalised or upper-case title that isn't ASCII, or has other digits."""
+    texts = ["Господин Иванов пришёл", "ГОСПОЖА Иванова", "SEÑORA Gomez", "Señor Perez", "Monſieur Petit", "Mıss Gray", "mİss Gray", "Tel. (٢٦٩) ٥٥٥-٣٢٩٦", "x-Господин Белов", "+\U00011F51 \U00011F52\U00011F56\U00011F59 \U00011F55\U00011F55"]
+    assert all(len(pii.detect(t)) == 1 for t in texts)
+    got = pii.anonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k", scratch).collect()
+    assert len(got) == len(texts) and all(r.pii_count == 1 and r.pii_text != r.text for r in got)

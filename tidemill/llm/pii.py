@@ -36,6 +36,8 @@ SURNAMES = {
 }
 
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
+# Python's (?i) takes these letters for s and i; Java's (?iu) need not.
+_TITLE_ANY = _TITLE.replace("s", "[sſ]").replace("i", "[iıİ]")
 PATTERNS = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")),
@@ -44,8 +46,8 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")),
     ("name", re.compile(rf"\b(?i:({_TITLE}))\b\.? +([A-ZÀ-ÞА-Я][\w'-]+)(?: +([A-ZÀ-ÞА-Я][\w'-]+))?")),
 ]
-#: Rows that may have an entity: a digit, an at sign or a title.
-MAYBE = rf"[0-9@]|(?i)(^|[^\p{{L}}])({_TITLE})[. ]"
+#: Rows that may have an entity: a digit (two late Unicode blocks by number), an at sign or a title.
+MAYBE = rf"(?iu)[\p{{Nd}}\x{{11F50}}-\x{{11F59}}\x{{1E4F0}}-\x{{1E4F9}}@]|(^|[^\p{{L}}])({_TITLE_ANY})[. ]"
 
 
 def _luhn(digits: str) -> str:
@@ -53,6 +55,10 @@ def _luhn(digits: str) -> str:
     return str(-total % 10)
 
 
+def _gender(title: str) -> str:
+    return TITLES[title.lower().replace("ſ", "s").replace("ı", "i").replace("i\u0307", "i")]
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(from, to, type, canonical value) of the entities, from left to right, none inside another."""
     found, taken = [], []
@@ -66,7 +72,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             taken.append((lo, hi))
             value = text[lo:hi]
             if kind == "name":
-                canon = f"{TITLES[m.group(1).lower()]}:{value}"
+                canon = f"{_gender(m.group(1))}:{value}"
             elif kind == "email":
                 canon = value.lower()
             elif kind == "ip":
