@@ -90,3 +90,18 @@ def test_prefilter_keeps_all_that_detect_finds(spark, scratch):
     assert all(len(pii.detect(t)) == 1 for t in texts)
     got = pii.anonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k", scratch).collect()
     assert len(got) == len(texts) and all(r.pii_count == 1 and r.pii_text != r.text for r in got)
+
+
+def test_more_entities_than_a_format_has_values(spark, scratch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{a}@{b}{c}.com") for a in letters for b in letters for c in letters[:3]] + [("email", f"_@{a}.de") for a in letters]
+    rows += [("name", f"m:Person{i}") for i in range(4000)] + [("name", f"f:Женщина{i}") for i in range(1000)]
+    rows += [("phone", f"1{i:04d}") for i in range(9990)]
+    got = pii.settle(spark.createDataFrame(rows, "kind string, canon string"), "k", scratch).collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows) == len(got)
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+    for r in got:
+        if r.kind == "email":
+            assert pii.detect(r.surrogate) == [(0, len(r.surrogate), "email", r.surrogate)]
+        elif r.kind == "name":
+            assert pii.detect("Herr " + pii.dress("X", "name", r.surrogate))[0][1] == 5 + len(r.surrogate) - 2

@@ -4,7 +4,8 @@ Entities (e-mail addresses, phone numbers, card numbers, IPv4 addresses, named p
 keyed surrogates of the same type and format: digits and letters are permuted or drawn by a keyed hash,
 names come from lists of the same gender and script. The same entity gets the same surrogate in every
 document. A table of all distinct entities is checked: where two would share a surrogate, or one would
-get another's real value, all but one draw again, until all differ.
+get another's real value, all but one draw again, until all differ; later draws are longer, so that names,
+e-mail addresses and phone numbers don't run out. Card, SSN and IPv4 formats have a fixed number of values.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ SURNAMES = {
     "cyrillic": "Белов Волков Громов Данилов Ершов Жуков Зимин Калинин".split(),
 }
 
+#: Syllables of surnames beyond the lists: consonants, vowels, ending. Ten have over 10 ** 18 values.
+SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou", "n"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу", "нов")}
+MOST_SYLLABLES = 10
+LONGER_PHONE = 12  # the attempt from which phone numbers get further digits
+
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 # Python's (?i) takes these letters for s and i; Java's (?iu) need not.
 _TITLE_ANY = _TITLE.replace("s", "[sſ]").replace("i", "[iıİ]")
@@ -98,6 +104,20 @@ def _permute(digits: str, key: str, kind: str, attempt: int) -> str:
     return a + b
 
 
+def _surname(draw: int, script: str, attempt: int) -> str:
+    """A surname from the list, then two with a hyphen, then one of more and more drawn syllables."""
+    names = SURNAMES[script]
+    draw, first = divmod(draw, len(names))
+    if attempt < 2:
+        return names[first] + (f"-{names[draw % len(names)]}" if attempt else "")
+    consonants, vowels, end = SYLLABLES[script]
+    out = []
+    for _ in range(min(attempt + 1, MOST_SYLLABLES)):
+        draw, k = divmod(draw, len(consonants) * len(vowels))
+        out.append(consonants[k % len(consonants)] + vowels[k // len(consonants)])
+    return "".join(out).capitalize() + end
+
+
 def surrogate(kind: str, canon: str, key: str, attempt: int = 0) -> str:
     """The canonical surrogate: of the same type, length and check digit; the gender and script of a name."""
     if kind == "email":
@@ -107,6 +127,10 @@ def surrogate(kind: str, canon: str, key: str, attempt: int = 0) -> str:
         for c in local:
             seed, k = divmod(seed, 26) if seed > 1 << 20 else (_draw(key, kind, attempt, canon, len(out)), 7)
             out.append(chr(97 + k) if c.isalpha() else str(k % 10) if c.isdigit() else c)
+        longer = _draw(key, "longer", attempt, canon)
+        for _ in range(min(2 * attempt, 24)):
+            longer, k = divmod(longer, 26)
+            out.append(chr(97 + k))
         parts = domain.split(".")
         host = [re.sub(r"\d", lambda m: str(_draw(key, "host", domain, m.start()) % 10), p) for p in parts[:-2]]
         return "".join(out) + "@" + ".".join([*host, "example", "org" if parts[-1] != "org" else "net"])
@@ -124,10 +148,13 @@ def surrogate(kind: str, canon: str, key: str, attempt: int = 0) -> str:
         draw = _draw(key, kind, attempt, canon)
         given = GIVEN[script, gender] if gender in "mf" else GIVEN[script, "m"] + GIVEN[script, "f"]
         words = value.split()
-        last = SURNAMES[script][draw % len(SURNAMES[script])] + ("" if attempt < 8 else "-" + SURNAMES[script][(draw >> 40) % len(SURNAMES[script])])
+        last = _surname(draw, script, attempt)
         if script == "cyrillic" and gender == "f":
             last += "а"
         return f"{gender}:" + (f"{given[(draw >> 20) % len(given)]} {last}" if len(words) > 1 else last)
+    if kind == "phone" and attempt >= LONGER_PHONE:  # so many numbers of this length that it has too few values
+        more = min(attempt - LONGER_PHONE + 1, 12)
+        return surrogate(kind, canon, key) + str(_draw(key, "longer", attempt, canon) % 10**more).zfill(more)
     if kind == "phone" and len(canon) > 7:
         return canon[:-7] + _permute(canon[-7:], key, kind + canon[:-7], attempt) if len(canon) < 10 else canon[:-10] + _permute(canon[-10:], key, kind + canon[:-10], attempt)
     return _permute(canon, key, kind, attempt)
@@ -143,7 +170,7 @@ def dress(value: str, kind: str, new: str) -> str:
     if kind == "ip":
         return new
     digits = iter(new)
-    return "".join(next(digits) if c.isdigit() else c for c in value)
+    return "".join([next(digits) if c.isdigit() else c for c in value] + [*digits])
 
 
 def replace(text: str | None, key: str, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str | None, int]:
@@ -190,7 +217,7 @@ def settle(entities: DataFrame, key: str, scratch: Scratch, rounds: int = 40) ->
         redo = table.join(again, ["kind", "canon"]).select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
         kept = table.join(again, ["kind", "canon"], "left_anti")
         table = scratch.save(kept.unionByName(redo.withColumn("surrogate", draw("kind", "canon", "attempt"))), f"surrogates-{i}")
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds: give longer name lists")
+    raise RuntimeError(f"surrogates still collide after {rounds} rounds: a format of fixed length has nearly all its values in use")
 
 
 def anonymise(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
