@@ -105,3 +105,29 @@ def test_more_entities_than_a_format_has_values(spark, scratch):
             assert pii.detect(r.surrogate) == [(0, len(r.surrogate), "email", r.surrogate)]
         elif r.kind == "name":
             assert pii.detect("Herr " + pii.dress("X", "name", r.surrogate))[0][1] == 5 + len(r.surrogate) - 2
+
+
+def test_mentions_of_one_person(spark, scratch):
+    texts = [
+        "Mr. John Smith came. Mr. Smith left, said Smith's wife; JOHN SMITH and John Smith too.",
+        "Dr. Anna Weber wrote. Frau Anna Weber sent it; later Anna Weber and Weber signed.",
+        "Dr. Anna Weber again",
+        "Госпожа Анна Иванова и Dr. Иванова, потом Анна Иванова.",
+    ]
+    assert [len(pii.detect(t)) for t in texts] == [5, 4, 1, 3]
+    got = [r.pii_text for r in pii.anonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k", scratch).orderBy("doc_id").collect()]
+    assert not any(w in t for t in got for w in ("Smith", "SMITH", "Weber", "Иванова"))
+    _, first, last = got[0].split(" came")[0].split()
+    assert got[0] == f"Mr. {first} {last} came. Mr. {last} left, said {last}'s wife; {first.upper()} {last.upper()} and {first} {last} too."
+    first, last = got[1].split(" wrote")[0].split()[1:]
+    assert got[1] == f"Dr. {first} {last} wrote. Frau {first} {last} sent it; later {first} {last} and {last} signed."
+    assert first in pii.GIVEN["latin", "f"] and got[2].split()[2] == last
+    first, last = got[3].split(" и ")[0].split()[1:]
+    assert got[3] == f"Госпожа {first} {last} и Dr. {last}, потом {first} {last}." and last.endswith("а")
+
+
+def test_written_forms_differ(spark, scratch):
+    """The title's gender isn't written: surrogates differ without it."""
+    texts = [f"{t} {g}{k} Same" for t in ("Herr", "Dr.", "Frau") for g in ("Kim", "Jo", "Al") for k in range(30)]
+    got = pii.anonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k", scratch).collect()
+    assert len({r.pii_text.split(maxsplit=1)[1] for r in got}) == len(texts)

@@ -3,7 +3,7 @@
 Entities (e-mail addresses, phone numbers, card numbers, IPv4 addresses, named persons) are replaced by
 keyed surrogates of the same type and format: digits and letters are permuted or drawn by a keyed hash,
 names come from lists of the same gender and script. The same entity gets the same surrogate in every
-document. A table of all distinct entities is checked: where two would share a surrogate, or one would
+document; short and full mentions of a name share its surname's surrogate. A table of all distinct entities is checked: where two would share a surrogate, or one would
 get another's real value, all but one draw again, until all differ; later draws are longer, so that names,
 e-mail addresses and phone numbers don't run out. Card, SSN and IPv4 formats have a fixed number of values.
 """
@@ -43,6 +43,7 @@ LONGER_PHONE = 12  # the attempt from which phone numbers get further digits
 
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 # Python's (?i) takes these letters for s and i; Java's (?iu) need not.
+_NEXT = re.compile(r" +([A-ZÀ-ÞА-ЯЁ][\w'-]+)")
 _TITLE_ANY = _TITLE.replace("s", "[sſ]").replace("i", "[iıİ]")
 PATTERNS = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
@@ -66,16 +67,23 @@ def _gender(title: str) -> str:
 
 
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(from, to, type, canonical value) of the entities, from left to right, none inside another."""
-    found, taken = [], []
+    """(from, to, type, canonical value) of the entities, from left to right, none inside another.
+
+    A name found after a title is found without one as well, in full or by its surname, anywhere in the text.
+    Mentions of a full name whose title tells no gender have the gender that another mention's title tells.
+    """
+    text, found = text or "", []
+    taken = bytearray(len(text))
     for kind, pattern in PATTERNS:
-        for m in pattern.finditer(text or ""):
+        for m in pattern.finditer(text):
             lo, hi = (m.start(2), m.end(3) if m.group(3) else m.end(2)) if kind == "name" else m.span()
-            if any(a < hi and lo < b for a, b in taken):
+            if kind == "name" and text[hi - 2 : hi] in ("'s", "'S") and hi - 2 > lo:
+                hi -= 2
+            if any(taken[lo:hi]):
                 continue
             if kind == "card" and _luhn((digits := re.sub(r"\D", "", text[lo:hi]))[:-1]) != digits[-1]:
                 continue  # a number like another
-            taken.append((lo, hi))
+            taken[lo:hi] = b"\1" * (hi - lo)
             value = text[lo:hi]
             if kind == "name":
                 canon = f"{_gender(m.group(1))}:{value}"
@@ -86,9 +94,50 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             else:
                 canon = re.sub(r"\D", "", value)
             found.append((lo, hi, kind, canon))
+    names = [c for _, _, k, c in found if k == "name"]
+    if names:
+        found = _bare(text, found, names, taken)
     return sorted(found)
 
 
+def _bare(text: str, found: list, names: list[str], taken: bytearray) -> list:
+    """found with the mentions of the names without a title, and one gender for each full name if titles agree."""
+    genders: dict[tuple, set] = {}
+    for canon in names:
+        genders.setdefault(_words(canon), set()).add(canon[0])
+    told = {words: g.pop() if len(g := known - {"n"}) == 1 else "n" for words, known in genders.items()}
+    one = lambda canon: f"{told[_words(canon)]}{canon[1:]}" if canon[0] == "n" else canon
+    found = [(lo, hi, kind, one(canon) if kind == "name" else canon) for lo, hi, kind, canon in found]
+    wanted = set(told) | {words[-1:] for words in told}
+    for m in re.finditer(r"[A-ZÀ-ÞА-ЯЁ][\w'-]+", text):  # words, looked up: linear whatever the number of names
+        first = m.group().removesuffix("'s").removesuffix("'S")
+        after = _NEXT.match(text, m.end())
+        second = after.group(1).removesuffix("'s").removesuffix("'S") if after else ""
+        for words, hi in (((first, second), after and after.start(1) + len(second)), ((first,), m.start() + len(first))):
+            words = tuple(w.lower() for w in words)
+            if second and len(words) == 2 or len(words) == 1:
+                start = m.start()
+                if words in wanted and not any(taken[start:hi]) and (not start or not re.match(r"\w", text[start - 1])):
+                    taken[start:hi] = b"\1" * (hi - start)
+                    found.append((start, hi, "name", f"{told.get(words, 'n')}:{text[start:hi]}"))
+                    break
+    return found
+
+
+def _words(canon: str) -> tuple[str, ...]:
+    """The words of a name in lower case."""
+    return tuple(canon[2:].lower().split())
+
+
+def parts(kind: str, canon: str) -> list[tuple[str, str]]:
+    """(kind, canonical value) of what is drawn for an entity: of a name its surname, alike in short and full
+    mentions, and its given name as one with the surname."""
+    if kind != "name":
+        return [(kind, canon)]
+    words = _words(canon)
+    return [("surname", words[-1])] + ([("given", f"{canon[0]}:{' '.join(words)}")] if len(words) > 1 else [])
+
+
 def _draw(key: str, *parts) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode(), key=key.encode()[:64], digest_size=16).digest(), "big")
 
@@ -131,9 +180,9 @@ def surrogate(kind: str, canon: str, key: str, attempt: int = 0) -> str:
         for _ in range(min(2 * attempt, 24)):
             longer, k = divmod(longer, 26)
             out.append(chr(97 + k))
-        parts = domain.split(".")
-        host = [re.sub(r"\d", lambda m: str(_draw(key, "host", domain, m.start()) % 10), p) for p in parts[:-2]]
-        return "".join(out) + "@" + ".".join([*host, "example", "org" if parts[-1] != "org" else "net"])
+        labels = domain.split(".")
+        host = [re.sub(r"\d", lambda m: str(_draw(key, "host", domain, m.start()) % 10), p) for p in labels[:-2]]
+        return "".join(out) + "@" + ".".join([*host, "example", "org" if labels[-1] != "org" else "net"])
     if kind == "ip":
         a, b = (int.from_bytes(bytes(map(int, canon.split(".")[k : k + 2])), "big") for k in (0, 2))
         for r in range(8):
@@ -142,16 +191,20 @@ def surrogate(kind: str, canon: str, key: str, attempt: int = 0) -> str:
     if kind == "card":
         body = canon[0] + _permute(canon[1:-1], key, kind, attempt)
         return body + _luhn(body)
+    script = "cyrillic" if re.search("[А-яЁё]", canon) else "latin"
+    if kind == "surname":
+        return _surname(_draw(key, kind, attempt, canon), script, attempt)
+    if kind == "given":  # with the surname as it was: names of one surname must differ
+        gender, words = canon[0], _words(canon)
+        draw, k = divmod(_draw(key, kind, attempt, canon), 2)
+        given = GIVEN[script, gender if gender in "mf" else "mf"[k]]
+        new = given[draw % len(given)]
+        if attempt >= 2:
+            new += "-" + _surname(draw >> 20, script, attempt).removesuffix(SYLLABLES[script][2])
+        return f"{gender}:{new} {words[-1]}"
     if kind == "name":
-        gender, _, value = canon.partition(":")
-        script = "cyrillic" if re.search("[А-яЁё]", value) else "latin"
-        draw = _draw(key, kind, attempt, canon)
-        given = GIVEN[script, gender] if gender in "mf" else GIVEN[script, "m"] + GIVEN[script, "f"]
-        words = value.split()
-        last = _surname(draw, script, attempt)
-        if script == "cyrillic" and gender == "f":
-            last += "а"
-        return f"{gender}:" + (f"{given[(draw >> 20) % len(given)]} {last}" if len(words) > 1 else last)
+        drawn = [surrogate(k, c, key, attempt) for k, c in parts(kind, canon)]
+        return compose(canon, *drawn)
     if kind == "phone" and attempt >= LONGER_PHONE:  # so many numbers of this length that it has too few values
         more = min(attempt - LONGER_PHONE + 1, 12)
         return surrogate(kind, canon, key) + str(_draw(key, "longer", attempt, canon) % 10**more).zfill(more)
@@ -160,6 +213,13 @@ def surrogate(kind: str, canon: str, key: str, attempt: int = 0) -> str:
     return _permute(canon, key, kind, attempt)
 
 
+def compose(canon: str, surname: str, given: str | None = None) -> str:
+    """The surrogate of a name from those of its parts."""
+    feminine = canon[0] == "f" or canon[0] == "n" and canon.lower()[-1] in "ая"
+    last = surname + ("а" if feminine and re.search("[А-яЁё]", surname) else "")
+    return f"{canon[0]}:" + (f"{given[2:].split()[0]} {last}" if given else last)
+
+
 def dress(value: str, kind: str, new: str) -> str:
     """The surrogate in the format of the value: its separators, its letter case."""
     if kind == "name":
@@ -178,9 +238,10 @@ def replace(text: str | None, key: str, attempts: dict[tuple[str, str], int] | N
     spans = detect(text)
     if not spans:
         return text, 0
-    out, at = [], 0
+    out, at, attempts = [], 0, attempts or {}
     for lo, hi, kind, canon in spans:
-        out += [text[at:lo], dress(text[lo:hi], kind, surrogate(kind, canon, key, (attempts or {}).get((kind, canon), 0)))]
+        drawn = [surrogate(k, c, key, attempts.get((k, c), 0)) for k, c in parts(kind, canon)]
+        out += [text[at:lo], dress(text[lo:hi], kind, compose(canon, *drawn) if kind == "name" else drawn[0])]
         at = hi
     return "".join([*out, text[at:]]), len(spans)
 
@@ -188,7 +249,7 @@ def replace(text: str | None, key: str, attempts: dict[tuple[str, str], int] | N
 def _entities(text):
     @F.pandas_udf("array<struct<kind: string, canon: string>>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"kind": k, "canon": c} for k, c in sorted({(k, c) for _, _, k, c in detect(t)})])
+        return texts.map(lambda t: [{"kind": k, "canon": c} for k, c in sorted({p for _, _, k, c in detect(t) for p in parts(k, c)})])
 
     return run(text)
 
@@ -201,16 +262,24 @@ def _surrogates(key: str):
     return run
 
 
+def _written(value):
+    """How a surrogate or an entity looks in a text: a name without its gender and in lower case, and of a
+    Cyrillic surname the form without the feminine ending."""
+    name = F.lower(F.regexp_replace(value, "^[mfn]:", ""))
+    return F.when(F.col("kind") == "surname", F.regexp_replace(name, "а$", "")).when(F.col("kind").isin("name", "given"), name).otherwise(value)
+
+
 def settle(entities: DataFrame, key: str, scratch: Scratch, rounds: int = 40) -> DataFrame:
-    """(kind, canon, attempt, surrogate) of all distinct entities (kind, canon), with all surrogates of a kind
-    different from one another and from the entities themselves."""
+    """(kind, canon, attempt, surrogate) of all distinct entities or parts (kind, canon), with all surrogates of a
+    kind, as written, different from one another and from the entities themselves."""
     draw = _surrogates(key)
     table = scratch.save(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", draw("kind", "canon", F.lit(0))), "surrogates-0")
     for i in range(1, rounds + 1):
-        owners = table.groupBy("kind", "surrogate").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = table.join(owners, ["kind", "surrogate"]).where("canon != owner").select("kind", "canon")
-        real = table.select("kind", F.col("canon").alias("surrogate"))
-        taken = table.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canon")
+        written = table.withColumn("form", _written(F.col("surrogate")))
+        owners = written.groupBy("kind", "form").agg(F.min("canon").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        shared = written.join(owners, ["kind", "form"]).where("canon != owner").select("kind", "canon")
+        real = table.select("kind", _written(F.col("canon")).alias("form")).distinct()
+        taken = written.join(real, ["kind", "form"], "left_semi").select("kind", "canon")
         again = scratch.save(shared.union(taken).distinct(), f"again-{i}")
         if again.isEmpty():
             return table
