@@ -6,7 +6,7 @@ from tidemill.llm.line_dedup import boilerplate, dedup_lines, lines_of
 from tidemill.llm.q_line_dedup import SQL, op3_line_dedup
 from tidemill.llm.q_pii import op2_pii_surrogates
 from tidemill.llm.q_secrets import op5_secret_scan
-from tidemill.llm.secrets import scan
+from tidemill.llm.secrets import BESIDE, candidates, scan
 
 
 def test_lines_match_sql(spark, sf_dir):
@@ -131,3 +131,18 @@ def test_written_forms_differ(spark, scratch):
     texts = [f"{t} {g}{k} Same" for t in ("Herr", "Dr.", "Frau") for g in ("Kim", "Jo", "Al") for k in range(30)]
     got = pii.anonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k", scratch).collect()
     assert len({r.pii_text.split(maxsplit=1)[1] for r in got}) == len(texts)
+
+
+def test_every_place_of_a_secret(spark, scratch):
+    key = "a0f1b61fedef2798093a39309a7b84b6"
+    texts = [f"sha256 {key} of it. Later token = {key} and 😀 xx{key}: {key}", f"{key}", f"{key} {key}", "pwd: 'hunter2x' and PASSWORD=Tr0ub4dor&3 end", "no candidate", "", " ".join(f"pwd:{i:06d}x" for i in range(50)), None]
+    got = candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert texts[r.doc_id][r.start : r.start + len(r.value)] == r.value
+        assert r.before == texts[r.doc_id][max(0, r.start - BESIDE) : r.start] and r.after == texts[r.doc_id][r.start + len(r.value) :][:BESIDE]
+    count = {k: sum(r.doc_id == k for r in got) for k in range(len(texts))}
+    assert count == {0: 4, 1: 1, 2: 2, 3: 2, 4: 0, 5: 0, 6: 50, 7: 0}
+    assert {r.value for r in got if r.doc_id == 3} == {"hunter2x", "Tr0ub4dor&3"}
+    rows = [(i, f"sha256 {i:04d}{key} is the checksum of the file that was sent to the others here. Later we set token = {i:04d}{key} again; pwd=short{i:03d}") for i in range(80)]
+    scored = scan(spark.createDataFrame(rows, "doc_id long, text string"), scratch).toPandas()
+    assert len(scored) == 240 and scored[scored.start > 50].secret.all() and not scored[scored.start < 50].secret.any()

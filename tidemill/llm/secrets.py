@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives (DataFrame functions only).
 
-Candidates are runs of 16 or more key characters. Each gets features: its length and kinds of
+Candidates are runs of 16 or more key characters, and shorter values (of six characters at least) assigned
+to a name that speaks for a secret. Every place of a candidate is scored by itself. Each gets features: its length and kinds of
 characters, transitions between kinds, the part of its letters that a dictionary of the corpus covers,
 whether it stands in a path, and the words beside it. A random forest trained from labelled findings
 tells secrets from long words, numbers and hashes.
@@ -16,12 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])"
+LONG = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}(?![A-Za-z0-9_+/=-])"
 BESIDE = 40  # characters of text kept on each side
 
 # Words beside a candidate that speak for a secret, and for something else.
 SECRET_WORDS = r"(?i)(passw(or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
 OTHER_WORDS = r"(?i)(sha1|sha256|md5|checksum|commit|digest|uuid|guid|isbn|example|placeholder|dummy|version|integrity)"
+# A value of at least six characters assigned to such a name; the first looks back are the cheap ones.
+ASSIGNED = r"(?<=[=:\s\"'])(?<=[=:]\s{0,3}[\"']?)(?<=(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'`<>,;(){}\[\]]{6,}"
+CANDIDATE = f"{LONG}|{ASSIGNED}"
 # Prefixes that issuers give their keys.
 KNOWN_PREFIX = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk_live_|sk_test_|xox[abprs]-|AIza|eyJ)"
 
@@ -39,17 +43,25 @@ def dictionary(docs: DataFrame, most: int = 5000, least_docs: int = 5) -> list[s
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, value, before, after, start) of each document's distinct candidates, at their first place."""
+    """(doc_id, value, before, after, start) of every place of a candidate, each with its own context.
+
+    The texts between the candidates and the candidates take turns in one array; a place is the sum of the
+    lengths before it.
+    """
     text = F.coalesce("text", F.lit(""))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    rows = docs.select("doc_id", text.alias("text"), F.explode(found).alias("value"))
-    at = F.expr("locate(value, text)")
-    return rows.select(
-        "doc_id", "value",
-        F.expr(f"substring(text, greatest(1, locate(value, text) - {BESIDE}), least({BESIDE}, locate(value, text) - 1))").alias("before"),
-        F.expr(f"substring(text, locate(value, text) + length(value), {BESIDE})").alias("after"),
-        (at - 1).cast("long").alias("start"),
-    )
+    found = docs.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("_values")).where("size(_values) > 0")
+    found = found.select("doc_id", "_values", F.split("text", CANDIDATE, -1).alias("_gaps"))
+    turns = found.select("doc_id", F.expr("flatten(transform(_gaps, (g, i) -> if(i < size(_values), array(g, _values[i]), array(g))))").alias("_turns"))
+    lengths = F.expr("transform(_turns, t -> cast(length(t) as bigint))")
+    starts = F.expr("aggregate(_lengths, struct(0L as at, array(0L) as ats), (a, n) -> struct(a.at + n as at, concat(a.ats, array(a.at + n)) as ats), a -> a.ats)")
+    placed = turns.withColumn("_lengths", lengths).withColumn("_starts", starts)
+    near = 2 * BESIDE // 6 + 1  # turns that BESIDE characters can reach over: a value has six and a gap one at least
+    each = placed.select("doc_id", F.explode(F.expr(f"""transform(sequence(1, size(_turns) - 2, 2), i -> struct(
+        _turns[i] as value,
+        right(array_join(slice(_turns, greatest(1, i - {near} + 1), least(i, {near})), ''), {BESIDE}) as before,
+        left(array_join(slice(_turns, i + 2, {near}), ''), {BESIDE}) as after,
+        _starts[i] as start))""")).alias("c"))
+    return each.select("doc_id", "c.*")
 
 
 def features(found: DataFrame, words: list[str]) -> DataFrame:
@@ -102,7 +114,7 @@ def train(labelled: DataFrame, words: list[str], *, max_rows: int = 20_000, tree
 
 
 def scan(docs: DataFrame, scratch: Scratch, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, value, start, score, secret) of every candidate; secret: score >= threshold.
+    """(doc_id, value, start, score, secret) of every place of a candidate; secret: score >= threshold.
 
     labelled: reviewed findings (value, before, after, label); by default findings labelled by rule.
     docs needs doc_id and text; other columns are not read. Null and empty texts have no candidates; rows
