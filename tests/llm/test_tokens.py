@@ -58,3 +58,25 @@ def test_unknown_key_and_empty(spark, odd, none, scratch):
     assert find(spark.createDataFrame([(99,), (None,)], "doc_id long"), scratch.path("a")).count() == 0
     write_tokens(none, scratch.path("b"), PATH)
     assert read_back(none.select("doc_id"), scratch.path("b")).count() == 0
+
+
+def test_encoder_on_mixed_pieces():
+    bits = ["a", "the", "Thon", "é", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\r\n", "'s", "'", "don't", ".", ",", "...", "(x)", "3.14", "Привет", "日本", " ", "\x85", "😀", "<|endoftext|>", "_", "É.", "à-", "ß", "µ"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "\n", ""]) for _ in range(rng.integers(0, 14))) for _ in range(2000)]
+    ids, n = Encoder(PATH, 2).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == whole(texts)
+
+
+def test_one_id_over_many_blocks_and_large_ids(spark, scratch):
+    rows = [(i, f"text number {k}") for i in (None, 5, 2**60 + 1) for k in range(60)] + [(2**60 + 2, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)  # a block closes after a batch
+    write_tokens(docs, scratch.path("out"), PATH, block_tokens=1)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in read_back(docs, scratch.path("out")).collect())
+    assert len(got) == len(rows) and sum(n for *_, n in got) == sum(len(x) for x in whole([t for _, t in rows]))
+    assert all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:])) and [i for _, i, _ in got] == [i for i, _ in rows]
+    assert spark.read.parquet(scratch.path("out/starts")).count() > 20
+    some = read_back(spark.createDataFrame([(5,)], "doc_id long"), scratch.path("out")).collect()
+    assert sum(r.doc_id == 5 for r in some) == 60

@@ -2,21 +2,22 @@
 
 The format is a folder with three Parquet tables:
 
-- ``payload``: one row per block of about a million ids, in ascending doc_id order: (part, seq, n_tokens,
-  keys, lengths, ids). ids are raw little-endian unsigned integers of 2 bytes (4 if the vocabulary
-  needs them), the documents one after another, each closed by the end id.
-- ``starts``: one row per block: (part, seq, block_start, first_ordinal), its place in the whole stream.
+- ``payload``: one row per block of about a million ids, in ascending doc_id order: (part, seq, width,
+  n_tokens, keys, lengths, ids). ids are raw little-endian unsigned integers of width bytes: 2, or 4 if the
+  vocabulary needs them; the documents one after another, each closed by the end id.
+- ``starts``: one row per block: its place in the whole stream, block_start, its sizes and its first and last key.
 - ``index``: one row per index shard: a minimal perfect hash of the shard's keys (levels of bits; a key
   sits in the first level where it is alone) and, by slot, a stored fingerprint and the key's place.
 
 A lookup hashes the key to a shard, takes the slot by rank in the bits, compares the fingerprint and
-reads one slice of one block: constant time, whatever the size of the corpus.
+reads one slice of one block, whose stored keys settle the rare equal fingerprint: constant time, whatever
+the size of the corpus.
 """
 
 from __future__ import annotations
 
-import re
-import struct
+import json
+import os
 import zlib
 
 import numpy as np
@@ -31,12 +32,14 @@ from .common import mix64, slices
 
 BLOCK_TOKENS = 1 << 20
 SHARD_KEYS = 1 << 14
-CACHE_CHUNKS = 500_000
-#: White space of the pre-tokeniser; a text where it stands beside a space is encoded in one go.
-WHITE = r"\x1c-\x1f\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-BESIDE_SPACE = f" [{WHITE}]|[{WHITE}] "
-
-LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+CACHE_WORDS = 500_000
+#: White space of the pre-tokeniser, without space and line feed. A text is encoded in one go where white space
+#: stands beside other white space, but for two line feeds between other characters, which are two pieces.
+WHITE = r"\x1c-\x1f\t\x0b\x0c\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHOLE = rf" [{WHITE} \n]|[{WHITE}\n] |\n[{WHITE}]|[{WHITE}]\n|\n\n\n|\n\n\z"
+#: A piece that is one run of Latin letters, after a space or a line feed, and one run of ASCII marks.
+PLAIN = r"^(?P<word>\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+JOINED = 256  # words that the library takes as one string
 
 
 def _byte_letters() -> dict[int, str]:
@@ -46,19 +49,35 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
+SPACE, FEED = BYTE_LETTERS[32], BYTE_LETTERS[10]
+WORD_LETTERS = BYTE_LETTERS | {32: " "}  # words stand apart by plain spaces
 
 _tokenizers: dict = {}
 
 
 class Encoder:
-    """Ids of whole texts. A byte-level pre-tokeniser always cuts before a single space between other
-    characters, so texts are cut there and each distinct piece is encoded once a batch."""
+    """Ids of whole texts. A byte-level pre-tokeniser always cuts before a single space and around a single
+    line feed between other characters, and between letters and marks; so texts are cut there and each
+    distinct piece is encoded once a batch. Texts that hold an added token are encoded as they are, and so
+    are all texts with any other pre-tokeniser or a normaliser."""
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end_id, self.cache = Tokenizer.from_file(path), end_id, {}
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        spec, vocabulary = json.loads(self.tokenizer.to_str()), self.tokenizer.get_vocab()
+        pre, self.added = spec["pre_tokenizer"] or {}, [a["content"] for a in spec["added_tokens"]]
+        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and not (spec["normalizer"] or spec["truncation"] or spec["padding"])
+        self.cuts = self.cuts and {SPACE, FEED} <= vocabulary.keys()
+        self.dtype = np.dtype("<u2" if max([end_id, *vocabulary.values()]) < 1 << 16 else "<u4")
+        if self.cuts:
+            self.space, self.feed = (np.array([vocabulary[t]], self.dtype) for t in (SPACE, FEED))
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+            # A run of letters is one piece of the pre-tokeniser: only the model is left to apply.
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     @classmethod
     def of(cls, path: str, end_id: int) -> Encoder:
@@ -66,54 +85,81 @@ class Encoder:
             _tokenizers[path, end_id] = cls(path, end_id)
         return _tokenizers[path, end_id]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. One run of Latin letters is one piece of the pre-tokeniser: the library's
-        model takes it as it is, in byte-level letters."""
-        model, out = self.tokenizer.model, [b""] * len(texts)
-        rest = []
-        for i, t in enumerate(texts):
-            if LETTERS.fullmatch(t):
-                ids = [x.id for x in model.tokenize(t.encode().decode("latin-1").translate(BYTE_LETTERS))]
-                out[i] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return out
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of runs of letters; those that don't open with a line feed have a space before them."""
         cache = self.cache
-        if len(cache) > CACHE_CHUNKS:
+        if len(cache) > CACHE_WORDS:
             cache.clear()
-        if new := [p for p in pieces if p not in cache]:
-            cache.update(zip(new, self._ids(new)))
-        return [cache[p] for p in pieces]
+        new = [w for w in words if w not in cache]
+        spaced, fed = [w for w in new if w[0] != "\n"], [w for w in new if w[0] == "\n"]
+        for some, before, after in ((spaced, SPACE, ""), (fed, "", " " + SPACE)):
+            for k in range(0, len(some), JOINED):
+                group = some[k : k + JOINED]
+                letters = " ".join([w.strip("\n") for w in group]).encode().decode("latin-1").translate(WORD_LETTERS)
+                ids = np.array(self.model.encode_batch_fast([before + letters.replace(" ", after + " " + before) + after], add_special_tokens=False)[0].ids, self.dtype)
+                raw, size = ids.tobytes(), ids.itemsize
+                if before:  # each word's first id holds its space
+                    edges = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * size).tolist()
+                    cache.update(zip(group, [raw[a:b] for a, b in zip(edges, edges[1:])], strict=True))
+                else:  # a lone space ends each word
+                    edges, feed = (np.flatnonzero(ids == self.space) * size).tolist(), self.feed.tobytes()
+                    cache.update(zip(group, [feed + raw[a:b] for a, b in zip([0, *[e + size for e in edges]], edges)], strict=True))
+        return [cache[w] for w in words]
+
+    def _later(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces that don't begin a text."""
+        found = pc.extract_regex(pieces, PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        word, marks = (pc.struct_field(found, k).filter(pa.array(plain)).dictionary_encode() for k in (0, 1))
+        ids = pa.array(self._words(_strings(word.dictionary)), pa.large_binary()).take(word.indices)
+        tails = pa.array(self._texts(_strings(marks.dictionary)), pa.large_binary()).take(marks.indices)
+        others = self._texts([p if p[:1] == "\n" else " " + p for p in _strings(pieces.filter(pa.array(~plain)))])
+        pool = pa.concat_arrays([pc.binary_join_element_wise(ids, tails, pa.scalar(b"", pa.large_binary())), pa.array(others, pa.large_binary())])
+        place = np.empty(len(pieces), np.int64)
+        place[plain], place[~plain] = np.arange(len(ids)), len(ids) + np.arange(len(others))
+        return pool.take(pa.array(place))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (4 bytes each) and each text's number of ids, the end id included."""
-        texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, BESIDE_SPACE).to_numpy(zero_copy_only=False)
-        lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        """All ids in the encoder's width and each text's number of ids, the end id included."""
+        texts, n = pc.fill_null(texts, ""), len(texts)
+        whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False) if self.cuts else np.ones(n, bool)
+        for token in self.added:
+            whole = whole | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        cut = pc.if_else(pa.array(whole), "", texts)
+        lists = pc.split_pattern(pc.replace_substring(cut, "\n", " \n"), " ")
         starts = lists.offsets.to_numpy().astype(np.int64)
         starts, flat = starts - starts[0], lists.flatten()
         first = np.zeros(len(flat), bool)
         first[starts[:-1]] = True
         rest = flat.filter(pa.array(~first)).dictionary_encode()
         head = flat.filter(pa.array(first)).to_pylist()
-        for i, ids in zip(np.flatnonzero(whole), texts.filter(pa.array(whole)).to_pylist()):
-            head[i] = ids
-        later = [" " + p for p in rest.dictionary.to_pylist()]
-        pool = [*self._pieces(later), *self._ids(head), np.array([self.end_id], "<u4").tobytes()]
+        for i, text in zip(np.flatnonzero(whole), texts.filter(pa.array(whole)).to_pylist()):
+            head[i] = text
+        own = pa.array([*self._texts(head), np.array([self.end_id], self.dtype).tobytes()], pa.large_binary())
+        pool = pa.concat_arrays([own, self._later(rest.dictionary)]) if len(rest) else own
         code = np.empty(len(flat), np.int64)
-        code[~first] = rest.indices.to_numpy(zero_copy_only=False)
-        code[first] = len(later) + np.arange(len(head))
-        code = np.insert(code, starts[1:], len(pool) - 1)
-        size = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
-        at, n = np.cumsum(size) - size, size[code]
-        ends = np.cumsum(n)
-        ids = np.frombuffer(b"".join(pool), "<u4")[np.repeat(at[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        closed = ends[starts[1:] + np.arange(len(starts) - 1)]
-        return ids, np.diff(closed, prepend=0)
+        code[first] = np.arange(n)
+        code[~first] = n + 1 + rest.indices.to_numpy(zero_copy_only=False)
+        taken = pool.take(pa.array(np.insert(code, starts[1:], n)))
+        edges = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if n else np.zeros(1, np.int64)
+        size = np.diff(edges[np.append(0, starts[1:] + np.arange(1, n + 1))]) // self.dtype.itemsize
+        return np.frombuffer(taken.buffers()[2].to_pybytes()[: edges[-1]] if edges[-1] else b"", self.dtype), size
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+BLOCK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("width", pa.int32()), ("n_tokens", pa.int64()), ("keys", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
+BLOCK_COLUMNS = "part int, seq int, width int, n_tokens long, keys array<long>, lengths array<long>, ids binary"
+
+
+def _one(values: pa.Array) -> pa.Array:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _blocks(path: str, end_id: int, block_tokens: int):
@@ -122,12 +168,13 @@ def _blocks(path: str, end_id: int, block_tokens: int):
         keys, lengths, ids, held = [], [], [], 0
 
         def block():
-            row = [[part], [seq], [held], [np.concatenate(keys).tolist()], [np.concatenate(lengths).tolist()], [np.concatenate(ids).astype(encoder.dtype).tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], ["part", "seq", "n_tokens", "keys", "lengths", "ids"])
+            row = [part, seq, encoder.dtype.itemsize, held]
+            lists = [_one(pa.concat_arrays(keys)), _one(pa.array(np.concatenate(lengths))), pa.array([np.concatenate(ids).tobytes()])]
+            return pa.RecordBatch.from_arrays([*[pa.array([v], f.type) for v, f in zip(row, BLOCK)], *lists], schema=BLOCK)
 
         for batch in slices(batches, "text"):
             found, size = encoder.encode(batch.column("text"))
-            keys.append(np.array(batch.column("doc_id").to_pylist(), object))
+            keys.append(batch.column("doc_id"))
             lengths.append(size)
             ids.append(found)
             held += len(found)
@@ -151,39 +198,46 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie")
-    schema = "part int, seq int, n_tokens long, keys array<long>, lengths array<long>, ids binary"
-    ranged.mapInArrow(_blocks(tokenizer_path, end_id, block_tokens), schema).write.option("compression", "zstd").parquet(f"{folder}/payload")
-
-    blocks = spark.read.schema(schema).parquet(f"{folder}/payload").select("part", "seq", "n_tokens", F.size("keys").cast("long").alias("n_docs"))
-    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("t"), F.sum("n_docs").alias("d"))
-    by_part, in_part = before(Window.orderBy("part")), before(Window.partitionBy("part").orderBy("seq"))
-    parts = parts.select("part", F.coalesce(F.sum("t").over(by_part), F.lit(0)).alias("t0"), F.coalesce(F.sum("d").over(by_part), F.lit(0)).alias("d0"))
-    starts = (
-        blocks.withColumn("t1", F.coalesce(F.sum("n_tokens").over(in_part), F.lit(0)))
-        .withColumn("d1", F.coalesce(F.sum("n_docs").over(in_part), F.lit(0)))
-        .join(parts, "part")
-        .select("part", "seq", (F.col("t0") + F.col("t1")).alias("block_start"), (F.col("d0") + F.col("d1")).alias("first_ordinal"))
-    )
-    starts.write.parquet(f"{folder}/starts")
+    ranged.mapInArrow(_blocks(tokenizer_path, end_id, block_tokens), BLOCK_COLUMNS).write.option("compression", "zstd").parquet(f"{folder}/payload")
+
+    edges = [F.col("keys")[0].alias("first_key"), F.element_at("keys", -1).alias("last_key")]
+    blocks = spark.read.schema(BLOCK_COLUMNS).parquet(f"{folder}/payload").select("part", "seq", "n_tokens", F.size("keys").cast("long").alias("n_docs"), *edges)
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("t0"))  # a row a task
+    starts = blocks.withColumn("t1", before(Window.partitionBy("part").orderBy("seq"))).join(parts, "part").withColumn("block_start", F.col("t0") + F.col("t1"))
+    starts.drop("t0", "t1").write.parquet(f"{folder}/starts")
     write_index(spark, folder)
 
 
-PLACE = ["part", "seq", "offset", "n_tokens", "start", "ordinal", "n_docs"]
+#: A place: rows nth to nth + n_docs - 1 of a block; offset, n_tokens and start are those of the first.
+PLACE = ["part", "seq", "nth", "n_docs", "offset", "n_tokens", "start"]
+
+
+def _runs(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal keys of a block begin, and their lengths."""
+    k, full = keys.fill_null(0).to_numpy(), keys.is_valid().to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (full[1:] != full[:-1])))
+    return first, np.diff(np.append(first, len(k)))
 
 
-def _places(frames):
-    for f in frames:
-        for b in f.itertuples(index=False):
-            n = np.asarray(b.lengths, np.int64)
-            offset = np.cumsum(n) - n
-            yield pd.DataFrame({"doc_id": pd.array(list(b.keys), dtype="Int64"), "part": b.part, "seq": b.seq, "offset": offset, "n_tokens": n, "start": b.block_start + offset, "ordinal": b.first_ordinal + np.arange(len(n))})
+def _places(batches):
+    for batch in batches:
+        part, seq, base = (batch.column(c).to_pylist() for c in ("part", "seq", "block_start"))
+        for i in range(batch.num_rows):
+            n, keys = batch.column("lengths")[i].values.to_numpy(), batch.column("keys")[i].values
+            nth, many = _runs(keys)
+            offset = (np.cumsum(n) - n)[nth]
+            row = [np.full(len(nth), part[i]), np.full(len(nth), seq[i]), nth, many, offset, n[nth], base[i] + offset]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(nth)), *[pa.array(x, pa.int64()) for x in row]], ["doc_id", *PLACE])
+
+
+PLACES = "doc_id long, " + ", ".join(f"{c} long" for c in PLACE)
 
 
 def places(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per stored document: its key and its place."""
-    blocks = spark.read.parquet(f"{folder}/payload").select("part", "seq", "keys", "lengths").join(spark.read.parquet(f"{folder}/starts"), ["part", "seq"])
-    return blocks.mapInPandas(_places, "doc_id long, part int, seq int, offset long, n_tokens long, start long, ordinal long")
+    """A row for each block and each key in it, null too: the key and the place of its documents there."""
+    blocks = spark.read.parquet(f"{folder}/payload").select("part", "seq", "keys", "lengths").join(spark.read.parquet(f"{folder}/starts").select("part", "seq", "block_start"), ["part", "seq"])
+    return blocks.mapInArrow(_places, PLACES)
 
 
 def _level(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -232,14 +286,25 @@ INDEX = "shard long, n_keys long, sizes array<long>, bits binary, fingerprints b
 
 
 def write_index(spark: SparkSession, folder: str, shard_keys: int = SHARD_KEYS) -> None:
-    """The index shards; a shard has about shard_keys keys, so one task holds one bounded shard."""
+    """The index shards; a shard has about shard_keys keys, so one task holds one bounded shard. A key's entry
+    is its place in the first block that has it; ``continued`` tells the others."""
     stored = places(spark, folder).where(F.col("doc_id").isNotNull())
-    first = stored.groupBy("doc_id").agg(F.min_by(F.struct(*PLACE[:-1]), "ordinal").alias("p"), F.count(F.lit(1)).alias("n_docs"))
-    shards = max(1, -(-(spark.read.parquet(f"{folder}/payload").agg(F.sum(F.size("keys"))).first()[0] or 0) // shard_keys))
-    entries = first.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "p.*", "n_docs")
+    first = stored.groupBy("doc_id").agg(F.min_by(F.struct(*PLACE), "start").alias("p"))
+    shards = max(1, -(-(spark.read.parquet(f"{folder}/starts").agg(F.sum("n_docs")).first()[0] or 0) // shard_keys))
+    entries = first.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "p.*")
     entries.groupBy("shard").applyInPandas(_build, INDEX).withColumn("n_shards", F.lit(shards)).write.parquet(f"{folder}/index")
 
 
+def continued(spark: SparkSession, folder: str) -> DataFrame:
+    """Places at the head of blocks whose first key the index has not there: the key goes on from the block
+    before, or is null. n_docs is -1, for as many rows as have the key."""
+    blocks = spark.read.parquet(f"{folder}/starts")
+    ends = blocks.select((F.col("block_start") + F.col("n_tokens")).alias("block_start"), F.col("last_key").alias("first_key"))
+    heads = blocks.join(ends, ["block_start", "first_key"], "left_semi").unionByName(blocks.where("first_key is null"))
+    zero = F.lit(0).cast("long")
+    return heads.select(F.col("first_key").alias("doc_id"), "part", "seq", zero.alias("nth"), (zero - 1).alias("n_docs"), zero.alias("offset"), zero.alias("n_tokens"), F.col("block_start").alias("start"))
+
+
 def _find(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     out = pd.DataFrame({"doc_id": keys.doc_id.to_numpy(np.int64)})
     if not len(index) or not len(out):
@@ -260,54 +325,60 @@ def find(keys: DataFrame, folder: str) -> DataFrame:
     index = spark.read.parquet(f"{folder}/index")
     top = index.agg(F.max("n_shards")).first()[0] or 1
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(top)))
-    found = "doc_id long, " + ", ".join(f"{c} long" for c in PLACE)
-    return wanted.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_find, found)
+    return wanted.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_find, PLACES)
+
 
+def _take(digest: bool):
+    """Documents of blocks at their wanted places, from the ids there: their crc32, or the ids."""
 
-def _digest(width: str):
-    def run(frames):
-        for f in frames:
-            for b in f.itertuples(index=False):
-                n = np.asarray(b.lengths, np.int64)
-                offset = np.cumsum(n) - n
-                wide = memoryview(np.frombuffer(b.ids, width).astype("<u4").tobytes())
-                crc = [zlib.crc32(wide[4 * a : 4 * (a + k)]) for a, k in zip(offset.tolist(), n.tolist())]
-                yield pd.DataFrame({"part": b.part, "seq": b.seq, "offset": offset, "n_tokens": n, "ids_crc32": crc, "doc_id": pd.array(list(b.keys), dtype="Int64"), "nth": np.arange(len(n))})
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width, base = batch.column("width")[i].as_py(), batch.column("block_start")[i].as_py()
+                n, keys = batch.column("lengths")[i].values.to_numpy(), batch.column("keys")[i].values
+                nth, many = (batch.column(c)[i].values.to_numpy().copy() for c in ("nth", "n_docs"))
+                if (many < 0).any():
+                    many[many < 0] = _runs(keys)[1][0]
+                row = np.repeat(nth - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                found = keys.take(pa.array(row))
+                asked = batch.column("asked")[i].values.take(pa.array(np.repeat(np.arange(len(many)), many)))
+                own = pc.fill_null(pc.equal(asked, found), True).to_numpy(zero_copy_only=False)  # a fingerprint may err
+                row, found = row[own], found.filter(pa.array(own))
+                offset = (np.cumsum(n) - n)[row]
+                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), f"<u{width}").astype("<u4")
+                spans = list(zip(offset.tolist(), (offset + n[row]).tolist()))
+                if digest:
+                    raw = memoryview(ids.tobytes())
+                    last = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in spans], pa.int64())
+                else:
+                    last = pa.array([ids[a:b].tolist() for a, b in spans], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([found, pa.array(base + offset), pa.array(n[row]), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "token_ids"])
 
     return run
 
 
-def digests(spark: SparkSession, folder: str, width: str = "<u2") -> DataFrame:
-    """Every stored document's place and the crc32 of its ids, from the payload itself."""
-    blocks = spark.read.parquet(f"{folder}/payload").select("part", "seq", "lengths", "keys", "ids")
-    cut = blocks.mapInPandas(_digest(width), "part int, seq int, offset long, n_tokens long, ids_crc32 long, doc_id long, nth long")
-    placed = cut.join(spark.read.parquet(f"{folder}/starts"), ["part", "seq"])
-    return placed.select("doc_id", "part", "seq", "offset", "n_tokens", "ids_crc32", (F.col("block_start") + F.col("offset")).alias("start"), (F.col("first_ordinal") + F.col("nth")).alias("ordinal"))
+def _fetch(at: DataFrame, folder: str, digest: bool) -> DataFrame:
+    """The documents at places: each block that has some is joined once with its places."""
+    spark = at.sparkSession
+    by_block = at.groupBy("part", "seq").agg(F.collect_list(F.struct("nth", F.struct("doc_id", "n_docs").alias("x"))).alias("p"))  # of one block
+    wanted = by_block.select("part", "seq", F.col("p.nth").alias("nth"), F.col("p.x.n_docs").alias("n_docs"), F.col("p.x.doc_id").alias("asked"))
+    blocks = spark.read.parquet(f"{folder}/payload").select("part", "seq", "width", "keys", "lengths", "ids")
+    starts = spark.read.parquet(f"{folder}/starts").select("part", "seq", "block_start")
+    last = "ids_crc32 long" if digest else "token_ids array<long>"
+    return blocks.join(wanted.join(starts, ["part", "seq"]), ["part", "seq"]).mapInArrow(_take(digest), f"doc_id long, start long, n_tokens long, {last}")
 
 
-def read_back(keys: DataFrame, folder: str, width: str = "<u2") -> DataFrame:
+def read_back(keys: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every stored document of the keys: the index gives each key's
-    place, the payload the ids at that place. Rows of one id follow its first. Null ids come from the
-    payload alone."""
-    stored = digests(keys.sparkSession, folder, width)
-    at = find(keys, folder).select("doc_id", F.col("part").alias("_part"), F.col("seq").alias("_seq"), F.col("offset").alias("_offset"), F.col("ordinal").alias("_first"), "n_docs")
-    same = (F.col("part") == F.col("_part")) & (F.col("seq") == F.col("_seq")) & (F.col("offset") == F.col("_offset"))
-    inside = F.col("ordinal").between(F.col("_first"), F.col("_first") + F.col("n_docs") - 1)
-    keyed = stored.join(at, "doc_id").where(inside & (same | (F.col("ordinal") > F.col("_first"))))
-    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
-    return keyed.select(*columns).unionByName(stored.where("doc_id is null").select(*columns))
-
-
-def _slice(width: str):
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f.doc_id, "start": f.start, "token_ids": [np.frombuffer(b, width)[o : o + n].astype(np.int64).tolist() for b, o, n in zip(f.ids, f.offset, f.n_tokens)]})
-
-    return run
-
-
-def read_tokens(keys: DataFrame, folder: str, width: str = "<u2") -> DataFrame:
-    """(doc_id, start, token_ids) of the keys' first stored documents, by the index: only the blocks that
-    hold a key are joined."""
-    blocks = keys.sparkSession.read.parquet(f"{folder}/payload").select("part", "seq", "ids")
-    return find(keys, folder).join(blocks, ["part", "seq"]).mapInPandas(_slice(width), "doc_id long, start long, token_ids array<long>")
+    place, and the ids there are read. All rows of one id come back; so do all rows without an id, which
+    have no entry and are found at the heads of blocks."""
+    wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rest = continued(keys.sparkSession, folder)
+    more = rest.join(wanted, "doc_id", "left_semi").union(rest.where("doc_id is null"))
+    return _fetch(find(wanted, folder).unionByName(more), folder, digest=True)
+
+
+def read_tokens(keys: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, start, token_ids) of the keys' first stored documents, by the index."""
+    first = find(keys, folder).withColumn("n_docs", F.lit(1).cast("long"))
+    return _fetch(first, folder, digest=False).drop("n_tokens")
