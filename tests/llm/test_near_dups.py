@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemill.llm import near_dups
 from tidemill.llm.components import components
 from tidemill.llm.near_dups import branch, keep_one, mix64, near_duplicates
 from tidemill.llm.q_near_dups import op7_near_duplicates
@@ -42,8 +43,12 @@ def test_query_against_brute_force(spark, sf_dir):
     check(op7_near_duplicates(spark, sf_dir).collect(), brute(rows, 2))
 
 
-def test_large_group(spark, scratch):
-    """A cloud of edited copies, larger than a small node, some linked only through others."""
+@pytest.mark.parametrize("how", [{}, {"wide": 65}, {"wide": 65, "deeper": 0}])
+def test_large_group(spark, scratch, monkeypatch, how):
+    """A cloud of edited copies, larger than a small node, some linked only through others; in one block,
+    through wide nodes that branch on, and in many small blocks."""
+    if how:
+        monkeypatch.setattr(near_dups, "CHUNK", 32)
     rng = random.Random(4)
     base = [f"word{i}" for i in range(60)]
     rows = []
@@ -54,7 +59,7 @@ def test_large_group(spark, scratch):
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, " ".join(f"z{rng.randrange(10**6)}" for _ in range(50))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    check(near_duplicates(docs, scratch, shingle=2).collect(), brute(rows, 2))
+    check(near_duplicates(docs, scratch, shingle=2, **how).collect(), brute(rows, 2))
 
 
 def test_recall_of_branching():
@@ -70,6 +75,18 @@ def test_recall_of_branching():
     assert met / n > 0.995
 
 
+def test_recall_below_a_wide_node():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**32, (1500, 64), dtype=np.uint64).astype(np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 2**32, a.shape, dtype=np.uint64).astype(np.uint32))
+    met = 0
+    for k, pair in enumerate(zip(a, b)):
+        top = mix64(np.full(near_dups.WIDE_TREES, k, np.uint64) ^ mix64(np.arange(1, near_dups.WIDE_TREES + 1, dtype=np.uint64)))
+        sides = [set(branch(t[None], top.copy(), np.zeros(len(top), np.int64), 2)[0].tolist()) for t in pair]
+        met += bool(sides[0] & sides[1])
+    assert met / len(a) > 0.985
+
+
 def test_components(spark, scratch):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.id: r.label for r in components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}

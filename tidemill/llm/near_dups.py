@@ -9,7 +9,8 @@ components.
 Nodes are counted before rows meet: a small node is compared exhaustively in one task; a large one
 (copies of one text with edits) first meets a few pivots, and what pivots have joined needs no more
 comparing. Only in large nodes whose members are still in different components, the members outside
-the node's main component are compared with all others, in chunks, on their full sets.
+the node's main component are compared with all others on their full sets, block by block; both sides of
+a block are bounded. Where that would be too many pairs, the node first branches on in several trees.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ TOKENS = 64
 TREES = 10
 SMALL = 64  # classes of a node that one task compares among themselves
 CHUNK = 1024  # classes of a chunk of a node that isn't small
+CHUNK_SHINGLES = 1 << 20  # shingles of a chunk, but for a single longer text
+WIDE_TREES = 4  # trees below a wide node; two levels of one lose a pair at the threshold in 0.27 of cases
 NEEDED = 1_000_000  # ids up to which the documents to compare are picked by a broadcast
 PIVOTS = 8
 #: Sketches: the low 4 bits of 64 minwise tokens. At similarity 0.8 a pair differs in 26 bits on average
@@ -119,15 +122,19 @@ def branch(tokens: np.ndarray, node: np.ndarray, row: np.ndarray, levels: int) -
 
 
 def _paths(levels: float, trees: int):
+    """Rows of the nodes that each set reaches, from its own node if it has one, else from the roots."""
+
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(n, TOKENS)
-            ids, sketch = batch.column("id").to_numpy(), _sketch(tokens)
+            ids, size, sketch = batch.column("id").to_numpy(), batch.column("size").to_numpy(), _sketch(tokens)
             if "node" in batch.schema.names:
-                node, row = branch(tokens, batch.column("node").to_numpy().view(np.uint64), np.arange(n), levels)
+                top = batch.column("node").to_numpy().view(np.uint64)
+                tree = mix64(np.arange(1, trees + 1, dtype=np.uint64) * _C)
+                node, row = branch(tokens, mix64(np.repeat(top, trees) ^ np.tile(tree, n)), np.repeat(np.arange(n), trees), levels)
             else:
                 # The part of a level goes to so many of the trees.
                 roots, deep = mix64(np.arange(1, trees + 1, dtype=np.uint64)), round(trees * (levels % 1))
@@ -135,12 +142,12 @@ def _paths(levels: float, trees: int):
                 node, row = (np.concatenate(x) for x in zip(*cut))
             for at in range(0, len(node), 1 << 17):
                 r = row[at : at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + (1 << 17)].view(np.int64)), pa.array(ids[r]), *[pa.array(s[r]) for s in sketch]], ["node", "id", *SKETCH])
+                yield pa.RecordBatch.from_arrays([pa.array(node[at : at + (1 << 17)].view(np.int64)), pa.array(ids[r]), pa.array(size[r]), *[pa.array(s[r]) for s in sketch]], ["node", "id", "size", *SKETCH])
 
     return run
 
 
-ROW = "node long, id long, " + ", ".join(f"{s} long" for s in SKETCH)
+ROW = "node long, id long, size long, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def _compare(batches):
@@ -221,7 +228,7 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _chunks(size: int, percent: int):
     """Links over component borders, one for each two components, between the rows outside the node's main
-    component (role 1) and the rows of a chunk (role 0), from rows sorted by (node, chunk)."""
+    component (role 1) and the others (role 0), chunk by chunk of both, from rows sorted by (node, block, chunk)."""
 
     def links(t: pa.RecordBatch):
         role, ids, label = (t.column(c).to_numpy() for c in ("role", "id", "label"))
@@ -245,8 +252,10 @@ def _chunks(size: int, percent: int):
         held = None
         for batch in slices(batches, "text"):
             t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
-            node, chunk = t.column("node").to_numpy(), t.column("chunk").to_numpy()
-            edge = np.append(np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (chunk[1:] != chunk[:-1])])), len(node))
+            new = np.append(True, np.zeros(t.num_rows - 1, bool))
+            for x in (t.column(c).to_numpy() for c in ("node", "block", "chunk")):
+                new[1:] |= x[1:] != x[:-1]
+            edge = np.append(np.flatnonzero(new), t.num_rows)
             for lo, hi in zip(edge[:-2], edge[1:-1]):
                 yield links(t.slice(lo, hi - lo))
             held = t.slice(edge[-2])
@@ -326,22 +335,24 @@ def depth(n: int) -> float:
     return max(2.0, np.log(max(n, 2) / 4) / np.log(40))
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, *, shingle: int = 5, percent: int = 80, trees: int = TREES, wide: int = 1 << 14, deeper: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, *, shingle: int = 5, percent: int = 80, trees: int = TREES, wide: int = 1 << 14, deeper: int = 2) -> DataFrame:
     """(doc_id, set_id, n_shingles, component_id, kept) for every row of docs (doc_id long, text).
 
     component_id is the smallest doc_id that links reach, kept whether it is the row's own. Texts without
     words have no shingles and no links. Rows of one doc_id are one document: their sets belong together.
     A row without a doc_id takes part by its text, is kept only if no row with an id is in its component,
     and has a null component_id if there is none. Extra columns are not read; an empty table gives an
-    empty table. A pair at the threshold is met in one of the trees with probability 0.999; classes of
-    equal sets are always one.
+    empty table. A pair at the threshold is met in one of the trees with probability over 0.995 (up to a
+    billion classes); classes of equal sets are always one. A large node is searched exactly, by blocks, if
+    that takes wide * wide pairs at most or it has branched on deeper times; before, it branches on in four
+    trees of two levels, each time losing such a pair in 0.006 of cases.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = scratch.save(docs.mapInArrow(_signatures(shingle), "doc_id long, set_id binary, n_shingles long, tokens binary"), "sets")
     named = sets.where("set_id is not null and doc_id is not null")
     classes = scratch.save(named.groupBy("set_id").agg(F.min("doc_id").alias("id")), "classes")
     n = classes.count()
-    one = scratch.save(classes.join(named.select("set_id", F.col("doc_id").alias("id"), "tokens"), ["set_id", "id"]).select("id", "tokens"), "tokens")
+    one = scratch.save(classes.join(named.select("set_id", F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "tokens"), ["set_id", "id"]).select("id", "size", "tokens"), "tokens")
     rows = one.mapInArrow(_paths(depth(n), trees), ROW)
 
     sizes = rows.groupBy("node").count()
@@ -365,20 +376,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, shingle: int = 5, perc
     crowd = scratch.save(crowd.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("count"), "crowd-0")
     more = confirm(open_pairs, docs, scratch, "second", shingle, percent)
     for i in range(deeper + 1):
-        parts = crowd.groupBy("node", "label").count()
-        mixed = parts.groupBy("node").agg(F.sum("count").alias("n"), F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        parts = crowd.groupBy("node", "label").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("sum"))
+        mixed = parts.groupBy("node").agg(F.sum("count").alias("n"), F.sum("sum").alias("size_n"), F.max_by(F.struct("label", "count", "sum"), F.struct("count", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        mixed = mixed.select("node", "n", "size_n", F.col("m.label").alias("main"), (F.col("n") - F.col("m.count")).alias("n_ask"), (F.col("size_n") - F.col("m.sum")).alias("size_ask"))
         mixed = scratch.save(mixed, f"mixed-{i}")
-        here = mixed.where(F.col("n") <= wide) if i < deeper else mixed
-        k = F.ceil(F.col("n") / CHUNK).cast("int")
-        cut = crowd.join(here, "node").withColumn("k", k).select("node", "id", "label", "main", "k")
-        data = cut.select("node", F.pmod(F.xxhash64("id", F.lit(2)), F.col("k")).cast("int").alias("chunk"), "id", "label", F.lit(0).alias("role"))
-        ask = cut.where("label != main").select("node", F.explode(F.expr("sequence(0, k - 1)")).alias("chunk"), "id", "label", F.lit(1).alias("role"))
-        meet = _with_texts(scratch.save(data.union(ask), f"meet-{i}"), docs).repartition("node", "chunk").sortWithinPartitions("node", "chunk")
-        found = meet.select("node", "chunk", "id", "label", "role", "text").mapInArrow(_chunks(shingle, percent), "a long, b long")
+        few = F.col("n_ask").cast("double") * F.col("n") <= float(wide) ** 2
+        here = mixed.where(few) if i < deeper else mixed
+        chunks = lambda n, size: F.ceil(F.greatest(F.col(n) / CHUNK, F.col(size) / CHUNK_SHINGLES)).cast("int")
+        cut = crowd.join(here, "node").withColumn("k", chunks("n", "size_n")).withColumn("ka", chunks("n_ask", "size_ask"))
+        part = lambda seed, k: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(k)).cast("int")
+        data = cut.select("node", F.explode(F.expr("sequence(0, ka - 1)")).alias("block"), part(2, "k").alias("chunk"), "id", "label", F.lit(0).alias("role"))
+        ask = cut.where("label != main").select("node", part(3, "ka").alias("block"), F.explode(F.expr("sequence(0, k - 1)")).alias("chunk"), "id", "label", F.lit(1).alias("role"))
+        meet = _with_texts(scratch.save(data.union(ask), f"meet-{i}"), docs).repartition("node", "block", "chunk").sortWithinPartitions("node", "block", "chunk")
+        found = meet.select("node", "block", "chunk", "id", "label", "role", "text").mapInArrow(_chunks(shingle, percent), "a long, b long")
         more = more.union(scratch.save(found, f"meet-links-{i}"))
-        if i == deeper or mixed.where(F.col("n") > wide).isEmpty():
+        if i == deeper or mixed.where(~few).isEmpty():
             break
-        below = crowd.join(mixed.where(F.col("n") > wide), "node").select("node", "id").join(one, "id").mapInArrow(_paths(2, 1), ROW)
+        below = crowd.join(mixed.where(~few), "node").select("node", "id").join(one, "id").mapInArrow(_paths(2, WIDE_TREES), ROW)
         crowd = scratch.save(below.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), f"crowd-{i + 1}")
     every = labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)
     final = components(every, scratch, "final-cc").withColumnRenamed("label", "component_id")
