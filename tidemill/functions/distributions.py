@@ -79,6 +79,26 @@ def binomial_two_sided(k: int, n: int) -> float:
     return min(1.0, 2 * beta_i(n - low, low + 1, 0.5))
 
 
+def binomial_at_least(k: int, n: int) -> float:
+    """P(X >= k) of n fair draws."""
+    return beta_i(k, n - k + 1, 0.5) if k > 0 else 1.0
+
+
+def t_quantile(p: float, df: float) -> float:
+    """Student's t at probability p, by bisection of the tail to the last bits."""
+    if p == 0.5:
+        return 0.0
+    tail, lo, hi = 2 * min(p, 1 - p), 0.0, 1.0
+    while t_two_sided(hi, df) > tail:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
+        lo, hi = (mid, hi) if t_two_sided(mid, df) > tail else (lo, mid)
+    return lo if p > 0.5 else -lo
+
+
 def _udf(f):
     """A pandas UDF of a scalar function; null in, null out."""
 
@@ -93,4 +113,5 @@ def _udf(f):
 
 
 chi2_sf, t_p_value, binomial_p = _udf(chi2_tail), _udf(t_two_sided), _udf(binomial_two_sided)
+binomial_upper = _udf(binomial_at_least)
 normal_cdf = _udf(NormalDist().cdf)

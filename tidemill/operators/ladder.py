@@ -172,6 +172,14 @@ def diebold_mariano(arc: DataFrame, horizon: int = 1) -> DataFrame:
     return found.select(*KEY, "n", stat.alias("dm"))
 
 
+def sign_replication(rows: DataFrame, floor: float = 0.05) -> DataFrame:
+    """Per instrument the forecasts of at least floor deviations: how many, how many of the right sign, their
+    share, and the mean gain in deviations. rows: (instrument, p50, y), both in deviations."""
+    gain = F.signum("p50") * F.col("y")
+    found = rows.where(F.abs("p50") >= floor).groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.count_if(gain > 0).alias("hits"), F.avg(gain).alias("gross"))
+    return found.select("instrument", "n", "hits", (F.col("hits") / F.col("n")).alias("accuracy"), "gross")
+
+
 def scorecard(arc: DataFrame, series: DataFrame) -> DataFrame:
     """All scores of a model on a row, with the deviation of the means over that of y (degenerate under .05)."""
     spread = arc.groupBy(*KEY).agg((F.stddev_pop("mean") / F.greatest(F.stddev_pop("y"), F.lit(1e-12))).alias("std_ratio"))
@@ -210,6 +218,11 @@ def signals(arc: DataFrame, model: str = "ar") -> DataFrame:
 HARD = ("structure_efficient", "no_skill", "degenerate", "miscalibrated", "bad_regime", "structural_break")
 
 
+def distinct_reasons(reasons: Column) -> Column:
+    """Each reason once, in the order of its first place."""
+    return F.array_distinct(reasons)
+
+
 def gate_state(reasons: Column) -> Column:
     """VETO with a hard reason, GO_REDUCED with a soft one, GO without any; the reasons stay distinct."""
     hard = F.array(*[F.lit(x) for x in HARD])
@@ -227,7 +240,7 @@ def gate(arc: DataFrame, model: str = "ar") -> DataFrame:
         F.when(F.col("r2") <= 0, "no_skill"), F.when(F.col("std_ratio") < 0.05, "degenerate"),
         F.when(F.col("z") > 2, "high_vol"), F.when(F.col("conviction") < 0.2, "low_conviction"),
     ))
-    return rows.withColumn("reasons", F.array_distinct(reasons)).withColumn("gate", gate_state(F.col("reasons")))
+    return rows.withColumn("reasons", distinct_reasons(reasons)).withColumn("gate", gate_state(F.col("reasons")))
 
 
 def validate_gate(gated: DataFrame) -> DataFrame:

@@ -25,7 +25,11 @@ def opportunity(events: DataFrame, ticks: DataFrame, session: str = "session_dat
     prices are aggregated before it."""
     at = F.struct("ts", "seq")
     bars = ticks.groupBy("instrument", session).agg(F.min_by("price", at).alias("entry"), F.max_by("price", at).alias("exit"), F.max("price").alias("high"), F.min("price").alias("low"))
-    rows = events.join(bars, ["instrument", session])
+    return excursions(events.join(bars, ["instrument", session]), ["instrument", session, "side"])
+
+
+def excursions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Best, worst and closing excursion of rows (side, entry, exit, high, low) in pips and their path ratio."""
     pip = pip_size(F.col("instrument"))
     long = F.col("side") == "long"
     best = F.when(long, F.col("high") - F.col("entry")).otherwise(F.col("entry") - F.col("low")) / pip
@@ -33,7 +37,7 @@ def opportunity(events: DataFrame, ticks: DataFrame, session: str = "session_dat
     close = F.when(long, F.col("exit") - F.col("entry")).otherwise(F.col("entry") - F.col("exit")) / pip
     rows = rows.withColumn("mfe", best).withColumn("mae", worst).withColumn("close_return", close)
     ratio = F.when(F.col("mfe") - F.col("mae") > 0, F.col("mfe") / (F.col("mfe") - F.col("mae"))).otherwise(0.5)
-    return rows.select("instrument", session, "side", "entry", "exit", "mfe", "mae", "close_return", ratio.alias("path_ratio"))
+    return rows.select(*keys, "entry", "exit", "mfe", "mae", "close_return", ratio.alias("path_ratio"))
 
 
 def slippage(fills: DataFrame, expected: DataFrame, session: str = "session_date") -> DataFrame:

@@ -112,6 +112,15 @@ def tick_returns(conditioned: DataFrame, scale: float, regime: str = "high_vol_c
     return conditioned.withColumn("scaled_return", F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(raw, F.lit(0.0)))))
 
 
+MESSAGE = "action string, side string, order_id long, price double, size long"
+
+
+def book_records(lines: DataFrame) -> DataFrame:
+    """Book records (ts and MESSAGE) of JSON texts (ts, value); what doesn't parse or has no known action is left out."""
+    rows = lines.select("ts", F.from_json("value", MESSAGE).alias("m")).select("ts", "m.*")
+    return rows.where("action in ('A', 'C', 'M', 'F', 'R', 'T')")
+
+
 def book_levels(orders: DataFrame, depth: int = 10) -> DataFrame:
     """The best levels of each side: (instrument, snap, side, price, size, level)."""
     sums = orders.groupBy("instrument", "snap", "side", "price").agg(F.sum("size").alias("size"))
