@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -83,6 +85,18 @@ class TickState:
         return used, spike, level, velocity
 
 
+    def export(self) -> str:
+        """All of the state as JSON; ``restore`` goes on exactly from it."""
+        return json.dumps([self.accepted, self.rejects, self.x, self.v, self.p, self.last])
+
+    @classmethod
+    def restore(cls, kept: str) -> TickState:
+        state = cls()
+        state.accepted, state.rejects, state.x, state.v, p, state.last = json.loads(kept)
+        state.p = tuple(p)
+        return state
+
+
 def _condition(frames):
     name, state = None, None
     for f in frames:
@@ -136,3 +150,71 @@ def book_snapshots(levels: DataFrame) -> DataFrame:
         at("B", "price").alias("bid_px"), at("A", "price").alias("ask_px"), at("B", "size").alias("_b1"), at("A", "size").alias("_a1"), total("B").alias("_b"), total("A").alias("_a"),
     )
     return found.select("instrument", "snap", "bid_px", "ask_px", ((F.col("_b1") - F.col("_a1")) / (F.col("_b1") + F.col("_a1"))).alias("imbalance_l1"), ((F.col("_b") - F.col("_a")) / (F.col("_b") + F.col("_a"))).alias("imbalance_depth"))
+
+
+SNAP = "instrument string, ts timestamp_ntz, seq long, bid_px double, ask_px double, bid_sz long, ask_sz long, imbalance_l1 double, imbalance_depth double, n_orders long"
+
+
+class Book:
+    """Resting orders of one instrument by id: (side, price, size)."""
+
+    def __init__(self):
+        self.orders: dict[int, tuple[str, float, int]] = {}
+
+    def apply(self, action: str, side: str, order_id: int, price: float, size: int) -> None:
+        """A adds, M changes (an unknown order is added if it tells its side), F takes off what was filled, C
+        removes, R clears all."""
+        known = self.orders.get(order_id)
+        if action == "R":
+            self.orders.clear()
+        elif action == "C":
+            self.orders.pop(order_id, None)
+        elif action in ("A", "M"):
+            own = side if side in ("A", "B") else known[0] if known and action == "M" else None
+            if own:
+                self.orders[order_id] = (own, price, size)
+        elif action == "F" and known:
+            if known[2] > size:
+                self.orders[order_id] = (known[0], known[1], known[2] - size)
+            else:
+                del self.orders[order_id]
+
+    def snapshot(self, depth: int = 10) -> tuple:
+        """Best prices and sizes, imbalance of the best level and of the best ``depth`` levels, number of orders;
+        null where a side is empty."""
+        levels: dict[str, dict[float, int]] = {"B": {}, "A": {}}
+        for side, price, size in self.orders.values():
+            levels[side][price] = levels[side].get(price, 0) + size
+        bids = sorted(levels["B"].items(), reverse=True)[:depth]
+        asks = sorted(levels["A"].items())[:depth]
+        if not bids or not asks:
+            best = [side[0] if side else (None, None) for side in (bids, asks)]
+            return best[0][0], best[1][0], best[0][1], best[1][1], None, None, len(self.orders)
+        b, a, bd, ad = bids[0][1], asks[0][1], sum(s for _, s in bids), sum(s for _, s in asks)
+        return bids[0][0], asks[0][0], b, a, (b - a) / (b + a) if b + a else None, (bd - ad) / (bd + ad) if bd + ad else None, len(self.orders)
+
+
+def _replay(every: float, depth: int):
+    def run(frames):
+        name, book, last = None, None, None
+        for f in frames:
+            out = []
+            at = f["ts"].astype("datetime64[us]").astype("int64")
+            for instrument, ts, t, seq, *record in zip(f["instrument"], f["ts"], at, f["seq"], f["action"], f["side"], f["order_id"], f["price"], f["size"]):
+                if instrument != name:
+                    name, book, last = instrument, Book(), None
+                book.apply(*record)
+                if last is None or t - last >= every * 1e6:
+                    last = t
+                    out.append((instrument, ts, seq, *book.snapshot(depth)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SNAP.split(", ")]).astype({"bid_sz": "Int64", "ask_sz": "Int64"})
+
+    return run
+
+
+def replay_book(records: DataFrame, every: float = 1.0, depth: int = 10) -> DataFrame:
+    """The book of each instrument after its records (instrument, ts, seq, action, side, order_id, price, size)
+    in order, sampled at the first record at least so many seconds after the last sample. A sorted scan; its
+    state is the orders that rest. Pass instrument and day as the key where each day opens with a snapshot."""
+    rows = records.select("instrument", "ts", "seq", "action", "side", "order_id", "price", "size")
+    return rows.repartition("instrument").sortWithinPartitions("instrument", "ts", "seq").mapInPandas(_replay(every, depth), SNAP)

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import binomial_p, chi2_sf, t_p_value
 from ..operators import ladder as lad
-from ..operators import scans
-from ..sources.tables import shared_folder, tape_stream
-from ..streaming.bars import run_to_table, session_bar_stream, volume_bar_stream
-from .p_decisions import decided
+from ..operators import micro, scans
+from ..sources.tables import read, shared_folder, tape_stream
+from ..streaming import states
+from ..streaming.bars import h4_bar_stream, run_to_table, session_bar_stream, volume_bar_stream, with_refreshed
+from .p_decisions import VPIN, decided
 from .p_ladder import arc
 from .p_tape import SQL as TAPE_SQL
-from .p_tape import VOLUME_BARS, good
+from .p_tape import VOLUME_BARS, W, good
 from .shared import dated, rounded
 
 
@@ -48,8 +49,51 @@ def l9_meta_model(spark, sf_dir):
     return rounded(meta_scores(decided(spark, sf_dir), daily_bars(spark, sf_dir)), 4)
 
 
-QUERIES = {f.__name__: f for f in (s1_volume_bar_stream, s8_session_bar_stream, p1_p_values, n3_time_samples, n11_rule_trades, l9_meta_model)}
+def s2_condition_stream(spark, sf_dir):
+    rows = run_to_table(states.condition_stream(tape_stream(spark, sf_dir)), shared_folder(spark, "stream"), spark)
+    return rounded(rows.select("instrument", "seq", "ret", "sigma", "scaled"), 6)
+
+
+def s3_bucket_stream(spark, sf_dir):
+    return run_to_table(states.bucket_stream(tape_stream(spark, sf_dir), 500), shared_folder(spark, "stream"), spark)
+
+
+def s4_tick_stream(spark, sf_dir):
+    rows = run_to_table(states.tick_stream(tape_stream(spark, sf_dir)), shared_folder(spark, "stream"), spark)
+    return rounded(rows.select("instrument", "seq", "filtered", "spike", "level"), 6)
+
+
+def s5_in_order(spark, sf_dir):
+    """The tape through the reordering buffer, counted by instrument; what is within the lateness of the end is held."""
+    rows = run_to_table(states.in_order(tape_stream(spark, sf_dir)), shared_folder(spark, "stream"), spark)
+    return rows.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"))
+
+
+def s7_refreshed_scales(spark, sf_dir):
+    """Ticks of the stream with their instrument's scale, which each micro-batch reads anew."""
+    folder = shared_folder(spark, "stream")
+    good(spark, sf_dir).groupBy("instrument").agg(F.stddev_samp("price").alias("scale")).write.parquet(f"{folder}/meta")
+    rows = with_refreshed(tape_stream(spark, sf_dir), f"{folder}/meta", ["instrument"], folder, spark)
+    return rounded(rows.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("price") / F.col("scale")).alias("total")), 4)
+
+
+def s8_h4_bar_stream(spark, sf_dir):
+    return h4_bar_stream(tape_stream(spark, sf_dir), shared_folder(spark, "stream"), spark)
+
+
+def n1_book_replay(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("value > 0")
+    action = F.element_at(F.array(*[F.lit(x) for x in "AAMF"]), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = e.select(F.lit("book").alias("instrument"), "ts", F.col("event_id").alias("seq"), action.alias("action"), F.when(F.col("event_type") == "click", "B").otherwise("A").alias("side"), (F.col("event_id") % 97).alias("order_id"), F.round("value").alias("price"), (F.get_json_object("props", "$.k").cast("long") + 1).alias("size"))
+    return rounded(micro.replay_book(rows.withColumn("instrument", F.date_format("ts", "yyyy-MM-dd")), 3600.0), 6)
+
+
+QUERIES = {f.__name__: f for f in (s1_volume_bar_stream, s8_session_bar_stream, p1_p_values, n3_time_samples, n11_rule_trades, l9_meta_model, s2_condition_stream, s3_bucket_stream, s4_tick_stream, s5_in_order, s7_refreshed_scales, s8_h4_bar_stream, n1_book_replay)}
 SQL = {
     "s1_volume_bar_stream": VOLUME_BARS + "SELECT instrument, bar_seq, open, high, low, close, volume, n_trades FROM vbars",
     "s8_session_bar_stream": TAPE_SQL["d2_session_bars"],
+    "s8_h4_bar_stream": TAPE_SQL["d3_h4_bars"],
+    "s3_bucket_stream": W + VPIN + " SELECT * FROM vb",
+    "s2_condition_stream": W + ", r AS (SELECT *, ln(price) - ln(lag(price) OVER (PARTITION BY instrument ORDER BY ts, seq)) AS ret FROM good), c AS (SELECT *, CASE WHEN count(ret) OVER b >= 64 THEN stddev_samp(ret) OVER b END AS sg FROM r WINDOW b AS (PARTITION BY instrument ORDER BY ts, seq ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING)) SELECT instrument, seq, round(ret, 6) AS ret, round(sg, 6) AS sigma, round(CASE WHEN sg > 0 THEN ret / sg END, 6) AS scaled FROM c",
+    "s7_refreshed_scales": W + ", m AS (SELECT instrument, stddev_samp(price) AS s FROM good GROUP BY 1) SELECT instrument, count(*) AS n, round(sum(price / s), 4) AS total FROM good JOIN m USING (instrument) GROUP BY 1",
 }

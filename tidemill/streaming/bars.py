@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bars import session_date
-from ..sources.tables import ohlcv
+from .states import fresh_rows
+from ..operators.bars import h4_start, session_date
 
 BAR = "instrument string, bar_seq long, open double, high double, low double, close double, volume long, n_trades long"
 STATE = "bar_seq long, open double, high double, low double, close double, volume long, n_trades long, last_ts long, last_seq long"
@@ -16,12 +16,10 @@ STATE = "bar_seq long, open double, high double, low double, close double, volum
 def _extend(bar_size: int):
     def run(key, batches, state):
         bar, o, h, l, c, volume, n, last_ts, last_seq = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0, 0, -(1 << 62), -1)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])
+        rows = fresh_rows(batches, (last_ts, last_seq))
         micros = rows["ts"].astype("datetime64[us]").astype("int64")
         out = []
         for ts, seq, price, size in zip(micros.tolist(), rows["seq"].tolist(), rows["price"].tolist(), rows["size"].tolist()):
-            if (ts, seq) <= (last_ts, last_seq):
-                continue  # at or before the high-water mark: already counted, or late
             last_ts, last_seq = ts, seq
             o, h, l, c = (price,) * 4 if n == 0 else (o, max(h, price), min(l, price), price)
             volume, n = volume + size, n + 1
@@ -47,15 +45,38 @@ def run_to_table(stream: DataFrame, folder: str, spark: SparkSession) -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def _keyed_bars(trades: DataFrame, key: Column, name: str, folder: str, spark: SparkSession) -> DataFrame:
+    """Bars by key of a stream. Each micro-batch writes its own part of every bar under its epoch, and an epoch
+    that is repeated overwrites itself; the parts are put together when they are read, so the stream keeps no
+    state, and late trades count whenever they come."""
+    at = F.struct("ts", "seq")
+    rows = trades.withColumn(name, key)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        part = batch.groupBy("instrument", name).agg(F.min(at).alias("first"), F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(at).alias("last"), F.max_by("price", at).alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("n_trades"))
+        part.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    parts = spark.read.parquet(f"{folder}/out")
+    return parts.groupBy("instrument", name).agg(F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"), F.sum("volume").alias("volume"), F.sum("n_trades").alias("n_trades"))
+
+
 def session_bar_stream(trades: DataFrame, folder: str, spark: SparkSession) -> DataFrame:
-    """Session bars by key: each micro-batch writes its changed bars under its own epoch (a repeated epoch
-    overwrites itself), and a key's newest epoch counts."""
-    bars = trades.groupBy("instrument", session_date(F.col("ts")).alias("session_date")).agg(*ohlcv(["ts", "seq"]))
+    """Daily bars by session, labelled by the day of their end."""
+    return _keyed_bars(trades, session_date(F.col("ts")), "session_date", folder, spark)
+
+
+def h4_bar_stream(trades: DataFrame, folder: str, spark: SparkSession) -> DataFrame:
+    """Four-hour bars on New York boundaries, labelled by their local start."""
+    return _keyed_bars(trades, h4_start(F.col("ts")), "bar_start", folder, spark)
+
+
+def with_refreshed(stream: DataFrame, meta: str, keys: list[str], folder: str, spark: SparkSession) -> DataFrame:
+    """The stream's rows joined with a table (path meta) that every micro-batch reads anew, so that changes of
+    regime, scale or learned parameters reach later rows; written by epoch, a repeated epoch overwrites itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/batch-{epoch}")
+        batch.join(spark.read.parquet(meta), keys, "left").write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
 
-    bars.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out/*")
-    newest = rows.groupBy("instrument", "session_date").agg(F.max_by(F.struct("open", "high", "low", "close", "volume", "n_trades"), "epoch").alias("b"))
-    return newest.select("instrument", "session_date", "b.*")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("epoch")
