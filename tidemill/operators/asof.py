@@ -22,6 +22,14 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     return found.select(*[F.col(c) for c in left.columns], F.col("_found.asof").alias("asof"), *[F.col(f"_found.{n}").alias(n) for n in names])
 
 
+def asof_day(left: DataFrame, right: DataFrame, left_time: str, right_time: str, columns: list[str]) -> DataFrame:
+    """As ``asof`` without keys, for a right side that all share and a left side of few distinct times (days): only
+    the distinct times are matched in one place, and joined back to the rows by equality."""
+    times = left.select(left_time).distinct().withColumn("_all", F.lit(0))
+    found = asof(times, right.withColumn("_all", F.lit(0)), ["_all"], left_time, right_time, columns).drop("_all")
+    return left.join(found, left_time, "left").select(*left.columns, "asof", *columns)
+
+
 def next_bar(features: DataFrame, bars: DataFrame, columns: list[str], hops: int = 30) -> DataFrame:
     """features with the next bar strictly after ts within so many days; null beyond them."""
     joined = asof(features, bars, ["instrument"], "ts", "ts", columns, forward=True, suffix="_next")

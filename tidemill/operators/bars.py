@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,19 +35,30 @@ def h4_bars(trades: DataFrame) -> DataFrame:
     return trades.groupBy("instrument", h4_start(F.col("ts")).alias("bar_start")).agg(*ohlcv(ORDER))
 
 
+def number_bars(sizes: np.ndarray, volume: int, bar: int, bar_size: int) -> tuple[np.ndarray, int, int]:
+    """Each trade's bar, and the volume and number of the bar that is forming after them; one search a bar."""
+    total, closes, at, start = np.cumsum(sizes), [], 0, -volume
+    while (at := int(np.searchsorted(total, start + bar_size))) < len(total):
+        closes.append(at)
+        start = int(total[at])
+    numbers = bar + np.searchsorted(np.array(closes, np.int64), np.arange(len(sizes)))
+    return numbers, int(total[-1] - start) if len(total) else volume, bar + len(closes)
+
+
 def _bar_numbers(bar_size: int):
     def run(frames):
         instrument, volume, bar = None, 0, 0
         for f in frames:
-            names, sizes, out = f["instrument"].tolist(), f["size"].tolist(), []
-            for name, size in zip(names, sizes):
-                if name != instrument:
-                    instrument, volume, bar = name, 0, 0
-                out.append(bar)
-                volume += size
-                if volume >= bar_size:
-                    volume, bar = 0, bar + 1
-            yield f.assign(bar_seq=pd.Series(out, index=f.index, dtype="int64"))
+            names, sizes = f["instrument"].to_numpy(), f["size"].to_numpy(np.int64)
+            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            parts = []
+            for lo, hi in zip(edges, edges[1:]):
+                if lo < hi:
+                    if names[lo] != instrument:
+                        instrument, volume, bar = names[lo], 0, 0
+                    found, volume, bar = number_bars(sizes[lo:hi], volume, bar, bar_size)
+                    parts.append(found)
+            yield f.assign(bar_seq=np.concatenate(parts) if parts else np.zeros(0, np.int64))
 
     return run
 

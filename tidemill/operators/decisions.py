@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import asof, next_bar
+from .asof import asof_day, next_bar
 from .indicators import by_time
 
 #: Thresholds (basis points) of the yield spread's change by regime; 15 for one that isn't known.
@@ -15,8 +15,7 @@ YIELD_THRESHOLDS = {0: 8.0, 1: 15.0, 2: 20.0}
 def yield_momentum(days: DataFrame, yields: DataFrame) -> DataFrame:
     """Direction and strength from the latest spread change known at each day. days: (instrument, ts, regime)."""
     known = yields.select(F.col("date").alias("m_ts"), F.coalesce("spread_d5", "us_d5").alias("change")).where("change is not null")
-    one = days.withColumn("_all", F.lit(0))
-    joined = asof(one, known.withColumn("_all", F.lit(0)), ["_all"], "ts", "m_ts", ["change"]).drop("_all")
+    joined = asof_day(days, known, "ts", "m_ts", ["change"])
     limit = F.coalesce(F.create_map(*[x for k, v in YIELD_THRESHOLDS.items() for x in (F.lit(k), F.lit(v))])[F.col("regime")], F.lit(15.0))
     strength = F.least(F.abs("change") / (limit * 2), F.lit(1.0))
     direction = F.when(F.col("change") > limit, "short").when(F.col("change") < -limit, "long").otherwise("flat")

@@ -1,8 +1,4 @@
-"""Technical indicators of bars (instrument, ts, open, high, low, close), one row for each bar.
-
-Exponential means are weighted sums over a bounded frame: with weights (1-a)^k the rows beyond the frame
-have less weight than a double can show, so a window of fixed width gives the recurrence's value.
-"""
+"""Technical indicators of bars (instrument, ts, open, high, low, close), one row for each bar."""
 
 from __future__ import annotations
 
@@ -20,26 +16,35 @@ def before(column: str, k: int = 1) -> Column:
     return F.lag(column, k).over(by_time())
 
 
-def ewm(column: str, alpha: float, adjust: bool, least: int = 1) -> Column:
-    """Exponentially weighted mean up to the current row, as the recurrence (adjust: normalised weights)."""
-    width = math.ceil(math.log(1e-17) / math.log(1 - alpha))
-    frame = by_time().rowsBetween(-width + 1, 0)
-    values = F.collect_list(column).over(frame)  # at most width values
-    n = F.row_number().over(by_time())
-    size = F.size("_v")
-    decay = F.lit(1 - alpha)
-    weights = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.pow(decay, (size - 1 - k).cast("double")))
-    if not adjust:
-        # The first value of all keeps the weight that has not been given away.
-        weights = F.transform(weights, lambda w, k: F.when((k == 0) & (F.col("_n") <= width), w).otherwise(w * alpha))
-    total = F.aggregate(F.zip_with("_v", weights, lambda v, w: v * w), F.lit(0.0), lambda a, b: a + b)
-    norm = F.aggregate(weights, F.lit(0.0), lambda a, b: a + b) if adjust else F.lit(1.0)
-    return values, n, F.when(F.col("_n") >= least, total / norm)
+def with_ewms(rows: DataFrame, columns: dict[str, str], alpha: float, *, adjust: bool = False, least: int = 1, order: str = "ts", first: bool = True) -> DataFrame:
+    """rows with the exponentially weighted mean of each column (name: column), as the recurrence up to the row
+    (adjust: normalised weights; first False: the first value has no more weight than the others).
+
+    Rows are numbered into blocks over which the weight falls to about 1e-8. Within a block the mean is a decayed
+    prefix sum; the state at the end of the block before it, whose own past weighs 1e-8, is carried in twice, so
+    the value is exact to a double. No row carries a list.
+    """
+    decay = 1 - alpha
+    block = max(16, int(math.log(1e-8) / math.log(decay)))
+    w = Window.partitionBy("instrument").orderBy(order)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("instrument", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("_n", F.row_number().over(w) - 1)
+    out = out.withColumns({"_pos": F.col("_n") % block, "_block": F.floor(F.col("_n") / block)})
+    power = lambda k: F.pow(F.lit(decay), k.cast("double"))
+    share = F.lit(1.0) if adjust else F.when(F.col("_n") == 0, 1.0).otherwise(alpha) if first else F.lit(alpha)
+    out = out.withColumns({f"_l_{n}": power(F.col("_pos")) * F.sum(share * F.col(c) * power(-F.col("_pos"))).over(inside) for n, c in columns.items()})
+    ends = lambda value: F.when(F.col("_pos") == block - 1, value)
+    out = out.withColumns({f"_a_{n}": F.coalesce(F.last(ends(F.col(f"_l_{n}")), ignorenulls=True).over(earlier), F.lit(0.0)) for n in columns})
+    out = out.withColumns({f"_b_{n}": F.coalesce(F.last(ends(F.col(f"_l_{n}") + power(F.lit(block)) * F.col(f"_a_{n}")), ignorenulls=True).over(earlier), F.lit(0.0)) for n in columns})
+    norm = (1 - power(F.col("_n") + 1)) / alpha if adjust else F.lit(1.0)
+    total = {n: (F.col(f"_l_{n}") + power(F.col("_pos") + 1) * F.col(f"_b_{n}")) / norm for n in columns}
+    out = out.withColumns({n: F.when(F.col("_n") >= least - 1, v) for n, v in total.items()})
+    return out.drop("_n", "_pos", "_block", *[f"_{k}_{n}" for k in "lab" for n in columns])
 
 
 def with_ewm(bars: DataFrame, column: str, out: str, alpha: float, adjust: bool = False, least: int = 1) -> DataFrame:
-    values, n, mean = ewm(column, alpha, adjust, least)
-    return bars.withColumn("_v", values).withColumn("_n", n).withColumn(out, mean).drop("_v", "_n")
+    return with_ewms(bars, {out: column}, alpha, adjust=adjust, least=least)
 
 
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:
@@ -53,7 +58,7 @@ def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
     """rsi: from normalised exponential means of gains and losses (com = period - 1); 50 where undefined."""
     change = F.coalesce(F.col("close") - before("close"), F.lit(0.0))
     moved = bars.withColumn("_gain", F.greatest(change, F.lit(0.0))).withColumn("_loss", F.greatest(-change, F.lit(0.0)))
-    both = with_ewm(with_ewm(moved, "_gain", "_up", 1 / period, True, period), "_loss", "_down", 1 / period, True, period)
+    both = with_ewms(moved, {"_up": "_gain", "_down": "_loss"}, 1 / period, adjust=True, least=period)
     value = 100 - 100 / (1 + F.col("_up") / F.when(F.col("_down") != 0, F.col("_down")))
     return both.withColumn("rsi", F.coalesce(value, F.lit(50.0))).drop("_gain", "_loss", "_up", "_down")
 

@@ -13,6 +13,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indicators import with_ewms
+
 LEVELS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 Z = tuple(NormalDist().inv_cdf(x) for x in LEVELS)
 
@@ -60,11 +62,13 @@ def naive_rung(series: DataFrame, min_train: int = 252, tail: int = 250) -> Data
 
 
 def ewma_rung(series: DataFrame, min_train: int = 252, lam: float = 0.94) -> DataFrame:
-    """The volatility rung: the mean of all returns so far; variance from the unconditional one, moved by
-    each squared deviation of the last 300 (earlier ones weigh under 1e-8)."""
+    """The volatility rung: the mean of all returns so far; variance from the unconditional one, moved by each
+    squared deviation from that mean, which exponential means of the returns and their squares give."""
     so_far = by_n().rowsBetween(Window.unboundedPreceding, 0)
-    rows = series.withColumn("_mu", F.avg("ret").over(so_far)).withColumn("_v", F.var_samp("ret").over(so_far)).withColumn("_last", F.collect_list("ret").over(by_n().rowsBetween(-299, 0)))
-    var = F.aggregate("_last", F.col("_v"), lambda v, x: lam * v + (1 - lam) * (x - F.col("_mu")) * (x - F.col("_mu")))
+    rows = series.withColumn("_mu", F.avg("ret").over(so_far)).withColumn("_v", F.var_samp("ret").over(so_far)).withColumn("_sq", F.col("ret") * F.col("ret"))
+    rows = with_ewms(rows, {"_e1": "ret", "_e2": "_sq"}, 1 - lam, order="n", first=False)
+    left = F.pow(F.lit(lam), (F.col("n") + 1).cast("double"))
+    var = left * F.col("_v") + F.col("_e2") - 2 * F.col("_mu") * F.col("_e1") + (1 - left) * F.col("_mu") * F.col("_mu")
     return _archive(rows.withColumn("_s", F.sqrt(F.greatest(var, F.lit(1e-24)))), "garch", F.col("_mu"), gaussian(F.col("_mu"), F.col("_s")), min_train)
 
 

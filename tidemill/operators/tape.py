@@ -11,10 +11,13 @@ OUT_OF_SCALE = 1e6
 
 def clean_trades(trades: DataFrame) -> DataFrame:
     """Trades with positive finite price and size; an instrument whose median price is above 1e6 is taken as
-    fixed point and rescaled by 1e-9. Medians come from one aggregate per instrument, joined back."""
-    scale = trades.groupBy("instrument").agg(F.percentile("price", F.lit(0.5)).alias("_median"))
-    scaled = trades.join(scale, "instrument").withColumn("price", F.when(F.col("_median") > OUT_OF_SCALE, F.col("price") * FIXED_POINT).otherwise(F.col("price")))
-    return scaled.drop("_median").where("price > 0 and size > 0")
+    fixed point and rescaled by 1e-9. The median's side of 1e6 follows from counts and the prices next to it,
+    so one partial aggregate with a row for each instrument is joined back."""
+    low, price = F.col("price") <= OUT_OF_SCALE, F.col("price")
+    sums = trades.groupBy("instrument").agg(F.count_if(low).alias("_lo"), F.count_if(price > OUT_OF_SCALE).alias("_hi"), F.max(F.when(low, price)).alias("_a"), F.min(F.when(~low, price)).alias("_b"))
+    fixed = F.when(F.col("_lo") == F.col("_hi"), F.col("_a") + F.col("_b") > 2 * OUT_OF_SCALE).otherwise(F.col("_hi") > F.col("_lo"))
+    scaled = trades.join(sums.select("instrument", fixed.alias("_fixed")), "instrument").withColumn("price", F.when(F.col("_fixed"), price * FIXED_POINT).otherwise(price))
+    return scaled.drop("_fixed").where("price > 0 and size > 0")
 
 
 def outright_trades(messages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators import characterize as ch
 from ..operators import decisions as dec
 from ..operators import indicators as ind
 from ..operators import micro, prep
-from ..operators.asof import asof, next_bar
+from ..operators.asof import asof, asof_day, next_bar
 from ..operators.macro import align, spread_changes
 from ..sources.tables import daily_bars, macro, read, tape
 from .p_ladder import S, series
@@ -18,9 +18,8 @@ from .shared import BARS, RETURNS, rounded
 
 
 def c3_asof_macro(spark, sf_dir):
-    days = daily_bars(spark, sf_dir).select("instrument", "ts", F.lit(0).alias("one"))
-    known = macro(spark, sf_dir).where("us_yield is not null").withColumn("one", F.lit(0))
-    found = asof(days, known, ["one"], "ts", "date", ["us_yield"])
+    known = macro(spark, sf_dir).where("us_yield is not null")
+    found = asof_day(daily_bars(spark, sf_dir).select("instrument", "ts"), known, "ts", "date", ["us_yield"])
     return rounded(found.select("instrument", "ts", "asof", "us_yield"), 9)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ladder as lad
+from ..sources.tables import shared_folder
 from .p_prep import returns
 from .shared import RETURNS, rounded
 
@@ -17,6 +18,13 @@ def arc(spark, sf_dir):
     return lad.archive(series(spark, sf_dir))
 
 
+def stored_arc(spark, sf_dir):
+    """The archive written once, for queries that read it several times."""
+    folder, rows = shared_folder(spark, "archive"), arc(spark, sf_dir)
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def w1_splits(spark, sf_dir):
     return lad.splits(series(spark, sf_dir), horizon=5, min_train=252, step=5, embargo=5)
 
@@ -68,7 +76,7 @@ def i8_diebold_mariano(spark, sf_dir):
 
 
 def i9_scorecard(spark, sf_dir):
-    return rounded(lad.scorecard(arc(spark, sf_dir), series(spark, sf_dir)), 4)
+    return rounded(lad.scorecard(stored_arc(spark, sf_dir), series(spark, sf_dir)), 4)
 
 
 def e18_realised_window(spark, sf_dir):
@@ -84,11 +92,11 @@ def v2_signals(spark, sf_dir):
 
 
 def v4_gate(spark, sf_dir):
-    return lad.gate(arc(spark, sf_dir)).select("instrument", "origin", F.array_join("reasons", "|").alias("reasons"), "gate")
+    return lad.gate(stored_arc(spark, sf_dir)).select("instrument", "origin", F.array_join("reasons", "|").alias("reasons"), "gate")
 
 
 def v5_gate_validation(spark, sf_dir):
-    return rounded(lad.validate_gate(lad.gate(arc(spark, sf_dir))), 5)
+    return rounded(lad.validate_gate(lad.gate(stored_arc(spark, sf_dir))), 5)
 
 
 QUERIES = {f.__name__: f for f in (w1_splits, j1_naive_rung, j2_ar_rung, j3_ewma_rung, i1_mase, i2_r2_oos, i3_direction, i4_crps, i5_pit, i6_pit_chi2, i7_coverage, i8_diebold_mariano, i9_scorecard, e18_realised_window, e19_vol_z, v2_signals, v4_gate, v5_gate_validation)}
