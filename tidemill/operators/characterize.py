@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ladder import by_n
+from .scans import lag_moments
 
 
 def hurst(series: DataFrame, max_lag: int = 64) -> DataFrame:
     """Slope of ln deviation on ln lag of the differences of the cumulated returns, lags 2 to max_lag - 1."""
     path = series.withColumn("_x", F.sum("ret").over(by_n().rowsBetween(Window.unboundedPreceding, 0)))
-    lags = range(2, max_lag)
-    diffs = path.select("instrument", *[(F.col("_x") - F.lag("_x", k).over(by_n())).alias(f"d{k}") for k in lags])
-    wide = diffs.groupBy("instrument").agg(*[F.stddev_pop(f"d{k}").alias(f"d{k}") for k in lags])
-    flat = wide.select("instrument", F.explode(F.array(*[F.struct(F.lit(float(k)).alias("lag"), F.col(f"d{k}").alias("sd")) for k in lags])).alias("x")).select("instrument", "x.*")
-    return flat.where("sd > 0").groupBy("instrument").agg(F.regr_slope(F.ln("sd"), F.ln("lag")).alias("hurst"))
+    return lag_moments(path, "_x", range(2, max_lag)).where("sd > 0").groupBy("instrument").agg(F.regr_slope(F.ln("sd"), F.ln("lag")).alias("hurst"))
 
 
 def ljung_box(series: DataFrame, lags: int = 20) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import t_quantile
 from ..sources.tables import shared_folder
-from .ladder import LEVELS, Z, by_n
+from .ladder import LEVELS, Z, by_n, trailing_quantiles
 
 ARCHIVE = ["instrument", "model", "origin", "step", "target", "y", "mean", "q"]
 
@@ -204,8 +204,7 @@ def garch_t(series: DataFrame, *, horizon: int = 1, min_train: int = 252, refit_
 
 def naive_by_step(series: DataFrame, *, horizon: int = 1, min_train: int = 252, tail: int = 250, **_) -> DataFrame:
     """Mean 0 and the last returns' quantiles around their median, the same for every step."""
-    levels = F.array(*[F.lit(x) for x in LEVELS])
-    rows = series.select("instrument", "n", _future(horizon).alias("ys"), F.percentile("ret", levels).over(by_n().rowsBetween(-tail + 1, 0)).alias("_q")).where(F.col("n") >= min_train - 1)
+    rows = trailing_quantiles(series.select("instrument", "n", "ret", _future(horizon).alias("ys")), tail).where(F.col("n") >= min_train - 1)
     steps = F.sequence(F.lit(0), F.lit(horizon - 1))
     return _steps(rows, "naive-rw", horizon, F.transform(steps, lambda k: F.lit(0.0)), F.transform(steps, lambda k: F.lit(1.0)), F.transform("_q", lambda x: x - F.element_at("_q", 5)))
 

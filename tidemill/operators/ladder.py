@@ -54,10 +54,22 @@ def _archive(rows: DataFrame, model: str, mean: Column, q: Column, min_train: in
     return found.where((F.col("origin") >= min_train - 1) & F.col("y").isNotNull()).withColumn("q", monotone(F.col("q")))
 
 
+def trailing_quantiles(series: DataFrame, tail: int = 250) -> DataFrame:
+    """series with _q: the levels' quantiles of the last ``tail`` returns, by linear interpolation."""
+    rows = series.withColumn("_x", F.sort_array(F.collect_list("ret").over(by_n().rowsBetween(-tail + 1, 0))))
+
+    def at(level: float) -> Column:
+        place = (F.size("_x") - 1) * F.lit(level)
+        low = F.floor(place).cast("int")
+        a, b = F.get("_x", low), F.get("_x", F.least(low + 1, F.size("_x") - 1))
+        return a + (place - low) * (b - a)
+
+    return rows.withColumn("_q", F.array(*[at(x) for x in LEVELS])).drop("_x")
+
+
 def naive_rung(series: DataFrame, min_train: int = 252, tail: int = 250) -> DataFrame:
     """Mean 0; the last returns' quantiles around their median."""
-    levels = F.array(*[F.lit(x) for x in LEVELS])
-    rows = series.withColumn("_q", F.percentile("ret", levels).over(by_n().rowsBetween(-tail + 1, 0)))
+    rows = trailing_quantiles(series, tail)
     return _archive(rows, "naive-rw", F.lit(0.0), F.transform("_q", lambda x: x - F.element_at("_q", 5)), min_train)
 
 

@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROW = "instrument string, ts timestamp_ntz, seq long, price double"
 
 
+def _carried(frames, width: int):
+    """(instrument, frame, carry) of sorted frames cut by instrument; carry: up to width rows before the frame."""
+    name, held = None, None
+    for f in frames:
+        names = f["instrument"].to_numpy()
+        edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo < hi:
+                part = f.iloc[lo:hi]
+                held = part.iloc[:0] if names[lo] != name else held
+                name = names[lo]
+                yield name, part, held
+                held = pd.concat([held, part]).iloc[-width:]
+
+
+def lag_moments(rows: DataFrame, column: str, lags: range, order: str = "n") -> DataFrame:
+    """(instrument, lag, n, mean, sd) of the differences of a column to its value ``lag`` rows before. The scan
+    gives each batch's sums; Spark adds them up."""
+
+    def run(frames):
+        for name, part, carry in _carried(frames, lags.stop - 1):
+            x, had = np.concatenate([carry[column], part[column]]), len(carry)
+            diffs = [(k, x[max(had, k) :] - x[max(had - k, 0) : len(x) - k]) for k in lags if len(x) > max(had, k)]
+            yield pd.DataFrame([(name, k, len(d), d.sum(), d @ d) for k, d in diffs], columns=["instrument", "lag", "n", "s", "ss"])
+
+    kept = rows.select("instrument", order, column)
+    sums = kept.repartition("instrument").sortWithinPartitions("instrument", order).mapInPandas(run, "instrument string, lag long, n long, s double, ss double")
+    total = sums.groupBy("instrument", "lag").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    mean = F.col("s") / F.col("n")
+    return total.select("instrument", "lag", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))
+
+
 def _sorted(rows: DataFrame) -> DataFrame:
     return rows.select("instrument", "ts", "seq", "price").repartition("instrument").sortWithinPartitions("instrument", "ts", "seq")
 
