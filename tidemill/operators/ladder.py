@@ -13,6 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import binomial_p
 from .indicators import with_ewms
 
 LEVELS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
@@ -205,14 +206,37 @@ def scorecard(arc: DataFrame, series: DataFrame) -> DataFrame:
     return out.withColumn("degenerate", F.col("std_ratio") < 0.05)
 
 
-def realised_window(arc: DataFrame, rows: int = 120) -> DataFrame:
+def known_before(step: int, rows: int | None = None, *keys: str):
+    """Frame over the forecasts whose targets lie before the origin of the current one: the last ``rows`` or all.
+    Targets follow one another, so the last ones known are step + 1 rows back."""
+    w = Window.partitionBy(*KEY, *keys).orderBy("target")
+    return w.rangeBetween(Window.unboundedPreceding, -step - 1) if rows is None else w.rowsBetween(-rows - step, -step - 1)
+
+
+def realised_window(arc: DataFrame, rows: int = 120, step: int = 1) -> DataFrame:
     """For every origin, the count and deviation ratio of the last ``rows`` forecasts whose targets are known
     before it; null with fewer than 30."""
-    w = Window.partitionBy(*KEY).orderBy("target").rowsBetween(-rows - 1 + 1, -1)
-    known = arc.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.stddev_pop("mean").over(w) / F.greatest(F.stddev_pop("y").over(w), F.lit(1e-12)))
+    w = known_before(step, rows)
+    known = arc.where(F.col("step") == step).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.stddev_pop("mean").over(w) / F.greatest(F.stddev_pop("y").over(w), F.lit(1e-12)))
     return known.select(*KEY, "origin", F.col("_n").alias("n_realised"), F.when(F.col("_n") >= 30, F.col("_r")).alias("std_ratio"))
 
 
+#: Chi-square of nine degrees of freedom that is passed in 5 % of cases. Fixed value.
+PIT_LIMIT = 16.918977604620448
+
+
+def trailing_calibration(arc: DataFrame, rows: int = 120, step: int = 1, bins: int = 10) -> DataFrame:
+    """For every origin, the chi-square of the pit's bins over the last ``rows`` forecasts known before it, and
+    whether they are calibrated at 5 %; fewer than 50 don't count against it."""
+    w = known_before(step, rows)
+    cell = F.least(F.floor(F.col("pit") * bins), F.lit(bins - 1))
+    known = pit(arc.where(F.col("step") == step)).withColumn("_n", F.count(F.lit(1)).over(w)).withColumns({f"_b{b}": F.count_if(cell == b).over(w) for b in range(bins)})
+    each = F.col("_n") / bins
+    stat = sum((F.col(f"_b{b}") - each) * (F.col(f"_b{b}") - each) / each for b in range(bins))
+    found = known.select(*KEY, "origin", F.col("_n").alias("n_realised"), F.when(F.col("_n") >= bins * 5, stat).alias("chi2"))
+    return found.withColumn("calibrated", F.coalesce(F.col("chi2") <= PIT_LIMIT, F.lit(True)))
+
+
 def vol_z(arc: DataFrame, rows: int = 120) -> DataFrame:
     """z of each forecast's predictive deviation against the ``rows`` before it (more than 10)."""
     std = (F.element_at("q", 7) - F.element_at("q", 3)) / 2
@@ -231,7 +255,7 @@ def signals(arc: DataFrame, model: str = "ar") -> DataFrame:
     return joined.select("instrument", "step", "origin", "y", F.tanh(F.col("mean") / F.greatest("vol", F.lit(1e-12))).alias("direction"), agree.alias("conviction"), "vol")
 
 
-HARD = ("structure_efficient", "no_skill", "degenerate", "miscalibrated", "bad_regime", "structural_break")
+HARD = ("degenerate", "miscalibrated", "bad_regime", "structural_break", "beyond_edge", "data_quality")
 
 
 def distinct_reasons(reasons: Column) -> Column:
@@ -245,18 +269,53 @@ def gate_state(reasons: Column) -> Column:
     return F.when(F.arrays_overlap(reasons, hard), "VETO").when(F.size(reasons) > 0, "GO_REDUCED").otherwise("GO")
 
 
-def gate(arc: DataFrame, model: str = "ar") -> DataFrame:
-    """signals with reasons and gate: degenerate forecasts and models without skill veto, high volatility,
-    low conviction and anomalies reduce."""
-    skill = r2_oos(arc).where(F.col("model") == model).select("instrument", "step", "r2")
-    real = realised_window(arc).where(F.col("model") == model).drop("model")
-    z = vol_z(arc).where(F.col("model") == model).select("instrument", "step", "origin", "z")
-    rows = signals(arc, model).join(skill, ["instrument", "step"]).join(real, ["instrument", "step", "origin"]).join(z, ["instrument", "step", "origin"])
-    reasons = F.array_compact(F.array(
-        F.when(F.col("r2") <= 0, "no_skill"), F.when(F.col("std_ratio") < 0.05, "degenerate"),
-        F.when(F.col("z") > 2, "high_vol"), F.when(F.col("conviction") < 0.2, "low_conviction"),
-    ))
-    return rows.withColumn("reasons", distinct_reasons(reasons)).withColumn("gate", gate_state(F.col("reasons")))
+def gate(arc: DataFrame, model: str = "ar", *, step: int = 1, flags: DataFrame | None = None, regimes: DataFrame | None = None, breaks: DataFrame | None = None, edge: DataFrame | None = None, lookback: int = 40) -> DataFrame:
+    """signals with reasons and gate. All evidence comes from forecasts whose targets lie before the origin.
+
+    Hard reasons: degenerate (means vary under .05 of the outcomes), miscalibrated (trailing pit), bad_regime (no
+    skill so far in the origin's regime, from 30 forecasts on), structural_break (within ``lookback`` rows),
+    beyond_edge (the step is over the edge horizon), data_quality (an anomaly at the origin). Soft ones:
+    low_conviction (under .35), weak_direction (signs so far don't differ from chance at 10 %), high_vol (z over 1.5
+    of the last 120). flags: (instrument, n) of anomalies; regimes: (instrument, n, regime); breaks: (instrument,
+    break_at); edge: (instrument, edge). A part that isn't given adds no reason.
+    """
+    at = ["instrument", "origin"]
+    mine = lambda df: df.where((F.col("model") == model) & (F.col("step") == step)).drop("model", "step")
+    told = known_before(step)
+    sign = F.when(F.col("y") != 0, (F.signum("y") == F.signum("mean")).cast("int"))
+    signs = arc.where(F.col("step") == step).select(*KEY, "origin", F.count(sign).over(told).alias("n_sign"), F.sum(sign).over(told).alias("k_sign"))
+    rows = signals(arc, model).where(F.col("step") == step)
+    for part in (realised_window(arc, step=step), trailing_calibration(arc, step=step).drop("n_realised", "chi2"), vol_z(arc).drop("vol"), signs):
+        rows = rows.join(mine(part), at)
+    reasons = [F.when(F.col("std_ratio") < 0.05, "degenerate"), F.when(~F.col("calibrated"), "miscalibrated")]
+    if regimes is not None:
+        labelled = mine_with(against_naive(arc), model, step).join(regimes.select("instrument", F.col("n").alias("origin"), "regime"), at)
+        w = known_before(step, None, "regime")
+        sse = lambda c: F.sum((F.col("y") - F.col(c)) * (F.col("y") - F.col(c))).over(w)
+        weak = (F.count(F.lit(1)).over(w) >= 30) & (sse("mean") >= sse("base"))
+        rows = rows.join(labelled.select(*at, "regime", weak.alias("_weak")), at, "left")
+        reasons.append(F.when(F.col("_weak"), "bad_regime"))
+    if breaks is not None:
+        near = breaks.select("instrument", F.explode(F.sequence(F.col("break_at"), F.col("break_at") + lookback - 1)).alias("origin")).distinct().withColumn("_break", F.lit(True))
+        rows = rows.join(near, at, "left")
+        reasons.append(F.when(F.col("_break"), "structural_break"))
+    if edge is not None:
+        rows = rows.join(edge.select("instrument", "edge"), "instrument", "left")
+        reasons.append(F.when(F.lit(step) > F.greatest("edge", F.lit(1)), "beyond_edge"))
+    if flags is not None:
+        rows = rows.join(flags.select("instrument", F.col("n").alias("origin")).distinct().withColumn("_flag", F.lit(True)), at, "left")
+        reasons.append(F.when(F.col("_flag"), "data_quality"))
+    reasons += [
+        F.when(F.col("conviction") < 0.35, "low_conviction"),
+        F.when((F.col("n_sign") >= 30) & (binomial_p(F.col("k_sign"), F.col("n_sign")) > 0.1), "weak_direction"),
+        F.when((F.col("n_realised") >= 120) & (F.col("z") > 1.5), "high_vol"),
+    ]
+    found = rows.withColumn("reasons", distinct_reasons(F.array_compact(F.array(*reasons))))
+    return found.withColumn("gate", gate_state(F.col("reasons"))).drop("_weak", "_break", "_flag", "edge", "n_sign", "k_sign")
+
+
+def mine_with(rows: DataFrame, model: str, step: int) -> DataFrame:
+    return rows.where((F.col("model") == model) & (F.col("step") == step))
 
 
 def validate_gate(gated: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import ladder as lad
 from ..operators import report as rep
 from ..operators.loop import kpss
 from ..sources.tables import shared_folder
-from .p_ladder import ARC, N, S, arc, series
+from .p_ladder import ARC, BREAK, N, REGIMES, S, arc, series
 from .p_loop import SQL as LOOP_SQL
 from .p_prep import returns
 from .shared import rounded
@@ -105,11 +105,10 @@ def l7_regime_flips(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (j2_ar_aic, j4_garch_t, j6_t_grid, j7_own_rung, w2_walk_forward, k1_adf, k2_kpss_p, k3_rolling_stationarity, k4_structural_breaks, k4_first_break, k10_readings, k11_regime_skill, k11_edge_horizon, k12_report, l7_markov_regimes, l7_regime_flips)}
 
-REGIMES = f", vv AS (SELECT instrument, n, CASE WHEN count(ret) OVER w >= 5 THEN stddev_samp(ret) OVER w END AS v FROM ser WINDOW w AS ({N} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), vf AS (SELECT instrument, n, coalesce(v, first_value(v IGNORE NULLS) OVER ({N} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM vv), vr AS (SELECT f.instrument, n, CASE WHEN v <= c THEN 'calm' ELSE 'turbulent' END AS regime FROM vf f JOIN (SELECT instrument, quantile_cont(v, 0.5) AS c FROM vf GROUP BY 1) USING (instrument))"
 KPSS = LOOP_SQL["k2_kpss"].replace("SELECT instrument, t, round(ss / t / (ee + w), 6) AS kpss FROM g JOIN p USING (instrument)", ", z AS (SELECT instrument, ss / t / (ee + w) AS s FROM g JOIN p USING (instrument))").replace(" , z AS", ", z AS")
 SQL = {
     "j7_own_rung": S + f", nq AS (SELECT *, lead(ret) OVER ({N}) AS y FROM ser), k AS (SELECT * FROM nq WHERE n >= 251 AND y IS NOT NULL) SELECT instrument, 'again' AS model, 1 AS step, round(1 - sum((y - ret) * (y - ret)) / sum(y * y), 6) AS r2 FROM k GROUP BY 1 UNION ALL SELECT instrument, 'naive-rw', 1, 0.0 FROM k GROUP BY 1",
     "k2_kpss_p": KPSS + " SELECT instrument, round(CASE WHEN s <= 0.347 THEN 0.1 WHEN s <= 0.463 THEN 0.1 - 0.05 * (s - 0.347) / 0.116 WHEN s <= 0.574 THEN 0.05 - 0.025 * (s - 0.463) / 0.111 WHEN s <= 0.739 THEN 0.025 - 0.015 * (s - 0.574) / 0.165 ELSE 0.01 END, 5) AS p FROM z",
-    "k4_first_break": S + f", c AS (SELECT instrument, n, abs(sum(ret * ret) OVER ({N}) / (sum(ret * ret) OVER (PARTITION BY instrument) + 1e-12) - n / (count(*) OVER (PARTITION BY instrument) - 1)) AS dev, count(*) OVER (PARTITION BY instrument) AS len FROM ser), t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY dev DESC, n) = 1) SELECT instrument, n::BIGINT AS break_at, round(dev * sqrt(len), 5) AS stat FROM t WHERE len >= 120 AND dev * sqrt(len) > 0.2 AND n BETWEEN 60 AND len - 60",
+    "k4_first_break": S + BREAK + " SELECT instrument, break_at, round(stat, 5) AS stat FROM fb",
     "k11_regime_skill": ARC + REGIMES + " , j AS (SELECT b.*, regime FROM based b JOIN vr ON b.instrument = vr.instrument AND b.origin = vr.n), g AS (SELECT instrument, model, regime, count(*) AS n, CASE WHEN sum((y - base) * (y - base)) > 1e-24 THEN 1 - sum((y - mean) * (y - mean)) / sum((y - base) * (y - base)) ELSE 0 END AS r2 FROM j GROUP BY 1, 2, 3) SELECT instrument, model, regime, n, round(r2, 6) AS r2, r2 > 0 AS predictable FROM g",
 }

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import characterize as ch
+from ..operators import fits
 from ..operators import ladder as lad
+from ..operators.prep import flag_anomalies
 from ..sources.tables import shared_folder
-from .p_prep import returns
+from .p_prep import FLAGS, returns
 from .shared import RETURNS, rounded
 
 
@@ -91,15 +94,28 @@ def v2_signals(spark, sf_dir):
     return rounded(lad.signals(arc(spark, sf_dir)), 5)
 
 
+def gated(spark, sf_dir):
+    """The gate over the archive with anomalies, regimes and the first break of each series."""
+    rows = series(spark, sf_dir)
+    odd = flag_anomalies(returns(spark, sf_dir)).where("any_flag").select("instrument", "ts")
+    flags = rows.select("instrument", "ts", "n").join(odd, ["instrument", "ts"])
+    breaks = fits.structural_breaks(rows, penalty=0.2, max_depth=1)
+    return lad.gate(stored_arc(spark, sf_dir), flags=flags, regimes=ch.volatility_regimes(rows), breaks=breaks)
+
+
+def v3_calibration(spark, sf_dir):
+    return rounded(lad.trailing_calibration(lad.ar_rung(series(spark, sf_dir))).select("instrument", "origin", "n_realised", "chi2", "calibrated"), 5)
+
+
 def v4_gate(spark, sf_dir):
-    return lad.gate(stored_arc(spark, sf_dir)).select("instrument", "origin", F.array_join("reasons", "|").alias("reasons"), "gate")
+    return gated(spark, sf_dir).select("instrument", "origin", F.array_join("reasons", "|").alias("reasons"), "gate")
 
 
 def v5_gate_validation(spark, sf_dir):
-    return rounded(lad.validate_gate(lad.gate(stored_arc(spark, sf_dir))), 5)
+    return rounded(lad.validate_gate(gated(spark, sf_dir)), 5)
 
 
-QUERIES = {f.__name__: f for f in (w1_splits, j1_naive_rung, j2_ar_rung, j3_ewma_rung, i1_mase, i2_r2_oos, i3_direction, i4_crps, i5_pit, i6_pit_chi2, i7_coverage, i8_diebold_mariano, i9_scorecard, e18_realised_window, e19_vol_z, v2_signals, v4_gate, v5_gate_validation)}
+QUERIES = {f.__name__: f for f in (w1_splits, j1_naive_rung, j2_ar_rung, j3_ewma_rung, i1_mase, i2_r2_oos, i3_direction, i4_crps, i5_pit, i6_pit_chi2, i7_coverage, i8_diebold_mariano, i9_scorecard, e18_realised_window, e19_vol_z, v2_signals, v3_calibration, v4_gate, v5_gate_validation)}
 
 N = "PARTITION BY instrument ORDER BY n"
 S = (
@@ -144,14 +160,25 @@ SQL = {
     "i6_pit_chi2": ARC + PITS + f", c AS (SELECT {K}, least(floor(pit * 10), 9) AS b, count(*) AS c FROM pits GROUP BY ALL), t AS (SELECT {K}, sum(c)::BIGINT AS n, sum(c * c) AS cc FROM c GROUP BY {K}) SELECT {K}, n, round(CASE WHEN n >= 50 THEN cc / (n / 10) - n END, 5) AS chi2 FROM t",
     "i7_coverage": ARC + f" SELECT {K}, round(avg((y BETWEEN q[2] AND q[8])::INT), 6) AS coverage FROM arc GROUP BY {K}",
     "i8_diebold_mariano": ARC + f", d AS (SELECT {K}, origin, (y - base) * (y - base) - (y - mean) * (y - mean) AS d FROM based WHERE model <> 'naive-rw'), e AS (SELECT *, d - avg(d) OVER (PARTITION BY {K}) AS e FROM d), l AS (SELECT *, e * lag(e) OVER (PARTITION BY {K} ORDER BY origin) AS l1 FROM e), g AS (SELECT {K}, count(*) AS n, avg(d) AS m, avg(e * e) + avg(l1) AS lrv FROM l GROUP BY {K}) SELECT {K}, n, round(CASE WHEN n >= 8 AND lrv > 1e-24 THEN m / sqrt(lrv / n) * sqrt((n + 1 - 4 + 2 / n) / n) ELSE 0 END, 5) AS dm FROM g",
-    "e18_realised_window": ARC + f", w AS (SELECT {K}, origin, count(*) OVER b AS n, stddev_pop(mean) OVER b / greatest(stddev_pop(y) OVER b, 1e-12) AS r FROM ar WINDOW b AS (PARTITION BY {K} ORDER BY target ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)) SELECT {K}, origin, n AS n_realised, round(CASE WHEN n >= 30 THEN r END, 5) AS std_ratio FROM w",
+    "e18_realised_window": ARC + f", w AS (SELECT {K}, origin, count(*) OVER b AS n, stddev_pop(mean) OVER b / greatest(stddev_pop(y) OVER b, 1e-12) AS r FROM ar WINDOW b AS (PARTITION BY {K} ORDER BY target ROWS BETWEEN 121 PRECEDING AND 2 PRECEDING)) SELECT {K}, origin, n AS n_realised, round(CASE WHEN n >= 30 THEN r END, 5) AS std_ratio FROM w",
     "e19_vol_z": ARC + f", v AS (SELECT {K}, origin, (q[7] - q[3]) / 2 AS vol FROM garch), w AS (SELECT *, count(*) OVER b AS n, stddev_pop(vol) OVER b AS sd, avg(vol) OVER b AS m FROM v WINDOW b AS (PARTITION BY {K} ORDER BY origin ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)) SELECT instrument, origin, round(vol, 4) AS vol, round(CASE WHEN n > 10 AND sd > 0 THEN (vol - m) / sd END, 4) AS z FROM w",
 }
 SIGNALS = ", sp AS (SELECT instrument, step, origin, stddev_pop(mean) AS sd, count(*) AS k FROM arc WHERE model <> 'naive-rw' GROUP BY ALL), mine AS (SELECT *, (q[7] - q[3]) / 2 AS vol FROM ar), sig AS (SELECT m.instrument, m.step, m.origin, y, tanh(mean / greatest(vol, 1e-12)) AS direction, CASE WHEN k < 2 THEN 0.5 ELSE greatest(0, least(1, 1 - sd / greatest(vol, 1e-12))) END AS conviction, vol FROM mine m JOIN sp USING (instrument, step, origin))"
 SQL["v2_signals"] = ARC + SIGNALS + " SELECT instrument, step, origin, round(y, 5) AS y, round(direction, 5) AS direction, round(conviction, 5) AS conviction, round(vol, 5) AS vol FROM sig"
+CHI = "list_sum(list_transform(range(10), lambda k: pow(len(list_filter(bins, lambda b: b = k)) - n120 / 10, 2) / (n120 / 10)))"
+KNOWN = f", pr AS (SELECT *, greatest(0, least(1, {PIT})) AS pit FROM based WHERE model = 'ar'), kn AS (SELECT * EXCLUDE (pit), count(*) OVER b AS n120, list(least(floor(pit * 10), 9)) OVER b AS bins, stddev_pop(mean) OVER b / greatest(stddev_pop(y) OVER b, 1e-12) AS ratio, count(*) FILTER (WHERE y <> 0) OVER a AS ns, count(*) FILTER (WHERE y <> 0 AND sign(y) = sign(mean)) OVER a AS ks FROM pr WINDOW b AS (PARTITION BY {K} ORDER BY target ROWS BETWEEN 121 PRECEDING AND 2 PRECEDING), a AS (PARTITION BY {K} ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)), ct AS (SELECT *, CASE WHEN n120 >= 50 THEN {CHI} END AS chi2 FROM kn)"
+SQL["v3_calibration"] = ARC + KNOWN + f" SELECT instrument, origin, n120 AS n_realised, round(chi2, 5) AS chi2, coalesce(chi2 <= {lad.PIT_LIMIT!r}, true) AS calibrated FROM ct"
+REGIMES = f", vv AS (SELECT instrument, n, CASE WHEN count(ret) OVER w >= 5 THEN stddev_samp(ret) OVER w END AS v FROM ser WINDOW w AS ({N} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), vf AS (SELECT instrument, n, coalesce(v, first_value(v IGNORE NULLS) OVER ({N} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM vv), vr AS (SELECT f.instrument, n, CASE WHEN v <= c THEN 'calm' ELSE 'turbulent' END AS regime FROM vf f JOIN (SELECT instrument, quantile_cont(v, 0.5) AS c FROM vf GROUP BY 1) USING (instrument))"
+BREAK = f", bc AS (SELECT instrument, n, abs(sum(ret * ret) OVER ({N}) / (sum(ret * ret) OVER (PARTITION BY instrument) + 1e-12) - n / (count(*) OVER (PARTITION BY instrument) - 1)) AS dev, count(*) OVER (PARTITION BY instrument) AS len FROM ser), bt AS (SELECT * FROM bc QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY dev DESC, n) = 1), fb AS (SELECT instrument, n::BIGINT AS break_at, dev * sqrt(len) AS stat FROM bt WHERE len >= 120 AND dev * sqrt(len) > 0.2 AND n BETWEEN 60 AND len - 60)"
+ODD = FLAGS[len("WITH " + RETURNS) :]
+SIGN_P = "least(1, 2 * list_sum(list_transform(range(least(ks, ns - ks) + 1), lambda k: exp(lgamma(ns + 1) - lgamma(k + 1) - lgamma(ns - k + 1) - ns * ln(2)))))"
 GATE = (
-    SIGNALS
-    + f", sk AS (SELECT instrument, step, 1 - sum((y - mean) * (y - mean)) / sum((y - base) * (y - base)) AS r2 FROM based WHERE model = 'ar' GROUP BY ALL), rw AS (SELECT instrument, step, origin, CASE WHEN count(*) OVER b >= 30 THEN stddev_pop(mean) OVER b / greatest(stddev_pop(y) OVER b, 1e-12) END AS ratio FROM ar WINDOW b AS (PARTITION BY {K} ORDER BY target ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)), vz AS (SELECT instrument, step, origin, CASE WHEN count(*) OVER b > 10 AND stddev_pop(vol) OVER b > 0 THEN (vol - avg(vol) OVER b) / stddev_pop(vol) OVER b END AS z FROM mine WINDOW b AS (PARTITION BY {K} ORDER BY origin ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)), gated AS (SELECT s.*, list_filter([CASE WHEN r2 <= 0 THEN 'no_skill' END, CASE WHEN ratio < 0.05 THEN 'degenerate' END, CASE WHEN z > 2 THEN 'high_vol' END, CASE WHEN conviction < 0.2 THEN 'low_conviction' END], lambda x: x IS NOT NULL) AS rs FROM sig s JOIN sk USING (instrument, step) JOIN rw USING (instrument, step, origin) JOIN vz USING (instrument, step, origin)), states AS (SELECT *, CASE WHEN list_has_any(rs, ['no_skill', 'degenerate']) THEN 'VETO' WHEN len(rs) > 0 THEN 'GO_REDUCED' ELSE 'GO' END AS gate FROM gated)"
+    ODD
+    + SIGNALS
+    + KNOWN
+    + REGIMES
+    + BREAK
+    + f", vz AS (SELECT instrument, origin, CASE WHEN count(*) OVER b > 10 AND stddev_pop(vol) OVER b > 0 THEN (vol - avg(vol) OVER b) / stddev_pop(vol) OVER b END AS z FROM mine WINDOW b AS (PARTITION BY {K} ORDER BY origin ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)), rg AS (SELECT c.*, count(*) OVER r >= 30 AND sum((y - mean) * (y - mean)) OVER r >= sum((y - base) * (y - base)) OVER r AS weak FROM ct c LEFT JOIN vr ON c.instrument = vr.instrument AND c.origin = vr.n WINDOW r AS (PARTITION BY c.instrument, regime ORDER BY target RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)), dq AS (SELECT s.instrument, s.n AS origin FROM ser s JOIN flags f ON s.instrument = f.instrument AND s.ts = f.ts WHERE z_flag OR iqr_flag OR vol_flag), gated AS (SELECT s.*, list_filter([CASE WHEN n120 >= 30 AND ratio < 0.05 THEN 'degenerate' END, CASE WHEN chi2 > {lad.PIT_LIMIT!r} THEN 'miscalibrated' END, CASE WHEN weak THEN 'bad_regime' END, CASE WHEN fb.break_at IS NOT NULL THEN 'structural_break' END, CASE WHEN dq.origin IS NOT NULL THEN 'data_quality' END, CASE WHEN conviction < 0.35 THEN 'low_conviction' END, CASE WHEN ns >= 30 AND {SIGN_P} > 0.1 THEN 'weak_direction' END, CASE WHEN n120 >= 120 AND z > 1.5 THEN 'high_vol' END], lambda x: x IS NOT NULL) AS rs FROM sig s JOIN rg USING (instrument, origin) JOIN vz USING (instrument, origin) LEFT JOIN fb ON s.instrument = fb.instrument AND break_at <= s.origin AND break_at > s.origin - 40 LEFT JOIN dq ON s.instrument = dq.instrument AND s.origin = dq.origin), states AS (SELECT *, CASE WHEN list_has_any(rs, ['degenerate', 'miscalibrated', 'bad_regime', 'structural_break', 'data_quality']) THEN 'VETO' WHEN len(rs) > 0 THEN 'GO_REDUCED' ELSE 'GO' END AS gate FROM gated)"
 )
 SQL["v4_gate"] = ARC + GATE + " SELECT instrument, origin, array_to_string(rs, '|') AS reasons, gate FROM states"
 SQL["v5_gate_validation"] = ARC + GATE + ", p AS (SELECT *, direction * conviction AS raw, CASE gate WHEN 'VETO' THEN 0 WHEN 'GO_REDUCED' THEN 0.5 ELSE 1 END * direction * conviction * y AS g FROM states), x AS (SELECT *, raw * y AS u, raw <> 0 AND y <> 0 AND sign(raw) <> sign(y) AS lost FROM p) SELECT instrument, round(avg((gate = 'VETO')::INT), 5) AS veto_rate, round(avg((gate = 'GO_REDUCED')::INT), 5) AS reduced_rate, round(avg((gate = 'GO')::INT), 5) AS go_rate, round(CASE WHEN stddev_pop(u) > 0 THEN avg(u) / stddev_pop(u) * sqrt(252) ELSE 0 END, 5) AS sharpe_ungated, round(CASE WHEN stddev_pop(g) > 0 THEN avg(g) / stddev_pop(g) * sqrt(252) ELSE 0 END, 5) AS sharpe_gated, round(CASE WHEN count(*) FILTER (WHERE gate = 'VETO') > 0 THEN count(*) FILTER (WHERE gate = 'VETO' AND u < 0) / count(*) FILTER (WHERE gate = 'VETO') ELSE 0 END, 5) AS veto_precision, round(CASE WHEN count(*) FILTER (WHERE lost) > 0 THEN count(*) FILTER (WHERE lost AND gate = 'VETO') / count(*) FILTER (WHERE lost) ELSE 0 END, 5) AS veto_recall FROM x GROUP BY instrument"

@@ -12,7 +12,7 @@ from ..operators import micro, prep, records, rules
 from ..operators.bars import session_bars
 from ..sources.tables import daily_bars, read, tape
 from .p_decisions import BACK, DECIDED, VPIN, decided
-from .p_ladder import ARC, GATE, K, S, arc, series
+from .p_ladder import ARC, GATE, K, S, arc, gated, series
 from .p_prep import ATR, B, P, R, returns
 from .p_tape import NY, W, good
 from .shared import dated, rounded
@@ -108,8 +108,7 @@ def c15_daily_scale(spark, sf_dir):
 
 
 def d7_gate_mix(spark, sf_dir):
-    gated = lad.gate(arc(spark, sf_dir))
-    return gated.groupBy("gate").agg(F.count(F.lit(1)).alias("n"))
+    return gated(spark, sf_dir).groupBy("gate").agg(F.count(F.lit(1)).alias("n"))
 
 
 def d9_recent_ticks(spark, sf_dir):

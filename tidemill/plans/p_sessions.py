@@ -13,7 +13,7 @@ from ..operators import sessions as ses
 from ..sources import feeds
 from ..sources.tables import daily_bars, macro, read, shared_folder, tape
 from .p_decisions import BOOK, DECIDED, VPIN, YIELDS, book, decided
-from .p_ladder import ARC, GATE, arc, series
+from .p_ladder import ARC, GATE, arc, gated, series
 from .p_loop import SES, sessions, sides
 from .p_prep import B, P, returns
 from .p_tape import NY, W, good
@@ -75,8 +75,8 @@ def p5_engine_view(spark, sf_dir):
 
 
 def g1_distinct_reasons(spark, sf_dir):
-    gated = lad.gate(arc(spark, sf_dir)).select("instrument", "origin", F.concat("reasons", F.reverse("reasons"), "reasons").alias("r"))
-    return gated.select("instrument", "origin", F.array_join(lad.distinct_reasons(F.col("r")), "|").alias("reasons"))
+    rows = gated(spark, sf_dir).select("instrument", "origin", F.concat("reasons", F.reverse("reasons"), "reasons").alias("r"))
+    return rows.select("instrument", "origin", F.array_join(lad.distinct_reasons(F.col("r")), "|").alias("reasons"))
 
 
 def j6_gaussian_grid(spark, sf_dir):
