@@ -68,26 +68,30 @@ def kelly_units(p: Column, balance: Column, regime: Column, *, reward: float = 1
 def backtest(decisions: DataFrame, bars: DataFrame, *, equity: float = 100_000.0, multiplier: float = 50.0, tick: float = 0.25, ticks_per_side: float = 1.0) -> DataFrame:
     """Each decision (instrument, ts, direction, size) entered at the next bar's open and left at its close:
     points less a round trip, dollars, and the additive equity curve with its peak."""
-    rows = next_bar(decisions, bars.select("instrument", "ts", "open", "close"), ["open", "close"]).where("next_ts is not null")
+    rows = next_bar(decisions, bars.select("instrument", "ts", "open", "high", "low", "close"), ["open", "high", "low", "close"]).where("next_ts is not null")
     move = F.col("close_next") - F.col("open_next")
     sign = F.when(F.col("direction") == "long", 1).when(F.col("direction") == "short", -1)
     net = F.coalesce(sign * move - 2 * ticks_per_side * tick, F.lit(0.0))
     so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    up, down = F.col("high_next") - F.col("open_next"), F.col("low_next") - F.col("open_next")
+    rows = rows.withColumn("mfe", F.when(sign > 0, up).when(sign < 0, -down).otherwise(0.0)).withColumn("mae", F.when(sign > 0, down).when(sign < 0, -up).otherwise(0.0))
     rows = rows.withColumn("net_points", net).withColumn("pnl", F.col("size") * multiplier * F.col("net_points"))
     rows = rows.withColumn("equity", F.lit(equity) + F.sum("pnl").over(so_far))
     return rows.withColumn("peak", F.max("equity").over(so_far)).withColumn("turn", F.abs(F.col("size") - F.lag("size", 1, 0.0).over(by_time())))
 
 
-def performance(curve: DataFrame) -> DataFrame:
-    """Per instrument: periods, Sharpe and Sortino of returns on equity, drawdown, exposure, turnover, win rate."""
+def performance(curve: DataFrame, initial: float = 100_000.0) -> DataFrame:
+    """Per instrument: periods, yearly growth, Sharpe and Sortino of returns on equity, drawdown, growth over
+    drawdown, exposure, turnover, win rate. An equity that ends at 0 or under has lost all."""
     before = F.col("equity") - F.col("pnl")
     rows = curve.withColumn("_r", F.when(before > 0, F.col("pnl") / before).otherwise(0.0))
     down = F.when(F.col("_r") < 0, F.col("_r"))
     year = F.sqrt(F.lit(252.0))
     ratio = lambda sd, ok: F.when(ok & (sd > 1e-12), F.avg("_r") / sd * year).otherwise(0.0)
     traded = (F.col("direction") != "flat") & (F.col("size") > 0)
-    return rows.groupBy("instrument").agg(
-        F.count(F.lit(1)).alias("periods"),
+    end = F.greatest(F.lit(initial) + F.sum("pnl"), F.lit(0.0))
+    found = rows.groupBy("instrument").agg(
+        F.count(F.lit(1)).alias("periods"), (F.pow(end / initial, 252 / F.count(F.lit(1))) - 1).alias("cagr"),
         ratio(F.stddev_samp("_r"), F.count("_r") >= 2).alias("sharpe"),
         ratio(F.stddev_samp(down), F.count(down) >= 2).alias("sortino"),
         F.least(F.lit(0.0), F.min(F.when(F.col("peak") > 0, F.col("equity") / F.col("peak") - 1).otherwise(0.0))).alias("max_drawdown"),
@@ -95,6 +99,15 @@ def performance(curve: DataFrame) -> DataFrame:
         F.sum("turn").alias("turnover"),
         F.coalesce(F.count_if(traded & (F.col("pnl") > 0)) / F.when(F.count_if(traded) > 0, F.count_if(traded)), F.lit(0.0)).alias("win_rate"),
     )
+    return found.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).otherwise(0.0))
+
+
+def sensitivity(swept: DataFrame, baseline: float = 1.0) -> DataFrame:
+    """Relative change of a score for the relative change of a parameter, against the baseline of a one-at-a-time
+    sweep; null without a score there. swept: (instrument, value, score)."""
+    base = swept.where(F.col("value") == baseline).select("instrument", F.col("score").alias("_base"))
+    rows = swept.where(F.col("value") != baseline).join(base, "instrument")
+    return rows.select("instrument", "value", "score", ((F.col("score") / F.when(F.col("_base") != 0, F.col("_base")) - 1) / (F.col("value") / baseline - 1)).alias("sensitivity"))
 
 
 def meta_labels(decisions: DataFrame, bars: DataFrame) -> DataFrame:

@@ -52,12 +52,17 @@ def slippage(fills: DataFrame, expected: DataFrame, session: str = "session_date
 
 
 def stress_windows(curve: DataFrame, windows: DataFrame) -> DataFrame:
-    """For each named window of time: worst drawdown and day, share of flat days, mean size. windows is a short
+    """For each named window of time: worst drawdown and day, share of flat days, mean size, and the days from the
+    worst drawdown back to its peak (null if the window ends first). windows is a short
     list (name, lo, hi)."""
     rows = curve.join(F.broadcast(windows), (F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")))
     peak = F.max("equity").over(Window.partitionBy("name", "instrument").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_dd", F.col("equity") - peak)
-    return rows.groupBy("name", "instrument").agg(F.min("_dd").alias("max_loss"), F.min("pnl").alias("worst_day"), F.avg((F.col("direction") == "flat").cast("double")).alias("flat_share"), F.avg("size").alias("mean_size"))
+    rows = rows.withColumn("_peak", peak).withColumn("_dd", F.col("equity") - F.col("_peak"))
+    worst = rows.groupBy("name", "instrument").agg(F.min_by(F.struct("ts", "_peak"), F.struct("_dd", "ts")).alias("_w"))
+    back = rows.join(worst, ["name", "instrument"]).where((F.col("ts") > F.col("_w.ts")) & (F.col("equity") >= F.col("_w._peak")))
+    back = back.groupBy("name", "instrument").agg((F.min(F.to_date("ts"))).alias("_back"), F.first(F.to_date("_w.ts")).alias("_low"))
+    found = rows.groupBy("name", "instrument").agg(F.min("_dd").alias("max_loss"), F.min("pnl").alias("worst_day"), F.avg((F.col("direction") == "flat").cast("double")).alias("flat_share"), F.avg("size").alias("mean_size"))
+    return found.join(back, ["name", "instrument"], "left").withColumn("days_to_recover", F.date_diff("_back", "_low")).drop("_back", "_low")
 
 
 def intraday_replay(ticks: DataFrame, sides: DataFrame, session: str = "session_date", leverage: float = 10.0, equity: float = 10_000.0) -> DataFrame:

@@ -80,15 +80,18 @@ def probabilistic_sharpe(returns: DataFrame, column: str = "r") -> DataFrame:
     return found.select("instrument", "n", "sharpe", "skew", "kurt", (sr * F.sqrt(k - 1) / F.sqrt(1 - F.col("skew") * sr + (F.col("kurt") + 2) / 4 * sr * sr)).alias("psr_z"))
 
 
-def alerts(rows: DataFrame, spreads: DataFrame | None = None) -> DataFrame:
-    """(instrument, ts, alert): a return beyond three ATR, a flat decision five days or more in a row."""
+def alerts(rows: DataFrame, *, stale_hours: int = 48, most_bps: float = 50.0) -> DataFrame:
+    """(instrument, ts, alert): a move beyond three ATR, a flat decision five days or more in a row, a gap of more
+    than stale_hours before the bar, a spread change (spread_d5, basis points) beyond most_bps. rows: (instrument,
+    ts, close, atr, direction, spread_d5)."""
     w = by_time()
     flat = F.col("direction") == "flat"
     grp = F.sum((~flat).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     tagged = rows.withColumn("_grp", grp)
     run = F.row_number().over(Window.partitionBy("instrument", "_grp").orderBy("ts")) - F.when(F.col("_grp") > 0, 1).otherwise(0)
     tagged = tagged.withColumn("_run", run)
-    found = F.array_compact(F.array(F.when(F.abs(F.col("close") - F.lag("close").over(w)) > 3 * F.col("atr"), "move"), F.when(flat & (F.col("_run") >= 5), "flat_days")))
+    found = F.array_compact(F.array(F.when(F.abs(F.col("close") - F.lag("close").over(w)) > 3 * F.col("atr"), "move"), F.when(flat & (F.col("_run") >= 5), "flat_days"),
+        F.when(F.col("ts") > F.lag("ts").over(w) + F.make_dt_interval(hours=F.lit(stale_hours)), "stale"), F.when(F.abs("spread_d5") > most_bps, "spread")))
     return tagged.withColumn("_a", found).select("instrument", "ts", F.explode("_a").alias("alert"))
 
 

@@ -207,7 +207,9 @@ SQL = {
     "g2_all_signals": DECIDED + YM + " SELECT detector, direction, count(*) AS n FROM (SELECT 'yield_spread_momentum' AS detector, direction FROM ym UNION ALL SELECT 'forecast_directional', direction FROM dcs) GROUP BY ALL",
     "l8_meta_labels": DECIDED + " SELECT instrument, direction, (CASE direction WHEN 'long' THEN close_next > open_next ELSE close_next < open_next END)::INTEGER AS label, count(*) AS n FROM dcs JOIN nxt USING (instrument, ts) WHERE direction <> 'flat' AND next_ts IS NOT NULL GROUP BY ALL",
     "l15_backtest": BACK + " SELECT instrument, ts, direction, size, net_points, pnl, round(equity, 2) AS equity FROM cv",
-    "l16_performance": BACK + ", r AS (SELECT *, CASE WHEN equity - pnl > 0 THEN pnl / (equity - pnl) ELSE 0 END AS r FROM cv) SELECT instrument, count(*) AS periods, round(CASE WHEN count(*) >= 2 AND stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(252) ELSE 0 END, 5) AS sharpe, round(CASE WHEN count(*) FILTER (WHERE r < 0) >= 2 THEN avg(r) / stddev_samp(r) FILTER (WHERE r < 0) * sqrt(252) ELSE 0 END, 5) AS sortino, round(least(0, min(CASE WHEN peak > 0 THEN equity / peak - 1 ELSE 0 END)), 5) AS max_drawdown, round(avg((size > 0)::INT), 5) AS exposure, round(sum(turn), 5) AS turnover, round(coalesce(count(*) FILTER (WHERE direction <> 'flat' AND size > 0 AND pnl > 0) / nullif(count(*) FILTER (WHERE direction <> 'flat' AND size > 0), 0), 0), 5) AS win_rate FROM r GROUP BY instrument",
+    "l16_performance": BACK + ", r AS (SELECT *, CASE WHEN equity - pnl > 0 THEN pnl / (equity - pnl) ELSE 0 END AS r FROM cv), f AS (SELECT instrument, count(*) AS periods, round(CASE WHEN count(*) >= 2 AND stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(252) ELSE 0 END, 5) AS sharpe, round(CASE WHEN count(*) FILTER (WHERE r < 0) >= 2 THEN avg(r) / stddev_samp(r) FILTER (WHERE r < 0) * sqrt(252) ELSE 0 END, 5) AS sortino, round(least(0, min(CASE WHEN peak > 0 THEN equity / peak - 1 ELSE 0 END)), 5) AS max_drawdown, round(avg((size > 0)::INT), 5) AS exposure, round(sum(turn), 5) AS turnover, round(coalesce(count(*) FILTER (WHERE direction <> 'flat' AND size > 0 AND pnl > 0) / nullif(count(*) FILTER (WHERE direction <> 'flat' AND size > 0), 0), 0), 5) AS win_rate, pow(greatest(100000 + sum(pnl), 0) / 100000, 252 / count(*)) - 1 AS cg, least(0, min(CASE WHEN peak > 0 THEN equity / peak - 1 ELSE 0 END)) AS md FROM r GROUP BY instrument) SELECT * EXCLUDE (cg, md), round(cg, 5) AS cagr, round(CASE WHEN md < 0 THEN cg / abs(md) ELSE 0 END, 5) AS calmar FROM f",
+    "k6_ljung_box": S + ", v AS (SELECT instrument, n, ret AS v, 'q_ret' AS k FROM ser UNION ALL SELECT instrument, n, ret * ret, 'q_sq' FROM ser), e AS (SELECT instrument, k, n, v - avg(v) OVER (PARTITION BY instrument, k) AS e, count(*) OVER (PARTITION BY instrument, k) AS t FROM v), g AS (SELECT instrument, k, any_value(t) AS t, sum(e * e) AS g FROM e GROUP BY 1, 2), c AS (SELECT a.instrument, a.k, a.n - b.n AS lag, sum(a.e * b.e) AS s FROM e a JOIN e b ON a.instrument = b.instrument AND a.k = b.k AND a.n > b.n AND a.n - b.n <= 20 GROUP BY 1, 2, 3), q AS (SELECT instrument, k, t * (t + 2) * sum(s / g * s / g / (t - lag)) AS q FROM c JOIN g USING (instrument, k) GROUP BY instrument, k, t) SELECT instrument, round(max(q) FILTER (WHERE k = 'q_ret'), 5) AS q_ret, round(max(q) FILTER (WHERE k = 'q_sq'), 5) AS q_sq FROM q GROUP BY 1",
+    "m3_feedback": DECIDED + f", m AS (SELECT instrument, ts, 0.55::DOUBLE + size * 0.2::DOUBLE AS c, (CASE direction WHEN 'long' THEN close_next > open_next ELSE close_next < open_next END)::INT AS won FROM dcs JOIN nxt USING (instrument, ts) WHERE direction <> 'flat' AND next_ts IS NOT NULL), d AS (SELECT instrument, ts, round(avg(c) OVER w - avg(won) OVER w, 4) AS drift FROM m WINDOW w AS ({P} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) SELECT instrument, ts, drift, CASE WHEN drift > 0.05 THEN greatest(0.05, round(0.15::DOUBLE - 0.5::DOUBLE * (drift - 0.05::DOUBLE), 3)) ELSE 0.15 END::DOUBLE AS kelly, CASE WHEN drift > 0.05 THEN least(0.65, round(0.55::DOUBLE + 0.5::DOUBLE * (drift - 0.05::DOUBLE), 3)) ELSE 0.55 END::DOUBLE AS gate_half, CASE WHEN drift > 0.05 THEN least(0.8, round(0.7::DOUBLE + 0.5::DOUBLE * (drift - 0.05::DOUBLE), 3)) ELSE 0.7 END::DOUBLE AS gate_full FROM d WHERE drift IS NOT NULL",
     "e16_equity_drawdown": BACK + " SELECT instrument, ts, round(peak, 2) AS peak, round(equity / peak - 1, 2) AS drawdown FROM cv",
     "e17_turnover": BACK + " SELECT instrument, sum(turn) AS turnover, avg(size) AS mean_size, count(*) FILTER (WHERE size > 0) AS n_exposed FROM cv GROUP BY instrument",
     "l20_kelly_units": "WITH p AS (SELECT o_orderkey, o_totalprice, o_orderstatus AS s, 0.5::DOUBLE + (o_orderkey % 50) / 100.0::DOUBLE AS p FROM orders), k AS (SELECT *, (p * 1.5::DOUBLE - (1 - p)) / 1.5::DOUBLE AS f FROM p) SELECT o_orderkey, CASE WHEN p < 0.55::DOUBLE OR f <= 0 OR s NOT IN ('O', 'F') THEN 0 ELSE round(o_totalprice * least(f * 0.15::DOUBLE * CASE WHEN s = 'F' THEN 0.5::DOUBLE ELSE 1 END, 0.15::DOUBLE) * 10)::BIGINT END AS units FROM k",

@@ -87,7 +87,7 @@ SQL = {
     "m2_opportunity": SES + ", x AS (SELECT *, CASE WHEN sg > 0 THEN hi - en ELSE en - lo END / 0.0001::DOUBLE AS mfe, CASE WHEN sg > 0 THEN lo - en ELSE en - hi END / 0.0001::DOUBLE AS mae, CASE WHEN sg > 0 THEN ex - en ELSE en - ex END / 0.0001::DOUBLE AS cr FROM d) SELECT instrument, sd::VARCHAR AS session_date, CASE WHEN sg > 0 THEN 'long' ELSE 'short' END AS side, round(mfe, 4) AS mfe, round(mae, 4) AS mae, round(cr, 4) AS close_return, round(CASE WHEN mfe - mae > 0 THEN mfe / (mfe - mae) ELSE 0.5 END, 4) AS path_ratio FROM x",
     "m4_slippage": SES + ", m AS (SELECT s.instrument, count(*) AS n, avg(abs(s.price * 0.0001::DOUBLE - en * 0.0001::DOUBLE) / 0.0001::DOUBLE) AS slip FROM ss s JOIN d USING (instrument, sd) WHERE seq % 20 = 0 GROUP BY 1) SELECT instrument, n, round(slip, 5) AS slip, CASE WHEN slip > 1 THEN greatest(1.0, round(2.0 - 0.5 * (slip - 1), 2)) ELSE 2.0 END AS max_spread FROM m",
     "l17_intraday_replay": SES + " SELECT instrument, sd::VARCHAR AS session_date, CASE WHEN sg > 0 THEN 'long' ELSE 'short' END AS side, round(100 * (sg * (CASE WHEN sg > 0 THEN hi ELSE lo END - en) / en), 4) AS mfe_pct, round(100 * (sg * (CASE WHEN sg > 0 THEN lo ELSE hi END - en) / en), 4) AS mae_pct, round(100000 * (sg * (ex - en) / en), 4) AS pnl FROM d",
-    "l23_stress_windows": BACK + ", w AS (SELECT * FROM (VALUES ('early', TIMESTAMP '1992-06-01', TIMESTAMP '1993-06-01'), ('late', TIMESTAMP '1996-01-01', TIMESTAMP '1997-01-01')) t(name, lo, hi)), j AS (SELECT name, cv.*, equity - max(equity) OVER (PARTITION BY name, instrument ORDER BY ts) AS dd FROM cv JOIN w ON ts >= lo AND ts < hi) SELECT name, instrument, round(min(dd), 2) AS max_loss, min(pnl) AS worst_day, round(avg((direction = 'flat')::INT), 2) AS flat_share, round(avg(size), 2) AS mean_size FROM j GROUP BY 1, 2",
+    "l23_stress_windows": BACK + ", w AS (SELECT * FROM (VALUES ('early', TIMESTAMP '1992-06-01', TIMESTAMP '1993-06-01'), ('late', TIMESTAMP '1996-01-01', TIMESTAMP '1997-01-01')) t(name, lo, hi)), j AS (SELECT name, cv.*, equity - max(equity) OVER (PARTITION BY name, instrument ORDER BY ts) AS dd FROM cv JOIN w ON ts >= lo AND ts < hi), wt AS (SELECT name, instrument, ts AS t0, equity - dd AS pk FROM j QUALIFY row_number() OVER (PARTITION BY name, instrument ORDER BY dd, ts) = 1), rc AS (SELECT name, instrument, date_diff('day', min(t0)::DATE, min(ts)::DATE)::INTEGER AS days_to_recover FROM j JOIN wt USING (name, instrument) WHERE ts > t0 AND equity >= pk GROUP BY 1, 2), g AS (SELECT name, instrument, round(min(dd), 2) AS max_loss, min(pnl) AS worst_day, round(avg((direction = 'flat')::INT), 2) AS flat_share, round(avg(size), 2) AS mean_size FROM j GROUP BY 1, 2) SELECT * FROM g LEFT JOIN rc USING (name, instrument)",
     "k2_kpss": S + ", e AS (SELECT instrument, n, ret - avg(ret) OVER (PARTITION BY instrument) AS e, count(*) OVER (PARTITION BY instrument) AS t FROM ser), s AS (SELECT *, sum(e) OVER (PARTITION BY instrument ORDER BY n) AS s, ceil(4 * pow(t / 100, 0.25))::INTEGER AS lg FROM e), p AS (SELECT a.instrument, sum(2 * (1 - (a.n - b.n) / (a.lg + 1)) * a.e * b.e) AS w FROM s a JOIN s b ON a.instrument = b.instrument AND b.n < a.n AND b.n >= a.n - a.lg GROUP BY 1), g AS (SELECT instrument, t, sum(s * s) AS ss, sum(e * e) AS ee FROM s GROUP BY 1, 2) SELECT instrument, t, round(ss / t / (ee + w), 6) AS kpss FROM g JOIN p USING (instrument)",
     "e20_flat_streaks": DECIDED + ", g AS (SELECT *, sum((direction <> 'flat')::INT) OVER (PARTITION BY instrument ORDER BY ts) AS g FROM dcs), l AS (SELECT instrument, max(ts) AS last_ts, max(g) AS g FROM g GROUP BY 1) SELECT instrument, last_ts, count(*) FILTER (WHERE direction = 'flat') AS flat_days FROM g JOIN l USING (instrument, g) GROUP BY 1, 2",
     "a15_snapshot": DECIDED + """ SELECT instrument, ts, '{"direction":"' || direction || '","size":"' || CASE size WHEN 1 THEN '1.0' WHEN 0.5 THEN '0.5' ELSE '0.0' END || '"}' AS snapshot FROM dcs""",

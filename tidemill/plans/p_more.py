@@ -9,11 +9,14 @@ from ..operators import decisions as dec
 from ..operators import indicators as ind
 from ..operators import ladder as lad
 from ..operators import micro, prep, records, rules
+from ..operators.asof import asof_day
 from ..operators.bars import session_bars
-from ..sources.tables import daily_bars, read, tape
-from .p_decisions import BACK, DECIDED, VPIN, decided
-from .p_ladder import ARC, GATE, K, S, arc, gated, series
-from .p_prep import ATR, B, P, R, returns
+from ..operators.macro import spread_changes
+from ..operators.report import readings, signal_model
+from ..sources.tables import daily_bars, macro, read, tape
+from .p_decisions import ALIGNED, BACK, DECIDED, VPIN, decided
+from .p_ladder import ARC, GATE, K, S, arc, gated, series, stored_arc
+from .p_prep import ATR, B, P, R, ewm_sql, returns
 from .p_tape import NY, W, good
 from .shared import dated, rounded
 
@@ -130,9 +133,8 @@ def d13_run_status(spark, sf_dir):
 
 
 def f3_signal_model(spark, sf_dir):
-    """The model with the best out-of-sample R2 above naive, else the volatility rung."""
-    best = lad.r2_oos(arc(spark, sf_dir)).where("model != 'naive-rw'").groupBy("instrument").agg(F.max_by("model", "r2").alias("m"), F.max("r2").alias("r2"))
-    return best.select("instrument", F.when(F.col("r2") > 0, F.col("m")).otherwise("garch").alias("model"))
+    """The best model that beats the naive one, else the volatility rung."""
+    return signal_model(readings(stored_arc(spark, sf_dir)))
 
 
 def g3_purged_train(spark, sf_dir):
@@ -140,9 +142,8 @@ def g3_purged_train(spark, sf_dir):
 
 
 def i10_ladder(spark, sf_dir):
-    a = arc(spark, sf_dir)
-    found = lad.r2_oos(a).join(lad.diebold_mariano(a).select("instrument", "model", "step", "dm"), ["instrument", "model", "step"])
-    return rounded(found.withColumn("beats_naive", (F.col("r2") > 0) & (F.col("dm") > 1.96)), 5)
+    found = readings(stored_arc(spark, sf_dir)).where("model != 'naive-rw'")
+    return rounded(found.select("instrument", "model", "step", "r2", "dm", "beats_naive"), 5)
 
 
 def j5_path_quantiles(spark, sf_dir):
@@ -161,7 +162,7 @@ def l13_probabilistic_sharpe(spark, sf_dir):
 def l18_trade_summary(spark, sf_dir):
     t = dec.backtest(decided(spark, sf_dir), daily_bars(spark, sf_dir)).where("direction != 'flat' and size > 0")
     win, loss = F.when(F.col("pnl") > 0, F.col("pnl")), F.when(F.col("pnl") < 0, F.col("pnl"))
-    return rounded(t.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"), (F.sum(win) / -F.sum(loss)).alias("profit_factor")), 5)
+    return rounded(t.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"), F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"), (F.sum(win) / -F.sum(loss)).alias("profit_factor"), F.avg("mfe").alias("avg_mfe"), F.avg("mae").alias("avg_mae")), 5)
 
 
 def l22_cost_sweep(spark, sf_dir):
@@ -173,8 +174,16 @@ def l22_cost_sweep(spark, sf_dir):
     return rounded(swept.groupBy("instrument", "ticks").agg(F.sum(F.col("size") * 50 * (F.col("net_points") - cost)).alias("pnl")), 1)
 
 
+def l22_sensitivity(spark, sf_dir):
+    """How far profit moves with the cost, relative to one tick a side."""
+    swept = l22_cost_sweep(spark, sf_dir).select("instrument", F.col("ticks").alias("value"), F.col("pnl").alias("score"))
+    return rounded(dec.sensitivity(swept), 4)
+
+
 def l24_alerts(spark, sf_dir):
     rows = ind.atr(daily_bars(spark, sf_dir)).join(decided(spark, sf_dir).select("instrument", "ts", "direction"), ["instrument", "ts"])
+    known = spread_changes(macro(spark, sf_dir)).where("spread_d5 is not null")
+    rows = asof_day(rows, known, "ts", "date", ["spread_d5"])
     return rules.alerts(rows).groupBy("instrument", "alert").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -206,10 +215,19 @@ def v7_price_levels(spark, sf_dir):
     return rounded(newest.select("instrument", q(-1.2815515655446004).alias("p10"), q(0.0).alias("p50"), q(1.2815515655446004).alias("p90")), 6)
 
 
-QUERIES = {f.__name__: f for f in (a8_upsert, a11_features_extra, a12_days_not_done, a13_next_pull, a14_delete_range, b6_fresh_forecast, b7_above_noise, b8_trading_calendar, b10_dense_features, b11_encode, b12_quote_repair, c11_archive_regimes, c12_losses_against_naive, c13_latest_with_recent, c15_daily_scale, d7_gate_mix, d9_recent_ticks, d10_realised_pnl, d13_run_status, f3_signal_model, g3_purged_train, i10_ladder, j5_path_quantiles, l13_probabilistic_sharpe, l18_trade_summary, l22_cost_sweep, l24_alerts, l25_target_position, m5_daily_swap, v1_predictive_std, v6_feature_export, v7_price_levels)}
+QUERIES = {f.__name__: f for f in (a8_upsert, a11_features_extra, a12_days_not_done, a13_next_pull, a14_delete_range, b6_fresh_forecast, b7_above_noise, b8_trading_calendar, b10_dense_features, b11_encode, b12_quote_repair, c11_archive_regimes, c12_losses_against_naive, c13_latest_with_recent, c15_daily_scale, d7_gate_mix, d9_recent_ticks, d10_realised_pnl, d13_run_status, f3_signal_model, g3_purged_train, l22_sensitivity, i10_ladder, j5_path_quantiles, l13_probabilistic_sharpe, l18_trade_summary, l22_cost_sweep, l24_alerts, l25_target_position, m5_daily_swap, v1_predictive_std, v6_feature_export, v7_price_levels)}
 
 COND = R + f", s AS (SELECT *, CASE WHEN count(ret) OVER b >= 64 THEN stddev_samp(ret) OVER b END AS sg, CASE WHEN count(ret) OVER c >= 64 THEN stddev_samp(ret) OVER c END AS nx FROM rets WINDOW b AS ({P} ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING), c AS ({P} ROWS BETWEEN 255 PRECEDING AND CURRENT ROW))"
 SESSION = f"({NY} + INTERVAL 7 HOUR)::DATE::VARCHAR"
+ALERTS = (
+    DECIDED
+    + ATR[len(B) :]
+    + f", ab AS (SELECT instrument, ts, close, {ewm_sql('t', 'tr', '2 / 15.0::DOUBLE')} AS atr FROM t), "
+    + ALIGNED
+    + f", sp AS (SELECT date, (us - de) * 100 - lag((us - de) * 100, 5) OVER (ORDER BY date) AS d5 FROM al), j AS (SELECT a.*, direction FROM ab a JOIN dcs USING (instrument, ts)), x AS (SELECT j.*, d5, abs(close - lag(close) OVER ({P})) > 3 * atr AS mv, j.ts > lag(j.ts) OVER ({P}) + INTERVAL 48 HOUR AS st, sum((direction <> 'flat')::INT) OVER ({P}) AS g FROM j ASOF LEFT JOIN (SELECT * FROM sp WHERE d5 IS NOT NULL) s ON j.ts >= s.date), y AS (SELECT *, row_number() OVER (PARTITION BY instrument, g ORDER BY ts) - (g > 0)::INT AS run FROM x), z AS (SELECT instrument, unnest(list_filter([CASE WHEN mv THEN 'move' END, CASE WHEN direction = 'flat' AND run >= 5 THEN 'flat_days' END, CASE WHEN st THEN 'stale' END, CASE WHEN abs(d5) > 50 THEN 'spread' END], lambda a: a IS NOT NULL)) AS alert FROM y) SELECT instrument, alert, count(*) AS n FROM z GROUP BY 1, 2"
+)
+T_LIMIT = "(1.959963984540054 + (pow(1.959963984540054, 3) + 1.959963984540054) / (4 * (n - 1)) + (5 * pow(1.959963984540054, 5) + 16 * pow(1.959963984540054, 3) + 3 * 1.959963984540054) / (96 * pow(n - 1, 2)))"
+READ = f", r AS (SELECT {K}, 1 - sum((y - mean) * (y - mean)) / sum((y - base) * (y - base)) AS r2, count(*) AS n, avg((y - base) * (y - base) - (y - mean) * (y - mean)) AS m, var_pop((y - base) * (y - base) - (y - mean) * (y - mean)) AS g FROM based WHERE model <> 'naive-rw' GROUP BY {K}), rd AS (SELECT *, m / sqrt(g / n) * sqrt((n - 1) / n) AS dm, r2 > 0 AND m / sqrt(g / n) * sqrt((n - 1) / n) > {T_LIMIT} AS beats_naive FROM r)"
 SQL = {
     "a8_upsert": W + "SELECT user_id::VARCHAR AS instrument, ts, seq, price FROM tape QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (seq % 3 <> 0)::INT DESC, seq DESC) = 1",
     "a11_features_extra": B + """SELECT instrument, ts, '{"n_trades":' || n_trades || ',"volume":' || volume || '}' AS extra FROM bars""",
@@ -230,13 +248,15 @@ SQL = {
     "d9_recent_ticks": W + ", s AS (SELECT *, date_diff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) AS sec FROM tape) SELECT user_id::VARCHAR AS instrument, seq, count(*) OVER w AS n15, count(*) FILTER (WHERE size > 90) OVER w AS large15 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 900 PRECEDING AND CURRENT ROW)",
     "d10_realised_pnl": W + f"SELECT instrument, seq, round(sum(CASE side WHEN 'B' THEN price WHEN 'A' THEN -price ELSE 0 END) OVER (PARTITION BY instrument, {NY}::DATE ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS pnl FROM good",
     "d13_run_status": W + ", e AS (SELECT user_id, count(*) FILTER (WHERE size > 97) AS e FROM tape GROUP BY 1) SELECT user_id::VARCHAR AS instrument, CASE WHEN e = 0 THEN 'success' WHEN e < 4 THEN 'partial' ELSE 'failed' END AS status FROM e",
-    "f3_signal_model": ARC + ", r AS (SELECT instrument, model, 1 - sum((y - mean) * (y - mean)) / sum((y - base) * (y - base)) AS r2 FROM based WHERE model <> 'naive-rw' GROUP BY 1, 2) SELECT instrument, CASE WHEN max(r2) > 0 THEN arg_max(model, r2) ELSE 'garch' END AS model FROM r GROUP BY 1",
+    "f3_signal_model": ARC + READ + " SELECT instrument, coalesce(arg_max(model, r2) FILTER (WHERE beats_naive), 'garch') AS signal_model FROM rd GROUP BY 1",
     "g3_purged_train": S + ", l AS (SELECT instrument, max(n) + 1 AS len FROM ser GROUP BY 1), c AS (SELECT row_number() OVER (ORDER BY a.g, b.g) - 1 AS path, a.g AS g1, b.g AS g2 FROM (SELECT unnest(range(6)) AS g) a JOIN (SELECT unnest(range(6)) AS g) b ON a.g < b.g), e AS (SELECT instrument, path, floor(g1 * len / 6) AS a0, floor((g1 + 1) * len / 6) AS a1, floor(g2 * len / 6) AS b0, floor((g2 + 1) * len / 6) AS b1 FROM l, c) SELECT e.instrument, path::INTEGER AS path, count(*) FILTER (WHERE n >= a0 AND n < a1 OR n >= b0 AND n < b1) AS n_test, count(*) FILTER (WHERE NOT (n >= a0 - 5 AND n < a1 + 2 OR n >= b0 - 5 AND n < b1 + 2)) AS n_train FROM e JOIN ser USING (instrument) GROUP BY 1, 2",
-    "i10_ladder": ARC + f", r AS (SELECT {K}, 1 - sum((y - mean) * (y - mean)) / sum((y - base) * (y - base)) AS r2, count(*) AS n, avg((y - base) * (y - base) - (y - mean) * (y - mean)) AS m, var_pop((y - base) * (y - base) - (y - mean) * (y - mean)) AS g FROM based WHERE model <> 'naive-rw' GROUP BY {K}), d AS (SELECT *, m / sqrt(g / n) * sqrt((n - 1) / n) AS dm FROM r) SELECT {K}, round(r2, 5) AS r2, round(dm, 5) AS dm, r2 > 0 AND dm > 1.96 AS beats_naive FROM d",
+    "i10_ladder": ARC + READ + f" SELECT {K}, round(r2, 5) AS r2, round(dm, 5) AS dm, beats_naive FROM rd",
     "j5_path_quantiles": "WITH s AS (SELECT vec_id, unnest(range(5)) AS step, embedding FROM embeddings), p AS (SELECT vec_id // 20 AS origin, vec_id AS path, step::INTEGER AS step, 100 * exp(embedding[step + 1]::DOUBLE / 10) AS close FROM s), r AS (SELECT *, ln(greatest(close, 1e-9) / greatest(first_value(close) OVER (PARTITION BY origin, path ORDER BY step), 1e-9)) AS ret FROM p) SELECT origin, step, round(avg(ret), 6) AS mean, round(quantile_cont(ret, 0.01), 6) AS q01, round(quantile_cont(ret, 0.5), 6) AS q50, round(quantile_cont(ret, 0.99), 6) AS q99 FROM r WHERE step > 0 GROUP BY 1, 2",
     "l13_probabilistic_sharpe": R + ", r AS (SELECT instrument, ret - 0.01 AS r FROM rets WHERE ret IS NOT NULL), m AS (SELECT instrument, count(*) AS n, avg(r) / stddev_samp(r) AS sr, skewness(r) AS skew, kurtosis(r) AS kurt FROM r GROUP BY 1) SELECT instrument, n, round(sr, 5) AS sharpe, round(skew, 5) AS skew, round(kurt, 5) AS kurt, round(sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt + 2) / 4 * sr * sr), 5) AS psr_z FROM m",
-    "l18_trade_summary": BACK + " SELECT instrument, count(*) AS n, round(avg(pnl) FILTER (WHERE pnl > 0), 5) AS avg_win, round(avg(pnl) FILTER (WHERE pnl < 0), 5) AS avg_loss, round(sum(pnl) FILTER (WHERE pnl > 0) / -sum(pnl) FILTER (WHERE pnl < 0), 5) AS profit_factor FROM cv WHERE direction <> 'flat' AND size > 0 GROUP BY 1",
+    "l18_trade_summary": BACK + f", hl AS (SELECT instrument, ts, lead(high) OVER ({P}) AS hn, lead(low) OVER ({P}) AS ln, lead(open) OVER ({P}) AS o FROM bars)" + " SELECT instrument, count(*) AS n, round(avg(pnl) FILTER (WHERE pnl > 0), 5) AS avg_win, round(avg(pnl) FILTER (WHERE pnl < 0), 5) AS avg_loss, round(sum(pnl) FILTER (WHERE pnl > 0) / -sum(pnl) FILTER (WHERE pnl < 0), 5) AS profit_factor, round(avg(CASE direction WHEN 'long' THEN hn - o ELSE o - ln END), 5) AS avg_mfe, round(avg(CASE direction WHEN 'long' THEN ln - o ELSE o - hn END), 5) AS avg_mae FROM cv JOIN hl USING (instrument, ts) WHERE direction <> 'flat' AND size > 0 GROUP BY 1",
+    "l24_alerts": ALERTS,
     "l22_cost_sweep": BACK.replace(" - 0.5 WHEN", " WHEN").replace(") - 0.5 ELSE", ") ELSE") + ", g AS (SELECT unnest([0.0, 0.5, 1.0, 2.0, 4.0]::DOUBLE[]) AS ticks) SELECT instrument, ticks, round(sum(size * 50 * (net_points - CASE WHEN direction <> 'flat' THEN ticks * 0.5 ELSE 0 END)), 1) AS pnl FROM pl, g GROUP BY 1, 2",
+    "l22_sensitivity": BACK.replace(" - 0.5 WHEN", " WHEN").replace(") - 0.5 ELSE", ") ELSE") + ", g AS (SELECT unnest([0.0, 0.5, 1.0, 2.0, 4.0]::DOUBLE[]) AS ticks) , sw AS (SELECT instrument, ticks AS value, round(sum(size * 50 * (net_points - CASE WHEN direction <> 'flat' THEN ticks * 0.5 ELSE 0 END)), 1) AS score FROM pl, g GROUP BY 1, 2) SELECT s.instrument, s.value, s.score, round((s.score / nullif(b.score, 0) - 1) / (s.value - 1), 4) AS sensitivity FROM sw s JOIN sw b ON s.instrument = b.instrument AND b.value = 1 WHERE s.value <> 1",
     "l25_target_position": DECIDED + f", p AS (SELECT instrument, ts, greatest(-8, least(8, round(CASE direction WHEN 'long' THEN 1 WHEN 'short' THEN -1 ELSE 0 END * size * 10)))::INTEGER AS position FROM dcs) SELECT *, position - lag(position, 1, 0) OVER ({P}) AS change FROM p",
     "m5_daily_swap": B + "SELECT instrument, ts, round(0.02::DOUBLE / 365 * close / 0.0001::DOUBLE * CASE WHEN isodow(ts) = 3 THEN 3 ELSE 1 END, 3) AS pips FROM bars",
     "v1_predictive_std": ARC + " SELECT instrument, origin, round((q[7] - q[3]) / 2, 5) AS std, round(q[8] - q[2], 5) AS width90 FROM ar",
