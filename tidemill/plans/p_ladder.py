@@ -131,7 +131,7 @@ ARC = (
     + f""",
 nq AS (SELECT *, lead(ret) OVER ({N}) AS y, quantile_cont(ret, {LV}) OVER ({N} ROWS BETWEEN 249 PRECEDING AND CURRENT ROW) AS qs FROM ser),
 naive AS (SELECT instrument, 'naive-rw' AS model, n AS origin, 1 AS step, n + 1 AS target, y, 0.0::DOUBLE AS mean, list_transform(qs, lambda x: x - qs[5]) AS q FROM nq WHERE n >= 251 AND y IS NOT NULL),
-eh AS (SELECT *, lead(ret) OVER ({N}) AS y, avg(ret) OVER ({N}) AS mu, var_samp(ret) OVER ({N}) AS v0, list(ret) OVER ({N} ROWS BETWEEN 299 PRECEDING AND CURRENT ROW) AS h FROM ser),
+eh AS (SELECT *, lead(ret) OVER ({N}) AS y, avg(ret) OVER ({N}) AS mu, var_samp(ret) OVER ({N}) AS v0, list(ret) OVER ({N}) AS h FROM ser),
 ev AS (SELECT *, sqrt(greatest(list_reduce(list_prepend(v0, h), lambda a, x: 0.94::DOUBLE * a + (1 - 0.94::DOUBLE) * (x - mu) * (x - mu)), 1e-24)) AS s FROM eh WHERE n >= 251 AND y IS NOT NULL),
 garch AS (SELECT instrument, 'garch' AS model, n AS origin, 1 AS step, n + 1 AS target, y, mu AS mean, list_transform({ZS}, lambda z: mu + s * z) AS q FROM ev),
 ax AS (SELECT *, lead(ret) OVER ({N}) AS y, lag(ret) OVER ({N}) AS x FROM ser),
