@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,12 +22,14 @@ SLICE_BYTES = 3 << 20
 class Scratch:
     """Tables written once below the folder that ``spark.checkpoint.dir`` names, and read back.
 
-    Writing cuts lineage and survives lost executors. Only where the setting is absent (tests)
-    a local folder is chosen.
+    Writing cuts lineage and survives lost executors. Only where the setting is absent and
+    Spark itself is local (tests) a local folder is chosen.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not root:
             root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.sparkContext.setCheckpointDir(root)

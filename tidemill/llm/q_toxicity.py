@@ -15,8 +15,9 @@ def learned(spark, docs, sf_dir):
 
 
 def op4_toxicity(spark, sf_dir):
+    """(doc_id, held_out, score, predicted) of every row; a row without an id is never held out, and no label is its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = docs.select("doc_id", held_out().alias("held_out"), score_column(learned(spark, docs, sf_dir))["score"].alias("score"))
+    scored = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score_column(learned(spark, docs, sf_dir))["score"].alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
