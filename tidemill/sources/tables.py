@@ -62,11 +62,16 @@ def resolve_time(df: DataFrame) -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; a local one only where it is unset."""
+    """A new folder below the one that spark.checkpoint.dir names; a local one only where it is unset
+    and Spark itself is local (tests)."""
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
