@@ -13,6 +13,7 @@ from ..operators.asof import asof_day
 from ..operators.bars import session_bars
 from ..operators.macro import spread_changes
 from ..operators.report import readings, signal_model
+from ..sources.feeds import sampled_paths
 from ..sources.tables import daily_bars, macro, read, tape
 from .p_decisions import ALIGNED, BACK, DECIDED, VPIN, decided
 from .p_ladder import ARC, GATE, K, S, arc, gated, series, stored_arc
@@ -147,9 +148,7 @@ def i10_ladder(spark, sf_dir):
 
 
 def j5_path_quantiles(spark, sf_dir):
-    vectors = read(spark, sf_dir, "embeddings")
-    steps = vectors.select(F.col("vec_id").alias("v"), F.posexplode("embedding").alias("step", "x")).where("step < 5")
-    paths = steps.select((F.col("v") / 20).cast("long").alias("origin"), F.col("v").alias("path"), "step", (100 * F.exp(F.col("x").cast("double") / 10)).alias("close"))
+    paths = sampled_paths(read(spark, sf_dir, "embeddings"))
     q = rules.path_quantiles(paths, lad.LEVELS)
     return rounded(q.select("origin", "step", "mean", F.element_at("q", 1).alias("q01"), F.element_at("q", 5).alias("q50"), F.element_at("q", 9).alias("q99")), 6)
 
@@ -251,7 +250,7 @@ SQL = {
     "f3_signal_model": ARC + READ + " SELECT instrument, coalesce(arg_max(model, r2) FILTER (WHERE beats_naive), 'garch') AS signal_model FROM rd GROUP BY 1",
     "g3_purged_train": S + ", l AS (SELECT instrument, max(n) + 1 AS len FROM ser GROUP BY 1), c AS (SELECT row_number() OVER (ORDER BY a.g, b.g) - 1 AS path, a.g AS g1, b.g AS g2 FROM (SELECT unnest(range(6)) AS g) a JOIN (SELECT unnest(range(6)) AS g) b ON a.g < b.g), e AS (SELECT instrument, path, floor(g1 * len / 6) AS a0, floor((g1 + 1) * len / 6) AS a1, floor(g2 * len / 6) AS b0, floor((g2 + 1) * len / 6) AS b1 FROM l, c) SELECT e.instrument, path::INTEGER AS path, count(*) FILTER (WHERE n >= a0 AND n < a1 OR n >= b0 AND n < b1) AS n_test, count(*) FILTER (WHERE NOT (n >= a0 - 5 AND n < a1 + 2 OR n >= b0 - 5 AND n < b1 + 2)) AS n_train FROM e JOIN ser USING (instrument) GROUP BY 1, 2",
     "i10_ladder": ARC + READ + f" SELECT {K}, round(r2, 5) AS r2, round(dm, 5) AS dm, beats_naive FROM rd",
-    "j5_path_quantiles": "WITH s AS (SELECT vec_id, unnest(range(5)) AS step, embedding FROM embeddings), p AS (SELECT vec_id // 20 AS origin, vec_id AS path, step::INTEGER AS step, 100 * exp(embedding[step + 1]::DOUBLE / 10) AS close FROM s), r AS (SELECT *, ln(greatest(close, 1e-9) / greatest(first_value(close) OVER (PARTITION BY origin, path ORDER BY step), 1e-9)) AS ret FROM p) SELECT origin, step, round(avg(ret), 6) AS mean, round(quantile_cont(ret, 0.01), 6) AS q01, round(quantile_cont(ret, 0.5), 6) AS q50, round(quantile_cont(ret, 0.99), 6) AS q99 FROM r WHERE step > 0 GROUP BY 1, 2",
+    "j5_path_quantiles": "WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS step, embedding FROM embeddings), p AS (SELECT vec_id // 20 AS origin, vec_id AS path, step::INTEGER AS step, 100 * exp(embedding[step + 1]::DOUBLE / 10) AS close FROM s), r AS (SELECT *, ln(greatest(close, 1e-9) / greatest(first_value(close) OVER (PARTITION BY origin, path ORDER BY step), 1e-9)) AS ret FROM p) SELECT origin, step, round(avg(ret), 6) AS mean, round(quantile_cont(ret, 0.01), 6) AS q01, round(quantile_cont(ret, 0.5), 6) AS q50, round(quantile_cont(ret, 0.99), 6) AS q99 FROM r WHERE step > 0 GROUP BY 1, 2",
     "l13_probabilistic_sharpe": R + ", r AS (SELECT instrument, ret - 0.01 AS r FROM rets WHERE ret IS NOT NULL), m AS (SELECT instrument, count(*) AS n, avg(r) / stddev_samp(r) AS sr, skewness(r) AS skew, kurtosis(r) AS kurt FROM r GROUP BY 1) SELECT instrument, n, round(sr, 5) AS sharpe, round(skew, 5) AS skew, round(kurt, 5) AS kurt, round(sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt + 2) / 4 * sr * sr), 5) AS psr_z FROM m",
     "l18_trade_summary": BACK + f", hl AS (SELECT instrument, ts, lead(high) OVER ({P}) AS hn, lead(low) OVER ({P}) AS ln, lead(open) OVER ({P}) AS o FROM bars)" + " SELECT instrument, count(*) AS n, round(avg(pnl) FILTER (WHERE pnl > 0), 5) AS avg_win, round(avg(pnl) FILTER (WHERE pnl < 0), 5) AS avg_loss, round(sum(pnl) FILTER (WHERE pnl > 0) / -sum(pnl) FILTER (WHERE pnl < 0), 5) AS profit_factor, round(avg(CASE direction WHEN 'long' THEN hn - o ELSE o - ln END), 5) AS avg_mfe, round(avg(CASE direction WHEN 'long' THEN ln - o ELSE o - hn END), 5) AS avg_mae FROM cv JOIN hl USING (instrument, ts) WHERE direction <> 'flat' AND size > 0 GROUP BY 1",
     "l24_alerts": ALERTS,
