@@ -69,10 +69,11 @@ def cpcv_members(rows: DataFrame, paths: DataFrame, groups: int = 6, purge: int
 
 
 def probabilistic_sharpe(returns: DataFrame, column: str = "r") -> DataFrame:
-    """Per-period Sharpe, unbiased skew and kurtosis, and the statistic of the probabilistic Sharpe ratio."""
-    n = F.count(column)
-    found = returns.groupBy("instrument").agg(n.alias("n"), (F.avg(column) / F.stddev_samp(column)).alias("sharpe"), F.skewness(column).alias("g1"), F.kurtosis(column).alias("g2"))
-    k = F.col("n")
+    """Per-period Sharpe, unbiased skew and kurtosis, and the statistic of the probabilistic Sharpe ratio; null
+    for returns that are all equal, the last three also for three rows or fewer."""
+    n, sd = F.count(column), F.stddev_samp(column)
+    found = returns.groupBy("instrument").agg(n.alias("n"), (F.avg(column) / F.when(sd > 0, sd)).alias("sharpe"), F.skewness(column).alias("g1"), F.kurtosis(column).alias("g2"))
+    k = F.when(F.col("n") > 3, F.col("n"))
     skew = F.col("g1") * F.sqrt(k * (k - 1)) / (k - 2)
     kurt = (k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * F.col("g2") + 6)
     found = found.withColumn("skew", skew).withColumn("kurt", kurt)
