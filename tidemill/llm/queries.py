@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold ``QUERIES`` and ``SQL``.
-MODULES = ("q_mixing", "q_tokens", "q_quality", "q_toxicity", "q_near_dups", "q_decontaminate", "q_repeats", "q_line_dedup", "q_secrets", "q_pii", "q_simhash", "q_alignment")
+MODULES = ("q_mixing", "q_tokens", "q_quality", "q_toxicity", "q_near_dups", "q_decontaminate", "q_repeats", "q_line_dedup", "q_secrets", "q_pii", "q_simhash", "q_alignment", "q_phrases")
 
 
 def queries() -> dict:
