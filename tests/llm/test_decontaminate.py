@@ -128,3 +128,56 @@ def test_queries_match_short_items_exactly(spark, tmp_path):
     spark.createDataFrame([(4, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [tuple(r) for r in op8_decontamination(spark, str(tmp_path)).collect()] == [(1, 4, 1, 0)]
     assert [r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def by_whole_pieces(items, text, share=0.1):
+    """{item: (edits, start)} of a text, exactly: e edits leave one of an item's e + 1 pieces whole, and around
+    each place where one stands the whole item is compared."""
+    w, out = text.split(), {}
+    places = {}
+    for i, word in enumerate(w):
+        places.setdefault(word, []).append(i)
+    for item_id, t in items:
+        x = t.split()
+        e = edits_allowed(len(x), share)
+        edge = [k * len(x) // (e + 1) for k in range(e + 2)]
+        starts = {p - a + d for a, b in zip(edge, edge[1:]) for p in places.get(x[a], []) if w[p : p + b - a] == x[a:b] for d in range(-e, e + 1)}
+        best = min(((distance(x, w[s : s + len(x) + e]), s) for s in starts if 0 <= s < len(w)), default=(e + 1, 0))
+        if best[0] <= e:
+            out[item_id] = best
+    return out
+
+
+@pytest.mark.parametrize("m", [5, 9, 10, 14, 19, 29, 39, 47, 48, 59, 100, 400, 1000])
+def test_recall_with_all_edits_allowed(m):
+    """The share of passages with all their edits that are met, by length; at least 0.995 of 200."""
+    rng = random.Random(m)
+    rows = [(i, " ".join(f"q{rng.randrange(4000)}" for _ in range(m))) for i in range(200 if m < 100 else 40)]
+    docs = [" ".join([f"q{rng.randrange(4000)}" for _ in range(20)] + edited(t.split(), edits_allowed(m), rng) + [f"q{rng.randrange(4000)}" for _ in range(20)]) for _, t in rows]
+    block = Items(rows)
+    got = {(row, block.item_ids[i][0]) for row, i, _, _ in block.search(pa.array(docs))}
+    assert sum((k, k) in got for k in range(len(rows))) >= 0.995 * len(rows)
+
+
+def test_matches_equal_the_exact_search(items):
+    """Against the exact search, with any number of edits around the allowance; nothing more is found, and less
+    only at the recall."""
+    rng, docs = random.Random(17), []
+    for _, text in items:
+        words = text.split()
+        n = max(0, edits_allowed(len(words)) + rng.randrange(-2, 3))
+        docs.append(" ".join(rng.choice(items)[1].split()[:9] + edited(words, n, rng) + ["the", "of"] * 8))
+    want = {(d, i, *found) for d, text in enumerate(docs) for i, found in by_whole_pieces(items, text).items()}
+    block = Items(items)
+    got = {(row, block.item_ids[i][0], edits, at) for row, i, at, edits in block.search(pa.array(docs))}
+    assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 60
+
+
+def test_blocks_of_items_give_the_same(spark, items):
+    rng = random.Random(19)
+    docs = spark.createDataFrame([(k, "so it is " + " ".join(edited(t.split(), 1, rng)) + " and on") for k, (_, t) in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, find_leaks(docs, bench).collect()))
+    assert len(one) == len(items)
+    assert sorted(map(tuple, find_leaks(docs, bench, block_words=1500).collect())) == one
+    assert without_leaks(docs, bench, block_words=1500).count() == 0

@@ -1,25 +1,38 @@
 """Benchmark decontamination by edit distance over words.
 
 A text is contaminated by a benchmark item if some run of its words is within ``max_edits`` word edits
-(a tenth of the item's words) of the whole item. Candidates are found exactly: an item of m words with e
-allowed edits is cut into e + 1 pieces, and e edits leave one piece whole, at most e words from its place.
-The pieces' hashes are looked up at every word of a text; around each hit all starts are compared with the
-whole item by exact edit distance. So every match is found, whatever the item's length.
+(a tenth of the item's words) of the whole item. Items are cut into pieces of bounded length, of which one
+has no more than its share of the edits. Pieces and the text's windows of a piece's length are embedded by
+CGK random walks: a step writes the word under the pointer, which then moves on or stays by a random bit of
+step and word; edit distance becomes Hamming distance, since two walks that an edit has parted meet again by
+chance. Samples of positions of the embeddings are hashed; equal hashes make a candidate. For each length of
+pieces, walks are repeated until a simulation of passages with all edits that are allowed meets
+``RECALL`` of them. Candidates are then compared with the whole item, around the place, by exact edit
+distance.
+
+Only windows that can match are embedded: n words with e edits keep n - e words and n - 1 - 2e pairs of
+neighbours, so windows with fewer words and pairs of pieces of that length are passed over without loss.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, slices, words
+from .common import Scratch, hash_words, mix64, slices, words
 
 EDIT_SHARE = 0.1
-FACTOR = 0x9E3779B97F4A7C15  # of the hashes of pieces
 LEAST_WORDS = 5
-MAX_ITEM_WORDS = 2_000_000  # words of one block of items, which every task holds
+MAX_ITEM_WORDS = 500_000  # words of one block of items, which every task holds
+PIECE = 24  # words of a piece of a longer item, at least; pieces have fewer than twice as many
+RECALL = 0.9995  # of passages with all edits that are allowed, by one piece
+POSITIONS, SAMPLES = 3, 2  # sampled positions of a hash, hashes of a walk
+MOST_WALKS = 256
+_C = np.uint64(0x9E3779B97F4A7C15)
 
 
 def edits_allowed(n_words: int, share: float = EDIT_SHARE) -> int:
@@ -46,13 +59,74 @@ def start_distances(item: np.ndarray, region: np.ndarray) -> np.ndarray:
     return row[::-1]
 
 
-def cut(n_words: int, edits: int) -> list[tuple[int, int]]:
-    """(start, length) of edits + 1 pieces of an item, as equal as can be."""
-    n = min(edits + 1, n_words)
+def cut(n_words: int) -> list[tuple[int, int]]:
+    """(start, length) of an item's pieces, as equal as can be."""
+    n = max(1, n_words // PIECE)
     edge = [k * n_words // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edge, edge[1:])]
 
 
+@lru_cache(None)
+def _positions(n: int) -> np.ndarray:
+    """(walks, SAMPLES, POSITIONS) sampled positions of the embedding of n words, the same everywhere."""
+    rng = np.random.default_rng(n)
+    return np.stack([np.sort(rng.choice(2 * n, min(POSITIONS, 2 * n), replace=False)) for _ in range(MOST_WALKS * SAMPLES)]).reshape(MOST_WALKS, SAMPLES, -1)
+
+
+def embed(tokens: np.ndarray, at: np.ndarray, length: np.ndarray, n: int, walk: np.ndarray) -> np.ndarray:
+    """(windows, SAMPLES) hashes of sampled positions of the windows' embeddings by a walk each. A window starts
+    at a token and has length words, n at most; after its end the walk reads blanks."""
+    taken = _positions(n)[walk]
+    out = np.repeat(mix64((walk.astype(np.uint64) + np.uint64(1)) * _C)[:, None], SAMPLES, axis=1) + np.arange(SAMPLES, dtype=np.uint64)
+    off, last = np.zeros(len(at), np.int64), len(tokens) - 1
+    with np.errstate(over="ignore"):
+        for j in range(int(taken.max()) + 1):
+            word = np.where(off < length, tokens[np.minimum(at + off, last)], np.uint64(0))
+            mixed = mix64(word ^ mix64((walk.astype(np.uint64) << np.uint64(20)) + np.uint64(j + 1)))
+            for s in range(SAMPLES):
+                here = (taken[:, s] == j).any(axis=1)
+                out[:, s] = np.where(here, mix64(out[:, s] * _C + word + np.uint64(j)), out[:, s])
+            off += (mixed >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+    return out
+
+
+@lru_cache(None)
+def walks_needed(n: int, edits: int, recall: float = RECALL, trials: int = 256, tried: int = 64) -> int:
+    """Walks with which windows that are so many random edits from a piece of n words meet it in the wanted
+    share of cases, from the share of walks that meet in simulated cases."""
+    if not edits:
+        return 1
+    rng = np.random.default_rng(1000 * n + edits)
+    rows = []
+    for _ in range(trials):
+        piece = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+        text = piece.tolist()
+        for _ in range(edits):
+            k, how, new = int(rng.integers(len(text))), int(rng.integers(3)), int(rng.integers(1, 1 << 62))
+            text[k : k + (how < 2)] = [] if how == 0 else [new]
+        rows.append(np.concatenate([piece, np.array(text, np.uint64), rng.integers(1, 1 << 62, 2 * n, dtype=np.uint64)])[: 3 * n])
+    tokens, walk = np.concatenate(rows), np.tile(np.arange(tried), trials)
+    start, full = np.repeat(np.arange(trials) * 3 * n, tried), np.full(trials * tried, n)
+    met = (embed(tokens, start, full, n, walk) == embed(tokens, start + n, full, n, walk)).any(axis=1).reshape(trials, tried)
+    share = np.maximum(met.mean(axis=1), 0.5 / tried)
+    for walks in range(1, MOST_WALKS):
+        if np.mean(1 - (1 - share) ** walks) >= recall:
+            return walks
+    return MOST_WALKS
+
+
+def _runs(tokens: np.ndarray, size: int) -> np.ndarray:
+    return tokens if size == 1 else tokens[:-1] * _C + tokens[1:]
+
+
+def _bits_of(asked: np.ndarray, known: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The bits of the known hashes among those asked for, 0 for others."""
+    if not len(known):
+        return np.zeros(len(asked), np.uint64)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return np.where(known[at] == asked, bits[at], np.uint64(0))
+
+
 class Items:
     """A block of benchmark items, ready to be looked up."""
 
@@ -66,25 +140,39 @@ class Items:
         texts = sorted(by_text, key=lambda t: (len(t), t))
         self.item_ids, self.items = [by_text[t] for t in texts], [np.frombuffer(t, np.uint64) for t in texts]
         self.edits = [edits_allowed(len(x), share) for x in self.items]
-        self.vocabulary = np.unique(np.concatenate(self.items)) if texts else np.zeros(0, np.uint64)
-        pieces: dict[int, list[tuple[int, int, int]]] = {}
-        for i, (x, e) in enumerate(zip(self.items, self.edits)):
-            for at, n in cut(len(x), e):
-                pieces.setdefault(n, []).append((self._gram(x[at : at + n]), i, at))
-        self.tables = {}
-        for n in sorted(pieces):
-            key, item, at = (np.array(x, t) for x, t in zip(zip(*pieces[n]), (np.uint64, np.int64, np.int64)))
-            order, bits = np.argsort(key, kind="stable"), int(np.ceil(np.log2(len(key)))) + 6
-            seen = np.zeros(1 << bits, bool)
-            seen[key >> np.uint64(64 - bits)] = True
-            self.tables[n] = (key[order], item[order], at[order], seen, np.uint64(64 - bits))
-
-    @staticmethod
-    def _gram(piece: np.ndarray) -> int:
-        h = 0
-        for w in piece:
-            h = (h * FACTOR + int(w)) & 0xFFFFFFFFFFFFFFFF
-        return h
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for i, x in enumerate(self.items):
+            for at, n in cut(len(x)):
+                pieces.setdefault(n, []).append((i, at))
+        self.classes = [(n, edits_allowed(n, share)) for n in sorted(pieces)]
+        self.tables = [self._table(pieces[n], n, walks_needed(n, e)) for n, e in self.classes]
+        self.pairs, self.of_pair = self._known(pieces, 2)
+        self.words, self.of_word = self._known(pieces, 1)
+
+    def _table(self, pieces, n: int, walks: int):
+        """Sorted hashes of the class's pieces by all walks, and the piece of each."""
+        rows = np.concatenate([self.items[i][at : at + n] for i, at in pieces])
+        start, walk = np.repeat(np.arange(len(pieces)) * n, walks), np.tile(np.arange(walks), len(pieces))
+        key = embed(rows, start, np.full(len(start), n), n, walk).ravel()
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), walks * SAMPLES)
+        order = np.argsort(key, kind="stable")
+        item, at = (np.array(x, np.int64) for x in zip(*pieces))
+        return key[order], piece[order], item, at, walks
+
+    def _known(self, pieces, size: int):
+        """Sorted hashes of all runs of size words in pieces, and the classes that have each, as bits."""
+        found = []
+        for c, n in enumerate(sorted(pieces)):
+            runs = [_runs(self.items[i][at : at + n], size) for i, at in pieces[n]]
+            runs = np.unique(np.concatenate(runs))
+            found.append((runs, np.full(len(runs), c)))
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        run, kind = (np.concatenate(x) for x in zip(*found))
+        distinct, at = np.unique(run, return_inverse=True)
+        bits = np.zeros(len(distinct), np.uint64)
+        np.bitwise_or.at(bits, at, np.uint64(1) << kind.astype(np.uint64))
+        return distinct, bits
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item, start word, edits) of every text and item that match; the nearest window counts, the
@@ -96,18 +184,16 @@ class Items:
             return []
         coded = hash_words(distinct) | np.uint64(1)
         tokens = coded[ids]
-        known = np.concatenate([[0], np.cumsum(np.isin(coded, self.vocabulary)[ids], dtype=np.int64)])
+        word_bits = _bits_of(coded, self.words, self.of_word)[ids]
         ends = np.repeat(starts[1:], np.diff(starts))
+        both = np.flatnonzero((word_bits[:-1] != 0) & (word_bits[1:] != 0) & (ends[:-1] == ends[1:]))
+        pair_bits = np.zeros(len(tokens), np.uint64)
+        pair_bits[both] = _bits_of(tokens[both] * _C + tokens[both + 1], self.pairs, self.of_pair)
         near: dict[tuple[int, int], list[int]] = {}
-        gram, done = np.zeros(len(tokens), np.uint64), 0
-        for n, table in self.tables.items():
-            for k in range(done, min(n, len(tokens))):  # one more word for each gram
-                gram = gram[: len(tokens) - k] * np.uint64(FACTOR) + tokens[k:]
-            done = n
-            if n > len(tokens):
-                break
-            here = np.flatnonzero((known[n:] - known[:-n] == n) & (np.arange(n, len(tokens) + 1) <= ends[: len(gram)]))
-            self._meet(table, here, gram, starts, near)
+        for c, ((n, e), table) in enumerate(zip(self.classes, self.tables)):
+            here = self._possible(c, n, e, word_bits, pair_bits, ends)
+            for lo in range(0, len(here), 1 << 14):
+                self._meet(table, n, here[lo : lo + (1 << 14)], tokens, ends, starts, near)
         out = []
         for (row, i), places in sorted(near.items()):
             best = self._nearest(i, np.unique(places), tokens, int(starts[row]), int(starts[row + 1]))
@@ -116,16 +202,29 @@ class Items:
         return out
 
     @staticmethod
-    def _meet(table, here, gram, starts, near) -> None:
-        """Adds the words at which an item stands if its piece stands where a text has the same words."""
-        keys, items, offsets, seen, shift = table
-        here = here[seen[gram[here] >> shift]]
-        left, right = np.searchsorted(keys, gram[here], "left"), np.searchsorted(keys, gram[here], "right")
-        for k in np.flatnonzero(right > left):
-            p = int(here[k])
-            row = int(np.searchsorted(starts, p, "right")) - 1
-            for x in range(left[k], right[k]):
-                near.setdefault((row, int(items[x])), []).append(p - int(offsets[x]))
+    def _possible(c: int, n: int, e: int, word_bits, pair_bits, ends) -> np.ndarray:
+        """Starts of windows with enough words and pairs of the class."""
+        bit = np.uint64(1) << np.uint64(c)
+        count = lambda bits: np.append(0, np.cumsum((bits & bit) != 0))
+        at = np.arange(len(ends))
+        stop = np.minimum(at + n + e, ends)
+        some = count(word_bits)
+        here = np.flatnonzero(some[stop] - some[:-1] >= max(1, n - e))
+        pairs = count(pair_bits)
+        return here[pairs[np.maximum(stop[here] - 1, here)] - pairs[here] >= n - 1 - 2 * e]
+
+    def _meet(self, table, n: int, here, tokens, ends, starts, near) -> None:
+        """Adds the words at which an item may stand: where a window's hash is one of a piece's."""
+        keys, pieces, items, offsets, walks = table
+        length = np.minimum(n, ends[here] - here)
+        for w in range(walks):
+            key = embed(tokens, here, length, n, np.full(len(here), w))
+            left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            for k, s in zip(*np.nonzero(right > left)):
+                p = int(here[k])
+                row = int(np.searchsorted(starts, p, "right")) - 1
+                for x in pieces[left[k, s] : right[k, s]]:
+                    near.setdefault((row, int(items[x])), []).append(p - int(offsets[x]))
 
     def _nearest(self, i, places, tokens, first, last) -> tuple[int, int] | None:
         """(edits, start word in the text) of the nearest window of item i with a start near the places."""
@@ -165,31 +264,44 @@ def hits_column(rows: list[tuple[int, str]], text="text", share: float = EDIT_SH
     return run(F.col(text) if isinstance(text, str) else text)
 
 
-def item_blocks(benchmark: DataFrame, most: int = MAX_ITEM_WORDS) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of a bounded size; items without an id or a text are left out."""
+def item_blocks(benchmark: DataFrame, most: int = MAX_ITEM_WORDS):
+    """The benchmark in blocks of a bounded size, one at a time; items without an id or a text are left out."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
     n = -(-total // most)
     part = F.pmod(F.xxhash64("item_id"), F.lit(max(1, n)))
-    return [[(r.item_id, r.text) for r in rows.where(part == k).orderBy("item_id", "text").collect()] for k in range(n)]  # a block
+    for k in range(max(1, n)):
+        yield [(r.item_id, r.text) for r in rows.where(part == k).orderBy("item_id", "text").collect()]  # a block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_words: int = MAX_ITEM_WORDS, **how) -> DataFrame:
     """(doc_id, item_id, start_word, edits): every document and item that match, at the nearest window.
 
     Words are runs without ASCII white space, A-Z in lower case. Null and empty texts match nothing, and
     neither do items of fewer than least_words words (five); shorter ones that are let in match exactly. Rows of one doc_id give rows each; items of equal words
-    give a row for each item_id. Extra columns are not read; empty tables give an empty table.
+    give a row for each item_id. Extra columns are not read; empty tables give an empty table. Of items of
+    ten words and more, which may have edits, RECALL of the matches with all edits allowed are met at least
+    (one without edits always is). A benchmark of several blocks is searched block by block, each written.
     """
-    out = None
-    for rows in item_blocks(benchmark) or [[]]:
-        hits = docs.select("doc_id", F.explode(hits_column(rows, **how)).alias("h")).select("doc_id", "h.*")
-        out = hits if out is None else out.union(hits)
-    return out
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs that match no item, all columns as they were."""
-    for rows in item_blocks(benchmark):
-        docs = docs.where(F.size(hits_column(rows, **how)) == 0)
-    return docs
+    scratch, out, held = None, None, None
+    for k, rows in enumerate(item_blocks(benchmark, block_words)):
+        if held is not None:  # one block's items are held at a time
+            scratch = scratch or Scratch(docs.sparkSession, "leaks")
+            held = scratch.save(held, f"block-{k}")
+            out = held if out is None else out.union(held)
+        held = docs.select("doc_id", F.explode(hits_column(rows, **how)).alias("h")).select("doc_id", "h.*")
+    if out is None:
+        return held
+    return out.union(scratch.save(held, "block-last"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, block_words: int = MAX_ITEM_WORDS, **how) -> DataFrame:
+    """The rows of docs that match no item, all columns as they were; nulls and the rest as in find_leaks. A
+    benchmark of several blocks is applied block by block, each result written."""
+    scratch, held = None, docs
+    for k, rows in enumerate(item_blocks(benchmark, block_words)):
+        if k:
+            scratch = scratch or Scratch(docs.sparkSession, "clean")
+            held = scratch.save(held, f"block-{k}")
+        held = held.where(F.size(hits_column(rows, **how)) == 0)
+    return held
