@@ -82,7 +82,7 @@ def test_tries_hold_their_phrases_and_no_others(shape):
         codes[:, 1] = 7
     codes = np.unique(codes, axis=0)
     rng.shuffle(codes)
-    trie = tries.Trie(codes, 900)
+    trie = tries.Trie(codes, 31)
     held = {tuple(c): e for c, e in zip(codes.tolist(), trie.ends.tolist())}
     assert len(set(held.values())) == len(codes)
     asked = np.concatenate([codes, rng.integers(0, 900, (5000, 3))])

@@ -96,4 +96,4 @@ def hash_words(distinct: pa.Array) -> np.ndarray:
     """64-bit hashes of distinct words, the same on every machine."""
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh64_intdigest, distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))
+    return np.fromiter(map(xxhash.xxh64_intdigest, distinct.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(distinct))

@@ -8,9 +8,9 @@ rarest of its parts at most):
 2. places whose two words are frequent are counted by hash into a filter of a fixed number of bits, one for
    each hash that can belong to a frequent pair; the same for three words, where both pairs pass;
 3. the distinct phrases at the places that pass are the candidates: no frequent phrase is missing;
-4. candidates are dealt over double-array tries of a bounded size, which are broadcast a few at a time. All
-   places of a slice go through a trie at once, word by word, and the states that end a phrase are counted;
-   counts are added over the slices. This count is exact: words are compared as strings.
+4. candidates are dealt by hash over double-array tries of a bounded size, which are broadcast a few at a
+   time. All places of a slice go through the trie of their hash at once, word by word, and the states that end
+   a phrase are counted; counts are added over the slices. This count is exact: words are compared as strings.
 
 A filter has a fixed size and a trie at most about ``TRIE_PHRASES`` phrases, so nothing that is broadcast
 grows with the texts; what grows is the number of passes of step 4, one for each ``TOGETHER`` tries.
@@ -186,7 +186,7 @@ def _filter(counts: DataFrame, least: int) -> np.ndarray:
 
 
 def _candidates(passing):
-    """(lang, phrase, size): the distinct phrases of each slice at the places that pass."""
+    """(lang, phrase, hash): the distinct phrases of each slice at the places that pass."""
 
     def run(batches):
         for lang, words, place in _rows(batches):
@@ -195,71 +195,73 @@ def _candidates(passing):
                 other = np.zeros(len(at), bool)  # equal hashes of different words: kept
                 for j in range(size):
                     other |= place[at + j] != place[at[first][same] + j]
-                at = at[np.union1d(first, np.flatnonzero(other))]
+                taken = np.union1d(first, np.flatnonzero(other))
+                at, dealt = at[taken], pa.array(h[taken].view(np.int64))
                 phrase = pc.binary_join_element_wise(*[words.take(pa.array(place[at + j])) for j in range(size)], " ")
                 for k in range(0, len(at), 1 << 16):
                     some = phrase.slice(k, 1 << 16)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some], ["lang", "phrase"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, dealt.slice(k, 1 << 16)], ["lang", "phrase", "hash"])
 
     return run
 
 
-def _built(key, table):
+def trie_of(h: np.ndarray, n_tries: int) -> np.ndarray:
+    """The trie that a phrase is dealt to by its hash."""
+    return ((h >> np.uint64(1)) % np.uint64(n_tries)).astype(np.int64)
+
+
+def _built(radix: int):
     """One trie's phrases with their last states, and in a first row the trie itself."""
-    table = table.sort_by([("lang", "ascending"), ("phrase", "ascending")])
-    lists = pc.split_pattern(table["phrase"].combine_chunks(), " ")
-    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    lang = table["lang"].combine_chunks().take(pa.array(np.repeat(np.arange(len(size)), size)))
-    words = lists.flatten()
-    both = pc.binary_join_element_wise(lang, words, "\t").dictionary_encode()  # no word has a tab
-    codes = np.full((len(size), max(3, int(size.max(initial=0)))), -1, np.int64)
-    start = np.cumsum(size) - size
-    symbol = both.indices.to_numpy(zero_copy_only=False)
-    for j in range(codes.shape[1]):
-        has = np.flatnonzero(size > j)
-        codes[has, j] = symbol[start[has] + j]
-    trie = Trie(codes, len(both.dictionary))
-    n = len(size)
-    blob = [trie.base.tobytes(), trie.check.tobytes(), trie.ends.astype(np.int32).tobytes()]
-    head = lambda x, kind: pa.array([x] + [None] * n, kind)
-    return pa.table({
-        "trie": pa.array([key[0].as_py()] * (n + 1), pa.int64()),
-        "state": pa.array([None, *trie.ends.tolist()], pa.int64()),
-        "lang": pa.concat_arrays([pa.array([None], pa.string()), table["lang"].combine_chunks()]),
-        "phrase": pa.concat_arrays([pa.array([None], pa.string()), table["phrase"].combine_chunks()]),
-        "radix": head(trie.radix, pa.int64()),
-        "base": head(blob[0], pa.binary()), "check": head(blob[1], pa.binary()), "ends": head(blob[2], pa.binary()),
-        "symbols": head(both.dictionary.to_pylist(), pa.list_(pa.string())),
-    })
-
-
-BUILT = "trie long, state long, lang string, phrase string, radix long, base binary, check binary, ends binary, symbols array<string>"
+
+    def run(key, table):
+        table = table.sort_by([("lang", "ascending"), ("phrase", "ascending")])
+        langs, phrases = table["lang"].combine_chunks(), table["phrase"].combine_chunks()
+        lists = pc.split_pattern(phrases, " ")
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        both = pc.binary_join_element_wise(langs.take(pa.array(np.repeat(np.arange(len(size)), size))), lists.flatten(), "\t").dictionary_encode()  # no word has a tab
+        codes, symbol = np.full((len(size), 3), -1, np.int64), both.indices.to_numpy(zero_copy_only=False)
+        start = np.cumsum(size) - size
+        for j in range(3):
+            has = np.flatnonzero(size > j)
+            codes[has, j] = symbol[start[has] + j]
+        trie, n = Trie(codes, radix), len(size)
+        head = lambda x, kind: pa.array([x] + [None] * n, kind)
+        below = lambda x: pa.concat_arrays([pa.array([None], x.type), x])
+        return pa.table({
+            "trie": pa.array([key[0].as_py()] * (n + 1), pa.int64()), "state": below(pa.array(trie.ends, pa.int64())), "lang": below(langs), "phrase": below(phrases),
+            "base": head(trie.base.tobytes(), pa.binary()), "check": head(trie.check.tobytes(), pa.binary()), "ends": head(trie.ends.astype(np.int32).tobytes(), pa.binary()),
+            "symbols": head(both.dictionary.to_pylist(), pa.list_(pa.string())),
+        })
+
+    return run
+
+
+BUILT = "trie long, state long, lang string, phrase string, base binary, check binary, ends binary, symbols array<string>"
 
 
 class Walk:
     """A few tries over one alphabet of words by language."""
 
-    def __init__(self, rows: list):
-        """rows: (trie, radix, base, check, ends, symbols) of each."""
-        symbols = pa.concat_arrays([pa.array(r.symbols, pa.string()) for r in rows])
-        shared = symbols.dictionary_encode()
+    def __init__(self, rows: list, n_tries: int, radix: int):
+        """rows: (trie, base, check, ends, symbols) of each of the tries that are here, of n_tries in all."""
+        shared = pa.concat_arrays([pa.array(r.symbols, pa.string()) for r in rows]).dictionary_encode()
         code, cut = shared.indices.to_numpy(zero_copy_only=False), np.append(0, np.cumsum([len(r.symbols) for r in rows]))
         pairs = [s.rsplit("\t", 1) for s in shared.dictionary.to_pylist()]
-        self.known: dict[str, tuple[list[int], list[str]]] = {}
+        known: dict[str, tuple[list[int], list[str]]] = {}
         for k, (lang, word) in enumerate(pairs):
-            at, words = self.known.setdefault(lang, ([], []))
+            at, words = known.setdefault(lang, ([], []))
             at.append(k)
             words.append(word)
-        self.known = {lang: (np.array(at), pa.array(words)) for lang, (at, words) in self.known.items()}
-        self.tries = []
+        self.known = {lang: (np.array(at), pa.array(words)) for lang, (at, words) in known.items()}
+        self.trie, self.roots = Trie.together([(np.frombuffer(r.base, np.int32), np.frombuffer(r.check, np.int32)) for r in rows], radix)
+        self.own = np.full((len(rows), len(pairs)), -1, np.int32)  # each trie's own codes
+        self.end = np.zeros(len(self.trie.check), bool)
+        self.at = np.full(n_tries, -1)  # where each trie is, if it is here
         for k, r in enumerate(rows):
-            own = np.full(len(pairs), -1, np.int64)
-            own[code[cut[k] : cut[k + 1]]] = np.arange(cut[k + 1] - cut[k])
-            trie = Trie.of(np.frombuffer(r.base, np.int32), np.frombuffer(r.check, np.int32), r.radix)
-            end = np.zeros(len(trie.check), bool)
-            end[np.frombuffer(r.ends, np.int32)] = True
-            self.tries.append((r.trie, trie, own, end))
-        self.sums = [np.zeros(len(trie.check), np.int64) for _, trie, _, _ in self.tries]
+            self.own[k, code[cut[k] : cut[k + 1]]] = np.arange(cut[k + 1] - cut[k])
+            self.end[self.roots[k] + np.frombuffer(r.ends, np.int32)] = True
+            self.at[r.trie] = k
+        self.numbers, self.sums = [r.trie for r in rows], np.zeros(len(self.trie.check), np.int64)
 
     def count(self, lang: str, words: pa.Array, place: np.ndarray) -> None:
         """Adds the occurrences of all phrases at all places to the sums."""
@@ -267,30 +269,36 @@ class Walk:
             return
         at, value_set = self.known[lang]
         found = pc.index_in(words, value_set=value_set)
-        code = np.append(np.where(found.is_valid().to_numpy(zero_copy_only=False), at[pc.fill_null(found, 0).to_numpy()], -1), -1)
-        for (_, trie, own, end), sums in zip(self.tries, self.sums):
-            symbol = np.where(code >= 0, own[code], -1)  # of each distinct word; the last one is no word
-            first = trie.step(np.full(len(symbol), ROOT), symbol)
-            here = np.flatnonzero((first >= 0)[place])
-            states = first[place[here]]
-            for j in range(1, 3):
-                inside = here + j < len(place)
-                here, states = here[inside], states[inside]
-                states = trie.step(states, symbol[place[here + j]])
-                here, states = here[states >= 0], states[states >= 0]
-                ended = states[end[states]]
-                if len(ended):
-                    sums += np.bincount(ended, minlength=len(sums))
-
-
-def _walked(tries):
+        code = np.append(np.where(found.is_valid().to_numpy(zero_copy_only=False), at[pc.fill_null(found, 0).to_numpy()], -1), -1)[place]
+        h = hash_of(lang, words)
+        here = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
+        pair = joined(h[place[here]], h[place[here + 1]])
+        self._walk(here, pair, code, 2)
+        k = np.flatnonzero(np.diff(here) == 1)
+        self._walk(here[k], joined(pair[k], h[place[here[k] + 2]]), code, 3)
+
+    def _walk(self, here: np.ndarray, h: np.ndarray, code: np.ndarray, size: int) -> None:
+        """All places at once through the tries of their hashes."""
+        which = self.at[trie_of(h, len(self.at))]
+        here, which = here[which >= 0], which[which >= 0]
+        states = self.roots[which]
+        for j in range(size):
+            states = self.trie.step(states, self.own[which, code[here + j]])
+            on = states >= 0
+            here, which, states = here[on], which[on], states[on]
+        ended = states[self.end[states]]
+        if len(ended):
+            self.sums += np.bincount(ended, minlength=len(self.sums))
+
+
+def _walked(tries, n_tries: int, radix: int):
     def run(batches):
-        walk = Walk(tries.value)
+        walk = Walk(tries.value, n_tries, radix)
         for row in _rows(batches):
             walk.count(*row)
-        for (trie, *_), sums in zip(walk.tries, walk.sums):
-            at = np.flatnonzero(sums)
-            yield _by_block((trie << 32) + at, sums[at], SLOTS)
+        at = np.flatnonzero(walk.sums)
+        trie = np.searchsorted(walk.roots, at, "right") - 1
+        yield _by_block((np.array(walk.numbers)[trie] << 32) + at - walk.roots[trie], walk.sums[at], SLOTS)
 
     return run
 
@@ -325,19 +333,21 @@ def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, trie_ph
         hashes = _hash_counts(lambda *row, level=level, passing=passing: list(passing.value.runs(*row))[level][1])
         filters = [*filters, _filter(sliced.mapInArrow(hashes, BLOCKS), least)]
     passing = context.broadcast(Passing(filters))
-    found = scratch.save(sliced.mapInArrow(_candidates(passing), "lang string, phrase string").distinct(), "candidates")
+    found = scratch.save(sliced.mapInArrow(_candidates(passing), "lang string, phrase string, hash long").distinct(), "candidates")
 
     n_tries = max(TOGETHER, -(-found.count() // trie_phrases))
-    built = found.withColumn("trie", F.pmod(F.xxhash64("lang", "phrase"), F.lit(n_tries)).cast("long"))
-    built = scratch.save(built.groupBy("trie").applyInArrow(_built, BUILT), "tries")
+    built = found.withColumn("trie", F.pmod(F.shiftrightunsigned("hash", 1), F.lit(n_tries)))
+    largest = built.groupBy("trie").count().agg(F.max("count")).first()[0] or 0
+    radix = int(np.sqrt(3 * largest)) + 1  # a phrase has three words at most
+    built = scratch.save(built.groupBy("trie").applyInArrow(_built(radix), BUILT), "tries")
     sums = None
     for k in range(0, n_tries, TOGETHER):
         some = built.where((F.col("trie") >= k) & (F.col("trie") < k + TOGETHER) & F.col("base").isNotNull())
-        rows = some.select("trie", "radix", "base", "check", "ends", "symbols").collect()  # TOGETHER tries of a bounded size
+        rows = some.select("trie", "base", "check", "ends", "symbols").collect()  # TOGETHER tries of a bounded size
         if not rows:
             continue
         tries = context.broadcast(rows)
-        added = sliced.mapInArrow(_walked(tries), BLOCKS).repartition("block").sortWithinPartitions("block").mapInArrow(_unpacked, "trie long, state long, a long")
+        added = sliced.mapInArrow(_walked(tries, n_tries, radix), BLOCKS).repartition("block").sortWithinPartitions("block").mapInArrow(_unpacked, "trie long, state long, a long")
         added = scratch.save(added, f"sums-{k}")
         sums = added if sums is None else sums.union(added)
         tries.destroy()

@@ -64,9 +64,9 @@ def _place(parent: np.ndarray, digit: np.ndarray, radix: int, rng) -> tuple[np.n
 class Trie:
     """base and check of a set of phrases; ``ends`` has each phrase's last state, in the order given."""
 
-    def __init__(self, codes: np.ndarray, n_symbols: int):
-        """codes: (phrases, longest) symbols of distinct phrases, -1 after a shorter one's end."""
-        self.radix = max(2, int(np.ceil(np.sqrt(n_symbols + 1))))
+    def __init__(self, codes: np.ndarray, radix: int):
+        """codes: (phrases, longest) symbols below radix * radix of distinct phrases, -1 after a shorter one's end."""
+        self.radix = radix
         n, depth = codes.shape
         digits = np.stack([np.where(codes >= 0, codes // self.radix, -1), np.where(codes >= 0, codes % self.radix, -1)], axis=2).reshape(n, 2 * depth)
         order = np.lexsort(digits.T[::-1])
@@ -99,10 +99,14 @@ class Trie:
         self.ends[order] = state[own]
 
     @classmethod
-    def of(cls, base: np.ndarray, check: np.ndarray, radix: int) -> Trie:
-        trie = cls.__new__(cls)
-        trie.base, trie.check, trie.radix = base, check, radix
-        return trie
+    def together(cls, tries: list[tuple[np.ndarray, np.ndarray]], radix: int) -> tuple[Trie, np.ndarray]:
+        """Several tries (base, check) in one pair of arrays, and the root of each."""
+        trie, size = cls.__new__(cls), [len(base) for base, _ in tries]
+        roots = np.cumsum([0, *size[:-1]])
+        trie.base = np.concatenate([base + root for (base, _), root in zip(tries, roots)])
+        trie.check = np.concatenate([np.where(check >= 0, check + root, -1) for (_, check), root in zip(tries, roots)])
+        trie.radix = radix
+        return trie, roots
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The states after one more symbol each; -1 where there is none, or the symbol is -1."""
