@@ -73,9 +73,9 @@ class TickState:
         dt = seconds if seconds > 0 else 1e-4
         x, v = self.x + self.v * dt, self.v
         a, b, c = self.p
-        a, b, c = a + 2 * dt * b + dt * dt * c + q * dt**4 / 4, b + dt * c + q * dt**3 / 2, c + q * dt * dt
-        gain, slope, miss = a / (a + r), b / (a + r), price - x
-        self.x, self.v, self.p = x + gain * miss, v + slope * miss, ((1 - gain) * a, (1 - gain) * b, c - slope * b)
+        a, b, c = a + 2 * dt * b + dt * dt * c + q * dt**3 / 3, b + dt * c + q * dt * dt / 2, c + q * dt
+        gain, slope, rest, miss = a / (a + r), b / (a + r), r / (a + r), price - x
+        self.x, self.v, self.p = x + gain * miss, v + slope * miss, (rest * a, rest * b, c - slope * b)
         return self.x, self.v
 
     def tick(self, price: float, at: float) -> tuple[float, bool, float, float]:

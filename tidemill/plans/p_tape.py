@@ -148,6 +148,22 @@ SQL = {
     "d1_volume_bars": VOLUME_BARS + "SELECT * FROM vbars",
     "d2_session_bars": W + f"SELECT instrument, ({NY} + INTERVAL 7 HOUR)::DATE::VARCHAR AS session_date, {OHLCV} FROM good GROUP BY ALL",
     "d3_h4_bars": W + f"SELECT instrument, date_trunc('hour', {NY}) - to_hours((((hour({NY}) - 17 + 24) % 24) % 4)::INTEGER) AS bar_start, {OHLCV} FROM good GROUP BY ALL",
+    "d4_bar_size": "WITH RECURSIVE " + TAPE + f""",
+dated AS (SELECT instrument, ts, seq, size, ({NY} + INTERVAL 7 HOUR)::DATE AS d FROM good),
+part AS (SELECT *, sum(size) OVER (PARTITION BY instrument ORDER BY ts, seq)::BIGINT AS cum
+         FROM (SELECT *, dense_rank() OVER (PARTITION BY instrument ORDER BY d) AS k FROM dated) WHERE k <= 5),
+ends AS (
+  SELECT instrument, bar_size, 0::BIGINT AS bar_seq, min(cum) FILTER (WHERE cum >= bar_size) AS upto
+  FROM part, (SELECT unnest(range(500, 10001, 500)) AS bar_size) GROUP BY ALL
+  UNION ALL
+  SELECT e.instrument, e.bar_size, e.bar_seq + 1, (SELECT min(s.cum) FROM part s WHERE s.instrument = e.instrument AND s.cum >= e.upto + e.bar_size)
+  FROM ends e WHERE e.upto IS NOT NULL),
+closes AS (SELECT e.instrument, bar_size, bar_seq, ts FROM ends e JOIN part p ON p.instrument = e.instrument AND p.cum = e.upto),
+took AS (SELECT *, date_diff('microsecond', lag(ts) OVER (PARTITION BY instrument, bar_size ORDER BY bar_seq), ts) / 1e6 AS s FROM closes),
+medians AS (SELECT instrument, bar_size, quantile_cont(s, 0.5) AS median_seconds FROM took
+            WHERE s IS NOT NULL AND hour(ts) * 60 + minute(ts) BETWEEN 810 AND 1199 GROUP BY ALL)
+SELECT instrument, min(bar_size)::BIGINT AS bar_size, arg_min(median_seconds, bar_size) AS median_seconds
+FROM medians WHERE median_seconds >= 45 GROUP BY instrument""",
     "d11_bar_dates": W + f"SELECT DISTINCT ({NY} + INTERVAL 7 HOUR)::DATE::VARCHAR AS session_date FROM good",
     "d12_latest_per_key": W + "SELECT user_id::VARCHAR AS instrument, ts, seq, price FROM tape QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, seq DESC) = 1",
     "e15_bar_formation": VOLUME_BARS + "SELECT instrument, bar_seq, date_diff('microsecond', lag(close_ts) OVER (PARTITION BY instrument ORDER BY bar_seq), close_ts) AS micros FROM vbars",
