@@ -5,9 +5,9 @@ the text. Where a token of A and one of B end at the same byte, the ids before a
 side's cumulative ends go to a dictionary from end to index, the keys in both, sorted, slice both id lists,
 and the links (tokens whose bytes end together) are expanded from each slice.
 
-Both tokenizers cut a text before a single space between other characters (A's pre-tokeniser does, and no
-piece of B has a space after another character), so a text is aligned part by part, and a part that comes
-again is looked up. Texts with white space beside white space are cut only where that holds.
+Both tokenizers cut a text before a single space or line feed between other characters (A's pre-tokeniser
+does, and no piece of B has a space or a line feed after another character), so a text is aligned part by
+part, and a part that comes again is looked up. Runs of white space are cut only before their first character.
 
 A link's shorter token is the end of the longer one's bytes. So the number of different linked id pairs is
 bounded by the vocabularies (``pair_bound``), whatever the corpus: their counts can be broadcast.
@@ -18,20 +18,25 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
-from .tokens import BYTE_LETTERS
+from .tokens import BYTE_LETTERS, WHITE
 
 #: Parts kept from one slice to the next, and the longest text of one that is.
-KEPT_PARTS, KEPT_CHARS = 300_000, 64
-TOGETHER = re.compile(r"\s\s")
-CUT = re.compile(r"(?<=\S)(?= \s*\S)")
+KEPT_PARTS, KEPT_CHARS = 120_000, 40
+#: White space beside white space, or at either end.
+TOGETHER = rf"[{WHITE} \n][{WHITE} \n]|\A[{WHITE} \n]|[{WHITE} \n]\z"
+CUT = re.compile(r"(?<=\S)(?=[ \n]\s*\S)")
+WHITE_IN = re.compile(r"\s")
+JOINED = 64  # parts encoded as one string
+#: Links that are looked up at once.
+LINKS = 1 << 20
 
 
 def a_bytes(path: str) -> dict[int, bytes]:
@@ -67,32 +72,44 @@ def pair_bound(a: dict[int, bytes], b: dict[int, bytes]) -> int:
     return ends_of(a, b) + ends_of(b, a) - sum(same.get(t, 0) for t in a.values())
 
 
-def parts_of(text: str) -> list[str]:
-    """The text's parts, each without the space that stands before it."""
-    whole = " " + text
-    if TOGETHER.search(whole) or text[-1].isspace():
-        return [p[1:] for p in CUT.split(whole)]
-    return text.split(" ")
-
-
-def align_ids(a_ids: list[int], b_ids: list[int], a_of: dict[int, bytes], b_of: dict[int, bytes]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups (ids of A, ids of B) and links (id of A, id of B) of two encodings of the same bytes."""
-
-    def ends(ids, of):
-        out, at = {}, 0
-        for k, i in enumerate(ids):
-            at += len(of[i])
-            out[at] = k
-        return out
-
-    a_end, b_end = ends(a_ids, a_of), ends(b_ids, b_of)
+def parts_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Where each text's parts start (one entry more than texts), each part's number, the distinct parts. A
+    part's first space is left out, but where white space follows."""
+    texts = pc.fill_null(texts, "")
+    hard = pc.match_substring_regex(texts, TOGETHER).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    count = np.where(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    own = np.repeat(~hard & (count > 0), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    cut = [[p if p[0] != " " or p[1:2] in ("", " ", "\n") else p[1:] for p in CUT.split(" " + t)] for t in texts.filter(pa.array(hard)).to_pylist()]
+    count[hard] = [len(c) for c in cut]
+    flat = pa.concat_arrays([lists.flatten().filter(pa.array(own)), pa.array([p for c in cut for p in c], texts.type)]).dictionary_encode()
+    code, starts = flat.indices.to_numpy(zero_copy_only=False), np.append(0, np.cumsum(count))
+    at = np.empty(len(code), np.int64)  # the hard texts' parts stand last
+    of_hard = np.repeat(hard, count)
+    at[~of_hard], at[of_hard] = np.arange(int((~of_hard).sum())), int((~of_hard).sum()) + np.arange(int(of_hard.sum()))
+    return starts, code[at], flat.dictionary.to_pylist()
+
+
+def ends_of(ids: list[int], size) -> dict[int, int]:
+    """From each byte at which a token ends to the token's index."""
+    out, at = {}, 0
+    for k, i in enumerate(ids):
+        at += size[i]
+        out[at] = k
+    return out
+
+
+def align_ids(a_ids: list[int], b_ids: list[int], a_end: dict[int, int], b_end: dict[int, int]):
+    """The bytes at which tokens of both encodings end, sorted, and for each of them the group (ids of A, ids
+    of B) and the link (id of A, id of B) that it closes."""
+    common = sorted(a_end.keys() & b_end.keys())
     groups, links, a_from, b_from = [], [], 0, 0
-    for end in sorted(a_end.keys() & b_end.keys()):
+    for end in common:
         a_last, b_last = a_end[end], b_end[end]
         groups.append((a_ids[a_from : a_last + 1], b_ids[b_from : b_last + 1]))
         links.append((a_ids[a_last], b_ids[b_last]))  # only the slice's last tokens end together
         a_from, b_from = a_last + 1, b_last + 1
-    return groups, links
+    return common, groups, links
 
 
 class Aligner:
@@ -105,39 +122,80 @@ class Aligner:
 
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.a_of, self.b_of = a_bytes(a_path), b_bytes(b_path)
+        table = lambda of: [of.get(i, b"") for i in range(max(of) + 1)]
+        self.a_of, self.b_of = table(a_bytes(a_path)), table(b_bytes(b_path))
+        self.a_size, self.b_size = ([len(t) for t in of] for of in (self.a_of, self.b_of))
+        self.lone = self.b.piece_to_id("▁")
         self.known: dict[str, tuple | None] = {}
 
-    def _learn(self, parts: list[str]) -> dict[str, tuple | None]:
-        """(ids of A, of B, groups, text of the groups, linked pairs) by part; None if the bytes differ."""
-        out = {}
-        a_all = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        for part, a, b_ids in zip(parts, a_all, self.b.encode(parts, num_threads=1)):
-            a_ids, raw = a.ids, (" " + part).encode()
-            if b"".join(map(self.a_of.__getitem__, a_ids)) != raw or b"".join(map(self.b_of.__getitem__, b_ids)) != raw:
-                out[part] = None
+    def _encoded(self, raw: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Both encodings of strings that open with a space or a line feed."""
+        b_all = self.b.encode([t[1:] if t[0] == " " else t for t in raw], num_threads=1)
+        a_all = self.a.encode_batch_fast(raw, add_special_tokens=False)
+        # B puts a space before a line feed; it is a token of its own.
+        return [(a.ids, b if t[0] == " " else b[1:] if b[0] == self.lone else []) for t, a, b in zip(raw, a_all, b_all)]
+
+    def _aligned(self, lists: list[list[str]]):
+        """For lists of raw parts, encoded in one string each: (ids of A, of B, groups, text of the groups,
+        linked pairs) of each part, or None for the whole list if the bytes differ."""
+        for parts, (a_ids, b_ids) in zip(lists, self._encoded(["".join(p) for p in lists])):
+            sizes = [len(p.encode()) for p in parts]
+            want = "".join(parts).encode()
+            if b"".join([self.a_of[i] for i in a_ids]) != want or b"".join([self.b_of[i] for i in b_ids]) != want:
+                yield None
                 continue
-            groups, links = align_ids(a_ids, b_ids, self.a_of, self.b_of)
-            text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-            out[part] = (len(a_ids), len(b_ids), len(groups), text, [x << 32 | y for x, y in links])
+            a_end, b_end = ends_of(a_ids, self.a_size), ends_of(b_ids, self.b_size)
+            common, groups, links = align_ids(a_ids, b_ids, a_end, b_end)
+            text = [f"{x[0]}|{y[0]}" if len(x) == len(y) == 1 else ",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]
+            pairs = [x << 32 | y for x, y in links]
+            place, out, at, a_from, b_from, g = {end: k + 1 for k, end in enumerate(common)}, [], 0, 0, 0, 0
+            for size in sizes:
+                at += size
+                a_to, b_to, to = a_end[at] + 1, b_end[at] + 1, place[at]
+                out.append((a_to - a_from, b_to - b_from, to - g, ";".join(text[g:to]), pairs[g:to]))
+                a_from, b_from, g = a_to, b_to, to
+            yield out
+
+    def _learn(self, parts: list[str]) -> dict[str, tuple | None]:
+        """What ``_aligned`` gives for each part; None if its bytes differ. Parts of a space and no other white
+        space are encoded many in one string."""
+        plain = [p for p in parts if p and p[0] not in " \n" and len(p) <= KEPT_CHARS and not WHITE_IN.search(p)]
+        lists, out, alone = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)], {}, []
+        for some, found in zip(lists, self._aligned([[" " + p for p in some] for some in lists])):
+            if found is None:
+                alone += some
+            else:
+                out.update(zip(some, found))
+        alone += [p for p in parts if p not in out and (not p or p[0] in " \n" or len(p) > KEPT_CHARS or WHITE_IN.search(p))]
+        for p, found in zip(alone, self._aligned([[p if p[:1] in (" ", "\n") and p else " " + p] for p in alone])):
+            out[p] = found and found[0]
         return out
 
-    def align(self, texts: list[str | None]):
-        """(n_a, n_b, n_groups, groups as text, linked pairs) of each text."""
-        cut = [parts_of(t) if t else [] for t in texts]
-        if len(self.known) > KEPT_PARTS:
-            self.known = {}
-        known = self.known
-        new = list(set(chain.from_iterable(cut)) - known.keys())
-        learnt = self._learn(new)
-        known.update((p, x) for p, x in learnt.items() if len(p) <= KEPT_CHARS)
-        for parts in cut:
-            found = [known[p] if p in known else learnt[p] for p in parts]
-            if not found or None in found:
-                yield 0, 0, 0, "", []
-                continue
-            n_a, n_b, n, text, links = zip(*found)
-            yield sum(n_a), sum(n_b), sum(n), ";".join(text), list(chain.from_iterable(links))
+    def align(self, texts: pa.Array):
+        """(n_a, n_b, n_groups, groups as text, starts of the links, linked pairs) of all texts."""
+        starts, code, parts = parts_of(texts)
+        known, learnt = self.known, self._learn([p for p in parts if p not in self.known])
+        found = [known[p] if p in known else learnt[p] for p in parts]
+        if len(known) > KEPT_PARTS:  # goes on with the parts of this slice
+            self.known = known = {p: known[p] for p in parts if p in known}
+        again = np.bincount(code, minlength=len(parts)) > 1
+        known.update((p, x) for p, x, more in zip(parts, found, again.tolist()) if more and len(p) <= KEPT_CHARS)
+        bad = np.array([x is None for x in found], bool)[code]
+        n = len(starts) - 1
+        row = np.repeat(np.arange(n), np.diff(starts))
+        keep = ~np.isin(row, row[bad])
+        row, code = row[keep], code[keep]
+        found = [x or (0, 0, 0, "", []) for x in found]
+        totals = [np.bincount(row, weights=np.array([x[j] for x in found], np.float64)[code], minlength=n).astype(np.int64) for j in range(3)]
+        size = np.array([len(x[4]) for x in found], np.int64)
+        pairs, first = np.array([y for x in found for y in x[4]], np.int64), np.cumsum(size) - size
+        many = size[code]
+        at = np.arange(int(many.sum())) + np.repeat(first[code] - (np.cumsum(many) - many), many)
+        texts_of, cut = [x[3] for x in found], np.searchsorted(row, np.arange(n + 1))
+        listed = code.tolist()
+        groups = [";".join([texts_of[k] for k in listed[a:b]]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        ends = np.append(0, np.cumsum(many))[cut]
+        return *totals, groups, ends, pairs[at]
 
 
 _aligners: dict = {}
@@ -148,10 +206,11 @@ def _align(a_path: str, b_path: str, texts: bool):
         if (a_path, b_path) not in _aligners:
             _aligners[a_path, b_path] = Aligner(a_path, b_path)
         for part in slices(batches, "text"):
-            n_a, n_b, n, groups, links = zip(*_aligners[a_path, b_path].align(part.column("text").to_pylist()))
+            *n, groups, ends, pairs = _aligners[a_path, b_path].align(part.column("text"))
             digest = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+            links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n_a, n_b, n)], pa.array(links, pa.list_(pa.int64())), pa.array(digest), *([pa.array(groups)] if texts else [])],
+                [part.column("doc_id"), *[pa.array(x, pa.int64()) for x in n], links, pa.array(digest, pa.string()), *([pa.array(groups, pa.string())] if texts else [])],
                 ["doc_id", "n_a", "n_b", "n_groups", "links", "groups_sha256", *(["groups"] if texts else [])],
             )
 
@@ -170,10 +229,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, *, texts: bool = False) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_align(a_path, b_path, texts), schema)
 
 
+def _pieces(batches, column: str):
+    """Batches cut so that each has about LINKS links at most (one row at least)."""
+    for batch in batches:
+        total, at = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)), 0
+        while at < len(total):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + LINKS, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def _tally(batches):
     """(pair, n) over a part of the rows; the pairs of a task are bounded by the vocabularies."""
     pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in _pieces(batches, "links"):
         new, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
         pairs, at = np.unique(np.concatenate([pairs, new]), return_inverse=True)
         counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(pairs)).astype(np.int64)
@@ -197,9 +266,9 @@ def with_counts(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches):
         pairs, n, best = held.value
-        for batch in batches:
+        for batch in _pieces(batches, "links"):
             links = batch.column("links")
-            size = np.diff(links.offsets.to_numpy()).astype(np.int64)
+            size = pc.list_value_length(links).to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.searchsorted(pairs, links.flatten().to_numpy())
             total = lambda x: np.diff(np.append(0, np.cumsum(x))[np.append(0, np.cumsum(size))])
             kept = [batch.column(c) for c in batch.schema.names if c != "links"]

@@ -32,6 +32,8 @@ PIECE = 24  # words of a piece of a longer item, at least; pieces have fewer tha
 RECALL = 0.9995  # of passages with all edits that are allowed, by one piece
 POSITIONS, SAMPLES = 3, 2  # sampled positions of a hash, hashes of a walk
 MOST_WALKS = 256
+WINDOWS = 1 << 10  # windows embedded at once
+SLICE = 8 << 20  # bytes of text searched at once
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,26 +69,30 @@ def cut(n_words: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(None)
-def _positions(n: int) -> np.ndarray:
-    """(walks, SAMPLES, POSITIONS) sampled positions of the embedding of n words, the same everywhere."""
+def _walks(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows of n words: (walks, steps) random words that decide where a walk moves on, and (walks, steps,
+    SAMPLES) whether a hash takes the step; the same everywhere."""
     rng = np.random.default_rng(n)
-    return np.stack([np.sort(rng.choice(2 * n, min(POSITIONS, 2 * n), replace=False)) for _ in range(MOST_WALKS * SAMPLES)]).reshape(MOST_WALKS, SAMPLES, -1)
-
-
-def embed(tokens: np.ndarray, at: np.ndarray, length: np.ndarray, n: int, walk: np.ndarray) -> np.ndarray:
-    """(windows, SAMPLES) hashes of sampled positions of the windows' embeddings by a walk each. A window starts
-    at a token and has length words, n at most; after its end the walk reads blanks."""
-    taken = _positions(n)[walk]
-    out = np.repeat(mix64((walk.astype(np.uint64) + np.uint64(1)) * _C)[:, None], SAMPLES, axis=1) + np.arange(SAMPLES, dtype=np.uint64)
-    off, last = np.zeros(len(at), np.int64), len(tokens) - 1
-    with np.errstate(over="ignore"):
-        for j in range(int(taken.max()) + 1):
-            word = np.where(off < length, tokens[np.minimum(at + off, last)], np.uint64(0))
-            mixed = mix64(word ^ mix64((walk.astype(np.uint64) << np.uint64(20)) + np.uint64(j + 1)))
-            for s in range(SAMPLES):
-                here = (taken[:, s] == j).any(axis=1)
-                out[:, s] = np.where(here, mix64(out[:, s] * _C + word + np.uint64(j)), out[:, s])
-            off += (mixed >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+    taken = np.zeros((MOST_WALKS, 2 * n, SAMPLES), bool)
+    for w in range(MOST_WALKS):
+        for s in range(SAMPLES):
+            taken[w, rng.choice(2 * n, min(POSITIONS, 2 * n), replace=False), s] = True
+    return rng.integers(0, 1 << 64, (MOST_WALKS, 2 * n), dtype=np.uint64), taken
+
+
+def embed(tokens: np.ndarray, at: np.ndarray, length: np.ndarray, n: int, walks: int) -> np.ndarray:
+    """(windows, walks, SAMPLES) hashes of sampled positions of the windows' embeddings. A window starts at a
+    token and has length words, n at most; after its end a walk reads blanks."""
+    salt, taken = _walks(n)
+    out = np.broadcast_to(mix64(np.arange(1, walks * SAMPLES + 1, dtype=np.uint64) * _C).reshape(walks, SAMPLES), (len(at), walks, SAMPLES)).copy()
+    off, last = np.zeros((len(at), walks), np.int64), len(tokens) - 1
+    for j in range(2 * n):
+        word = np.where(off < length[:, None], tokens[np.minimum(at[:, None] + off, last)], np.uint64(0))
+        for s in range(SAMPLES):
+            here = np.flatnonzero(taken[:walks, j, s])
+            if len(here):
+                out[:, here, s] = mix64(out[:, here, s] * _C + word[:, here] + np.uint64(j))
+        off += (((word ^ salt[:walks, j]) * _C) >> np.uint64(63)).astype(np.int64)
     return out
 
 
@@ -105,9 +111,8 @@ def walks_needed(n: int, edits: int, recall: float = RECALL, trials: int = 256,
             k, how, new = int(rng.integers(len(text))), int(rng.integers(3)), int(rng.integers(1, 1 << 62))
             text[k : k + (how < 2)] = [] if how == 0 else [new]
         rows.append(np.concatenate([piece, np.array(text, np.uint64), rng.integers(1, 1 << 62, 2 * n, dtype=np.uint64)])[: 3 * n])
-    tokens, walk = np.concatenate(rows), np.tile(np.arange(tried), trials)
-    start, full = np.repeat(np.arange(trials) * 3 * n, tried), np.full(trials * tried, n)
-    met = (embed(tokens, start, full, n, walk) == embed(tokens, start + n, full, n, walk)).any(axis=1).reshape(trials, tried)
+    tokens, start, full = np.concatenate(rows), np.arange(trials) * 3 * n, np.full(trials, n)
+    met = (embed(tokens, start, full, n, tried) == embed(tokens, start + n, full, n, tried)).any(axis=2)
     share = np.maximum(met.mean(axis=1), 0.5 / tried)
     for walks in range(1, MOST_WALKS):
         if np.mean(1 - (1 - share) ** walks) >= recall:
@@ -152,8 +157,8 @@ class Items:
     def _table(self, pieces, n: int, walks: int):
         """Sorted hashes of the class's pieces by all walks, and the piece of each."""
         rows = np.concatenate([self.items[i][at : at + n] for i, at in pieces])
-        start, walk = np.repeat(np.arange(len(pieces)) * n, walks), np.tile(np.arange(walks), len(pieces))
-        key = embed(rows, start, np.full(len(start), n), n, walk).ravel()
+        start = np.arange(len(pieces)) * n
+        key = np.concatenate([embed(rows, start[k : k + WINDOWS], np.full(len(start[k : k + WINDOWS]), n), n, walks).ravel() for k in range(0, len(start), WINDOWS)])
         piece = np.repeat(np.arange(len(pieces), dtype=np.int32), walks * SAMPLES)
         order = np.argsort(key, kind="stable")
         item, at = (np.array(x, np.int64) for x in zip(*pieces))
@@ -187,44 +192,50 @@ class Items:
         word_bits = _bits_of(coded, self.words, self.of_word)[ids]
         ends = np.repeat(starts[1:], np.diff(starts))
         both = np.flatnonzero((word_bits[:-1] != 0) & (word_bits[1:] != 0) & (ends[:-1] == ends[1:]))
-        pair_bits = np.zeros(len(tokens), np.uint64)
-        pair_bits[both] = _bits_of(tokens[both] * _C + tokens[both + 1], self.pairs, self.of_pair)
-        near: dict[tuple[int, int], list[int]] = {}
+        pair_bits = _bits_of(tokens[both] * _C + tokens[both + 1], self.pairs, self.of_pair)
+        both, pair_bits = both[pair_bits != 0], pair_bits[pair_bits != 0]
+        near: dict[tuple[int, int], set[int]] = {}
         for c, ((n, e), table) in enumerate(zip(self.classes, self.tables)):
-            here = self._possible(c, n, e, word_bits, pair_bits, ends)
-            for lo in range(0, len(here), 1 << 14):
-                self._meet(table, n, here[lo : lo + (1 << 14)], tokens, ends, starts, near)
+            bit = np.uint64(1) << np.uint64(c)
+            if n == 1:
+                here = np.flatnonzero(word_bits & bit)
+            else:
+                here = self._possible(both[(pair_bits & bit) != 0], n, e, starts, ends)
+            for lo in range(0, len(here), WINDOWS):
+                self._meet(table, n, here[lo : lo + WINDOWS], tokens, ends, starts, near)
         out = []
         for (row, i), places in sorted(near.items()):
-            best = self._nearest(i, np.unique(places), tokens, int(starts[row]), int(starts[row + 1]))
+            best = self._nearest(i, np.array(sorted(places)), tokens, int(starts[row]), int(starts[row + 1]))
             if best is not None:
                 out.append((row, i, best[1], best[0]))
         return out
 
     @staticmethod
-    def _possible(c: int, n: int, e: int, word_bits, pair_bits, ends) -> np.ndarray:
-        """Starts of windows with enough words and pairs of the class."""
-        bit = np.uint64(1) << np.uint64(c)
-        count = lambda bits: np.append(0, np.cumsum((bits & bit) != 0))
-        at = np.arange(len(ends))
-        stop = np.minimum(at + n + e, ends)
-        some = count(word_bits)
-        here = np.flatnonzero(some[stop] - some[:-1] >= max(1, n - e))
-        pairs = count(pair_bits)
-        return here[pairs[np.maximum(stop[here] - 1, here)] - pairs[here] >= n - 1 - 2 * e]
+    def _possible(pairs: np.ndarray, n: int, e: int, starts, ends) -> np.ndarray:
+        """Starts of windows of n + e words with enough of the class's pairs, which stand at the places given."""
+        need = max(1, n - 1 - 2 * e)
+        if len(pairs) < need:
+            return pairs[:0]
+        first, last = pairs[: len(pairs) - need + 1], pairs[need - 1 :]
+        close = (last - first <= n + e - 2) & (ends[first] == ends[last])
+        first, last = first[close], last[close]
+        if not len(first):
+            return first
+        row = np.searchsorted(starts, first, "right") - 1
+        lo = np.maximum(last - (n + e - 2), starts[row])
+        size = first - lo + 1
+        return np.unique(np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum())))
 
     def _meet(self, table, n: int, here, tokens, ends, starts, near) -> None:
         """Adds the words at which an item may stand: where a window's hash is one of a piece's."""
         keys, pieces, items, offsets, walks = table
-        length = np.minimum(n, ends[here] - here)
-        for w in range(walks):
-            key = embed(tokens, here, length, n, np.full(len(here), w))
-            left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            for k, s in zip(*np.nonzero(right > left)):
-                p = int(here[k])
-                row = int(np.searchsorted(starts, p, "right")) - 1
-                for x in pieces[left[k, s] : right[k, s]]:
-                    near.setdefault((row, int(items[x])), []).append(p - int(offsets[x]))
+        key = embed(tokens, here, np.minimum(n, ends[here] - here), n, walks).reshape(len(here), -1)
+        left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        for k, s in zip(*np.nonzero(right > left)):
+            p = int(here[k])
+            row = int(np.searchsorted(starts, p, "right")) - 1
+            for x in np.unique(pieces[left[k, s] : right[k, s]]).tolist():
+                near.setdefault((row, int(items[x])), set()).add(p - int(offsets[x]))
 
     def _nearest(self, i, places, tokens, first, last) -> tuple[int, int] | None:
         """(edits, start word in the text) of the nearest window of item i with a start near the places."""
@@ -255,7 +266,7 @@ def hits_column(rows: list[tuple[int, str]], text="text", share: float = EDIT_SH
             _ready.clear()
             _ready[key] = Items(rows, share, least_words)
         items, out, base = _ready[key], [None] * len(texts), 0
-        for part in slices([pa.RecordBatch.from_arrays([texts], ["t"])], "t"):
+        for part in slices([pa.RecordBatch.from_arrays([texts], ["t"])], "t", SLICE):
             for row, i, at, edits in items.search(part.column("t")):
                 out[base + row] = (out[base + row] or []) + [{"item_id": x, "start_word": at, "edits": edits} for x in items.item_ids[i]]
             base += part.num_rows
