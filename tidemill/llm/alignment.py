@@ -15,9 +15,11 @@ bounded by the vocabularies (``pair_bound``), whatever the corpus: their counts
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,26 +92,21 @@ def parts_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return starts, code[at], flat.dictionary.to_pylist()
 
 
-def ends_of(ids: list[int], size) -> dict[int, int]:
+def ends_of(ids: list[int], size: list[int]) -> dict[int, int]:
     """From each byte at which a token ends to the token's index."""
-    out, at = {}, 0
-    for k, i in enumerate(ids):
-        at += size[i]
-        out[at] = k
-    return out
+    return dict(zip(accumulate(map(size.__getitem__, ids)), range(len(ids))))
 
 
-def align_ids(a_ids: list[int], b_ids: list[int], a_end: dict[int, int], b_end: dict[int, int]):
-    """The bytes at which tokens of both encodings end, sorted, and for each of them the group (ids of A, ids
-    of B) and the link (id of A, id of B) that it closes."""
+def align_ids(a_end: dict[int, int], b_end: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """The bytes at which tokens of both encodings end, sorted, and the index of the token of A and of B that
+    ends there. Each closes a group of ids; only these two tokens of a group end together, so they are its link."""
     common = sorted(a_end.keys() & b_end.keys())
-    groups, links, a_from, b_from = [], [], 0, 0
-    for end in common:
-        a_last, b_last = a_end[end], b_end[end]
-        groups.append((a_ids[a_from : a_last + 1], b_ids[b_from : b_last + 1]))
-        links.append((a_ids[a_last], b_ids[b_last]))  # only the slice's last tokens end together
-        a_from, b_from = a_last + 1, b_last + 1
-    return common, groups, links
+    return common, list(map(a_end.__getitem__, common)), list(map(b_end.__getitem__, common))
+
+
+def sliced(ids: list[str], last: list[int]) -> list[str]:
+    """The ids of each group, with commas, cut after the tokens given."""
+    return [ids[b] if b - a == 1 else ",".join(ids[a + 1 : b + 1]) for a, b in zip(chain((-1,), last), last)]
 
 
 class Aligner:
@@ -125,6 +122,7 @@ class Aligner:
         table = lambda of: [of.get(i, b"") for i in range(max(of) + 1)]
         self.a_of, self.b_of = table(a_bytes(a_path)), table(b_bytes(b_path))
         self.a_size, self.b_size = ([len(t) for t in of] for of in (self.a_of, self.b_of))
+        self.a_text, self.b_text = ([str(i) for i in range(len(of))] for of in (self.a_of, self.b_of))
         self.lone = self.b.piece_to_id("▁")
         self.known: dict[str, tuple | None] = {}
 
@@ -141,14 +139,14 @@ class Aligner:
         for parts, (a_ids, b_ids) in zip(lists, self._encoded(["".join(p) for p in lists])):
             sizes = [len(p.encode()) for p in parts]
             want = "".join(parts).encode()
-            if b"".join([self.a_of[i] for i in a_ids]) != want or b"".join([self.b_of[i] for i in b_ids]) != want:
+            if b"".join(map(self.a_of.__getitem__, a_ids)) != want or b"".join(map(self.b_of.__getitem__, b_ids)) != want:
                 yield None
                 continue
             a_end, b_end = ends_of(a_ids, self.a_size), ends_of(b_ids, self.b_size)
-            common, groups, links = align_ids(a_ids, b_ids, a_end, b_end)
-            text = [f"{x[0]}|{y[0]}" if len(x) == len(y) == 1 else ",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]
-            pairs = [x << 32 | y for x, y in links]
-            place, out, at, a_from, b_from, g = {end: k + 1 for k, end in enumerate(common)}, [], 0, 0, 0, 0
+            common, a_last, b_last = align_ids(a_end, b_end)
+            text = list(map("|".join, zip(sliced(list(map(self.a_text.__getitem__, a_ids)), a_last), sliced(list(map(self.b_text.__getitem__, b_ids)), b_last))))
+            pairs = [a_ids[x] << 32 | b_ids[y] for x, y in zip(a_last, b_last)]
+            place, out, at, a_from, b_from, g = dict(zip(common, range(1, len(common) + 1))), [], 0, 0, 0, 0
             for size in sizes:
                 at += size
                 a_to, b_to, to = a_end[at] + 1, b_end[at] + 1, place[at]
@@ -206,7 +204,11 @@ def _align(a_path: str, b_path: str, texts: bool):
         if (a_path, b_path) not in _aligners:
             _aligners[a_path, b_path] = Aligner(a_path, b_path)
         for part in slices(batches, "text"):
-            *n, groups, ends, pairs = _aligners[a_path, b_path].align(part.column("text"))
+            gc.disable()  # millions of small lists and no cycles
+            try:
+                *n, groups, ends, pairs = _aligners[a_path, b_path].align(part.column("text"))
+            finally:
+                gc.enable()
             digest = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
             links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs, pa.int64()))
             yield pa.RecordBatch.from_arrays(
