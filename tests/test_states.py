@@ -102,3 +102,30 @@ def test_replay(spark):
     df = spark.createDataFrame([(i, s, a, d, o, p, z) for i, s, a, d, o, p, z in rows], "instrument string, seq long, action string, side string, order_id long, price double, size long").withColumn("ts", F.timestamp_seconds("seq").cast("timestamp_ntz"))
     got = {(r.instrument, r.seq): (r.bid_sz, r.ask_sz, r.n_orders) for r in micro.replay_book(df, 1.0).collect()}
     assert got == {("x", 0): (5, None, 1), ("x", 1): (5, 5, 2), ("x", 2): (5, 3, 2), ("x", 3): (None, None, 0), ("y", 0): (None, 1, 1)}
+
+
+def test_two_days_apart_equal_one_scan_of_ticks(spark, trades):
+    ticks = trades.select("instrument", "ts", "seq", "price")
+    early, late = ticks.where("seq < 500"), ticks.where("seq >= 500 and instrument = 'i1' or seq between 500 and 700")
+    states = spark.createDataFrame(micro.tick_states(early).collect(), "instrument string, state string")
+    keys = ["instrument", "seq", "filtered", "spike", "level", "velocity"]
+    same(micro.condition_ticks(early).union(micro.condition_ticks(late, states)), micro.condition_ticks(early.union(late)), keys, 12)
+    after = {r.instrument: r.state for r in micro.tick_states(late, states).collect()}
+    assert after == {r.instrument: r.state for r in micro.tick_states(early.union(late)).collect()}
+    none = ticks.limit(0)
+    assert {r.instrument: r.state for r in micro.tick_states(none, states).collect()} == {r.instrument: r.state for r in states.collect()}
+    assert micro.condition_ticks(none, states).count() == 0
+
+
+def test_two_days_apart_equal_one_scan_of_the_book(spark):
+    import random
+
+    from tests.test_book import MESSAGE, messages
+
+    rows = messages(random.Random(31), 600)
+    early, late, whole = (spark.createDataFrame(r, MESSAGE) for r in (rows[:250], rows[250:], rows))
+    states = spark.createDataFrame(micro.book_states(early, 20.0, 3).collect(), "instrument string, state string")
+    got = micro.replay_book(early, 20.0, 3).union(micro.replay_book(late, 20.0, 3, states))
+    cells = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert cells(got) == cells(micro.replay_book(whole, 20.0, 3))
+    assert cells(micro.book_states(late, 20.0, 3, states)) == cells(micro.book_states(whole, 20.0, 3))

@@ -97,22 +97,59 @@ class TickState:
         return state
 
 
-def _condition(frames):
-    name, state = None, None
-    for f in frames:
-        out = []
-        for instrument, at, price in zip(f["instrument"], f["ts"].astype("int64") / 1e9 if f["ts"].dtype == "datetime64[ns]" else f["ts"].astype("datetime64[ns]").astype("int64") / 1e9, f["price"]):
-            if instrument != name:
-                name, state = instrument, TickState()
-            out.append(state.tick(float(price), float(at)))
-        yield pd.concat([f, pd.DataFrame(out, columns=["filtered", "spike", "level", "velocity"], index=f.index)], axis=1)
-
-
-def condition_ticks(ticks: DataFrame) -> DataFrame:
-    """Ticks with the filtered price, whether they are spikes, and the Kalman level and velocity: a sorted scan
-    with a bounded state for each instrument."""
+def _resumed(rows: DataFrame, states: DataFrame | None) -> DataFrame:
+    """rows by instrument in order, each instrument's state (instrument, state) before its first row."""
+    named = rows.withColumn("state", F.lit(None).cast("string"))
+    if states is not None:
+        named = named.unionByName(states.select("instrument", "state"), allowMissingColumns=True)
+    return named.repartition("instrument").sortWithinPartitions("instrument", F.col("ts").asc_nulls_first(), "seq")
+
+
+def _scan(start, each, columns: list[str]):
+    """A scan of sorted rows that goes on from states. start(state or None) gives what an instrument's scan
+    holds, each(held, row) a tuple of results or None; a last row of each instrument has only its state."""
+
+    def run(frames):
+        name, held = None, None
+        ended = lambda: [] if held is None else [(name, *[None] * (len(columns) - 2), held.export())]
+        for f in frames:
+            out, at = [], f["ts"].astype("datetime64[us]").astype("int64").tolist()
+            for row, t in zip(f.itertuples(index=False), at):
+                if row.instrument != name:
+                    out += ended()
+                    name, held = row.instrument, start(row.state)
+                    if row.state is not None:
+                        continue
+                found = each(held, row, t)
+                if found is not None:
+                    out.append((*found, None))
+            yield pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in columns if c in WHOLE})
+        yield pd.DataFrame(ended(), columns=columns).astype({c: "Int64" for c in columns if c in WHOLE})
+
+    return run
+
+
+WHOLE = ("seq", "bid_sz", "ask_sz", "n_orders")
+
+
+def scan_ticks(ticks: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """TICKS and state: the rows of ``condition_ticks`` from the states on, with a null state, and for each
+    instrument a row with nothing but the state after its last tick."""
     rows = ticks.select("instrument", "ts", "seq", "price")
-    return rows.repartition("instrument").sortWithinPartitions("instrument", "ts", "seq").mapInPandas(_condition, TICKS)
+    each = lambda held, r, t: (r.instrument, r.ts, r.seq, r.price, *held.tick(float(r.price), t / 1e6))
+    start = lambda kept: TickState.restore(kept) if kept is not None else TickState()
+    return _resumed(rows, states).mapInPandas(_scan(start, each, [c.split()[0] for c in TICKS.split(", ")] + ["state"]), TICKS + ", state string")
+
+
+def condition_ticks(ticks: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """Ticks with the filtered price, whether they are spikes, and the Kalman level and velocity: a sorted scan
+    with a bounded state for each instrument, from the states (``tick_states``) of the ticks before."""
+    return scan_ticks(ticks, states).where("state is null").drop("state")
+
+
+def tick_states(ticks: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """(instrument, state) after the ticks; an instrument without ticks keeps its state."""
+    return scan_ticks(ticks, states).where("state is not null").select("instrument", "state")
 
 
 CLIP = {"high_vol_choppy": 3.5, "high_vol_crash": 5.0, "low_vol": 2.5}
@@ -194,27 +231,43 @@ class Book:
         return bids[0][0], asks[0][0], b, a, (b - a) / (b + a) if b + a else None, (bd - ad) / (bd + ad) if bd + ad else None, len(self.orders)
 
 
-def _replay(every: float, depth: int):
-    def run(frames):
-        name, book, last = None, None, None
-        for f in frames:
-            out = []
-            at = f["ts"].astype("datetime64[us]").astype("int64")
-            for instrument, ts, t, seq, *record in zip(f["instrument"], f["ts"], at, f["seq"], f["action"], f["side"], f["order_id"], f["price"], f["size"]):
-                if instrument != name:
-                    name, book, last = instrument, Book(), None
-                book.apply(*record)
-                if last is None or t - last >= every * 1e6:
-                    last = t
-                    out.append((instrument, ts, seq, *book.snapshot(depth)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in SNAP.split(", ")]).astype({"bid_sz": "Int64", "ask_sz": "Int64"})
+class BookScan(Book):
+    """A book that is sampled at the first record at least ``every`` seconds after the last sample."""
 
-    return run
+    def __init__(self, every: float, depth: int, kept: str | None = None):
+        super().__init__()
+        self.every, self.depth, self.last = every * 1e6, depth, None
+        if kept is not None:
+            orders, self.last = json.loads(kept)
+            self.orders = {k: tuple(order) for k, *order in orders}
+
+    def export(self) -> str:
+        return json.dumps([[[k, *order] for k, order in self.orders.items()], self.last])
 
+    def record(self, r, t: int) -> tuple | None:
+        self.apply(r.action, r.side, int(r.order_id), float(r.price), int(r.size))
+        if self.last is not None and t - self.last < self.every:
+            return None
+        self.last = t
+        return (r.instrument, r.ts, r.seq, *self.snapshot(self.depth))
 
-def replay_book(records: DataFrame, every: float = 1.0, depth: int = 10) -> DataFrame:
+
+def scan_book(records: DataFrame, every: float = 1.0, depth: int = 10, states: DataFrame | None = None) -> DataFrame:
+    """SNAP and state: the rows of ``replay_book`` from the states on, with a null state, and for each
+    instrument a row with nothing but the orders that rest after its last record."""
+    rows = records.select("instrument", "ts", "seq", "action", "side", "order_id", "price", "size")
+    run = _scan(lambda kept: BookScan(every, depth, kept), BookScan.record, [c.split()[0] for c in SNAP.split(", ")] + ["state"])
+    return _resumed(rows, states).mapInPandas(run, SNAP + ", state string")
+
+
+def replay_book(records: DataFrame, every: float = 1.0, depth: int = 10, states: DataFrame | None = None) -> DataFrame:
     """The book of each instrument after its records (instrument, ts, seq, action, side, order_id, price, size)
     in order, sampled at the first record at least so many seconds after the last sample. A sorted scan; its
-    state is the orders that rest. Pass instrument and day as the key where each day opens with a snapshot."""
-    rows = records.select("instrument", "ts", "seq", "action", "side", "order_id", "price", "size")
-    return rows.repartition("instrument").sortWithinPartitions("instrument", "ts", "seq").mapInPandas(_replay(every, depth), SNAP)
+    state is the orders that rest, and it goes on from the states (``book_states``) of the records before. Pass
+    instrument and day as the key where each day opens with a snapshot. ``book.book_at`` has no scan."""
+    return scan_book(records, every, depth, states).where("state is null").drop("state")
+
+
+def book_states(records: DataFrame, every: float = 1.0, depth: int = 10, states: DataFrame | None = None) -> DataFrame:
+    """(instrument, state) after the records; an instrument without records keeps its state."""
+    return scan_book(records, every, depth, states).where("state is not null").select("instrument", "state")

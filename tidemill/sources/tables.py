@@ -75,10 +75,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+    """events as a stream over its files."""
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+
+
 def tape_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """The tape as a stream over the files of events."""
-    schema = read(spark, sf_dir, "events").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    rows = event_stream(spark, sf_dir, files_per_trigger)
     side = F.when(F.col("event_type") == "click", "B").when(F.col("event_type") == "view", "A").otherwise("N")
     return rows.select(
         F.col("event_type").alias("instrument"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"),
