@@ -138,3 +138,20 @@ def test_asof_takes_equal_times_and_no_later_ones(spark):
     assert back == {("X", 1): None, ("X", 5): "a", ("X", 9): "b", ("Y", 5): None}
     ahead = {(r.k, r.t): r.v for r in asof(left, right, ["k"], "t", "u", ["v"], forward=True).collect()}
     assert ahead == {("X", 1): "a", ("X", 5): "b", ("X", 9): None, ("Y", 5): None}
+
+
+def test_breaks_and_regimes_are_seen_from_the_past_alone(spark):
+    """A change of the variance is seen soon after it; cutting the future off changes no earlier flag."""
+    from tidemill.operators import fits
+
+    rng = random.Random(6)
+    rows = [("X", i, rng.gauss(0, 0.01 if i < 600 or i >= 1100 else 0.03)) for i in range(1500)]
+    whole = spark.createDataFrame(rows, "instrument string, n int, ret double")
+    breaks = {(r.break_at, r.side): r.stat for r in fits.causal_breaks(whole).collect()}
+    up, down = ([at for at, s in sorted(breaks) if s == side] for side in ("up", "down"))
+    assert any(600 <= at < 630 for at in up) and not any(at < 600 for at in up) and any(1100 <= at < 1200 for at in down)
+    regimes = {r.n: (r.vol, r.regime) for r in characterize.trailing_regimes(whole).collect()}
+    for n in (620, 900):
+        cut = whole.where(F.col("n") < n)
+        assert {(r.break_at, r.side): r.stat for r in fits.causal_breaks(cut).collect()} == {k: v for k, v in breaks.items() if k[0] < n}
+        assert {r.n: (r.vol, r.regime) for r in characterize.trailing_regimes(cut).collect()} == {k: v for k, v in regimes.items() if k < n}

@@ -60,3 +60,12 @@ def volatility_regimes(series: DataFrame, window: int = 20, least: int = 5) -> D
     rows = rows.withColumn("vol", F.coalesce("_v", first)).withColumn("head", F.col("_v").isNull()).drop("_v")
     cut = rows.groupBy("instrument").agg(F.percentile("vol", F.lit(0.5)).alias("_cut"))
     return rows.join(cut, "instrument").withColumn("regime", F.when(F.col("vol") <= F.col("_cut"), "calm").otherwise("turbulent")).drop("_cut")
+
+
+def trailing_regimes(series: DataFrame, window: int = 20, least: int = 5, past: int = 250) -> DataFrame:
+    """vol (trailing deviation) and regime at each row: calm under the median of the ``past`` deviations up to it,
+    else turbulent. Nothing comes from later rows; rows before the first deviation are left out."""
+    w = by_n().rowsBetween(-window + 1, 0)
+    rows = series.withColumn("vol", F.when(F.count("ret").over(w) >= least, F.stddev_samp("ret").over(w)))
+    cut = F.percentile("vol", F.lit(0.5)).over(by_n().rowsBetween(-past + 1, 0))
+    return rows.withColumn("regime", F.when(F.col("vol") <= cut, "calm").otherwise("turbulent")).where("vol is not null")

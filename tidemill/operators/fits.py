@@ -322,6 +322,25 @@ def structural_breaks(series: DataFrame, *, min_size: int = 60, penalty: float =
     return found
 
 
+def causal_breaks(series: DataFrame, *, window: int = 250, least: int = 60, drift: float = 0.5, limit: float = 20.0, most: float = 10.0) -> DataFrame:
+    """(instrument, break_at, stat, side): rows at which the variance is seen to have changed, from rows up to
+    them alone. Each square is measured by the mean square of the ``window`` rows before it (``most`` at most, one
+    subtracted); what it is above (side up) or below (down) by more than the drift adds up, from zero whenever the
+    sum would be negative, and a break is where that passes the limit. That the sum starts anew is its running
+    value less its running minimum, so windows suffice.
+    """
+    square = F.col("ret") * F.col("ret")
+    past = by_n().rowsBetween(-window, -1)
+    so_far = by_n().rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.select("instrument", "n", F.when(F.count("ret").over(past) >= least, F.avg(square).over(past)).alias("_base"), square.alias("_sq"))
+    rows = rows.withColumn("_z", F.when(F.col("_base") > 0, F.least(F.lit(most), F.col("_sq") / F.col("_base")) - 1))
+    sums = rows.withColumns({"_up": F.coalesce(F.sum(F.col("_z") - drift).over(so_far), F.lit(0.0)), "_down": F.coalesce(F.sum(-F.col("_z") - drift).over(so_far), F.lit(0.0))})
+    found = sums.withColumns({c: F.col(c) - F.least(F.lit(0.0), F.min(c).over(so_far)) for c in ("_up", "_down")})
+    edges = found.withColumns({f"{c}_before": F.coalesce(F.lag(c).over(by_n()), F.lit(0.0)) for c in ("_up", "_down")})
+    sides = edges.select("instrument", F.col("n").cast("long").alias("break_at"), F.explode(F.array(*[F.struct(F.col(c).alias("stat"), F.col(f"{c}_before").alias("before"), F.lit(c[1:]).alias("side")) for c in ("_up", "_down")])).alias("s"))
+    return sides.where((F.col("s.stat") > limit) & (F.col("s.before") <= limit)).select("instrument", "break_at", "s.stat", "s.side")
+
+
 class Markov:
     """A Gaussian Markov chain of few states with diagonal covariances, fitted by expectation and maximisation."""
 

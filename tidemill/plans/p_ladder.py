@@ -95,12 +95,11 @@ def v2_signals(spark, sf_dir):
 
 
 def gated(spark, sf_dir):
-    """The gate over the archive with anomalies, regimes and the first break of each series."""
+    """The gate over the archive with anomalies, regimes and breaks, each known at its origin."""
     rows = series(spark, sf_dir)
     odd = flag_anomalies(returns(spark, sf_dir)).where("any_flag").select("instrument", "ts")
     flags = rows.select("instrument", "ts", "n").join(odd, ["instrument", "ts"])
-    breaks = fits.structural_breaks(rows, penalty=0.2, max_depth=1)
-    return lad.gate(stored_arc(spark, sf_dir), flags=flags, regimes=ch.volatility_regimes(rows), breaks=breaks)
+    return lad.gate(stored_arc(spark, sf_dir), flags=flags, regimes=ch.trailing_regimes(rows), breaks=fits.causal_breaks(rows))
 
 
 def v3_calibration(spark, sf_dir):
@@ -111,11 +110,19 @@ def v4_gate(spark, sf_dir):
     return gated(spark, sf_dir).select("instrument", "origin", F.array_join("reasons", "|").alias("reasons"), "gate")
 
 
+def k4_causal_breaks(spark, sf_dir):
+    return rounded(fits.causal_breaks(series(spark, sf_dir)), 5)
+
+
+def k9_trailing_regimes(spark, sf_dir):
+    return rounded(ch.trailing_regimes(series(spark, sf_dir)).select("instrument", "n", "vol", "regime"), 7)
+
+
 def v5_gate_validation(spark, sf_dir):
     return rounded(lad.validate_gate(gated(spark, sf_dir)), 5)
 
 
-QUERIES = {f.__name__: f for f in (w1_splits, j1_naive_rung, j2_ar_rung, j3_ewma_rung, i1_mase, i2_r2_oos, i3_direction, i4_crps, i5_pit, i6_pit_chi2, i7_coverage, i8_diebold_mariano, i9_scorecard, e18_realised_window, e19_vol_z, v2_signals, v3_calibration, v4_gate, v5_gate_validation)}
+QUERIES = {f.__name__: f for f in (w1_splits, j1_naive_rung, j2_ar_rung, j3_ewma_rung, i1_mase, i2_r2_oos, i3_direction, i4_crps, i5_pit, i6_pit_chi2, i7_coverage, i8_diebold_mariano, i9_scorecard, e18_realised_window, e19_vol_z, v2_signals, v3_calibration, v4_gate, v5_gate_validation, k4_causal_breaks, k9_trailing_regimes)}
 
 N = "PARTITION BY instrument ORDER BY n"
 S = (
@@ -170,15 +177,19 @@ KNOWN = f", pr AS (SELECT *, greatest(0, least(1, {PIT})) AS pit FROM based WHER
 SQL["v3_calibration"] = ARC + KNOWN + f" SELECT instrument, origin, n120 AS n_realised, round(chi2, 5) AS chi2, coalesce(chi2 <= {lad.PIT_LIMIT!r}, true) AS calibrated FROM ct"
 REGIMES = f", vv AS (SELECT instrument, n, CASE WHEN count(ret) OVER w >= 5 THEN stddev_samp(ret) OVER w END AS v FROM ser WINDOW w AS ({N} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), vf AS (SELECT instrument, n, coalesce(v, first_value(v IGNORE NULLS) OVER ({N} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM vv), vr AS (SELECT f.instrument, n, CASE WHEN v <= c THEN 'calm' ELSE 'turbulent' END AS regime FROM vf f JOIN (SELECT instrument, quantile_cont(v, 0.5) AS c FROM vf GROUP BY 1) USING (instrument))"
 BREAK = f", bc AS (SELECT instrument, n, abs(sum(ret * ret) OVER ({N}) / (sum(ret * ret) OVER (PARTITION BY instrument) + 1e-12) - n / (count(*) OVER (PARTITION BY instrument) - 1)) AS dev, count(*) OVER (PARTITION BY instrument) AS len FROM ser), bt AS (SELECT * FROM bc QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY dev DESC, n) = 1), fb AS (SELECT instrument, n::BIGINT AS break_at, dev * sqrt(len) AS stat FROM bt WHERE len >= 120 AND dev * sqrt(len) > 0.2 AND n BETWEEN 60 AND len - 60)"
+TRAILING = f", tv AS (SELECT instrument, n, CASE WHEN count(ret) OVER w >= 5 THEN stddev_samp(ret) OVER w END AS v FROM ser WINDOW w AS ({N} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), tc AS (SELECT *, quantile_cont(v, 0.5) OVER ({N} ROWS BETWEEN 249 PRECEDING AND CURRENT ROW) AS c FROM tv), vr AS (SELECT instrument, n, CASE WHEN v <= c THEN 'calm' ELSE 'turbulent' END AS regime FROM tc WHERE v IS NOT NULL)"
+CAUSAL = f", cz AS (SELECT instrument, n, CASE WHEN count(ret) OVER w >= 60 AND avg(ret * ret) OVER w > 0 THEN least(10, ret * ret / avg(ret * ret) OVER w) - 1 END AS z FROM ser WINDOW w AS ({N} ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)), cx AS (SELECT instrument, n, side, coalesce(sum(CASE side WHEN 'up' THEN z ELSE -z END - 0.5::DOUBLE) OVER (PARTITION BY instrument, side ORDER BY n), 0) AS x FROM cz, (VALUES ('up'), ('down')) d(side)), cs AS (SELECT *, x - least(0, min(x) OVER (PARTITION BY instrument, side ORDER BY n)) AS stat FROM cx), fb AS (SELECT instrument, n::BIGINT AS break_at, stat, side FROM cs QUALIFY stat > 20 AND coalesce(lag(stat) OVER (PARTITION BY instrument, side ORDER BY n), 0) <= 20), fd AS (SELECT DISTINCT instrument, unnest(range(break_at, break_at + 40)) AS origin FROM fb)"
 ODD = FLAGS[len("WITH " + RETURNS) :]
 SIGN_P = "least(1, 2 * list_sum(list_transform(range(least(ks, ns - ks) + 1), lambda k: exp(lgamma(ns + 1) - lgamma(k + 1) - lgamma(ns - k + 1) - ns * ln(2)))))"
 GATE = (
     ODD
     + SIGNALS
     + KNOWN
-    + REGIMES
-    + BREAK
-    + f", vz AS (SELECT instrument, origin, CASE WHEN count(*) OVER b > 10 AND stddev_pop(vol) OVER b > 0 THEN (vol - avg(vol) OVER b) / stddev_pop(vol) OVER b END AS z FROM mine WINDOW b AS (PARTITION BY {K} ORDER BY origin ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)), rg AS (SELECT c.*, count(*) OVER r >= 30 AND sum((y - mean) * (y - mean)) OVER r >= sum((y - base) * (y - base)) OVER r AS weak FROM ct c LEFT JOIN vr ON c.instrument = vr.instrument AND c.origin = vr.n WINDOW r AS (PARTITION BY c.instrument, regime ORDER BY target RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)), dq AS (SELECT s.instrument, s.n AS origin FROM ser s JOIN flags f ON s.instrument = f.instrument AND s.ts = f.ts WHERE z_flag OR iqr_flag OR vol_flag), gated AS (SELECT s.*, list_filter([CASE WHEN n120 >= 30 AND ratio < 0.05 THEN 'degenerate' END, CASE WHEN chi2 > {lad.PIT_LIMIT!r} THEN 'miscalibrated' END, CASE WHEN weak THEN 'bad_regime' END, CASE WHEN fb.break_at IS NOT NULL THEN 'structural_break' END, CASE WHEN dq.origin IS NOT NULL THEN 'data_quality' END, CASE WHEN conviction < 0.35 THEN 'low_conviction' END, CASE WHEN ns >= 30 AND {SIGN_P} > 0.1 THEN 'weak_direction' END, CASE WHEN n120 >= 120 AND z > 1.5 THEN 'high_vol' END], lambda x: x IS NOT NULL) AS rs FROM sig s JOIN rg USING (instrument, origin) JOIN vz USING (instrument, origin) LEFT JOIN fb ON s.instrument = fb.instrument AND break_at <= s.origin AND break_at > s.origin - 40 LEFT JOIN dq ON s.instrument = dq.instrument AND s.origin = dq.origin), states AS (SELECT *, CASE WHEN list_has_any(rs, ['degenerate', 'miscalibrated', 'bad_regime', 'structural_break', 'data_quality']) THEN 'VETO' WHEN len(rs) > 0 THEN 'GO_REDUCED' ELSE 'GO' END AS gate FROM gated)"
+    + TRAILING
+    + CAUSAL
+    + f", vz AS (SELECT instrument, origin, CASE WHEN count(*) OVER b > 10 AND stddev_pop(vol) OVER b > 0 THEN (vol - avg(vol) OVER b) / stddev_pop(vol) OVER b END AS z FROM mine WINDOW b AS (PARTITION BY {K} ORDER BY origin ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)), rg AS (SELECT c.*, count(*) OVER r >= 30 AND sum((y - mean) * (y - mean)) OVER r >= sum((y - base) * (y - base)) OVER r AS weak FROM ct c LEFT JOIN vr ON c.instrument = vr.instrument AND c.origin = vr.n WINDOW r AS (PARTITION BY c.instrument, regime ORDER BY target RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)), dq AS (SELECT s.instrument, s.n AS origin FROM ser s JOIN flags f ON s.instrument = f.instrument AND s.ts = f.ts WHERE z_flag OR iqr_flag OR vol_flag), gated AS (SELECT s.*, list_filter([CASE WHEN n120 >= 30 AND ratio < 0.05 THEN 'degenerate' END, CASE WHEN chi2 > {lad.PIT_LIMIT!r} THEN 'miscalibrated' END, CASE WHEN weak THEN 'bad_regime' END, CASE WHEN fd.origin IS NOT NULL THEN 'structural_break' END, CASE WHEN dq.origin IS NOT NULL THEN 'data_quality' END, CASE WHEN conviction < 0.35 THEN 'low_conviction' END, CASE WHEN ns >= 30 AND {SIGN_P} > 0.1 THEN 'weak_direction' END, CASE WHEN n120 >= 120 AND z > 1.5 THEN 'high_vol' END], lambda x: x IS NOT NULL) AS rs FROM sig s JOIN rg USING (instrument, origin) JOIN vz USING (instrument, origin) LEFT JOIN fd ON s.instrument = fd.instrument AND fd.origin = s.origin LEFT JOIN dq ON s.instrument = dq.instrument AND s.origin = dq.origin), states AS (SELECT *, CASE WHEN list_has_any(rs, ['degenerate', 'miscalibrated', 'bad_regime', 'structural_break', 'data_quality']) THEN 'VETO' WHEN len(rs) > 0 THEN 'GO_REDUCED' ELSE 'GO' END AS gate FROM gated)"
 )
+SQL["k4_causal_breaks"] = S + CAUSAL + " SELECT instrument, break_at, round(stat, 5) AS stat, side FROM fb"
+SQL["k9_trailing_regimes"] = S + TRAILING + " SELECT instrument, n, round(v, 7) AS vol, regime FROM vr JOIN tc USING (instrument, n)"
 SQL["v4_gate"] = ARC + GATE + " SELECT instrument, origin, array_to_string(rs, '|') AS reasons, gate FROM states"
 SQL["v5_gate_validation"] = ARC + GATE + ", p AS (SELECT *, direction * conviction AS raw, CASE gate WHEN 'VETO' THEN 0 WHEN 'GO_REDUCED' THEN 0.5 ELSE 1 END * direction * conviction * y AS g FROM states), x AS (SELECT *, raw * y AS u, raw <> 0 AND y <> 0 AND sign(raw) <> sign(y) AS lost FROM p) SELECT instrument, round(avg((gate = 'VETO')::INT), 5) AS veto_rate, round(avg((gate = 'GO_REDUCED')::INT), 5) AS reduced_rate, round(avg((gate = 'GO')::INT), 5) AS go_rate, round(CASE WHEN stddev_pop(u) > 0 THEN avg(u) / stddev_pop(u) * sqrt(252) ELSE 0 END, 5) AS sharpe_ungated, round(CASE WHEN stddev_pop(g) > 0 THEN avg(g) / stddev_pop(g) * sqrt(252) ELSE 0 END, 5) AS sharpe_gated, round(CASE WHEN count(*) FILTER (WHERE gate = 'VETO') > 0 THEN count(*) FILTER (WHERE gate = 'VETO' AND u < 0) / count(*) FILTER (WHERE gate = 'VETO') ELSE 0 END, 5) AS veto_precision, round(CASE WHEN count(*) FILTER (WHERE lost) > 0 THEN count(*) FILTER (WHERE lost AND gate = 'VETO') / count(*) FILTER (WHERE lost) ELSE 0 END, 5) AS veto_recall FROM x GROUP BY instrument"
