@@ -155,3 +155,20 @@ def test_breaks_and_regimes_are_seen_from_the_past_alone(spark):
         cut = whole.where(F.col("n") < n)
         assert {(r.break_at, r.side): r.stat for r in fits.causal_breaks(cut).collect()} == {k: v for k, v in breaks.items() if k[0] < n}
         assert {r.n: (r.vol, r.regime) for r in characterize.trailing_regimes(cut).collect()} == {k: v for k, v in regimes.items() if k < n}
+
+
+def test_four_hour_part_sees_bars_that_have_ended(spark):
+    """A session's row takes the bar that ends with it, at 17:00 in New York, and none that runs on."""
+    start = dt.datetime(2024, 1, 2, 17, 0)
+    rows = [("X", start + dt.timedelta(hours=4 * i), 100.0 + i, 100.0 + i + (1 if i % 3 else -1)) for i in range(14)]
+    h4 = spark.createDataFrame(rows, "instrument string, bar_start timestamp_ntz, open double, close double")
+    days = spark.createDataFrame([("X", dt.date(2024, 1, 1 + k)) for k in range(1, 6)], "instrument string, session_date date")
+    got = {r.session_date.day: r for r in indicators.with_h4(days, h4).collect()}
+    assert got[2].h4_two is None and got[2].h4_body is None  # no bar has ended at 17:00 of the second
+    close = [r[3] for r in rows]
+    last = 5  # of the third's session: 13:00 to 17:00
+    assert got[3].h4_return_pct == pytest.approx(100 * (close[last] / close[last - 1] - 1)) and got[3].h4_trend6_pct == pytest.approx(100 * (close[5] / close[0] - 1))
+    assert got[3].h4_vol6 == pytest.approx(pd.Series(close[:6]).pct_change().tail(6).std()) and got[3].h4_two == 2 and got[3].h4_body == 1
+    assert got[4].h4_return_pct == pytest.approx(100 * (close[11] / close[10] - 1)) and got[6].h4_two == got[5].h4_two
+    cut = indicators.with_h4(days.where("session_date <= '2024-01-03'"), h4.where("bar_start < timestamp_ntz'2024-01-03 17:00:00'"))
+    assert {r.session_date.day: tuple(r) for r in cut.collect()} == {d: tuple(got[d]) for d in (2, 3)}

@@ -32,13 +32,16 @@ def forecast_signal(forecasts: DataFrame, floor: float = 0.05) -> DataFrame:
 
 
 def confirmations(rows: DataFrame, direction: str = "direction") -> DataFrame:
-    """Whether candle pattern, RSI and moving averages agree with a proposed direction."""
+    """Whether candle pattern, RSI and moving averages agree with a proposed direction; with h4_two (of
+    ``indicators.with_h4``), also whether the last two four-hour bars do."""
     long, short = F.col(direction) == "long", F.col(direction) == "short"
     checks = {
         "candle": long & (F.col("engulfing_bull") | F.col("pin_bull")) | short & (F.col("engulfing_bear") | F.col("pin_bear")),
         "rsi": long & (F.col("rsi") < 30) | short & (F.col("rsi") > 70),
         "averages": long & (F.col("vs_ma50") > 0) & (F.col("vs_ma200") > 0) | short & (F.col("vs_ma50") < 0) & (F.col("vs_ma200") < 0),
     }
+    if "h4_two" in rows.columns:
+        checks["timeframes"] = long & (F.col("h4_two") == 2) | short & (F.col("h4_two") == -2)
     return rows.select("instrument", "ts", F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("confirmed")) for k, v in checks.items()])).alias("c")).select("instrument", "ts", "c.*")
 
 

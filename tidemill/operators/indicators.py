@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import asof
+
 
 def by_time():
     return Window.partitionBy("instrument").orderBy("ts")
@@ -114,3 +116,28 @@ def technical(bars: DataFrame) -> DataFrame:
         "vol5": spread(5),
         "vol20": spread(20),
     }).drop("_r")
+
+
+H4_PART = ("h4_return_pct", "h4_body", "h4_trend6_pct", "h4_vol6", "h4_two")
+
+
+def h4_technical(h4: DataFrame) -> DataFrame:
+    """What is known at the END of each four-hour bar (instrument, bar_start, open, close): bar_end, the last
+    return and the one over six bars in per cent, the deviation of the last six returns, the body's direction, and
+    h4_two, the last two bars' directions added up (a bar that doesn't rise falls); null where bars are missing."""
+    w = Window.partitionBy("instrument").orderBy("bar_start")
+    six = w.rowsBetween(-5, 0)
+    rows = h4.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1).withColumn("_d", F.when(F.col("close") > F.col("open"), 1).otherwise(-1))
+    two = F.when(F.lag("_d").over(w).isNotNull(), F.col("_d") + F.lag("_d").over(w))
+    trend = F.when(F.count(F.lit(1)).over(six) >= 6, 100 * (F.col("close") / F.first("close").over(six) - 1))
+    return rows.select(
+        "instrument", (F.col("bar_start") + F.expr("INTERVAL 4 HOURS")).alias("bar_end"), (100 * F.col("_r")).alias("h4_return_pct"), F.when(F.col("_r").isNotNull(), F.signum(F.col("close") - F.col("open")).cast("int")).alias("h4_body"),
+        trend.alias("h4_trend6_pct"), F.when(F.count("_r").over(six) >= 2, F.stddev_samp("_r").over(six)).alias("h4_vol6"), two.alias("h4_two"),
+    )
+
+
+def with_h4(days: DataFrame, h4: DataFrame, day: str = "session_date") -> DataFrame:
+    """days with H4_PART of the last four-hour bar that had ended when the session did, at 17:00 in New York.
+    Bars are local time, as ``bars.h4_bars`` gives them; a bar that runs on past the session's end isn't seen."""
+    ends = days.withColumn("_end", F.col(day).cast("timestamp_ntz") + F.expr("INTERVAL 17 HOURS"))
+    return asof(ends, h4_technical(h4), ["instrument"], "_end", "bar_end", list(H4_PART)).drop("_end", "asof")
