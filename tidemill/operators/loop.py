@@ -78,25 +78,24 @@ def intraday_replay(ticks: DataFrame, sides: DataFrame, session: str = "session_
 
 
 def kpss(series: DataFrame) -> DataFrame:
-    """KPSS statistic of the level, with a Bartlett window of 4 (n / 100)^(1/4) lags over partial sums."""
+    """KPSS statistic of the level, with a Bartlett window of L = 4 (n / 100)^(1/4) lags.
+
+    Bartlett's weighted lag products are the mean square of sums over L + 1 values in a row, those that reach
+    over an end included; such a sum is a difference of two running sums. So each row meets the one L + 1 before
+    it by equality, whatever L is.
+    """
     rows = series.withColumn("e", F.col("ret") - F.avg("ret").over(Window.partitionBy("instrument")))
-    rows = rows.withColumn("s", F.sum("e").over(by_n().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.select("instrument", "n", "e", F.sum("e").over(by_n().rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     size = series.groupBy("instrument").agg(F.count(F.lit(1)).alias("t"))
     lags = size.withColumn("L", F.ceil(4 * F.pow(F.col("t") / 100, F.lit(0.25))).cast("int"))
-    past = F.collect_list("e").over(by_n().rowsBetween(-64, 0))  # at most 65 values
-    tied = rows.withColumn("_p", past).join(lags, "instrument")
-    weighted = F.aggregate(F.expr("sequence(1, least(L, size(_p) - 1))"), F.lit(0.0), lambda a, k: a + 2 * (1 - k / (F.col("L") + 1)) * F.element_at("_p", -1 - k.cast("int")) * F.col("e"))
-    tied = tied.withColumn("_w", F.when(F.size("_p") > 1, weighted).otherwise(0.0))
-    sums = tied.groupBy("instrument", "t").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), (F.sum(F.col("e") * F.col("e")) + F.sum("_w")).alias("lr"))
+    tied = rows.join(lags, "instrument")
+    before = tied.select("instrument", (F.col("n") + F.col("L") + 1).alias("n"), F.col("s").alias("_s0"))
+    within = tied.join(before, ["instrument", "n"], "left").withColumn("_w", F.col("s") - F.coalesce("_s0", F.lit(0.0)))
+    over = F.when((F.col("n") >= F.col("t") - 1 - F.col("L")) & (F.col("n") < F.col("t") - 1), F.col("s") * F.col("s")).otherwise(0.0)
+    sums = within.groupBy("instrument", "t").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), (F.sum(F.col("_w") * F.col("_w") + over) / (F.max("L") + 1)).alias("lr"))
     return sums.select("instrument", "t", (F.col("ss") / F.col("t") / F.col("lr")).alias("kpss"))
 
 
-def structure(skill: DataFrame, q_ret: Column, q_sq: Column, cut: float = 31.41) -> DataFrame:
-    """linear, vol_only or efficient from the ladder's skill and the Ljung-Box statistics (20 lags, 5 %)."""
-    found = F.when(F.col("r2") > 0.005, "linear").when(q_sq > cut, "vol_only").when(q_ret > cut, "linear").otherwise("efficient")
-    return skill.withColumn("structure", found)
-
-
 def flat_streaks(decisions: DataFrame) -> DataFrame:
     """Per instrument: the last time and the number of flat decisions in a row up to it."""
     w = by_time()

@@ -58,9 +58,12 @@ def importance(model: PipelineModel, spark, top: int | None = None) -> DataFrame
     return spark.createDataFrame([(k + 1, n, v) for k, (n, v) in enumerate(found[:top])], "place int, feature string, importance double")
 
 
-def with_next_return(rows: DataFrame, bars: DataFrame) -> DataFrame:
-    """rows with ret_next, the return from the day's close to the next bar's; 0 without a next bar."""
-    moved = bars.select("instrument", "ts", (F.lead("close").over(ind.by_time()) / F.col("close") - 1).alias("ret_next"))
+def with_next_return(rows: DataFrame, bars: DataFrame, *, from_close: bool = False) -> DataFrame:
+    """rows with ret_next, the next bar's return from its open to its close, which the label judges; 0 without a
+    next bar. from_close takes it from the day's own close, as the model did: label and size then share a close."""
+    w = ind.by_time()
+    start = F.col("close") if from_close else F.lead("open").over(w)
+    moved = bars.select("instrument", "ts", (F.lead("close").over(w) / start - 1).alias("ret_next"))
     return rows.join(moved, ["instrument", "ts"]).fillna(0.0, ["ret_next"])
 
 
@@ -82,8 +85,8 @@ def cpcv_roles(rows: DataFrame, groups: int = 6, test: int = 2, purge: int = 5,
 
 def cpcv_returns(rows: DataFrame, *, trees: int = 100, take: float = 0.55, at_once: int = 4, **how) -> DataFrame:
     """(path, instrument, ts, r) of every path's test rows: a model fitted on the path's train rows takes the rows
-    that score above ``take``; a taken row gains its next return's size if its label is 1, else loses it. The size
-    is close to close while the label is open to close, so both share a close: ratios of long sides are flattered.
+    that score above ``take``; a taken row gains its next return's size if its label is 1, else loses it: its side
+    times the return that the label judges.
 
     rows: labelled decisions with FEATURES and ret_next. Paths with fewer than 30 train or 10 test rows are left
     out. Fits of several paths run at once, each a Spark job on rows written once.

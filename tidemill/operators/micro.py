@@ -155,12 +155,15 @@ def tick_states(ticks: DataFrame, states: DataFrame | None = None) -> DataFrame:
 CLIP = {"high_vol_choppy": 3.5, "high_vol_crash": 5.0, "low_vol": 2.5}
 
 
-def tick_returns(conditioned: DataFrame, scale: float, regime: str = "high_vol_choppy") -> DataFrame:
-    """The level's return on a scale of at least 1e-4, clipped by regime (3.5 for one that isn't known)."""
+def tick_returns(conditioned: DataFrame, scale: float | str, regime: str | None = None, *, fixed: str = "high_vol_choppy") -> DataFrame:
+    """The level's return on a scale of at least 1e-4, clipped by regime (3.5 for one that isn't known). scale is
+    a number or a column, regime a column of each row's regime; without one all rows have the fixed one."""
     w = Window.partitionBy("instrument").orderBy("ts", "seq")
-    most = CLIP.get(regime, 3.5)
-    raw = (F.col("level") / F.lag("level").over(w) - 1) / max(scale, 1e-4)
-    return conditioned.withColumn("scaled_return", F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(raw, F.lit(0.0)))))
+    name = F.lit(fixed) if regime is None else F.col(regime)
+    most = F.coalesce(F.create_map(*[F.lit(x) for pair in CLIP.items() for x in pair])[name], F.lit(3.5))
+    size = F.greatest(F.col(scale) if isinstance(scale, str) else F.lit(scale), F.lit(1e-4))
+    raw = (F.col("level") / F.lag("level").over(w) - 1) / size
+    return conditioned.withColumn("scaled_return", F.greatest(-most, F.least(most, F.coalesce(raw, F.lit(0.0)))))
 
 
 MESSAGE = "action string, side string, order_id long, price double, size long"

@@ -20,13 +20,18 @@ def not_done(files: DataFrame, bars: DataFrame, key: str) -> DataFrame:
     return files.join(bars.select(key).distinct(), key, "left_anti")
 
 
-def next_pull(rows: DataFrame, done: DataFrame, ts: str, end: Column, chunk_minutes: int = 30) -> DataFrame:
+def next_pull(rows: DataFrame, done: DataFrame, ts: str, end: Column, chunk_minutes: int = 30, *, now: Column | None = None, catch_up_minutes: int | None = None, behind_minutes: int = 120) -> DataFrame:
     """Rows after the last finished pull of their instrument and within one chunk of it. done: (instrument,
-    ts_end, status); an instrument without a finished pull starts at its first row."""
+    ts_end, status); an instrument without a finished pull starts at its first row. With catch_up_minutes, an
+    instrument that is more than behind_minutes behind now pulls a chunk of so many."""
     marks = done.where("status = 'ok'").groupBy("instrument").agg(F.max("ts_end").alias("_mark"))
     first = rows.groupBy("instrument").agg((F.min(ts) - F.expr("INTERVAL 1 MICROSECOND")).alias("_first"))
     at = first.join(marks, "instrument", "left").select("instrument", F.coalesce("_mark", "_first").alias("_mark"))
-    stop = F.least(end, F.col("_mark") + F.make_dt_interval(mins=F.lit(chunk_minutes)))
+    minutes = F.lit(chunk_minutes)
+    if catch_up_minutes is not None:
+        late = F.col("_mark") + F.make_dt_interval(mins=F.lit(behind_minutes)) < (end if now is None else now)
+        minutes = F.when(late, catch_up_minutes).otherwise(chunk_minutes)
+    stop = F.least(end, F.col("_mark") + F.make_dt_interval(mins=minutes))
     return rows.join(at, "instrument").where((F.col(ts) > F.col("_mark")) & (F.col(ts) <= stop)).drop("_mark")
 
 

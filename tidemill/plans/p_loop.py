@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import characterize as ch
 from ..operators import decisions as dec
-from ..operators import ladder as lad
-from ..operators import loop
+from ..operators import loop, report
 from ..operators.bars import session_date
 from ..sources.tables import daily_bars
 from .p_decisions import BACK, DECIDED, decided
-from .p_ladder import S, arc, series
+from .p_ladder import S, series, stored_arc
 from .p_tape import NY, W, good
 from .shared import dated, rounded
 
@@ -58,8 +56,8 @@ def k2_kpss(spark, sf_dir):
 
 
 def k10_structure(spark, sf_dir):
-    skill = lad.r2_oos(arc(spark, sf_dir)).where("model = 'ar'").select("instrument", "r2").join(ch.ljung_box(series(spark, sf_dir)), "instrument")
-    return loop.structure(skill, F.col("q_ret"), F.col("q_sq")).select("instrument", "structure")
+    """The structure verdict of each instrument from the ladder's readings and the autocorrelation tests."""
+    return report.classify(report.readings(stored_arc(spark, sf_dir)), report.ljung_box_p(series(spark, sf_dir)))
 
 
 def e20_flat_streaks(spark, sf_dir):

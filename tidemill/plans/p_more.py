@@ -44,6 +44,21 @@ def a13_next_pull(spark, sf_dir):
     return records.next_pull(rows, done, "ts", F.lit("2024-12-31").cast("timestamp_ntz"), 240)
 
 
+def a13_catch_up(spark, sf_dir):
+    """The same where instruments that are more than five days behind pull half a day."""
+    rows = good(spark, sf_dir).select("instrument", "ts", "seq")
+    done = rows.where("seq % 100 = 0").select("instrument", F.col("ts").alias("ts_end"), F.when(F.col("instrument") == "view", "error").otherwise("ok").alias("status"))
+    late = F.lit("2024-01-06").cast("timestamp_ntz")
+    return records.next_pull(rows, done.where(F.col("ts_end") < late), "ts", F.lit("2024-12-31").cast("timestamp_ntz"), 60, now=F.lit("2024-01-08").cast("timestamp_ntz"), catch_up_minutes=720, behind_minutes=7200)
+
+
+def n8_tick_returns(spark, sf_dir):
+    """Returns of the tape's prices on each row's scale, clipped by each row's regime."""
+    names = F.array(*[F.lit(x) for x in ("low_vol", "high_vol_choppy", "high_vol_crash", "unknown")])
+    ticks = good(spark, sf_dir).select("instrument", "ts", "seq", F.col("price").alias("level"), (F.col("size") / 100).alias("scale"), F.element_at(names, (F.col("seq") % 4 + 1).cast("int")).alias("regime"))
+    return rounded(micro.tick_returns(ticks, "scale", "regime").select("instrument", "seq", "scaled_return"), 6)
+
+
 def a14_delete_range(spark, sf_dir):
     rows = good(spark, sf_dir).select("instrument", "ts", "seq")
     inside = F.col("ts").between(F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"))
@@ -214,7 +229,7 @@ def v7_price_levels(spark, sf_dir):
     return rounded(newest.select("instrument", q(-1.2815515655446004).alias("p10"), q(0.0).alias("p50"), q(1.2815515655446004).alias("p90")), 6)
 
 
-QUERIES = {f.__name__: f for f in (a8_upsert, a11_features_extra, a12_days_not_done, a13_next_pull, a14_delete_range, b6_fresh_forecast, b7_above_noise, b8_trading_calendar, b10_dense_features, b11_encode, b12_quote_repair, c11_archive_regimes, c12_losses_against_naive, c13_latest_with_recent, c15_daily_scale, d7_gate_mix, d9_recent_ticks, d10_realised_pnl, d13_run_status, f3_signal_model, g3_purged_train, l22_sensitivity, i10_ladder, j5_path_quantiles, l13_probabilistic_sharpe, l18_trade_summary, l22_cost_sweep, l24_alerts, l25_target_position, m5_daily_swap, v1_predictive_std, v6_feature_export, v7_price_levels)}
+QUERIES = {f.__name__: f for f in (a8_upsert, a11_features_extra, a12_days_not_done, a13_next_pull, a13_catch_up, n8_tick_returns, a14_delete_range, b6_fresh_forecast, b7_above_noise, b8_trading_calendar, b10_dense_features, b11_encode, b12_quote_repair, c11_archive_regimes, c12_losses_against_naive, c13_latest_with_recent, c15_daily_scale, d7_gate_mix, d9_recent_ticks, d10_realised_pnl, d13_run_status, f3_signal_model, g3_purged_train, l22_sensitivity, i10_ladder, j5_path_quantiles, l13_probabilistic_sharpe, l18_trade_summary, l22_cost_sweep, l24_alerts, l25_target_position, m5_daily_swap, v1_predictive_std, v6_feature_export, v7_price_levels)}
 
 COND = R + f", s AS (SELECT *, CASE WHEN count(ret) OVER b >= 64 THEN stddev_samp(ret) OVER b END AS sg, CASE WHEN count(ret) OVER c >= 64 THEN stddev_samp(ret) OVER c END AS nx FROM rets WINDOW b AS ({P} ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING), c AS ({P} ROWS BETWEEN 255 PRECEDING AND CURRENT ROW))"
 SESSION = f"({NY} + INTERVAL 7 HOUR)::DATE::VARCHAR"
@@ -231,6 +246,8 @@ SQL = {
     "a8_upsert": W + "SELECT user_id::VARCHAR AS instrument, ts, seq, price FROM tape QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (seq % 3 <> 0)::INT DESC, seq DESC) = 1",
     "a11_features_extra": B + """SELECT instrument, ts, '{"n_trades":' || n_trades || ',"volume":' || volume || '}' AS extra FROM bars""",
     "a12_days_not_done": W + f"SELECT DISTINCT {SESSION} AS session_date FROM good WHERE {SESSION} NOT IN (SELECT {SESSION} FROM good WHERE side = 'B' AND size > 95)",
+    "a13_catch_up": W + ", f AS (SELECT instrument, min(ts) - INTERVAL 1 MICROSECOND AS t0, max(CASE WHEN seq % 100 = 0 AND instrument <> 'view' AND ts < TIMESTAMP '2024-01-06' THEN ts END) AS t1 FROM good GROUP BY 1), m AS (SELECT instrument, coalesce(t1, t0) AS mk FROM f), c AS (SELECT *, CASE WHEN mk + INTERVAL 7200 MINUTE < TIMESTAMP '2024-01-08' THEN 720 ELSE 60 END AS mins FROM m) SELECT instrument, ts, seq FROM good JOIN c USING (instrument) WHERE ts > mk AND ts <= mk + to_minutes(mins)",
+    "n8_tick_returns": W + ", r AS (SELECT *, CASE seq % 4 WHEN 0 THEN 2.5 WHEN 2 THEN 5.0 ELSE 3.5 END::DOUBLE AS most, coalesce((price / lag(price) OVER (PARTITION BY instrument ORDER BY ts, seq) - 1) / greatest(size / 100, 1e-4), 0) AS raw FROM good) SELECT instrument, seq, round(greatest(-most, least(most, raw)), 6) AS scaled_return FROM r",
     "a13_next_pull": W + ", f AS (SELECT instrument, min(ts) - INTERVAL 1 MICROSECOND AS t0, max(CASE WHEN seq % 100 = 0 AND instrument <> 'view' THEN ts END) AS t1 FROM good GROUP BY 1) SELECT instrument, ts, seq FROM good JOIN f USING (instrument) WHERE ts > coalesce(t1, t0) AND ts <= coalesce(t1, t0) + INTERVAL 240 MINUTE",
     "a14_delete_range": W + "SELECT instrument, count(*) AS n FROM good WHERE NOT (instrument = 'view' AND ts BETWEEN '2024-01-10' AND '2024-01-20') GROUP BY 1",
     "b6_fresh_forecast": W + "SELECT instrument, seq, CASE WHEN ts >= lead(ts) OVER (PARTITION BY instrument ORDER BY ts, seq) - INTERVAL 15 MINUTE THEN price END AS price FROM good",
