@@ -78,3 +78,16 @@ def test_duplicates_within_the_watermark_are_taken_once(spark, folder):
     put(spark, folder, [("a", 102, 3)])
     write_keyed(stream_of(spark, folder, KEYED), counted, f"{folder}/state", unique=["k", "ts", "v"])
     assert sum(seen) == 3 and content(counted) == [("a", 100, 1), ("a", 101, 2), ("a", 102, 3)]
+
+
+def test_volume_bars_by_batches_equal_one_scan_over_a_restart(spark, folder):
+    from tests.test_chunks import COLUMNS, ROW, plain, random_tape
+    from tidemill.streaming.bars import volume_bar_batches
+
+    rows = sorted(random_tape(random.Random(41), 600), key=lambda r: (r[1], r[0], r[2]))
+    parts = [rows[:200], rows[200:450], rows[200:450], rows[450:]]  # one comes twice
+    for k in (2, 4):
+        for part in parts[k - 2 : k]:
+            spark.createDataFrame(part, ROW).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        got = volume_bar_batches(stream_of(spark, folder, ROW), 90, folder, spark)
+    assert sorted(map(tuple, got.select(COLUMNS).collect())) == plain(sorted(rows), 90)

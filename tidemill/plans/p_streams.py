@@ -10,7 +10,7 @@ from ..operators import bars, book, micro, scans
 from ..sources.tables import event_stream, read, shared_folder, tape_stream
 from ..sources.tables import tape as events_tape
 from ..streaming import states
-from ..streaming.bars import h4_bar_stream, run_to_table, session_bar_stream, volume_bar_stream, with_refreshed
+from ..streaming.bars import h4_bar_stream, run_to_table, session_bar_stream, volume_bar_batches, volume_bar_stream, with_refreshed
 from ..streaming.book import book_stream, map_states
 from ..streaming.sink import KeyedTable, write_keyed
 from .p_decisions import VPIN, decided
@@ -24,6 +24,10 @@ def s1_volume_bar_stream(spark, sf_dir):
     return run_to_table(volume_bar_stream(tape_stream(spark, sf_dir), 500), shared_folder(spark, "stream"), spark)
 
 
+def s1_volume_bar_batches(spark, sf_dir):
+    return volume_bar_batches(tape_stream(spark, sf_dir), 500, shared_folder(spark, "stream"), spark)
+
+
 def s8_session_bar_stream(spark, sf_dir):
     return dated(session_bar_stream(tape_stream(spark, sf_dir), shared_folder(spark, "stream"), spark))
 
@@ -158,7 +162,7 @@ def n9_ticks_resumed(spark, sf_dir):
     return rounded(found.select("instrument", "seq", "filtered", "spike", "level"), 6)
 
 
-QUERIES = {f.__name__: f for f in (s1_volume_bar_stream, s8_session_bar_stream, p1_p_values, n3_time_samples, n11_rule_trades, l9_meta_model, s2_condition_stream, s3_bucket_stream, s4_tick_stream, s5_in_order, s7_refreshed_scales, s8_h4_bar_stream, n1_book_replay, n1_book_at, s3_book_stream, s6_keyed_table, n9_bars_resumed, n9_ticks_resumed)}
+QUERIES = {f.__name__: f for f in (s1_volume_bar_stream, s1_volume_bar_batches, s8_session_bar_stream, p1_p_values, n3_time_samples, n11_rule_trades, l9_meta_model, s2_condition_stream, s3_bucket_stream, s4_tick_stream, s5_in_order, s7_refreshed_scales, s8_h4_bar_stream, n1_book_replay, n1_book_at, s3_book_stream, s6_keyed_table, n9_bars_resumed, n9_ticks_resumed)}
 BOOK_SQL = """
 WITH m AS (
   SELECT ts::DATE::VARCHAR AS instrument, ts, event_id AS seq,
@@ -191,6 +195,7 @@ SQL = {
     "s3_book_stream": BOOK_SQL,
     "s6_keyed_table": TAPE_SQL["d12_latest_per_key"],
     "n9_bars_resumed": VOLUME_BARS + "SELECT * FROM vbars",
+    "s1_volume_bar_batches": VOLUME_BARS + "SELECT * FROM vbars",
     "s1_volume_bar_stream": VOLUME_BARS + "SELECT instrument, bar_seq, open, high, low, close, volume, n_trades FROM vbars",
     "s8_session_bar_stream": TAPE_SQL["d2_session_bars"],
     "s8_h4_bar_stream": TAPE_SQL["d3_h4_bars"],
