@@ -31,11 +31,12 @@ MARKS = r"[.,;:!?\n-\r]+"
 LEAST = 10  # occurrences of a candidate
 WITHIN = 50  # per cent of a phrase's occurrences that lie inside one longer candidate, from which it is dropped
 FILTER_BITS = 27
-BLOCK_BITS = 18  # of a filter's bits, those that one task adds up together
+BLOCK_BITS = 16  # of a filter's bits, those that one task adds up together
 TRIE_PHRASES = 1 << 16
 TOGETHER = 16
 SLOTS = 1 << 14  # states of a trie whose counts are added up together
 SLICE = 6 << 20  # bytes of text of a slice
+MOST = 255  # counted of a hash at once; a hash is frequent from fewer on
 FLUSH = 1 << 22  # hashes that a task gathers before it writes their counts
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,11 +117,11 @@ class Passing:
             yield at[k], triple
 
 
-def _by_block(key: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
-    """Rows (block, lows, counts) of sorted keys."""
+def _by_block(key: np.ndarray, n: np.ndarray, size: int, kind=np.uint32) -> pa.RecordBatch:
+    """Rows (block, lows, counts) of sorted keys; a block has 2 ** 16 keys at most."""
     block = key // size
     edge = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
-    low, n = (key % size).astype(np.uint32), n.astype(np.uint32)
+    low, n = (key % size).astype(np.uint16), n.astype(kind)
     cut = list(zip(edge[:-1], edge[1:]))
     return pa.RecordBatch.from_arrays(
         [pa.array(block[edge[:-1]], pa.int64()), pa.array([low[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cut], pa.binary())],
@@ -131,7 +132,7 @@ def _by_block(key: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
 BLOCKS = "block long, lows binary, counts binary"
 
 
-def _added(batches, size: int):
+def _added(batches, size: int, kind=np.uint32):
     """(block, sums) from rows sorted by block; one block's sums are held at a time."""
     block, sums = None, None
     for batch in batches:
@@ -140,7 +141,7 @@ def _added(batches, size: int):
                 if block is not None:
                     yield block, sums
                 block, sums = b, np.zeros(size, np.int64)
-            sums[np.frombuffer(batch.column("lows")[k].as_buffer(), np.uint32)] += np.frombuffer(batch.column("counts")[k].as_buffer(), np.uint32)
+            sums[np.frombuffer(batch.column("lows")[k].as_buffer(), np.uint16)] += np.frombuffer(batch.column("counts")[k].as_buffer(), kind)
     if block is not None:
         yield block, sums
 
@@ -153,7 +154,7 @@ def _hash_counts(hashes_of):
 
         def flush():
             bit, count = np.unique(np.concatenate(held) >> np.uint64(64 - FILTER_BITS), return_counts=True)
-            return _by_block(bit.astype(np.int64), count, 1 << BLOCK_BITS)
+            return _by_block(bit.astype(np.int64), np.minimum(count, MOST), 1 << BLOCK_BITS, np.uint8)
 
         for row in _rows(batches):
             held.append(hashes_of(*row))
@@ -169,7 +170,7 @@ def _hash_counts(hashes_of):
 
 def _bits(least: int):
     def run(batches):
-        for block, sums in _added(batches, 1 << BLOCK_BITS):
+        for block, sums in _added(batches, 1 << BLOCK_BITS, np.uint8):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
     return run
@@ -186,7 +187,7 @@ def _filter(counts: DataFrame, least: int) -> np.ndarray:
 
 
 def _candidates(passing):
-    """(lang, phrase, hash): the distinct phrases of each slice at the places that pass."""
+    """(phrase): the language and the phrase, with a tab, of each slice's distinct phrases at the places that pass."""
 
     def run(batches):
         for lang, words, place in _rows(batches):
@@ -195,12 +196,34 @@ def _candidates(passing):
                 other = np.zeros(len(at), bool)  # equal hashes of different words: kept
                 for j in range(size):
                     other |= place[at + j] != place[at[first][same] + j]
-                taken = np.union1d(first, np.flatnonzero(other))
-                at, dealt = at[taken], pa.array(h[taken].view(np.int64))
+                at = at[np.union1d(first, np.flatnonzero(other))]
                 phrase = pc.binary_join_element_wise(*[words.take(pa.array(place[at + j])) for j in range(size)], " ")
+                named = pc.binary_join_element_wise(pa.scalar(lang), phrase, "\t")
                 for k in range(0, len(at), 1 << 16):
-                    some = phrase.slice(k, 1 << 16)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, dealt.slice(k, 1 << 16)], ["lang", "phrase", "hash"])
+                    yield pa.RecordBatch.from_arrays([named.slice(k, 1 << 16)], ["phrase"])
+
+    return run
+
+
+def _dealt(n_tries: int):
+    """(trie, lang, phrase) of candidates."""
+
+    def run(batches):
+        for batch in batches:
+            pairs = [x.rsplit("\t", 1) for x in batch.column("phrase").to_pylist()]  # no word has a tab
+            if not pairs:
+                continue
+            lang, phrase = (pa.array(x, pa.string()) for x in zip(*pairs))
+            lists = pc.split_pattern(phrase, " ")
+            size, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+            h, start = np.zeros(len(flat), np.uint64), np.cumsum(size) - size
+            of = lang.take(pa.array(np.repeat(np.arange(len(size)), size)))
+            for x in pc.unique(lang).to_pylist():
+                mine = pc.equal(of, x)
+                h[mine.to_numpy(zero_copy_only=False)] = hash_of(x, flat.filter(mine))
+            pair = joined(h[start], h[start + 1])
+            whole = np.where(size > 2, joined(pair, h[start + size - 1]), pair)
+            yield pa.RecordBatch.from_arrays([pa.array(trie_of(whole, n_tries)), lang, phrase], ["trie", "lang", "phrase"])
 
     return run
 
@@ -311,8 +334,10 @@ def _unpacked(batches):
 
 
 def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, trie_phrases: int = TRIE_PHRASES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, phrase, a) of all phrases of two and three words that occur least times or more, (lang, word, n)
-    of the words that do, and (lang, n) of all words, over docs (text, lang)."""
+    """(lang, phrase, a) of all phrases of two and three words that occur least times or more (MOST at most),
+    (lang, word, n) of the words that do, and (lang, n) of all words, over docs (text, lang)."""
+    if not 1 <= least <= MOST:
+        raise ValueError(f"least must lie between 1 and {MOST}")
     context = scratch.spark.sparkContext
     sliced = scratch.save(docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_sliced, SLICED), "sliced")
     totals = sliced.groupBy("lang").agg(F.sum("n").alias("n"))
@@ -325,7 +350,7 @@ def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, trie_ph
             h = [hash_of(x, word.filter(pc.equal(lang, x))) for x in pc.unique(lang).to_pylist()]
             if h:
                 bit = np.unique(np.concatenate(h) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                yield _by_block(bit, np.ones(len(bit)), 1 << BLOCK_BITS)
+                yield _by_block(bit, np.ones(len(bit)), 1 << BLOCK_BITS, np.uint8)
 
     filters = [_filter(words.mapInArrow(word_bits, BLOCKS), 1)]
     for level in (0, 1):
@@ -333,10 +358,10 @@ def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, trie_ph
         hashes = _hash_counts(lambda *row, level=level, passing=passing: list(passing.value.runs(*row))[level][1])
         filters = [*filters, _filter(sliced.mapInArrow(hashes, BLOCKS), least)]
     passing = context.broadcast(Passing(filters))
-    found = scratch.save(sliced.mapInArrow(_candidates(passing), "lang string, phrase string, hash long").distinct(), "candidates")
+    found = scratch.save(sliced.mapInArrow(_candidates(passing), "phrase string").distinct(), "candidates")
 
     n_tries = max(TOGETHER, -(-found.count() // trie_phrases))
-    built = found.withColumn("trie", F.pmod(F.shiftrightunsigned("hash", 1), F.lit(n_tries)))
+    built = scratch.save(found.mapInArrow(_dealt(n_tries), "trie long, lang string, phrase string"), "dealt")
     largest = built.groupBy("trie").count().agg(F.max("count")).first()[0] or 0
     radix = int(np.sqrt(3 * largest)) + 1  # a phrase has three words at most
     built = scratch.save(built.groupBy("trie").applyInArrow(_built(radix), BUILT), "tries")
