@@ -213,11 +213,16 @@ def known_before(step: int, rows: int | None = None, *keys: str):
     return w.rangeBetween(Window.unboundedPreceding, -step - 1) if rows is None else w.rowsBetween(-rows - step, -step - 1)
 
 
+def spread_ratio(w) -> Column:
+    """Deviation of the means over that of y in a frame."""
+    return F.stddev_pop("mean").over(w) / F.greatest(F.stddev_pop("y").over(w), F.lit(1e-12))
+
+
 def realised_window(arc: DataFrame, rows: int = 120, step: int = 1) -> DataFrame:
     """For every origin, the count and deviation ratio of the last ``rows`` forecasts whose targets are known
     before it; null with fewer than 30."""
     w = known_before(step, rows)
-    known = arc.where(F.col("step") == step).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.stddev_pop("mean").over(w) / F.greatest(F.stddev_pop("y").over(w), F.lit(1e-12)))
+    known = arc.where(F.col("step") == step).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", spread_ratio(w))
     return known.select(*KEY, "origin", F.col("_n").alias("n_realised"), F.when(F.col("_n") >= 30, F.col("_r")).alias("std_ratio"))
 
 
@@ -225,25 +230,33 @@ def realised_window(arc: DataFrame, rows: int = 120, step: int = 1) -> DataFrame
 PIT_LIMIT = 16.918977604620448
 
 
+def with_chi2(rows: DataFrame, w, bins: int = 10) -> DataFrame:
+    """rows with n_realised and chi2, the chi-square of the pit's bins in a frame (null below five a bin)."""
+    cell = F.least(F.floor(F.col("pit") * bins), F.lit(bins - 1))
+    known = rows.withColumn("n_realised", F.count(F.lit(1)).over(w)).withColumns({f"_b{b}": F.count_if(cell == b).over(w) for b in range(bins)})
+    each = F.col("n_realised") / bins
+    stat = sum((F.col(f"_b{b}") - each) * (F.col(f"_b{b}") - each) / each for b in range(bins))
+    return known.withColumn("chi2", F.when(F.col("n_realised") >= bins * 5, stat)).drop(*[f"_b{b}" for b in range(bins)])
+
+
 def trailing_calibration(arc: DataFrame, rows: int = 120, step: int = 1, bins: int = 10) -> DataFrame:
     """For every origin, the chi-square of the pit's bins over the last ``rows`` forecasts known before it, and
     whether they are calibrated at 5 %; fewer than 50 don't count against it."""
-    w = known_before(step, rows)
-    cell = F.least(F.floor(F.col("pit") * bins), F.lit(bins - 1))
-    known = pit(arc.where(F.col("step") == step)).withColumn("_n", F.count(F.lit(1)).over(w)).withColumns({f"_b{b}": F.count_if(cell == b).over(w) for b in range(bins)})
-    each = F.col("_n") / bins
-    stat = sum((F.col(f"_b{b}") - each) * (F.col(f"_b{b}") - each) / each for b in range(bins))
-    found = known.select(*KEY, "origin", F.col("_n").alias("n_realised"), F.when(F.col("_n") >= bins * 5, stat).alias("chi2"))
+    found = with_chi2(pit(arc.where(F.col("step") == step)), known_before(step, rows), bins).select(*KEY, "origin", "n_realised", "chi2")
     return found.withColumn("calibrated", F.coalesce(F.col("chi2") <= PIT_LIMIT, F.lit(True)))
 
 
+def trailing_z(rows: int = 120) -> Column:
+    """z of vol against the ``rows`` before it (more than 10)."""
+    w = Window.partitionBy(*KEY).orderBy("origin").rowsBetween(-rows, -1)
+    sd = F.stddev_pop("vol").over(w)
+    return F.when((F.count("vol").over(w) > 10) & (sd > 0), (F.col("vol") - F.avg("vol").over(w)) / sd)
+
+
 def vol_z(arc: DataFrame, rows: int = 120) -> DataFrame:
     """z of each forecast's predictive deviation against the ``rows`` before it (more than 10)."""
     std = (F.element_at("q", 7) - F.element_at("q", 3)) / 2
-    w = Window.partitionBy(*KEY).orderBy("origin").rowsBetween(-rows, -1)
-    vol = arc.select(*KEY, "origin", std.alias("vol"))
-    sd = F.stddev_pop("vol").over(w)
-    return vol.withColumn("z", F.when((F.count("vol").over(w) > 10) & (sd > 0), (F.col("vol") - F.avg("vol").over(w)) / sd))
+    return arc.select(*KEY, "origin", std.alias("vol")).withColumn("z", trailing_z(rows))
 
 
 def signals(arc: DataFrame, model: str = "ar") -> DataFrame:
@@ -280,21 +293,24 @@ def gate(arc: DataFrame, model: str = "ar", *, step: int = 1, flags: DataFrame |
     break_at); edge: (instrument, edge). A part that isn't given adds no reason.
     """
     at = ["instrument", "origin"]
-    mine = lambda df: df.where((F.col("model") == model) & (F.col("step") == step)).drop("model", "step")
     told = known_before(step)
     sign = F.when(F.col("y") != 0, (F.signum("y") == F.signum("mean")).cast("int"))
-    signs = arc.where(F.col("step") == step).select(*KEY, "origin", F.count(sign).over(told).alias("n_sign"), F.sum(sign).over(told).alias("k_sign"))
-    rows = signals(arc, model).where(F.col("step") == step)
-    for part in (realised_window(arc, step=step), trailing_calibration(arc, step=step).drop("n_realised", "chi2"), vol_z(arc).drop("vol"), signs):
-        rows = rows.join(mine(part), at)
+    # All trailing evidence of the model in one pass over its forecasts.
+    told_of = pit(mine_with(against_naive(arc), model, step)).withColumn("vol", (F.element_at("q", 7) - F.element_at("q", 3)) / 2)
+    told_of = with_chi2(told_of, known_before(step, 120)).withColumns({
+        "std_ratio": F.when(F.col("n_realised") >= 30, spread_ratio(known_before(step, 120))), "z": trailing_z(),
+        "calibrated": F.coalesce(F.col("chi2") <= PIT_LIMIT, F.lit(True)), "n_sign": F.count(sign).over(told), "k_sign": F.sum(sign).over(told),
+    })
+    seen = ["n_realised", "std_ratio", "calibrated", "z", "n_sign", "k_sign"]
     reasons = [F.when(F.col("std_ratio") < 0.05, "degenerate"), F.when(~F.col("calibrated"), "miscalibrated")]
     if regimes is not None:
-        labelled = mine_with(against_naive(arc), model, step).join(regimes.select("instrument", F.col("n").alias("origin"), "regime"), at)
+        told_of = told_of.join(regimes.select("instrument", F.col("n").alias("origin"), "regime"), at, "left")
         w = known_before(step, None, "regime")
         sse = lambda c: F.sum((F.col("y") - F.col(c)) * (F.col("y") - F.col(c))).over(w)
-        weak = (F.count(F.lit(1)).over(w) >= 30) & (sse("mean") >= sse("base"))
-        rows = rows.join(labelled.select(*at, "regime", weak.alias("_weak")), at, "left")
+        weak = F.col("regime").isNotNull() & (F.count(F.lit(1)).over(w) >= 30) & (sse("mean") >= sse("base"))
+        told_of, seen = told_of.withColumn("_weak", weak), [*seen, "regime", "_weak"]
         reasons.append(F.when(F.col("_weak"), "bad_regime"))
+    rows = signals(arc, model).where(F.col("step") == step).join(told_of.select(*at, *seen), at)
     if breaks is not None:
         near = breaks.select("instrument", F.explode(F.sequence(F.col("break_at"), F.col("break_at") + lookback - 1)).alias("origin")).distinct().withColumn("_break", F.lit(True))
         rows = rows.join(near, at, "left")
