@@ -53,9 +53,10 @@ def slippage(fills: DataFrame, expected: DataFrame, session: str = "session_date
 
 def stress_windows(curve: DataFrame, windows: DataFrame) -> DataFrame:
     """For each named window of time: worst drawdown and day, share of flat days, mean size, and the days from the
-    worst drawdown back to its peak (null if the window ends first). windows is a short
-    list (name, lo, hi)."""
-    rows = curve.join(F.broadcast(windows), (F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi")))
+    worst drawdown back to its peak (null if the window ends first). windows: (name, lo, hi), any number; they
+    meet the curve by equality on days."""
+    days = windows.withColumn("_day", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))))
+    rows = curve.withColumn("_day", F.to_date("ts")).join(days, "_day").where((F.col("ts") >= F.col("lo")) & (F.col("ts") < F.col("hi"))).drop("_day")
     peak = F.max("equity").over(Window.partitionBy("name", "instrument").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_peak", peak).withColumn("_dd", F.col("equity") - F.col("_peak"))
     worst = rows.groupBy("name", "instrument").agg(F.min_by(F.struct("ts", "_peak"), F.struct("_dd", "ts")).alias("_w"))
