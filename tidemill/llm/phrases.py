@@ -233,6 +233,19 @@ def trie_of(h: np.ndarray, n_tries: int) -> np.ndarray:
     return ((h >> np.uint64(1)) % np.uint64(n_tries)).astype(np.int64)
 
 
+def packed(values) -> bytes:
+    """An array as compressed bytes."""
+    out = pa.BufferOutputStream()
+    table = pa.table({"x": pa.array(values)})
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(raw: bytes) -> pa.Array:
+    return pa.ipc.open_stream(raw).read_all()["x"].combine_chunks()
+
+
 def _built(radix: int):
     """One trie's phrases with their last states, and in a first row the trie itself."""
 
@@ -252,14 +265,14 @@ def _built(radix: int):
         below = lambda x: pa.concat_arrays([pa.array([None], x.type), x])
         return pa.table({
             "trie": pa.array([key[0].as_py()] * (n + 1), pa.int64()), "state": below(pa.array(trie.ends, pa.int64())), "lang": below(langs), "phrase": below(phrases),
-            "base": head(trie.base.tobytes(), pa.binary()), "check": head(trie.check.tobytes(), pa.binary()), "ends": head(trie.ends.astype(np.int32).tobytes(), pa.binary()),
-            "symbols": head(both.dictionary.to_pylist(), pa.list_(pa.string())),
+            "base": head(packed(trie.base), pa.binary()), "check": head(packed(trie.check), pa.binary()), "ends": head(packed(trie.ends.astype(np.int32)), pa.binary()),
+            "symbols": head(packed(both.dictionary), pa.binary()),
         })
 
     return run
 
 
-BUILT = "trie long, state long, lang string, phrase string, base binary, check binary, ends binary, symbols array<string>"
+BUILT = "trie long, state long, lang string, phrase string, base binary, check binary, ends binary, symbols binary"
 
 
 class Walk:
@@ -267,8 +280,9 @@ class Walk:
 
     def __init__(self, rows: list, n_tries: int, radix: int):
         """rows: (trie, base, check, ends, symbols) of each of the tries that are here, of n_tries in all."""
-        shared = pa.concat_arrays([pa.array(r.symbols, pa.string()) for r in rows]).dictionary_encode()
-        code, cut = shared.indices.to_numpy(zero_copy_only=False), np.append(0, np.cumsum([len(r.symbols) for r in rows]))
+        symbols = [unpacked(r.symbols) for r in rows]
+        shared = pa.concat_arrays(symbols).dictionary_encode()
+        code, cut = shared.indices.to_numpy(zero_copy_only=False), np.append(0, np.cumsum([len(x) for x in symbols]))
         pairs = [s.rsplit("\t", 1) for s in shared.dictionary.to_pylist()]
         known: dict[str, tuple[list[int], list[str]]] = {}
         for k, (lang, word) in enumerate(pairs):
@@ -276,13 +290,13 @@ class Walk:
             at.append(k)
             words.append(word)
         self.known = {lang: (np.array(at), pa.array(words)) for lang, (at, words) in known.items()}
-        self.trie, self.roots = Trie.together([(np.frombuffer(r.base, np.int32), np.frombuffer(r.check, np.int32)) for r in rows], radix)
+        self.trie, self.roots = Trie.together([(unpacked(r.base).to_numpy(), unpacked(r.check).to_numpy()) for r in rows], radix)
         self.own = np.full((len(rows), len(pairs)), -1, np.int32)  # each trie's own codes
         self.end = np.zeros(len(self.trie.check), bool)
         self.at = np.full(n_tries, -1)  # where each trie is, if it is here
         for k, r in enumerate(rows):
             self.own[k, code[cut[k] : cut[k + 1]]] = np.arange(cut[k + 1] - cut[k])
-            self.end[self.roots[k] + np.frombuffer(r.ends, np.int32)] = True
+            self.end[self.roots[k] + unpacked(r.ends).to_numpy()] = True
             self.at[r.trie] = k
         self.numbers, self.sums = [r.trie for r in rows], np.zeros(len(self.trie.check), np.int64)
 

@@ -103,8 +103,8 @@ class Trie:
         """Several tries (base, check) in one pair of arrays, and the root of each."""
         trie, size = cls.__new__(cls), [len(base) for base, _ in tries]
         roots = np.cumsum([0, *size[:-1]])
-        trie.base = np.concatenate([base + root for (base, _), root in zip(tries, roots)])
-        trie.check = np.concatenate([np.where(check >= 0, check + root, -1) for (_, check), root in zip(tries, roots)])
+        trie.base = np.concatenate([(base + root).astype(np.int32) for (base, _), root in zip(tries, roots)])
+        trie.check = np.concatenate([np.where(check >= 0, check + root, -1).astype(np.int32) for (_, check), root in zip(tries, roots)])
         trie.radix = radix
         return trie, roots
 
