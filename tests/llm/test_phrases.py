@@ -56,10 +56,8 @@ def test_rows_of_all_kinds_equal_brute_force(spark, monkeypatch):
     want = brute(rows)
     assert len(want) > 300
     assert rows_of(P.collocations(docs, Scratch(spark, "t"))) == want
-    # Several passes of small tries, a filter that nearly all hashes share, and small slices.
+    # Several passes of small tries, and a short list.
     monkeypatch.setattr(P, "TOGETHER", 2)
-    monkeypatch.setattr(P, "SLICE", 2000)
-    monkeypatch.setattr(P, "FLUSH", 500)
     assert rows_of(P.collocations(docs, Scratch(spark, "t"), trie_phrases=60, top=40)) == brute(rows, top=40)
     assert rows_of(P.collocations(docs.limit(0), Scratch(spark, "t"))) == []
 
