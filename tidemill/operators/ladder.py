@@ -85,8 +85,9 @@ def ewma_rung(series: DataFrame, min_train: int = 252, lam: float = 0.94) -> Dat
     return _archive(rows.withColumn("_s", F.sqrt(F.greatest(var, F.lit(1e-24)))), "garch", F.col("_mu"), gaussian(F.col("_mu"), F.col("_s")), min_train)
 
 
-def ar_rung(series: DataFrame, min_train: int = 252) -> DataFrame:
-    """First-order autoregression from running sums of lag products, with Gaussian quantiles."""
+def ar_fits(series: DataFrame) -> DataFrame:
+    """series with _c, _phi and _s: a first-order autoregression fitted at every row on all returns so far, from
+    running sums of lag products, and the deviation of what it leaves."""
     so_far = by_n().rowsBetween(Window.unboundedPreceding, 0)
     rows = series.withColumn("_x", F.lag("ret").over(by_n()))
     run = lambda c: F.sum(c).over(so_far)
@@ -94,9 +95,13 @@ def ar_rung(series: DataFrame, min_train: int = 252) -> DataFrame:
     rows = rows.withColumns({"_n": run(pair.cast("int")), "_sx": run("_x"), "_sy": run(F.when(pair, F.col("ret"))), "_sxx": run(F.col("_x") * F.col("_x")), "_sxy": run(F.col("_x") * F.col("ret")), "_syy": run(F.when(pair, F.col("ret") * F.col("ret")))})
     sxx, sxy, syy = (F.col(f"_s{a}{b}") - F.col(f"_s{a}") * F.col(f"_s{b}") / F.col("_n") for a, b in ("xx", "xy", "yy"))
     rows = rows.withColumn("_phi", F.when(sxx > 0, sxy / sxx).otherwise(0.0)).withColumn("_c", (F.col("_sy") - F.col("_phi") * F.col("_sx")) / F.col("_n"))
-    rows = rows.withColumn("_s", F.sqrt(F.greatest((syy - F.col("_phi") * sxy) / F.greatest(F.col("_n") - 2, F.lit(1)), F.lit(1e-24))))
+    return rows.withColumn("_s", F.sqrt(F.greatest((syy - F.col("_phi") * sxy) / F.greatest(F.col("_n") - 2, F.lit(1)), F.lit(1e-24))))
+
+
+def ar_rung(series: DataFrame, min_train: int = 252) -> DataFrame:
+    """First-order autoregression (ar_fits), with Gaussian quantiles."""
     mean = F.col("_c") + F.col("_phi") * F.col("ret")
-    return _archive(rows, "ar", mean, gaussian(mean, F.col("_s")), min_train)
+    return _archive(ar_fits(series), "ar", mean, gaussian(mean, F.col("_s")), min_train)
 
 
 def archive(series: DataFrame, min_train: int = 252) -> DataFrame:
@@ -290,7 +295,8 @@ def gate(arc: DataFrame, model: str = "ar", *, step: int = 1, flags: DataFrame |
     beyond_edge (the step is over the edge horizon), data_quality (an anomaly at the origin). Soft ones:
     low_conviction (under .35), weak_direction (signs so far don't differ from chance at 10 %), high_vol (z over 1.5
     of the last 120). flags: (instrument, n) of anomalies; regimes: (instrument, n, regime); breaks: (instrument,
-    break_at); edge: (instrument, edge). A part that isn't given adds no reason.
+    break_at); edge: (instrument, edge), or edges known at each origin (instrument, origin, edge), where a null one
+    is no reason. A part that isn't given adds no reason.
     """
     at = ["instrument", "origin"]
     told = known_before(step)
@@ -316,8 +322,8 @@ def gate(arc: DataFrame, model: str = "ar", *, step: int = 1, flags: DataFrame |
         rows = rows.join(near, at, "left")
         reasons.append(F.when(F.col("_break"), "structural_break"))
     if edge is not None:
-        rows = rows.join(edge.select("instrument", "edge"), "instrument", "left")
-        reasons.append(F.when(F.lit(step) > F.greatest("edge", F.lit(1)), "beyond_edge"))
+        rows = rows.join(edge.select(*[c for c in at if c in edge.columns], "edge"), [c for c in at if c in edge.columns], "left")
+        reasons.append(F.when(F.col("edge").isNotNull() & (F.lit(step) > F.greatest("edge", F.lit(1))), "beyond_edge"))
     if flags is not None:
         rows = rows.join(flags.select("instrument", F.col("n").alias("origin")).distinct().withColumn("_flag", F.lit(True)), at, "left")
         reasons.append(F.when(F.col("_flag"), "data_quality"))

@@ -54,11 +54,11 @@ def edge_horizon(arc: DataFrame, models: DataFrame) -> DataFrame:
     return skill.groupBy("instrument").agg(F.coalesce(F.max(F.when(F.col("r2") > 0, F.col("step"))), F.lit(0)).alias("edge"))
 
 
-def regime_skill(arc: DataFrame, regimes: DataFrame) -> DataFrame:
-    """(instrument, model, regime, n, r2, predictable) of one-step forecasts by the regime at the origin.
-    regimes: (instrument, n, regime)."""
-    labels = regimes.select("instrument", F.col("n").alias("origin"), "regime")
-    rows = lad.against_naive(arc.where("step = 1")).join(labels, ["instrument", "origin"])
+def regime_skill(arc: DataFrame, regimes: DataFrame, at: str = "target") -> DataFrame:
+    """(instrument, model, regime, n, r2, predictable) of one-step forecasts by the regime at their target, as a report
+    looks back on them, or at their origin (at="origin"), as they were known. regimes: (instrument, n, regime)."""
+    labels = regimes.select("instrument", F.col("n").alias(at), "regime")
+    rows = lad.against_naive(arc.where("step = 1")).join(labels, ["instrument", at])
     sse = lambda c: F.sum((F.col("y") - F.col(c)) * (F.col("y") - F.col(c)))
     found = rows.groupBy("instrument", "model", "regime").agg(F.count(F.lit(1)).alias("n"), F.when(sse("base") > 1e-24, 1 - sse("mean") / sse("base")).otherwise(0.0).alias("r2"))
     return found.withColumn("predictable", F.col("r2") > 0)

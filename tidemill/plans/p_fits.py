@@ -110,5 +110,5 @@ SQL = {
     "j7_own_rung": S + f", nq AS (SELECT *, lead(ret) OVER ({N}) AS y FROM ser), k AS (SELECT * FROM nq WHERE n >= 251 AND y IS NOT NULL) SELECT instrument, 'again' AS model, 1 AS step, round(1 - sum((y - ret) * (y - ret)) / sum(y * y), 6) AS r2 FROM k GROUP BY 1 UNION ALL SELECT instrument, 'naive-rw', 1, 0.0 FROM k GROUP BY 1",
     "k2_kpss_p": KPSS + " SELECT instrument, round(CASE WHEN s <= 0.347 THEN 0.1 WHEN s <= 0.463 THEN 0.1 - 0.05 * (s - 0.347) / 0.116 WHEN s <= 0.574 THEN 0.05 - 0.025 * (s - 0.463) / 0.111 WHEN s <= 0.739 THEN 0.025 - 0.015 * (s - 0.574) / 0.165 ELSE 0.01 END, 5) AS p FROM z",
     "k4_first_break": S + BREAK + " SELECT instrument, break_at, round(stat, 5) AS stat FROM fb",
-    "k11_regime_skill": ARC + REGIMES + " , j AS (SELECT b.*, regime FROM based b JOIN vr ON b.instrument = vr.instrument AND b.origin = vr.n), g AS (SELECT instrument, model, regime, count(*) AS n, CASE WHEN sum((y - base) * (y - base)) > 1e-24 THEN 1 - sum((y - mean) * (y - mean)) / sum((y - base) * (y - base)) ELSE 0 END AS r2 FROM j GROUP BY 1, 2, 3) SELECT instrument, model, regime, n, round(r2, 6) AS r2, r2 > 0 AS predictable FROM g",
+    "k11_regime_skill": ARC + REGIMES + " , j AS (SELECT b.*, regime FROM based b JOIN vr ON b.instrument = vr.instrument AND b.target = vr.n), g AS (SELECT instrument, model, regime, count(*) AS n, CASE WHEN sum((y - base) * (y - base)) > 1e-24 THEN 1 - sum((y - mean) * (y - mean)) / sum((y - base) * (y - base)) ELSE 0 END AS r2 FROM j GROUP BY 1, 2, 3) SELECT instrument, model, regime, n, round(r2, 6) AS r2, r2 > 0 AS predictable FROM g",
 }
