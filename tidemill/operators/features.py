@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import asof_day
+from .asof import asof, asof_day
 from .indicators import by_time
+from .micro import trailing_vpin
 from .rules import encode
 
 # Codes of the structure verdict and of a direction.
@@ -85,3 +86,15 @@ def feature_vector(days: DataFrame, *parts: DataFrame, least_bars: int = 1) -> D
     out = out.withColumns({"day_of_week": day, "is_friday": (day == 4).cast("int")})
     value = lambda c, none: F.coalesce(F.col(c).cast("double"), F.lit(none)) if c in out.columns else F.lit(none)
     return out.select("instrument", "ts", *[value(c, none).alias(c) for c, none in VECTOR.items()])
+
+
+def book_part(states: DataFrame) -> DataFrame:
+    """states: book_at()'s rows, one for each day at most."""
+    return states.select("instrument", "ts", F.col("imbalance_l1").alias("book_imbalance"))
+
+
+def bucket_part(days: DataFrame, buckets: DataFrame, last: int = 50) -> DataFrame:
+    """The mean imbalance of the last buckets that had closed by each day's time. days: (instrument, ts); buckets:
+    vpin_buckets()'s."""
+    known = trailing_vpin(buckets, last).groupBy("instrument", "close_ts").agg(F.max_by("vpin", "bucket").alias("vpin"))
+    return asof(days.select("instrument", "ts"), known, ["instrument"], "ts", "close_ts", ["vpin"]).select("instrument", "ts", "vpin")

@@ -41,6 +41,13 @@ def vpin(buckets: DataFrame, last: int = 50) -> DataFrame:
     return buckets.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= last).groupBy("instrument").agg(F.avg(share).alias("vpin"), F.count(F.lit(1)).alias("n"))
 
 
+def trailing_vpin(buckets: DataFrame, last: int = 50) -> DataFrame:
+    """(instrument, bucket, close_ts, vpin): the mean imbalance of the last buckets up to each."""
+    w = Window.partitionBy("instrument").orderBy("bucket").rowsBetween(-last + 1, 0)
+    share = F.abs(F.col("buy") - F.col("sell")) / (F.col("buy") + F.col("sell"))
+    return buckets.select("instrument", "bucket", "close_ts", F.avg(share).over(w).alias("vpin"))
+
+
 TICKS = "instrument string, ts timestamp_ntz, seq long, price double, filtered double, spike boolean, level double, velocity double"
 
 

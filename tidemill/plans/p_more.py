@@ -215,13 +215,6 @@ def v1_predictive_std(spark, sf_dir):
     return rounded(rows.select("instrument", "origin", ((F.element_at("q", 7) - F.element_at("q", 3)) / 2).alias("std"), (F.element_at("q", 8) - F.element_at("q", 2)).alias("width90")), 5)
 
 
-def v6_feature_export(spark, sf_dir):
-    """Per origin the median and the spread of every model, side by side."""
-    a = arc(spark, sf_dir).select("instrument", "origin", "model", F.element_at("q", 5).alias("p50"), (F.element_at("q", 7) - F.element_at("q", 3)).alias("spread"))
-    wide = a.groupBy("instrument", "origin").pivot("model", ["ar", "garch"]).agg(F.first("p50").alias("p50"), F.first("spread").alias("spread"))
-    return rounded(wide, 5)
-
-
 def v7_price_levels(spark, sf_dir):
     rows = prep.condition(returns(spark, sf_dir))
     newest = rows.groupBy("instrument").agg(F.max_by(F.struct("price", "sigma_next"), "ts").alias("x")).select("instrument", "x.*")
@@ -229,7 +222,7 @@ def v7_price_levels(spark, sf_dir):
     return rounded(newest.select("instrument", q(-1.2815515655446004).alias("p10"), q(0.0).alias("p50"), q(1.2815515655446004).alias("p90")), 6)
 
 
-QUERIES = {f.__name__: f for f in (a8_upsert, a11_features_extra, a12_days_not_done, a13_next_pull, a13_catch_up, n8_tick_returns, a14_delete_range, b6_fresh_forecast, b7_above_noise, b8_trading_calendar, b10_dense_features, b11_encode, b12_quote_repair, c11_archive_regimes, c12_losses_against_naive, c13_latest_with_recent, c15_daily_scale, d7_gate_mix, d9_recent_ticks, d10_realised_pnl, d13_run_status, f3_signal_model, g3_purged_train, l22_sensitivity, i10_ladder, j5_path_quantiles, l13_probabilistic_sharpe, l18_trade_summary, l22_cost_sweep, l24_alerts, l25_target_position, m5_daily_swap, v1_predictive_std, v6_feature_export, v7_price_levels)}
+QUERIES = {f.__name__: f for f in (a8_upsert, a11_features_extra, a12_days_not_done, a13_next_pull, a13_catch_up, n8_tick_returns, a14_delete_range, b6_fresh_forecast, b7_above_noise, b8_trading_calendar, b10_dense_features, b11_encode, b12_quote_repair, c11_archive_regimes, c12_losses_against_naive, c13_latest_with_recent, c15_daily_scale, d7_gate_mix, d9_recent_ticks, d10_realised_pnl, d13_run_status, f3_signal_model, g3_purged_train, l22_sensitivity, i10_ladder, j5_path_quantiles, l13_probabilistic_sharpe, l18_trade_summary, l22_cost_sweep, l24_alerts, l25_target_position, m5_daily_swap, v1_predictive_std, v7_price_levels)}
 
 COND = R + f", s AS (SELECT *, CASE WHEN count(ret) OVER b >= 64 THEN stddev_samp(ret) OVER b END AS sg, CASE WHEN count(ret) OVER c >= 64 THEN stddev_samp(ret) OVER c END AS nx FROM rets WINDOW b AS ({P} ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING), c AS ({P} ROWS BETWEEN 255 PRECEDING AND CURRENT ROW))"
 SESSION = f"({NY} + INTERVAL 7 HOUR)::DATE::VARCHAR"
@@ -276,6 +269,5 @@ SQL = {
     "l25_target_position": DECIDED + f", p AS (SELECT instrument, ts, greatest(-8, least(8, round(CASE direction WHEN 'long' THEN 1 WHEN 'short' THEN -1 ELSE 0 END * size * 10)))::INTEGER AS position FROM dcs) SELECT *, position - lag(position, 1, 0) OVER ({P}) AS change FROM p",
     "m5_daily_swap": B + "SELECT instrument, ts, round(0.02::DOUBLE / 365 * close / 0.0001::DOUBLE * CASE WHEN isodow(ts) = 3 THEN 3 ELSE 1 END, 3) AS pips FROM bars",
     "v1_predictive_std": ARC + " SELECT instrument, origin, round((q[7] - q[3]) / 2, 5) AS std, round(q[8] - q[2], 5) AS width90 FROM ar",
-    "v6_feature_export": ARC + " SELECT instrument, origin, round(max(q[5]) FILTER (WHERE model = 'ar'), 5) AS ar_p50, round(max(q[7] - q[3]) FILTER (WHERE model = 'ar'), 5) AS ar_spread, round(max(q[5]) FILTER (WHERE model = 'garch'), 5) AS garch_p50, round(max(q[7] - q[3]) FILTER (WHERE model = 'garch'), 5) AS garch_spread FROM arc GROUP BY 1, 2",
     "v7_price_levels": COND + " SELECT instrument, round(close * exp(-1.2815515655446004::DOUBLE * nx), 6) AS p10, round(close * exp(0.0::DOUBLE * nx), 6) AS p50, round(close * exp(1.2815515655446004::DOUBLE * nx), 6) AS p90 FROM s QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY ts DESC) = 1",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of ``tidemill.plans`` that hold ``QUERIES`` and ``SQL``.
-MODULES = ("p_tape", "p_prep", "p_ladder", "p_decisions", "p_more", "p_streams", "p_loop", "p_sessions", "p_fits", "p_meta", "p_tables")
+MODULES = ("p_tape", "p_prep", "p_ladder", "p_decisions", "p_more", "p_streams", "p_loop", "p_sessions", "p_fits", "p_trailing", "p_meta", "p_tables")
 
 
 def queries() -> dict:

@@ -47,6 +47,28 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("instrument", "ts").agg(*ohlcv(order))
 
 
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def line_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(instrument, ts, seq, price, size, side): the trades that the daily bars are made of; a day's trades in the
+    order of seq, side B where the line is open."""
+    rows = read(spark, sf_dir, "lineitem")
+    side = F.when(F.col("l_linestatus") == "O", "B").otherwise("A")
+    price, size = (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("long").alias("size")
+    return rows.select(F.col("l_returnflag").alias("instrument"), F.col("l_shipdate").alias("ts"), F.struct(*LINE, "l_linestatus", "l_quantity").alias("seq"), price, size, side.alias("side"))
+
+
+def line_orders(spark: SparkSession, sf_dir: str, tick: float = 5000.0) -> DataFrame:
+    """Book records (instrument, ts, seq, action, side, order_id, price, size) of the bars' instruments: each line
+    rests from its order's date until it ships, at a price in whole ticks; lines that ship no later are left out."""
+    rows = line_tape(spark, sf_dir).select("instrument", "ts", "side", "size", (F.floor(F.col("price") / tick) * tick).alias("price"), F.col("seq.l_orderkey").alias("o_orderkey"), F.to_json("seq").alias("_id"))
+    rests = rows.join(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").where("o_orderdate < ts")
+    rests = rests.withColumn("order_id", F.concat_ws("|", "instrument", "ts", "_id"))
+    part = lambda ts, seq, action: rests.select("instrument", F.col(ts).alias("ts"), F.lit(seq).cast("long").alias("seq"), F.lit(action).alias("action"), "side", "order_id", "price", "size")
+    return part("ts", 0, "C").unionByName(part("o_orderdate", 1, "A"))
+
+
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, us_yield, de_yield) per order date from orders; a date without an order of a kind has a null."""
     part = lambda p: F.avg(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))) / 1e5
