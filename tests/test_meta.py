@@ -71,3 +71,14 @@ def test_days_in_regime(spark):
     rows = days(spark, {"a": 5}).withColumn("state", F.element_at(F.array(*[F.lit(x) for x in (0, 0, 2, 2, 0)]), F.dayofmonth("ts")))
     got = feat.regime_part(rows).orderBy("ts").collect()
     assert [(r.regime_state, r.days_in_regime) for r in got] == [(0, 1), (0, 2), (2, 1), (2, 2), (0, 1)]
+
+
+def test_buckets_and_book_known_at_each_day(spark):
+    two = days(spark, {"a": 4})
+    at = lambda day, hour=0: dt.datetime(2024, 1, day, hour)
+    buckets = spark.createDataFrame([("a", 0, 8.0, 2.0, at(2)), ("a", 1, 5.0, 5.0, at(2)), ("a", 2, 0.0, 10.0, at(3, 12)), ("b", 0, 1.0, 9.0, at(1))], "instrument string, bucket long, buy double, sell double, close_ts timestamp_ntz")
+    got = {r.ts.day: r.vpin for r in feat.bucket_part(two, buckets, last=2).collect()}
+    assert got == {1: None, 2: pytest.approx(0.3), 3: pytest.approx(0.3), 4: pytest.approx(0.5)}
+    book = spark.createDataFrame([("a", at(3), -0.25)], "instrument string, ts timestamp_ntz, imbalance_l1 double")
+    rows = sorted(feat.feature_vector(two, feat.bucket_part(two, buckets, last=2), feat.book_part(book)).collect(), key=lambda r: r.ts)
+    assert [(r.vpin, r.book_imbalance) for r in rows] == [(0.0, 0.0), (pytest.approx(0.3), 0.0), (pytest.approx(0.3), -0.25), (pytest.approx(0.5), 0.0)]

@@ -12,6 +12,7 @@ from ..operators.asof import asof, asof_day, next_bar
 from ..operators.macro import align, spread_changes
 from ..sources.tables import daily_bars, macro, read, tape
 from .p_ladder import S, series
+from .p_prep import SQL as PREP_SQL
 from .p_prep import B, P, returns
 from .p_tape import W, good
 from .shared import BARS, RETURNS, rounded
@@ -215,3 +216,20 @@ SQL = {
     "l20_kelly_units": "WITH p AS (SELECT o_orderkey, o_totalprice, o_orderstatus AS s, 0.5::DOUBLE + (o_orderkey % 50) / 100.0::DOUBLE AS p FROM orders), k AS (SELECT *, (p * 1.5::DOUBLE - (1 - p)) / 1.5::DOUBLE AS f FROM p) SELECT o_orderkey, CASE WHEN p < 0.55::DOUBLE OR f <= 0 OR s NOT IN ('O', 'F') THEN 0 ELSE round(o_totalprice * least(f * 0.15::DOUBLE * CASE WHEN s = 'F' THEN 0.5::DOUBLE ELSE 1 END, 0.15::DOUBLE) * 10)::BIGINT END AS units FROM k",
     "l21_drawdown_halt": BACK + " SELECT instrument, count(*) FILTER (WHERE pnl < -0.02 * (equity - pnl)) AS n_halted FROM cv GROUP BY instrument",
 }
+CHECKS = (
+    DECIDED
+    + YM
+    + ", tk AS (" + PREP_SQL["e12_technical_rows"] + "), pt AS (" + PREP_SQL["e11_candle_patterns"] + ")"
+    ", ck AS (SELECT d.instrument, d.ts, unnest([{'check': 'candle', 'c': direction = 'long' AND (engulfing_bull OR pin_bull) OR direction = 'short' AND (engulfing_bear OR pin_bear)}, {'check': 'rsi', 'c': direction = 'long' AND rsi < 30 OR direction = 'short' AND rsi > 70}, {'check': 'averages', 'c': direction = 'long' AND vs_ma50 > 0 AND vs_ma200 > 0 OR direction = 'short' AND vs_ma50 < 0 AND vs_ma200 < 0}]) AS k FROM dcs d JOIN tk ON d.instrument = tk.instrument AND d.ts = tk.ts JOIN pt ON d.instrument = pt.instrument AND d.ts = pt.ts)"
+    ", ch2 AS (SELECT instrument, ts, k['check'] AS \"check\", coalesce(k['c'], false) AS confirmed FROM ck)"
+)
+COMPOSITE = (
+    CHECKS
+    + ", vt AS (SELECT instrument, ts, direction, strength FROM ym UNION ALL SELECT instrument, ts, direction, strength FROM dcs)"
+    ", ta AS (SELECT instrument, ts, sum(CASE direction WHEN 'long' THEN strength ELSE 0 END) AS ls, sum(CASE direction WHEN 'short' THEN strength ELSE 0 END) AS ss, count(*) FILTER (WHERE direction = 'long') AS ln, count(*) FILTER (WHERE direction = 'short') AS sn FROM vt GROUP BY 1, 2)"
+    ", mo AS (SELECT instrument, ts, sum(CASE WHEN confirmed THEN 0.05::DOUBLE ELSE -0.02::DOUBLE END) AS adj, count(*) FILTER (WHERE confirmed) AS tier2 FROM ch2 GROUP BY 1, 2)"
+    ", cm AS (SELECT a.instrument, a.ts, ln + sn AS signal_count, coalesce(tier2, 0) AS tier2_count, CASE WHEN ls > ss THEN 'long' WHEN ss > ls THEN 'short' ELSE 'flat' END AS side, CASE WHEN ls > ss THEN greatest(0, least(1, ls / ln + coalesce(adj, 0))) WHEN ss > ls THEN greatest(0, least(1, ss / sn + coalesce(adj, 0))) ELSE 0 END AS s FROM ta a LEFT JOIN mo ON a.instrument = mo.instrument AND a.ts = mo.ts)"
+    ", cp AS (SELECT instrument, ts, CASE WHEN s < 0.15 THEN 'flat' ELSE side END AS direction, CASE WHEN s < 0.15 THEN 0 ELSE round(s, 4) END::DOUBLE AS strength, signal_count, tier2_count FROM cm)"
+)
+SQL["l4_confirmations"] = CHECKS + ' SELECT instrument, ts, "check", confirmed FROM ch2'
+SQL["l5_composite"] = COMPOSITE + " SELECT * FROM cp"
