@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sink import KeyedTable
-from .states import fresh_rows
+from .states import fresh_rows, slices
 from ..operators.bars import BAR_STATE, bar_state, extend_bars, h4_start, session_date, strictly_increasing
 
 BAR = "instrument string, bar_seq long, open double, high double, low double, close double, volume long, n_trades long"
@@ -17,18 +17,17 @@ STATE = "bar_seq long, open double, high double, low double, close double, volum
 def _extend(bar_size: int):
     def run(key, batches, state):
         bar, o, h, l, c, volume, n, last_ts, last_seq = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0, 0, -(1 << 62), -1)
-        rows = fresh_rows(batches, (last_ts, last_seq))
-        micros = rows["ts"].astype("datetime64[us]").astype("int64")
-        out = []
-        for ts, seq, price, size in zip(micros.tolist(), rows["seq"].tolist(), rows["price"].tolist(), rows["size"].tolist()):
-            last_ts, last_seq = ts, seq
-            o, h, l, c = (price,) * 4 if n == 0 else (o, max(h, price), min(l, price), price)
-            volume, n = volume + size, n + 1
-            if volume >= bar_size:
-                out.append((key[0], bar, o, h, l, c, volume, n))
-                bar, volume, n = bar + 1, 0, 0
+        for rows in slices(fresh_rows(batches, (last_ts, last_seq))):
+            micros, out = rows["ts"].astype("datetime64[us]").astype("int64"), []
+            for ts, seq, price, size in zip(micros.tolist(), rows["seq"].tolist(), rows["price"].tolist(), rows["size"].tolist()):
+                last_ts, last_seq = ts, seq
+                o, h, l, c = (price,) * 4 if n == 0 else (o, max(h, price), min(l, price), price)
+                volume, n = volume + size, n + 1
+                if volume >= bar_size:
+                    out.append((key[0], bar, o, h, l, c, volume, n))
+                    bar, volume, n = bar + 1, 0, 0
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in BAR.split(", ")])
         state.update((bar, o, h, l, c, volume, n, last_ts, last_seq))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in BAR.split(", ")])
 
     return run
 

@@ -12,6 +12,8 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,20 @@ def micros(ts: pd.Series) -> np.ndarray:
 
 
 def fresh_rows(batches, mark: tuple[int, int]) -> pd.DataFrame:
-    """The rows of one trigger after the mark in order of (ts, seq), each sequence once. Spark gives a trigger's
-    rows of a key in batches; the source bounds a trigger."""
-    parts = [f[(micros(f["ts"]) > mark[0]) | ((micros(f["ts"]) == mark[0]) & (f["seq"] > mark[1]).to_numpy())] for f in batches]
-    return pd.concat(parts, ignore_index=True).sort_values(["ts", "seq"]).drop_duplicates(["ts", "seq"])
+    """The rows of one trigger after the mark in order of (ts, seq), each sequence once, without their instrument.
+    Spark gives a trigger's rows of a key in batches; the source bounds a trigger (``replayed`` does for a table)."""
+    parts = []
+    for f in batches:
+        at = micros(f["ts"])
+        parts.append(f[(at > mark[0]) | ((at == mark[0]) & (f["seq"] > mark[1]).to_numpy())].drop(columns="instrument"))
+    rows = pd.concat(parts, ignore_index=True)
+    del parts
+    return rows.sort_values(["ts", "seq"], ignore_index=True).drop_duplicates(["ts", "seq"])
+
+
+def slices(rows, size: int = 4096):
+    """rows in slices, one empty slice if there are none: results go out before the next ones are made."""
+    return (rows[k : k + size] for k in range(0, max(len(rows), 1), size))
 
 
 def _mark(rows: pd.DataFrame, mark):
@@ -39,24 +51,34 @@ def _mark(rows: pd.DataFrame, mark):
 CONDITIONED = "instrument string, ts timestamp_ntz, seq long, ret double, sigma double, scaled double"
 
 
+def _deviations(known: np.ndarray, before: np.ndarray, window: int, least: int) -> np.ndarray:
+    """The deviation of the ``window`` values of known before each place, NaN where there are under ``least``."""
+    found = np.full(len(before), np.nan)
+    full = before >= max(window, least)
+    if full.any():
+        views = np.lib.stride_tricks.sliding_window_view(known, window)
+        found[full] = np.std(np.ascontiguousarray(views[before[full] - window]), axis=1, ddof=1)
+    for k in np.flatnonzero(~full & (before >= least)):
+        found[k] = np.std(known[max(0, before[k] - window) : before[k]], ddof=1)
+    return found
+
+
 def _condition(window: int, least: int):
     def run(key, batches, state):
         close, ring, last_ts, last_seq = state.get if state.exists else (None, "[]", *START)
-        mark, past = (last_ts, last_seq), json.loads(ring)
-        rows = fresh_rows(batches, mark)
-        prices = rows["price"].to_numpy(float)
-        before = np.concatenate([[np.nan if close is None else close], prices[:-1]]) if len(prices) else prices
-        ret = np.log(prices) - np.log(before)
-        known = np.concatenate([past, ret[~np.isnan(ret)]])
-        end = len(known) - len(ret) + np.arange(len(ret))  # returns before each one
-        sigma = np.array([np.std(known[max(0, k - window) : k], ddof=1) if k >= least else np.nan for k in end])
-        if len(rows):
-            close = float(prices[-1])
-        state.update((close, json.dumps(known[-window:].tolist()), *_mark(rows, mark)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scaled = np.where(sigma > 0, ret / sigma, np.nan)
-        out = pd.DataFrame({"instrument": key[0], "ts": rows["ts"], "seq": rows["seq"], "ret": ret, "sigma": sigma, "scaled": scaled})
-        yield out.astype(object).where(out.notna(), None).astype({"seq": "int64"}) if len(out) else out
+        past, fresh = np.array(json.loads(ring), float), fresh_rows(batches, (last_ts, last_seq))
+        for rows in slices(fresh):
+            prices = rows["price"].to_numpy(float)
+            before = np.concatenate([[np.nan if close is None else close], prices[:-1]]) if len(prices) else prices
+            ret = np.log(prices) - np.log(before)
+            is_known = ~np.isnan(ret)
+            known = np.concatenate([past, ret[is_known]])
+            sigma = _deviations(known, len(past) + np.cumsum(is_known) - is_known, window, least)
+            close, past = float(prices[-1]) if len(prices) else close, known[-window:]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scaled = np.where(sigma > 0, ret / sigma, np.nan)
+            yield pd.DataFrame({"instrument": key[0], "ts": rows["ts"], "seq": rows["seq"], "ret": ret, "sigma": sigma, "scaled": scaled})
+        state.update((close, json.dumps(past.tolist()), *_mark(fresh, (last_ts, last_seq))))
 
     return run
 
@@ -103,12 +125,13 @@ TICKS = "instrument string, ts timestamp_ntz, seq long, price double, filtered d
 def _ticks(key, batches, state):
     kept, last_ts, last_seq = state.get if state.exists else (None, *START)
     engine = TickState.restore(kept) if kept else TickState()
-    rows = fresh_rows(batches, (last_ts, last_seq))
-    seconds = rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9
-    found = [engine.tick(float(p), float(s)) for p, s in zip(rows["price"], seconds)]
-    state.update((engine.export(), *_mark(rows, (last_ts, last_seq))))
-    cells = pd.DataFrame(found, columns=["filtered", "spike", "level", "velocity"], index=rows.index)
-    yield pd.concat([rows[["instrument", "ts", "seq", "price"]], cells], axis=1)
+    fresh = fresh_rows(batches, (last_ts, last_seq))
+    for rows in slices(fresh):
+        seconds = rows["ts"].astype("datetime64[ns]").astype("int64") / 1e9
+        found = [engine.tick(p, s) for p, s in zip(rows["price"].astype(float).tolist(), seconds.tolist())]
+        cells = pd.DataFrame(found, columns=["filtered", "spike", "level", "velocity"], index=rows.index)
+        yield pd.concat([rows[["ts", "seq", "price"]].assign(instrument=key[0]), cells], axis=1)
+    state.update((engine.export(), *_mark(fresh, (last_ts, last_seq))))
 
 
 def tick_stream(ticks: DataFrame) -> DataFrame:
@@ -117,23 +140,35 @@ def tick_stream(ticks: DataFrame) -> DataFrame:
     return rows.groupBy("instrument").applyInPandasWithState(_ticks, TICKS, f"engine string, {MARK}", "append", "NoTimeout")
 
 
-HELD = "rows string"
+HELD = "rows binary"
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _release(columns: list[str]):
     def run(key, batches, state):
-        held = json.loads(state.get[0]) if state.exists else []
-        for f in batches:
-            held += [[int(m), *row] for m, row in zip(micros(f["ts"]), f[columns].itertuples(index=False, name=None))]
+        parts = [pa.ipc.open_stream(bytes(state.get[0])).read_all()] if state.exists else []
+        parts += [pa.Table.from_pandas(f[columns].assign(ts=micros(f["ts"])), preserve_index=False).replace_schema_metadata() for f in batches]
+        held = pa.concat_tables(parts, promote_options="permissive") if parts else pa.table({c: [] for c in [*columns, "ts"]})
+        del parts
         limit = state.getCurrentWatermarkMs() * 1000
-        held.sort(key=lambda r: r[0])
-        ready, rest = [r for r in held if r[0] <= limit], [r for r in held if r[0] > limit]
-        if rest:
-            state.update((json.dumps(rest),))
-            state.setTimeoutTimestamp(max(rest[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        is_ready = pc.less_equal(held["ts"].cast(pa.int64()), limit)
+        ready, rest = held.filter(is_ready), held.filter(pc.invert(is_ready))
+        del held
+        if len(rest):
+            state.update((_packed(rest),))
+            state.setTimeoutTimestamp(max(pc.min(rest["ts"]).as_py() // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"instrument": key[0], "ts": pd.to_datetime([r[0] for r in ready], unit="us"), **{c: [r[1 + i] for r in ready] for i, c in enumerate(columns)}})
+        order = pc.sort_indices(ready, sort_keys=[("ts", "ascending")])
+        for k in range(0, max(len(order), 1), 4096):
+            out = ready.take(order[k : k + 4096]).to_pandas()
+            yield out.assign(instrument=key[0], ts=pd.to_datetime(out["ts"], unit="us"))
 
     return run
 
