@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tidemill.operators.micro import TickState
 from tidemill.sources.tables import tape_stream
 from tidemill.streaming import bars, states
 from tidemill.streaming.bars import run_to_table
@@ -75,3 +76,34 @@ def test_tape_is_replayed_in_bounded_files(spark, sf_dir):
     got = run_to_table(states.in_order(stream), folder, spark)
     kept = duckdb.execute(f"select count(*) from '{sf_dir}/events.parquet' where value > 0 and ts <= (select date_trunc('millisecond', max(ts)) - interval 20 minute from '{sf_dir}/events.parquet' where value > 0)").fetchone()[0]
     assert got.count() == kept == got.select("seq").distinct().count()
+
+
+def test_running_sums_tell_the_same_spikes():
+    """Against deviations and medians computed for every price: on random walks, ties, huge jumps and borders."""
+    rng = np.random.default_rng(1)
+    walks = [np.cumprod(1 + rng.standard_t(3, 2_000) * 1e-3), np.round(1.1 + rng.choice([0, 0, 0, 1e-4], 1_000), 4), 1e9 + rng.standard_t(2, 1_000), np.concatenate([rng.random(80), [1e12], 1e12 + rng.random(80), rng.random(200)])]
+    walks += [np.array([0.0, 2.0] * 25 + [5.0] * 2 + [5.0000000001] + [0.0, 2.0] * 40), np.array([1.1] * 60 + [1.1000039] * 2 + [1.2] * 9 + [np.nan] + [1.1] * 60)]
+    for walk in walks:
+        state, accepted, rejects = TickState(), [], 0
+        for price in walk.tolist():
+            far, middle = False, price
+            if len(accepted) >= 15:
+                middle = float(np.median(accepted))
+                far = abs(price - middle) / max(float(np.std(accepted)), 1e-6) > 4.0
+            rejects = rejects + 1 if far else 0
+            spike = far and rejects < 5
+            if not spike:
+                accepted, rejects = [*accepted[-49:], price], 0
+            np.testing.assert_equal(state.accept(price), (spike, middle if spike else price))
+        np.testing.assert_equal(state.accepted, accepted)
+        assert TickState.restore(state.export()).export() == state.export()
+
+
+def test_a_tick_computes_no_deviation_away_from_the_limit(monkeypatch):
+    """Of 3,000 ticks few need the deviation of all accepted prices; each one did before."""
+    asked, std = [], np.std
+    monkeypatch.setattr(np, "std", lambda *a, **k: asked.append(1) or std(*a, **k))
+    state, rng = TickState(), np.random.default_rng(2)
+    for k, price in enumerate(rng.gamma(1, 50, 3_000).tolist()):
+        state.tick(price, float(k))
+    assert len(asked) < 60

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 
 import json
+import math
+from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
@@ -58,19 +60,57 @@ class TickState:
         self.memory, self.least, self.limit, self.force = memory, least, limit, force
         self.accepted: list[float] = []
         self.rejects, self.x, self.v, self.p, self.last = 0, None, 0.0, (1.0, 0.0, 1.0), None
+        self._recount()
+
+    def _recount(self) -> None:
+        """The accepted prices in order, and their sums from a price among them; they follow from the prices, so they
+        are no part of the state that is kept."""
+        self.finite = all(map(math.isfinite, self.accepted))
+        self.ordered = sorted(self.accepted) if self.finite else []
+        self.origin = self.ordered[len(self.ordered) // 2] if self.ordered else 0.0
+        away = [x - self.origin for x in self.accepted] if self.finite else []
+        self.total, self.squares = math.fsum(away), math.fsum(x * x for x in away)
+        self.error, self.age = 1e-12 * max([1e-300, *(x * x for x in away)]), 0
+
+    def _is_far(self, price: float) -> tuple[bool, float]:
+        """Whether a price is over ``limit`` deviations from the median, and the median. Running sums tell it where
+        they are sure of it; near the limit, or where they cancel, the deviation is computed."""
+        n = len(self.accepted)
+        if self.finite:
+            half = n // 2
+            middle = self.ordered[half] if n % 2 else (self.ordered[half - 1] + self.ordered[half]) / 2
+            variance, away = self.squares / n - (self.total / n) ** 2, abs(price - middle)
+            if variance > 1e4 * self.error and variance > 1e-10:
+                ratio = away / math.sqrt(variance)
+                if not 0.999 * self.limit <= ratio <= 1.001 * self.limit:
+                    return ratio > self.limit, middle
+        else:
+            middle = float(np.median(self.accepted))
+        return abs(price - middle) / max(float(np.std(self.accepted)), 1e-6) > self.limit, middle
 
     def accept(self, price: float) -> tuple[bool, float]:
         """Whether the price is a spike, and the price to use; the fifth spike in a row is believed."""
-        spike, used = False, price
         if len(self.accepted) >= self.least:
-            middle = float(np.median(self.accepted))
-            if abs(price - middle) / max(float(np.std(self.accepted)), 1e-6) > self.limit:
+            far, middle = self._is_far(price)
+            if far:
                 self.rejects += 1
                 if self.rejects < self.force:
                     return True, middle
-        self.rejects = 0
-        self.accepted = [*self.accepted[1 - self.memory :], used]
-        return spike, used
+        self.rejects, self.age = 0, self.age + 1
+        gone = self.accepted.pop(0) if len(self.accepted) >= self.memory else None
+        self.accepted.append(price)
+        if self.age >= 256 or not (self.finite and math.isfinite(price)):
+            self._recount()
+            return False, price
+        if gone is not None:
+            del self.ordered[bisect_left(self.ordered, gone)]
+            away = gone - self.origin
+            self.total, self.squares = self.total - away, self.squares - away * away
+        insort(self.ordered, price)
+        away = price - self.origin
+        self.total, self.squares = self.total + away, self.squares + away * away
+        self.error = max(self.error, 1e-12 * away * away)
+        return False, price
 
     def step(self, price: float, seconds: float, r: float = 1e-3, q: float = 1e-5) -> tuple[float, float]:
         """Level and velocity after a price, with closed forms for the two-by-two matrices."""
@@ -101,6 +141,7 @@ class TickState:
         state = cls()
         state.accepted, state.rejects, state.x, state.v, p, state.last = json.loads(kept)
         state.p = tuple(p)
+        state._recount()
         return state
 
 
@@ -139,13 +180,37 @@ def _scan(start, each, columns: list[str]):
 WHOLE = ("seq", "bid_sz", "ask_sz", "n_orders")
 
 
+def _runs(frames):
+    """(instrument, frame) of sorted frames, cut where the instrument changes."""
+    for f in frames:
+        names = f["instrument"].to_numpy()
+        edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo < hi:
+                yield names[lo], f.iloc[lo:hi]
+
+
+def _tick_scan(frames):
+    columns = [c.split()[0] for c in TICKS.split(", ")] + ["state"]
+    name, held = None, None
+    ended = lambda: pd.DataFrame([] if held is None else [(name, *[None] * (len(columns) - 2), held.export())], columns=columns).astype({"seq": "Int64"})
+    for instrument, f in _runs(frames):
+        if held is None or instrument != name:
+            yield ended()
+            kept = f["state"].iloc[0]
+            name, held = instrument, TickState() if kept is None else TickState.restore(kept)
+            f = f if kept is None else f.iloc[1:]
+        tick, seconds = held.tick, f["ts"].astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+        found = [tick(price, at) for price, at in zip(f["price"].astype(float).tolist(), seconds.tolist())]
+        cells = pd.DataFrame(found, columns=columns[4:8], index=f.index)
+        yield pd.concat([f[columns[:4]], cells], axis=1).astype({"seq": "Int64"}).assign(state=None)
+    yield ended()
+
+
 def scan_ticks(ticks: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """TICKS and state: the rows of ``condition_ticks`` from the states on, with a null state, and for each
     instrument a row with nothing but the state after its last tick."""
-    rows = ticks.select("instrument", "ts", "seq", "price")
-    each = lambda held, r, t: (r.instrument, r.ts, r.seq, r.price, *held.tick(float(r.price), t / 1e6))
-    start = lambda kept: TickState.restore(kept) if kept is not None else TickState()
-    return _resumed(rows, states).mapInPandas(_scan(start, each, [c.split()[0] for c in TICKS.split(", ")] + ["state"]), TICKS + ", state string")
+    return _resumed(ticks.select("instrument", "ts", "seq", "price"), states).mapInPandas(_tick_scan, TICKS + ", state string")
 
 
 def condition_ticks(ticks: DataFrame, states: DataFrame | None = None) -> DataFrame:

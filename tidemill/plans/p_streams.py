@@ -157,8 +157,11 @@ def n9_ticks_resumed(spark, sf_dir):
     """Conditioned ticks of two halves of the tape, the second from the first one's stored states."""
     first, second = halves(good(spark, sf_dir))
     folder = shared_folder(spark, "state")
-    micro.tick_states(first).write.parquet(folder)
-    found = micro.condition_ticks(first).unionByName(micro.condition_ticks(second, spark.read.schema("instrument string, state string").parquet(folder)))
+    scanned = micro.scan_ticks(first)
+    scanned.write.parquet(folder)  # ticks and states of one scan
+    scanned = spark.read.schema(scanned.schema).parquet(folder)
+    states = scanned.where("state is not null").select("instrument", "state")
+    found = scanned.where("state is null").drop("state").unionByName(micro.condition_ticks(second, states))
     return rounded(found.select("instrument", "seq", "filtered", "spike", "level"), 6)
 
 
