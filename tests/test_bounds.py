@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tidemill.operators import micro
 from tidemill.operators.micro import TickState
 from tidemill.sources.tables import tape_stream
 from tidemill.streaming import bars, states
@@ -107,3 +108,19 @@ def test_a_tick_computes_no_deviation_away_from_the_limit(monkeypatch):
     for k, price in enumerate(rng.gamma(1, 50, 3_000).tolist()):
         state.tick(price, float(k))
     assert len(asked) < 60
+
+
+def test_an_instrument_is_one_scan_after_a_join(spark):
+    """The scan has its own shuffle: that of a join by instrument may be read in parts of an instrument."""
+    hard = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    old = {k: spark.conf.get(k, None) for k in hard}
+    for k, v in hard.items():
+        spark.conf.set(k, v)
+    try:
+        ticks = spark.range(0, 60_000, 1, 8).selectExpr("concat('i', id % 2) instrument", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id) ts", "id seq", "100 + sin(id) price")
+        joined = ticks.join(ticks.groupBy("instrument").agg({"price": "max"}), "instrument")
+        assert "REPARTITION_BY_COL" in micro.scan_ticks(joined)._jdf.queryExecution().executedPlan().toString()
+        assert micro.tick_states(joined).count() == 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

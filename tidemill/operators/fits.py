@@ -189,7 +189,7 @@ def _garch(min_train: int, refit_every: int):
 def garch_fits(series: DataFrame, min_train: int = 252, refit_every: int = 21) -> DataFrame:
     """Per origin the GARCH(1,1) cell with the greatest Student likelihood at its refit origin, and the variance
     it expects next. One sorted pass carries every cell's variance and likelihood, whatever the number of refits."""
-    rows = series.select("instrument", "n", "ret").repartition("instrument").sortWithinPartitions("instrument", "n")
+    rows = series.select("instrument", "n", "ret").repartition(F.struct("instrument")).sortWithinPartitions("instrument", "n")
     return rows.mapInPandas(_garch(min_train, refit_every), GARCH)
 
 

@@ -146,11 +146,13 @@ class TickState:
 
 
 def _resumed(rows: DataFrame, states: DataFrame | None) -> DataFrame:
-    """rows by instrument in order, each instrument's state (instrument, state) before its first row."""
+    """rows by instrument in order, each instrument's state (instrument, state) before its first row. They are dealt
+    out by a struct: after a join by instrument Spark would leave this shuffle out, and where that join becomes a
+    broadcast as it runs, an instrument is read in parts by several tasks, each of which would scan by itself."""
     named = rows.withColumn("state", F.lit(None).cast("string"))
     if states is not None:
         named = named.unionByName(states.select("instrument", "state"), allowMissingColumns=True)
-    return named.repartition("instrument").sortWithinPartitions("instrument", F.col("ts").asc_nulls_first(), "seq")
+    return named.repartition(F.struct("instrument")).sortWithinPartitions("instrument", F.col("ts").asc_nulls_first(), "seq")
 
 
 def _scan(start, each, columns: list[str]):

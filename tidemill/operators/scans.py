@@ -36,14 +36,14 @@ def lag_moments(rows: DataFrame, column: str, lags: range, order: str = "n") ->
             yield pd.DataFrame([(name, k, len(d), d.sum(), d @ d) for k, d in diffs], columns=["instrument", "lag", "n", "s", "ss"])
 
     kept = rows.select("instrument", order, column)
-    sums = kept.repartition("instrument").sortWithinPartitions("instrument", order).mapInPandas(run, "instrument string, lag long, n long, s double, ss double")
+    sums = kept.repartition(F.struct("instrument")).sortWithinPartitions("instrument", order).mapInPandas(run, "instrument string, lag long, n long, s double, ss double")
     total = sums.groupBy("instrument", "lag").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     mean = F.col("s") / F.col("n")
     return total.select("instrument", "lag", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.select("instrument", "ts", "seq", "price").repartition("instrument").sortWithinPartitions("instrument", "ts", "seq")
+    return rows.select("instrument", "ts", "seq", "price").repartition(F.struct("instrument")).sortWithinPartitions("instrument", "ts", "seq")
 
 
 def sample_every(rows: DataFrame, seconds: float) -> DataFrame:
