@@ -119,7 +119,7 @@ def n1_book_at(spark, sf_dir):
 def s3_book_stream(spark, sf_dir):
     """The same from the stream, sampled at every message."""
     events, folder = read(spark, sf_dir, "events"), shared_folder(spark, "stream")
-    messages, stream = book_messages(events), book_messages(event_stream(spark, sf_dir))
+    messages, stream = book_messages(events), book_messages(event_stream(spark, sf_dir, rows_per_file=8_000_000))  # books are days: a trigger takes several at once
     with map_states(spark):
         found = run_to_table(book_stream(stream, every=0.0), folder, spark)
     return rounded(found.join(last_of_hours(messages), ["instrument", "ts", "seq"], "left_semi").select(BOOK), 6)
