@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemill.llm import repeats
 from tidemill.llm.q_repeats import op10_repeated_substrings
 from tidemill.llm.repeats import remove_repeats, repeated_windows, suffix_order
 
@@ -35,6 +36,26 @@ def test_suffix_order():
         assert suffix_order(text, 1000).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
 
 
+def test_suffix_ranks():
+    """Suffixes that are equal up to the depth share a rank."""
+    rng = random.Random(4)
+    for depth in (1, 3, 7, 8, 20):
+        for _ in range(60):
+            text = np.array([rng.choice([0, 97, 98, 98, 255]) for _ in range(rng.randrange(1, 70))], np.uint8)
+            keys = [text.tobytes()[i : i + depth] for i in range(len(text))]
+            assert repeats.suffix_ranks(text, depth)[0].tolist() == [sorted(keys).index(k) for k in keys]
+
+
+def test_single_windows_are_not_sorted_on(monkeypatch):
+    """Of texts that share nothing long little more is sorted than their first bytes, and no window is left."""
+    rng, sizes, argsort = random.Random(6), [], np.argsort
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    text = np.frombuffer(" ".join(rng.choice(words) for _ in range(20_000)).encode(), np.uint8)
+    monkeypatch.setattr(repeats.np, "argsort", lambda x, *a, **b: sizes.append(len(x)) or argsort(x, *a, **b))
+    _, left = repeats.suffix_ranks(text, 400, np.arange(len(text) - 400))
+    assert not len(left) and sum(sizes) < 2 * len(text)
+
+
 def test_repeated_windows():
     rng = random.Random(5)
     for _ in range(100):
