@@ -94,3 +94,21 @@ def test_query_against_whole_encoding(spark, sf_dir, tools):
 def test_linked_pairs_are_bounded_by_the_vocabularies(tools):
     assert L.pair_bound(*tools[2:]) < 600_000
     assert L.pair_bound({0: b"ab", 1: b"b"}, {5: b"b", 6: b"ab", 7: b"b"}) == 6
+
+
+def test_few_encodings_at_once():
+    """An aligner encodes a slice's strings few at a time, whatever the slice holds, with the same groups."""
+    rng, seen = random.Random(2), []
+    texts = pa.array([" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(3000)) for _ in range(20)])
+
+    class Counted:
+        def encode(self, raw, **how):
+            seen.append(sum(map(len, raw)))
+            return model.encode(raw, **how)
+
+    a, b = (L.Aligner(A, B) for _ in range(2))
+    model, b.b = b.b, Counted()
+    got = b.align(texts)
+    assert max(seen) <= 2 << 16 and sum(seen) > 400_000
+    one = [a.align(texts[k : k + 1])[3][0] for k in range(3)]
+    assert got[3][:3] == one

@@ -37,6 +37,9 @@ TOGETHER = rf"[{WHITE} \n][{WHITE} \n]|\A[{WHITE} \n]|[{WHITE} \n]\z"
 CUT = re.compile(r"(?<=\S)(?=[ \n]\s*\S)")
 WHITE_IN = re.compile(r"\s")
 JOINED = 64  # parts encoded as one string
+ENCODED_CHARS = 1 << 16  # characters whose encodings are held at once, but for a longer string
+#: Bytes of text that are aligned at once.
+ALIGNED_BYTES = 1 << 20
 #: Links that are looked up at once.
 LINKS = 1 << 20
 
@@ -126,12 +129,18 @@ class Aligner:
         self.lone = self.b.piece_to_id("▁")
         self.known: dict[str, tuple | None] = {}
 
-    def _encoded(self, raw: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Both encodings of strings that open with a space or a line feed."""
-        b_all = self.b.encode([t[1:] if t[0] == " " else t for t in raw], num_threads=1)
-        a_all = self.a.encode_batch_fast(raw, add_special_tokens=False)
-        # B puts a space before a line feed; it is a token of its own.
-        return [(a.ids, b if t[0] == " " else b[1:] if b[0] == self.lone else []) for t, a, b in zip(raw, a_all, b_all)]
+    def _encoded(self, raw: list[str]):
+        """Both encodings of strings that open with a space or a line feed; few are held at a time, since an encoding
+        is many times its string."""
+        total = np.cumsum([len(t) for t in raw])
+        cuts = np.flatnonzero(np.diff(total // ENCODED_CHARS, prepend=0)).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(raw)]):
+            some = raw[lo:hi]
+            if some:
+                b_all = self.b.encode([t[1:] if t[0] == " " else t for t in some], num_threads=1)
+                a_all = [a.ids for a in self.a.encode_batch_fast(some, add_special_tokens=False)]
+                # B puts a space before a line feed; it is a token of its own.
+                yield from ((a, b if t[0] == " " else b[1:] if b[0] == self.lone else []) for t, a, b in zip(some, a_all, b_all))
 
     def _aligned(self, lists: list[list[str]]):
         """For lists of raw parts, encoded in one string each: (ids of A, of B, groups, text of the groups,
@@ -203,7 +212,7 @@ def _align(a_path: str, b_path: str, texts: bool):
     def run(batches):
         if (a_path, b_path) not in _aligners:
             _aligners[a_path, b_path] = Aligner(a_path, b_path)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", ALIGNED_BYTES):
             gc.disable()  # millions of small lists and no cycles
             try:
                 *n, groups, ends, pairs = _aligners[a_path, b_path].align(part.column("text"))
