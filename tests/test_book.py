@@ -60,3 +60,20 @@ def test_no_messages(spark):
     none = spark.createDataFrame([], MESSAGE)
     assert book.book_at(none, times).first().bid_px is None and book.book_at(none, times.limit(0)).count() == 0
     assert book.level_changes(none).where(F.lit(True)).count() == 0
+
+
+def test_summed_level_changes(spark, sf_dir, tmp_path):
+    """The book of the lines by summed changes equals the one by messages, repeated lines included."""
+    from tidemill.sources import tables
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1500)
+    lines.unionByName(lines.limit(200)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    times = tables.daily_bars(spark, str(tmp_path)).select("instrument", "ts", F.lit(2).cast("long").alias("seq"))
+    want = book.book_at(tables.line_orders(spark, str(tmp_path)), times)
+    got = book.book_of(tables.line_changes(spark, str(tmp_path)), times)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("bid_px is not null").count() > 100
+    with tables.bars_once(spark, str(tmp_path)):
+        stored = tables.daily_bars(spark, str(tmp_path))
+    assert not any("lineitem" in f for f in stored.inputFiles())
+    assert any("lineitem" in f for f in tables.daily_bars(spark, str(tmp_path)).inputFiles())

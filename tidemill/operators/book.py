@@ -67,8 +67,12 @@ def levels_at(records: DataFrame, times: DataFrame, depth: int = 10) -> DataFram
     """The best levels of each side at times (instrument, ts, seq), after all messages up to them: (instrument,
     ts, seq, side, price, size, orders, level). A level stands in as many rows as there are times in its life;
     a time at which nothing rests has none."""
-    changes = level_changes(records)
-    cleared = records.where("action = 'R'").select("instrument", "ts", "seq")
+    return levels_of(level_changes(records), records.where("action = 'R'").select("instrument", "ts", "seq"), times, depth)
+
+
+def levels_of(changes: DataFrame, cleared: DataFrame, times: DataFrame, depth: int = 10) -> DataFrame:
+    """levels_at from the changes of levels and the clearings (instrument, ts, seq). Changes of one level at one
+    time and sequence may be given as their sum."""
     ticks = times.select("instrument", "ts", "seq", F.lit(True).alias("_asked"))
     # Times get their life and their number; a change belongs to the first time at or after it. At one time and
     # sequence messages come before the time.
@@ -97,10 +101,19 @@ def book_at(records: DataFrame, times: DataFrame, depth: int = 10) -> DataFrame:
     """The book at times (instrument, ts, seq): (instrument, ts, seq, bid_px, ask_px, bid_sz, ask_sz,
     imbalance_l1, imbalance_depth); best prices and sizes and the imbalance of the best level and of the best
     depth levels, null where a side is empty."""
+    return _book(levels_at(records, times, depth), times)
+
+
+def book_of(changes: DataFrame, times: DataFrame, depth: int = 10) -> DataFrame:
+    """book_at from the changes of levels of a book that is never cleared."""
+    return _book(levels_of(changes, times.select("instrument", "ts", "seq").limit(0), times, depth), times)
+
+
+def _book(levels: DataFrame, times: DataFrame) -> DataFrame:
     at = lambda side, c: F.max(F.when((F.col("side") == side) & (F.col("level") == 1), F.col(c)))
     total = lambda side: F.sum(F.when(F.col("side") == side, F.col("size")))
     keys = ["instrument", "ts", "seq"]
-    found = levels_at(records, times, depth).groupBy(*keys).agg(at("B", "price").alias("bid_px"), at("A", "price").alias("ask_px"), at("B", "size").alias("bid_sz"), at("A", "size").alias("ask_sz"), total("B").alias("_b"), total("A").alias("_a"))
+    found = levels.groupBy(*keys).agg(at("B", "price").alias("bid_px"), at("A", "price").alias("ask_px"), at("B", "size").alias("bid_sz"), at("A", "size").alias("ask_sz"), total("B").alias("_b"), total("A").alias("_a"))
     share = lambda b, a: F.when(F.col(b) + F.col(a) != 0, (F.col(b) - F.col(a)) / (F.col(b) + F.col(a)))
     found = found.select(*keys, "bid_px", "ask_px", "bid_sz", "ask_sz", share("bid_sz", "ask_sz").alias("imbalance_l1"), share("_b", "_a").alias("imbalance_depth"))
     return times.select(*keys).join(found, keys, "left")
