@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -112,3 +113,53 @@ def test_few_encodings_at_once():
     assert max(seen) <= 2 << 16 and sum(seen) > 400_000
     one = [a.align(texts[k : k + 1])[3][0] for k in range(3)]
     assert got[3][:3] == one
+
+
+def test_a_part_that_ends_within_a_token(tools):
+    """Its string is set aside; the others of the call are aligned part by part."""
+    (good, found), = L.Aligner(A, B)._aligned([[" hel", "lo"], [" hello", " world"]])
+    assert good.tolist() == [False, True]
+    assert found.counts.tolist() == [[len(whole(w, tools)[k]) for w in ("hello", "world")] for k in (0, 1, 3)]
+    assert found.pairs.tolist() == [x << 32 | y for w in ("hello", "world") for x, y in whole(w, tools)[3]]
+
+
+def test_aligning_costs_less_than_encoding():
+    """What is done with the ids of new parts takes fewer CPU seconds than encoding them."""
+    rng = random.Random(4)
+    texts = pa.array([" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(20_000)) for _ in range(10)])
+
+    def measured():
+        made, spent = L.Aligner(A, B), 0.0
+        inner = made._encoded
+
+        def timed(raw):
+            nonlocal spent
+            found = inner(raw)
+            while True:
+                at = time.process_time()
+                one = next(found, None)
+                spent += time.process_time() - at
+                if one is None:
+                    return
+                yield one
+
+        made._encoded = timed
+        at = time.process_time()
+        made.align(texts)
+        return (time.process_time() - at - spent) / spent
+
+    assert min(measured() for _ in range(3)) < 1.3
+
+
+def test_one_aligner_for_all_tasks_of_a_worker():
+    """Task functions are pickled; they must share the worker's aligner, and counting frees it."""
+    from pyspark import cloudpickle
+
+    some = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b a"])], ["doc_id", "text"])
+    made = []
+    for _ in range(2):
+        list(cloudpickle.loads(cloudpickle.dumps(L._align(A, B, False)))(iter([some])))
+        made.append(L._aligners.get((A, B)))
+    assert made[0] is not None and made[0] is made[1] and "a" in made[0].known
+    list(cloudpickle.loads(cloudpickle.dumps(L._tally))(iter([])))
+    assert not L._aligners

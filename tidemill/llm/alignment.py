@@ -2,8 +2,8 @@
 
 Tokenizer A is byte-level, B a sentence-piece model that puts a space before a text; both read a space and
 the text. Where a token of A and one of B end at the same byte, the ids before are cut into a group: each
-side's cumulative ends go to a dictionary from end to index, the keys in both, sorted, slice both id lists,
-and the links (tokens whose bytes end together) are expanded from each slice.
+side's cumulative ends mark the bytes of a run of strings, and the marks in both close the groups and give
+the links (tokens whose bytes end together). All of it is array work on many parts at once.
 
 Both tokenizers cut a text before a single space or line feed between other characters (A's pre-tokeniser
 does, and no piece of B has a space or a line feed after another character), so a text is aligned part by
@@ -19,7 +19,8 @@ import gc
 import hashlib
 import os
 import re
-from itertools import accumulate, chain
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import Scratch, slices
 from .tokens import BYTE_LETTERS, WHITE
 
 #: Parts kept from one slice to the next, and the longest text of one that is.
-KEPT_PARTS, KEPT_CHARS = 120_000, 40
+KEPT_PARTS, KEPT_CHARS = 80_000, 40
 #: White space beside white space, or at either end.
 TOGETHER = rf"[{WHITE} \n][{WHITE} \n]|\A[{WHITE} \n]|[{WHITE} \n]\z"
 CUT = re.compile(r"(?<=\S)(?=[ \n]\s*\S)")
@@ -39,9 +40,9 @@ WHITE_IN = re.compile(r"\s")
 JOINED = 64  # parts encoded as one string
 ENCODED_CHARS = 1 << 16  # characters whose encodings are held at once, but for a longer string
 #: Bytes of text that are aligned at once.
-ALIGNED_BYTES = 1 << 20
+ALIGNED_BYTES = 1 << 19
 #: Links that are looked up at once.
-LINKS = 1 << 20
+LINKS = 1 << 18
 
 
 def a_bytes(path: str) -> dict[int, bytes]:
@@ -95,21 +96,50 @@ def parts_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return starts, code[at], flat.dictionary.to_pylist()
 
 
-def ends_of(ids: list[int], size: list[int]) -> dict[int, int]:
-    """From each byte at which a token ends to the token's index."""
-    return dict(zip(accumulate(map(size.__getitem__, ids)), range(len(ids))))
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each part, one part after the other."""
+    at = np.repeat(start - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return at
 
 
-def align_ids(a_end: dict[int, int], b_end: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
-    """The bytes at which tokens of both encodings end, sorted, and the index of the token of A and of B that
-    ends there. Each closes a group of ids; only these two tokens of a group end together, so they are its link."""
-    common = sorted(a_end.keys() & b_end.keys())
-    return common, list(map(a_end.__getitem__, common)), list(map(b_end.__getitem__, common))
+@dataclass
+class Found:
+    """Alignments of parts, one after the other: how many ids of A, ids of B and groups each has (one row for each of
+    these), whether its bytes differ, its tokens group by group as rows of ``Aligner.written``, its linked pairs."""
 
+    counts: np.ndarray
+    bad: np.ndarray
+    tokens: np.ndarray
+    pairs: np.ndarray
 
-def sliced(ids: list[str], last: list[int]) -> list[str]:
-    """The ids of each group, with commas, cut after the tokens given."""
-    return [ids[b] if b - a == 1 else ",".join(ids[a + 1 : b + 1]) for a, b in zip(chain((-1,), last), last)]
+    def take(self, at: np.ndarray) -> Found:
+        size, n = self.counts[0] + self.counts[1], self.counts[2]
+        tokens, pairs = (x[ragged((np.cumsum(k) - k)[at], k[at])] for x, k in ((self.tokens, size), (self.pairs, n)))
+        return Found(self.counts[:, at], self.bad[at], tokens, pairs)
+
+
+def none_found(n: int = 0) -> Found:
+    """So many parts whose bytes differ."""
+    return Found(np.zeros((3, n), np.int64), np.ones(n, bool), np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+
+def joined(some: list[Found]) -> Found:
+    return Found(*(np.concatenate([getattr(f, c) for f in some], axis=-1) for c in ("counts", "bad", "tokens", "pairs")))
+
+
+def flat_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each list has."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
+
+
+def end_to_end(of: pa.Array, at: np.ndarray, cuts: np.ndarray) -> tuple[memoryview, list[int]]:
+    """The values at so many places, one after the other, and where the first so many of them end."""
+    if not len(at):
+        return memoryview(b""), [0] * len(cuts)
+    made = of.take(pa.array(at))
+    return memoryview(made.buffers()[2]), np.frombuffer(made.buffers()[1], np.int64)[cuts].tolist()
 
 
 class Aligner:
@@ -123,99 +153,135 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         table = lambda of: [of.get(i, b"") for i in range(max(of) + 1)]
-        self.a_of, self.b_of = table(a_bytes(a_path)), table(b_bytes(b_path))
-        self.a_size, self.b_size = ([len(t) for t in of] for of in (self.a_of, self.b_of))
-        self.a_text, self.b_text = ([str(i) for i in range(len(of))] for of in (self.a_of, self.b_of))
+        a_of, b_of = table(a_bytes(a_path)), table(b_bytes(b_path))
+        self.a_of, self.b_of = (pa.array(of, pa.large_binary()) for of in (a_of, b_of))
+        self.a_size, self.b_size = (np.array([len(t) for t in of], np.int64) for of in (a_of, b_of))
+        #: How an id stands in a text of groups: inside one and at its end, ids of A, then those of B.
+        self.written = pa.array([f"{i}{mark}" for of, marks in ((a_of, ",|"), (b_of, ",;")) for i in range(len(of)) for mark in marks], pa.large_binary())
         self.lone = self.b.piece_to_id("▁")
-        self.known: dict[str, tuple | None] = {}
+        self.known: dict[str, int] = {}  # a part's number in kept
+        self.kept = none_found()
 
     def _encoded(self, raw: list[str]):
-        """Both encodings of strings that open with a space or a line feed; few are held at a time, since an encoding
-        is many times its string."""
+        """(strings, ids of A, ids of B) of strings that open with a space or a line feed; few are held at a time, since
+        an encoding is many times its string."""
         total = np.cumsum([len(t) for t in raw])
         cuts = np.flatnonzero(np.diff(total // ENCODED_CHARS, prepend=0)).tolist()
         for lo, hi in zip([0, *cuts], [*cuts, len(raw)]):
             some = raw[lo:hi]
             if some:
                 b_all = self.b.encode([t[1:] if t[0] == " " else t for t in some], num_threads=1)
-                a_all = [a.ids for a in self.a.encode_batch_fast(some, add_special_tokens=False)]
                 # B puts a space before a line feed; it is a token of its own.
-                yield from ((a, b if t[0] == " " else b[1:] if b[0] == self.lone else []) for t, a, b in zip(some, a_all, b_all))
+                b_all = [b if t[0] == " " else b[1:] if b[:1] == [self.lone] else [] for t, b in zip(some, b_all)]
+                yield some, [a.ids for a in self.a.encode_batch_fast(some, add_special_tokens=False)], b_all
+
+    def _same_bytes(self, of: pa.Array, ids: np.ndarray, n: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Which strings have the bytes of their ids, so many for each."""
+        data, ends = end_to_end(of, ids, np.cumsum(n))
+        data = bytes(data)  # compared much faster than a view
+        return np.array([data[lo:hi] == t for lo, hi, t in zip([0, *ends], ends, raw)], bool)
 
     def _aligned(self, lists: list[list[str]]):
-        """For lists of raw parts, encoded in one string each: (ids of A, of B, groups, text of the groups,
-        linked pairs) of each part, or None for the whole list if the bytes differ."""
-        for parts, (a_ids, b_ids) in zip(lists, self._encoded(["".join(p) for p in lists])):
-            sizes = [len(p.encode()) for p in parts]
-            want = "".join(parts).encode()
-            if b"".join(map(self.a_of.__getitem__, a_ids)) != want or b"".join(map(self.b_of.__getitem__, b_ids)) != want:
-                yield None
-                continue
-            a_end, b_end = ends_of(a_ids, self.a_size), ends_of(b_ids, self.b_size)
-            common, a_last, b_last = align_ids(a_end, b_end)
-            text = list(map("|".join, zip(sliced(list(map(self.a_text.__getitem__, a_ids)), a_last), sliced(list(map(self.b_text.__getitem__, b_ids)), b_last))))
-            pairs = [a_ids[x] << 32 | b_ids[y] for x, y in zip(a_last, b_last)]
-            place, out, at, a_from, b_from, g = dict(zip(common, range(1, len(common) + 1))), [], 0, 0, 0, 0
-            for size in sizes:
-                at += size
-                a_to, b_to, to = a_end[at] + 1, b_end[at] + 1, place[at]
-                out.append((a_to - a_from, b_to - b_from, to - g, ";".join(text[g:to]), pairs[g:to]))
-                a_from, b_from, g = a_to, b_to, to
-            yield out
-
-    def _learn(self, parts: list[str]) -> dict[str, tuple | None]:
-        """What ``_aligned`` gives for each part; None if its bytes differ. Parts of a space and no other white
-        space are encoded many in one string."""
-        plain = [p for p in parts if p and p[0] not in " \n" and len(p) <= KEPT_CHARS and not WHITE_IN.search(p)]
-        lists, out, alone = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)], {}, []
-        for some, found in zip(lists, self._aligned([[" " + p for p in some] for some in lists])):
-            if found is None:
-                alone += some
-            else:
-                out.update(zip(some, found))
-        alone += [p for p in parts if p not in out and (not p or p[0] in " \n" or len(p) > KEPT_CHARS or WHITE_IN.search(p))]
-        for p, found in zip(alone, self._aligned([[p if p[:1] in (" ", "\n") and p else " " + p] for p in alone])):
-            out[p] = found and found[0]
-        return out
+        """For lists of raw parts, encoded in one string each: which lists were aligned part by part, and what was found
+        for their parts. The others' bytes differ, or a part of theirs ends within a token."""
+        at = 0
+        for some, a_lists, b_lists in self._encoded(["".join(p) for p in lists]):
+            parts, at = lists[at : at + len(some)], at + len(some)
+            raw, (a, n_a), (b, n_b) = [t.encode() for t in some], flat_ids(a_lists), flat_ids(b_lists)
+            good = self._same_bytes(self.a_of, a, n_a, raw) & self._same_bytes(self.b_of, b, n_b, raw)
+            in_part, size = np.array([len(p) for p in parts]), np.array([len(p.encode()) for some in parts for p in some], np.int64)
+            while True:
+                a_of, b_of = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+                a_end, b_end, end = np.cumsum(self.a_size[a_of]), np.cumsum(self.b_size[b_of]), np.cumsum(size[np.repeat(good, in_part)])
+                in_a, in_b = (np.zeros(int(end[-1]) + 1 if len(end) else 1, bool) for _ in range(2))
+                in_a[a_end], in_b[b_end] = True, True
+                cut = ~(in_a & in_b)[end]
+                if not cut.any():
+                    break
+                good[np.flatnonzero(good)[np.repeat(np.arange(int(good.sum())), in_part[good])[cut]]] = False
+            a_last, b_last = in_b[a_end], in_a[b_end]
+            a_at, b_at = np.flatnonzero(a_last), np.flatnonzero(b_last)
+            # A group's ids of A stand before its ids of B.
+            tokens = np.empty(len(a_of) + len(b_of), np.int32)
+            tokens[np.arange(len(a_of)) + np.append(0, b_at + 1)[np.cumsum(a_last) - a_last]] = a_of * 2 + a_last
+            tokens[np.arange(len(b_of)) + (a_at + 1)[np.cumsum(b_last) - b_last]] = (len(self.a_of) + b_of) * 2 + b_last
+            pairs = a_of[a_at].astype(np.int64) << 32 | b_of[b_at]
+            upto = [np.searchsorted(x, end, "right") for x in (a_end, b_end, a_end[a_at])]
+            yield good, Found(np.array([np.diff(x, prepend=0) for x in upto], np.int64).reshape(3, -1), np.zeros(len(end), bool), tokens, pairs)
+
+    def _learn(self, parts: list[str]) -> Found:
+        """What ``_aligned`` finds for each part. Parts of a space and no other white space are encoded many in one
+        string; what such a string doesn't give is encoded alone."""
+        raw = [p if p[:1] in (" ", "\n") and p else " " + p for p in parts]
+        plain = [bool(p) and p[0] not in " \n" and len(p) <= KEPT_CHARS and not WHITE_IN.search(p) for p in parts]
+        found, order = [], []
+
+        def learn(lists):
+            left, at = [], 0
+            for good, x in self._aligned([[raw[k] for k in some] for some in lists]):
+                found.append(x)
+                for some, ok in zip(lists[at : at + len(good)], good.tolist()):
+                    (order if ok else left).extend(some)
+                at += len(good)
+            return left
+
+        many = [k for k, x in enumerate(plain) if x]
+        left = learn([many[k : k + JOINED] for k in range(0, len(many), JOINED)])
+        bad = learn([[k] for k in left + [k for k, x in enumerate(plain) if not x]])
+        place = np.empty(len(parts), np.int64)
+        place[order + bad] = np.arange(len(parts))
+        return joined([*found, none_found(len(bad))]).take(place)
 
     def align(self, texts: pa.Array):
         """(n_a, n_b, n_groups, groups as text, starts of the links, linked pairs) of all texts."""
         starts, code, parts = parts_of(texts)
-        known, learnt = self.known, self._learn([p for p in parts if p not in self.known])
-        found = [known[p] if p in known else learnt[p] for p in parts]
-        if len(known) > KEPT_PARTS:  # goes on with the parts of this slice
-            self.known = known = {p: known[p] for p in parts if p in known}
-        again = np.bincount(code, minlength=len(parts)) > 1
-        known.update((p, x) for p, x, more in zip(parts, found, again.tolist()) if more and len(p) <= KEPT_CHARS)
-        bad = np.array([x is None for x in found], bool)[code]
+        at = np.fromiter((self.known.get(p, -1) for p in parts), np.int64, len(parts))
+        new = at < 0
+        found = joined([self.kept, self._learn([parts[k] for k in np.flatnonzero(new).tolist()])])
+        at[new] = len(self.kept.bad) + np.arange(int(new.sum()))
+        more = (np.bincount(code, minlength=len(parts)) > 1) & (np.fromiter(map(len, parts), np.int64, len(parts)) <= KEPT_CHARS)
+        if len(self.known) > KEPT_PARTS:  # goes on with the parts of this slice
+            self.known, self.kept, more = {}, none_found(), more | ~new
+        else:
+            more &= new
+        self.known.update(zip([parts[k] for k in np.flatnonzero(more).tolist()], range(len(self.known), len(self.known) + int(more.sum()))))
+        self.kept = joined([self.kept, found.take(at[more])])
+
         n = len(starts) - 1
-        row = np.repeat(np.arange(n), np.diff(starts))
-        keep = ~np.isin(row, row[bad])
-        row, code = row[keep], code[keep]
-        found = [x or (0, 0, 0, "", []) for x in found]
-        totals = [np.bincount(row, weights=np.array([x[j] for x in found], np.float64)[code], minlength=n).astype(np.int64) for j in range(3)]
-        size = np.array([len(x[4]) for x in found], np.int64)
-        pairs, first = np.array([y for x in found for y in x[4]], np.int64), np.cumsum(size) - size
-        many = size[code]
-        at = np.arange(int(many.sum())) + np.repeat(first[code] - (np.cumsum(many) - many), many)
-        texts_of, cut = [x[3] for x in found], np.searchsorted(row, np.arange(n + 1))
-        listed = code.tolist()
-        groups = [";".join([texts_of[k] for k in listed[a:b]]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        ends = np.append(0, np.cumsum(many))[cut]
-        return *totals, groups, ends, pairs[at]
+        row, lost = np.repeat(np.arange(n), np.diff(starts)), np.zeros(n, bool)
+        lost[row[found.bad[at][code]]] = True
+        row, code = row[~lost[row]], code[~lost[row]]
+        found = found.take(at[code])
+        totals = [np.bincount(row, weights=k, minlength=n).astype(np.int64) for k in found.counts]
+        data, ends = end_to_end(self.written, found.tokens, np.cumsum(totals[0] + totals[1]))
+        groups = [str(data[lo : hi - 1], "ascii") if lo < hi else "" for lo, hi in zip([0, *ends], ends)]
+        return *totals, groups, np.append(0, np.cumsum(totals[2])), found.pairs
+
+
+_aligners: dict[tuple[str, str], Aligner] = {}
+
+
+def aligner(a_path: str, b_path: str) -> Aligner:
+    """The one aligner of a worker, for all its tasks. Task functions must come by it through this function: one that
+    they name themselves is pickled with each task, so that every task loads its own."""
+    if (a_path, b_path) not in _aligners:
+        _aligners.clear()
+        _aligners[a_path, b_path] = Aligner(a_path, b_path)
+    return _aligners[a_path, b_path]
 
 
-_aligners: dict = {}
+def let_go() -> None:
+    """Frees the aligner of a worker that goes on to count links."""
+    _aligners.clear()
 
 
 def _align(a_path: str, b_path: str, texts: bool):
     def run(batches):
-        if (a_path, b_path) not in _aligners:
-            _aligners[a_path, b_path] = Aligner(a_path, b_path)
+        made = aligner(a_path, b_path)
         for part in slices(batches, "text", ALIGNED_BYTES):
             gc.disable()  # millions of small lists and no cycles
             try:
-                *n, groups, ends, pairs = _aligners[a_path, b_path].align(part.column("text"))
+                *n, groups, ends, pairs = made.align(part.column("text"))
             finally:
                 gc.enable()
             digest = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
@@ -252,6 +318,7 @@ def _pieces(batches, column: str):
 
 def _tally(batches):
     """(pair, n) over a part of the rows; the pairs of a task are bounded by the vocabularies."""
+    let_go()
     pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in _pieces(batches, "links"):
         new, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
@@ -276,6 +343,7 @@ def with_counts(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     held = aligned.sparkSession.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "n", "best")))
 
     def run(batches):
+        let_go()
         pairs, n, best = held.value
         for batch in _pieces(batches, "links"):
             links = batch.column("links")
