@@ -82,3 +82,15 @@ def test_buckets_and_book_known_at_each_day(spark):
     book = spark.createDataFrame([("a", at(3), -0.25)], "instrument string, ts timestamp_ntz, imbalance_l1 double")
     rows = sorted(feat.feature_vector(two, feat.bucket_part(two, buckets, last=2), feat.book_part(book)).collect(), key=lambda r: r.ts)
     assert [(r.vpin, r.book_imbalance) for r in rows] == [(0.0, 0.0), (pytest.approx(0.3), 0.0), (pytest.approx(0.3), -0.25), (pytest.approx(0.5), 0.0)]
+
+
+def test_labelled_rows_are_stored(spark, sf_dir):
+    """A fit that reads them again doesn't aggregate the lines again; the rows are those of the operators."""
+    from tidemill.plans.p_decisions import decided
+    from tidemill.plans.p_meta import labelled
+    from tidemill.sources.tables import daily_bars
+
+    got = labelled(spark, sf_dir)
+    assert got.inputFiles() and not [f for f in got.inputFiles() if "lineitem" in f]
+    want = meta.training_rows(decided(spark, sf_dir), daily_bars(spark, sf_dir))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)

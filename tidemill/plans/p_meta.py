@@ -12,7 +12,7 @@ from ..operators import indicators as ind
 from ..operators import sessions as ses
 from ..operators.book import book_of
 from ..operators.macro import spread_changes
-from ..sources.tables import bars_once, daily_bars, line_changes, line_tape, macro
+from ..sources.tables import bars_once, daily_bars, line_changes, line_tape, macro, shared_folder
 from .p_decisions import COMPOSITE, decided, l4_confirmations, votes
 from .p_ladder import ARC, TRAILING, series, stored_arc
 from .p_prep import SQL as PREP_SQL
@@ -58,7 +58,13 @@ def l19_historical_features(spark, sf_dir):
 
 
 def labelled(spark, sf_dir):
-    return meta.training_rows(decided(spark, sf_dir), daily_bars(spark, sf_dir))
+    """The labelled rows, written once and read back: a fit reads them many times, and the lines behind them are
+    aggregated only once."""
+    folder = shared_folder(spark, "labelled")
+    with bars_once(spark, sf_dir):
+        rows = meta.training_rows(decided(spark, sf_dir), daily_bars(spark, sf_dir))
+        rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
 
 
 def l11_feature_importance(spark, sf_dir):
