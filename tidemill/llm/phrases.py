@@ -9,11 +9,13 @@ rarest of its parts at most):
    each hash that can belong to a frequent pair; the same for three words, where both pairs pass;
 3. the distinct phrases at the places that pass are the candidates: no frequent phrase is missing;
 4. candidates are dealt by hash over double-array tries of a bounded size, which are broadcast a few at a
-   time. All places of a slice go through the trie of their hash at once, word by word, and the states that end
-   a phrase are counted; counts are added over the slices. This count is exact: words are compared as strings.
+   time. The phrases of a slice, with their occurrences in it, are laid apart by the tries that they are dealt
+   to; they go through these at once, word by word, and occurrences are counted at the states that end a
+   phrase; counts are added over the slices. This count is exact: words are compared as strings.
 
 A filter has a fixed size and a trie at most about ``TRIE_PHRASES`` phrases, so nothing that is broadcast
-grows with the texts; what grows is the number of passes of step 4, one for each ``TOGETHER`` tries.
+grows with the texts; what grows is the number of passes of step 4, one for each ``TOGETHER`` tries. A pass reads
+the phrases of its own tries alone. Slices are large rows, so few of them pass to Python at once.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_words, mix64, slices
+from .common import Scratch, hash_words, mix64, slices, small_batches
 from .tries import ROOT, Trie
 
 MARKS = r"[.,;:!?\n-\r]+"
@@ -38,9 +40,12 @@ SLOTS = 1 << 14  # states of a trie whose counts are added up together
 SLICE = 6 << 20  # bytes of text of a slice
 MOST = 255  # counted of a hash at once; a hash is frequent from fewer on
 FLUSH = 1 << 22  # hashes that a task gathers before it writes their counts
+FILE_SLICES = 16  # of a file; Spark reads a file's rows into memory together
+STRIDE = 1 << 18  # phrases that walk together
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 SLICED = "lang string, n long, words array<string>, places binary"
+SPOTTED = "part long, lang string, words array<string>, codes binary, tries binary, counts binary"
 
 
 def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -121,10 +126,10 @@ def _by_block(key: np.ndarray, n: np.ndarray, size: int, kind=np.uint32) -> pa.R
     """Rows (block, lows, counts) of sorted keys; a block has 2 ** 16 keys at most."""
     block = key // size
     edge = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
-    low, n = (key % size).astype(np.uint16), n.astype(kind)
+    low, n = (key % size).astype(np.uint16), n.astype(kind, copy=False)
     cut = list(zip(edge[:-1], edge[1:]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(block[edge[:-1]], pa.int64()), pa.array([low[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cut], pa.binary())],
+        [pa.array(block[edge[:-1]].astype(np.int64)), pa.array([low[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([n[a:b].tobytes() for a, b in cut], pa.binary())],
         ["block", "lows", "counts"],
     )
 
@@ -153,15 +158,19 @@ def _hash_counts(hashes_of):
         held, n = [], 0
 
         def flush():
-            bit, count = np.unique(np.concatenate(held) >> np.uint64(64 - FILTER_BITS), return_counts=True)
-            return _by_block(bit.astype(np.int64), np.minimum(count, MOST), 1 << BLOCK_BITS, np.uint8)
+            bit = np.concatenate(held)
+            held.clear()
+            bit.sort()
+            first = np.flatnonzero(np.append(True, bit[1:] != bit[:-1]))
+            count = np.minimum(np.diff(np.append(first, len(bit))), MOST).astype(np.uint8)
+            return _by_block(bit[first], count, 1 << BLOCK_BITS, np.uint8)
 
         for row in _rows(batches):
-            held.append(hashes_of(*row))
+            held.append((hashes_of(*row) >> np.uint64(64 - FILTER_BITS)).astype(np.uint32))
             n += len(held[-1])
             if n >= FLUSH:
                 yield flush()
-                held, n = [], 0
+                n = 0
         if n:
             yield flush()
 
@@ -186,21 +195,56 @@ def _filter(counts: DataFrame, least: int) -> np.ndarray:
     return out
 
 
+def _spotted(passing: Passing, lang: str, words: pa.Array, place: np.ndarray):
+    """(words a phrase, starts, hashes, occurrences) of a slice's distinct phrases at the places that pass."""
+    for size, (at, h) in enumerate(passing.runs(lang, words, place), 2):
+        h, first, same = np.unique(h, return_index=True, return_inverse=True)
+        other = np.zeros(len(at), bool)  # equal hashes of different words: each place by itself
+        for j in range(size):
+            other |= place[at + j] != place[at[first] + j][same]
+        n, lone = np.bincount(same[~other], minlength=len(first)), np.flatnonzero(other)
+        yield size, np.append(at[first], at[lone]), np.append(h, h[same[lone]]), np.append(n, np.ones(len(lone), np.int64))
+
+
 def _candidates(passing):
     """(phrase): the language and the phrase, with a tab, of each slice's distinct phrases at the places that pass."""
 
     def run(batches):
         for lang, words, place in _rows(batches):
-            for size, (at, h) in enumerate(passing.value.runs(lang, words, place), 2):
-                _, first, same = np.unique(h, return_index=True, return_inverse=True)
-                other = np.zeros(len(at), bool)  # equal hashes of different words: kept
-                for j in range(size):
-                    other |= place[at + j] != place[at[first][same] + j]
-                at = at[np.union1d(first, np.flatnonzero(other))]
-                phrase = pc.binary_join_element_wise(*[words.take(pa.array(place[at + j])) for j in range(size)], " ")
-                named = pc.binary_join_element_wise(pa.scalar(lang), phrase, "\t")
+            for size, at, _, _ in _spotted(passing.value, lang, words, place):
                 for k in range(0, len(at), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([named.slice(k, 1 << 16)], ["phrase"])
+                    start = at[k : k + (1 << 16)]
+                    phrase = pc.binary_join_element_wise(*[words.take(pa.array(place[start + j])) for j in range(size)], " ")
+                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(pa.scalar(lang), phrase, "\t")], ["phrase"])
+
+    return run
+
+
+def _laid_apart(passing, n_tries: int, together: int):
+    """The distinct phrases of each slice, by the tries that are broadcast together: as three numbers of words each
+    (-1: no third one), all first words before all second ones, with their tries and occurrences."""
+
+    def run(batches):
+        for lang, words, place in _rows(batches):
+            codes, tries, counts = [], [], []
+            for size, at, h, n in _spotted(passing.value, lang, words, place):
+                codes.append(np.stack([place[at + j] if j < size else np.full(len(at), -1, np.int32) for j in range(3)]))
+                tries.append(trie_of(h, n_tries).astype(np.int32))
+                counts.append(n.astype(np.int32))
+            codes, tries, counts = np.concatenate(codes, axis=1), np.concatenate(tries), np.concatenate(counts)
+            order = np.argsort(tries, kind="stable")
+            tries = tries[order]
+            edge = np.searchsorted(tries, np.arange(0, n_tries + together, together))
+            for part in np.flatnonzero(np.diff(edge)):
+                here = order[edge[part] : edge[part + 1]]
+                mine = codes[:, here]
+                used = np.zeros(len(words) + 1, bool)
+                used[mine] = True
+                used[-1] = False
+                number = np.where(used, np.cumsum(used) - 1, -1).astype(np.int32)
+                raw = [number[mine], tries[edge[part] : edge[part + 1]], counts[here]]
+                kept = pa.ListArray.from_arrays(pa.array([0, int(used.sum())], pa.int32()), words.take(pa.array(np.flatnonzero(used))))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([lang]), kept, *[pa.array([x.tobytes()], pa.binary()) for x in raw]], ["part", "lang", "words", "codes", "tries", "counts"])
 
     return run
 
@@ -276,72 +320,79 @@ BUILT = "trie long, state long, lang string, phrase string, base binary, check b
 
 
 class Walk:
-    """A few tries over one alphabet of words by language."""
+    """A few tries over one alphabet of words by language. Holds arrays alone, no object for each word."""
 
     def __init__(self, rows: list, n_tries: int, radix: int):
         """rows: (trie, base, check, ends, symbols) of each of the tries that are here, of n_tries in all."""
         symbols = [unpacked(r.symbols) for r in rows]
         shared = pa.concat_arrays(symbols).dictionary_encode()
         code, cut = shared.indices.to_numpy(zero_copy_only=False), np.append(0, np.cumsum([len(x) for x in symbols]))
-        pairs = [s.rsplit("\t", 1) for s in shared.dictionary.to_pylist()]
-        known: dict[str, tuple[list[int], list[str]]] = {}
-        for k, (lang, word) in enumerate(pairs):
-            at, words = known.setdefault(lang, ([], []))
-            at.append(k)
-            words.append(word)
-        self.known = {lang: (np.array(at), pa.array(words)) for lang, (at, words) in known.items()}
-        self.trie, self.roots = Trie.together([(unpacked(r.base).to_numpy(), unpacked(r.check).to_numpy()) for r in rows], radix)
-        self.own = np.full((len(rows), len(pairs)), -1, np.int32)  # each trie's own codes
-        self.end = np.zeros(len(self.trie.check), bool)
+        both = pc.split_pattern(shared.dictionary, "\t", max_splits=1, reverse=True).flatten()
+        n = len(shared.dictionary)
+        langs, words = both.take(pa.array(np.arange(0, 2 * n, 2))), both.take(pa.array(np.arange(1, 2 * n, 2)))
+        self.known = {}
+        for lang in pc.unique(langs).to_pylist():
+            at = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
+            self.known[lang] = (at, words.take(pa.array(at)))
+        self.trie, self.roots = Trie.together([(lambda r=r: (unpacked(r.base).to_numpy(), unpacked(r.check).to_numpy())) for r in rows], radix)
+        self.own = np.full((len(rows), n), -1, np.int32)  # each trie's own codes
         self.at = np.full(n_tries, -1)  # where each trie is, if it is here
+        ends = []
         for k, r in enumerate(rows):
             self.own[k, code[cut[k] : cut[k + 1]]] = np.arange(cut[k + 1] - cut[k])
-            self.end[self.roots[k] + unpacked(r.ends).to_numpy()] = True
+            ends.append(np.sort(self.roots[k] + unpacked(r.ends).to_numpy()))
             self.at[r.trie] = k
-        self.numbers, self.sums = [r.trie for r in rows], np.zeros(len(self.trie.check), np.int64)
+        self.ends = np.concatenate(ends)  # the states that end a phrase
+        self.end = np.full(len(self.trie.check), -1, np.int32)  # a state's place in ends
+        self.end[self.ends] = np.arange(len(self.ends))
+        self.numbers, self.sums = np.array([r.trie for r in rows]), np.zeros(len(self.ends), np.int64)
 
-    def count(self, lang: str, words: pa.Array, place: np.ndarray) -> None:
-        """Adds the occurrences of all phrases at all places to the sums."""
+    def count(self, lang: str, words: pa.Array, codes: np.ndarray, tries: np.ndarray, counts: np.ndarray) -> None:
+        """Adds phrases, as numbers of words (3, phrases), -1 for no third one, with their tries and occurrences, to the sums."""
         if lang not in self.known:
             return
         at, value_set = self.known[lang]
         found = pc.index_in(words, value_set=value_set)
-        code = np.append(np.where(found.is_valid().to_numpy(zero_copy_only=False), at[pc.fill_null(found, 0).to_numpy()], -1), -1)[place]
-        h = hash_of(lang, words)
-        here = np.flatnonzero((code[:-1] >= 0) & (code[1:] >= 0))
-        pair = joined(h[place[here]], h[place[here + 1]])
-        self._walk(here, pair, code, 2)
-        k = np.flatnonzero(np.diff(here) == 1)
-        self._walk(here[k], joined(pair[k], h[place[here[k] + 2]]), code, 3)
-
-    def _walk(self, here: np.ndarray, h: np.ndarray, code: np.ndarray, size: int) -> None:
-        """All places at once through the tries of their hashes."""
-        which = self.at[trie_of(h, len(self.at))]
-        here, which = here[which >= 0], which[which >= 0]
-        states = self.roots[which]
-        for j in range(size):
-            states = self.trie.step(states, self.own[which, code[here + j]])
-            on = states >= 0
-            here, which, states = here[on], which[on], states[on]
-        ended = states[self.end[states]]
-        if len(ended):
-            self.sums += np.bincount(ended, minlength=len(self.sums))
+        code = np.append(np.where(found.is_valid().to_numpy(zero_copy_only=False), at[pc.fill_null(found, 0).to_numpy()], -1), -1)
+        for k in range(0, len(tries), STRIDE):
+            some = codes[:, k : k + STRIDE]
+            self._walk(code[some], some[2] >= 0, self.at[tries[k : k + STRIDE]], counts[k : k + STRIDE])
+
+    def _walk(self, code: np.ndarray, long: np.ndarray, which: np.ndarray, n: np.ndarray) -> None:
+        """All phrases at once, each through its trie."""
+        on = np.flatnonzero((which >= 0) & (code[0] >= 0) & (code[1] >= 0) & ((code[2] >= 0) | ~long))
+        states = self.roots[which[on]]
+        for j in range(3):
+            moved = on if j < 2 else on[long[on]]
+            ahead = self.trie.step(states if j < 2 else states[long[on]], self.own[which[moved], code[j, moved]])
+            if j < 2:
+                on, states = on[ahead >= 0], ahead[ahead >= 0]
+            else:
+                on, states = np.append(on[~long[on]], moved[ahead >= 0]), np.append(states[~long[on]], ahead[ahead >= 0])
+        end = self.end[states]
+        np.add.at(self.sums, end[end >= 0], n[on[end >= 0]])
+
+    def counted(self) -> pa.RecordBatch:
+        """The sums of all phrases that occurred, by trie and state."""
+        at = np.flatnonzero(self.sums)
+        trie = np.searchsorted(self.roots, self.ends[at], "right") - 1
+        return _by_block((self.numbers[trie] << 32) + self.ends[at] - self.roots[trie], self.sums[at], SLOTS, np.int64)
 
 
 def _walked(tries, n_tries: int, radix: int):
     def run(batches):
         walk = Walk(tries.value, n_tries, radix)
-        for row in _rows(batches):
-            walk.count(*row)
-        at = np.flatnonzero(walk.sums)
-        trie = np.searchsorted(walk.roots, at, "right") - 1
-        yield _by_block((np.array(walk.numbers)[trie] << 32) + at - walk.roots[trie], walk.sums[at], SLOTS)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                codes, of, n = (np.frombuffer(batch.column(x)[k].as_buffer(), np.int32) for x in ("codes", "tries", "counts"))
+                walk.count(batch.column("lang")[k].as_py(), batch.column("words").slice(k, 1).flatten(), codes.reshape(3, -1), of, n)
+        yield walk.counted()
 
     return run
 
 
 def _unpacked(batches):
-    for block, sums in _added(batches, SLOTS):
+    for block, sums in _added(batches, SLOTS, np.int64):
         at = np.flatnonzero(sums)
         key = block * SLOTS + at
         yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(sums[at])], ["trie", "state", "a"])
@@ -352,9 +403,14 @@ def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, trie_ph
     (lang, word, n) of the words that do, and (lang, n) of all words, over docs (text, lang)."""
     if not 1 <= least <= MOST:
         raise ValueError(f"least must lie between 1 and {MOST}")
+    sliced = scratch.save(docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_sliced, SLICED), "sliced", most=FILE_SLICES)
+    with small_batches(scratch.spark):
+        return _counted(sliced, scratch, least, trie_phrases)
+
+
+def _counted(sliced: DataFrame, scratch: Scratch, least: int, trie_phrases: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     context = scratch.spark.sparkContext
-    sliced = scratch.save(docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(_sliced, SLICED), "sliced")
-    totals = sliced.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = scratch.save(sliced.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = sliced.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = scratch.save(words.where(F.col("n") >= least), "words")
 
@@ -371,30 +427,39 @@ def count_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, trie_ph
         passing = context.broadcast(Passing(filters))
         hashes = _hash_counts(lambda *row, level=level, passing=passing: list(passing.value.runs(*row))[level][1])
         filters = [*filters, _filter(sliced.mapInArrow(hashes, BLOCKS), least)]
+        passing.destroy()
     passing = context.broadcast(Passing(filters))
     found = scratch.save(sliced.mapInArrow(_candidates(passing), "phrase string").distinct(), "candidates")
 
-    n_tries = max(TOGETHER, -(-found.count() // trie_phrases))
+    together = TOGETHER
+    n_tries = max(together, -(-found.count() // trie_phrases))
+    spotted = scratch.save(sliced.mapInArrow(_laid_apart(passing, n_tries, together), SPOTTED), "spotted", "part")
+    passing.destroy()
+    scratch.drop("sliced")
     built = scratch.save(found.mapInArrow(_dealt(n_tries), "trie long, lang string, phrase string"), "dealt")
+    scratch.drop("candidates")
     largest = built.groupBy("trie").count().agg(F.max("count")).first()[0] or 0
     radix = int(np.sqrt(3 * largest)) + 1  # a phrase has three words at most
     built = scratch.save(built.groupBy("trie").applyInArrow(_built(radix), BUILT), "tries")
-    sums = None
-    for k in range(0, n_tries, TOGETHER):
-        some = built.where((F.col("trie") >= k) & (F.col("trie") < k + TOGETHER) & F.col("base").isNotNull())
-        rows = some.select("trie", "base", "check", "ends", "symbols").collect()  # TOGETHER tries of a bounded size
+    scratch.drop("dealt")
+    sums, schema = [], "trie long, state long, a long"
+    for part, k in enumerate(range(0, n_tries, together)):
+        some = built.where((F.col("trie") >= k) & (F.col("trie") < k + together) & F.col("base").isNotNull())
+        rows = some.select("trie", "base", "check", "ends", "symbols").collect()  # tries of a bounded size, so many
         if not rows:
             continue
         tries = context.broadcast(rows)
-        added = sliced.mapInArrow(_walked(tries, n_tries, radix), BLOCKS).repartition("block").sortWithinPartitions("block").mapInArrow(_unpacked, "trie long, state long, a long")
-        added = scratch.save(added, f"sums-{k}")
-        sums = added if sums is None else sums.union(added)
+        added = spotted.where(F.col("part") == part).mapInArrow(_walked(tries, n_tries, radix), BLOCKS)
+        added = added.repartition("block").sortWithinPartitions("block").mapInArrow(_unpacked, schema)
+        scratch.save(added, f"sums-{part}")
+        sums.append(scratch.path(f"sums-{part}"))
         tries.destroy()
+    scratch.drop("spotted")
     phrases = built.where("state is not null").select("trie", "state", "lang", "phrase")
-    if sums is None:
+    if not sums:
         return phrases.select("lang", "phrase", F.lit(0).cast("long").alias("a")).where("false"), words, totals
-    counted = phrases.join(sums, ["trie", "state"]).where(F.col("a") >= least).select("lang", "phrase", "a")
-    return scratch.save(counted, "counted"), words, totals
+    counted = phrases.join(scratch.spark.read.schema(schema).parquet(*sums), ["trie", "state"]).where(F.col("a") >= least)
+    return scratch.save(counted.select("lang", "phrase", "a"), "counted"), words, totals
 
 
 def collocations(docs: DataFrame, scratch: Scratch, *, least: int = LEAST, within: int = WITHIN, top: int = 2000, trie_phrases: int = TRIE_PHRASES) -> DataFrame:

@@ -99,13 +99,15 @@ class Trie:
         self.ends[order] = state[own]
 
     @classmethod
-    def together(cls, tries: list[tuple[np.ndarray, np.ndarray]], radix: int) -> tuple[Trie, np.ndarray]:
-        """Several tries (base, check) in one pair of arrays, and the root of each."""
-        trie, size = cls.__new__(cls), [len(base) for base, _ in tries]
+    def together(cls, tries: list, radix: int) -> tuple[Trie, np.ndarray]:
+        """Several tries in one pair of arrays, and the root of each; each is called for its (base, check) twice."""
+        trie, size = cls.__new__(cls), [len(x()[0]) for x in tries]
         roots = np.cumsum([0, *size[:-1]])
-        trie.base = np.concatenate([(base + root).astype(np.int32) for (base, _), root in zip(tries, roots)])
-        trie.check = np.concatenate([np.where(check >= 0, check + root, -1).astype(np.int32) for (_, check), root in zip(tries, roots)])
-        trie.radix = radix
+        trie.base, trie.check, trie.radix = np.empty(sum(size), np.int32), np.empty(sum(size), np.int32), radix
+        for x, root, n in zip(tries, roots, size):
+            base, check = x()
+            trie.base[root : root + n] = base + root
+            trie.check[root : root + n] = np.where(check >= 0, check + root, -1)
         return trie, roots
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
